@@ -7,7 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from graphmill.llm.common import table
+from graphmill.llm.decontaminate import contamination
 from graphmill.llm.minhash import near_duplicates
+from graphmill.llm.token_bin import tokenized
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public tokenizer's vocabulary; the files are no part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenized(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +32,8 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_bin": op4_token_bin,
+    "op7_decontaminate": op7_decontaminate,
     "op10_minhash": op10_minhash,
 }
 SQL: dict[str, str] = {}
