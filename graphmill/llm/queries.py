@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphmill.llm.common import table
 from graphmill.llm.decontaminate import contamination
+from graphmill.llm.language_id import held_out, identify, learnable
+from graphmill.llm.media_avi import media_digests, store_media
 from graphmill.llm.minhash import near_duplicates
 from graphmill.llm.token_bin import tokenized
 
@@ -19,6 +22,16 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # The label goes to the model alone; what is predicted from holds ids and texts.
+    return identify(docs.select("doc_id", "text"), learnable(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op2_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(store_media(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "media"))
+
+
 def op4_token_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenized(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -32,6 +45,8 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_media_avi": op2_media_avi,
     "op4_token_bin": op4_token_bin,
     "op7_decontaminate": op7_decontaminate,
     "op10_minhash": op10_minhash,
