@@ -32,8 +32,8 @@ from graphmill.llm.wordhash import _STEP, chunks, mix, shingle_sets, text_bytes
 BANDS, ROWS = 24, 4
 #: Elements whose permutations are held at once.
 ELEMENTS = 200_000
-#: Members of one block in step 4.
-BLOCK = 256
+#: Shingles of one block in step 4.
+BLOCK = 1_000_000
 _HALF, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
@@ -153,12 +153,16 @@ def _block_links(percent: int):
             return c
 
         us, vs = [], []
-        for i in range(len(ids)):
+        # Members of the largest component are compared only as the others' partners.
+        named, share = np.unique(comps, return_counts=True)
+        largest = named[np.argmax(share)] if len(ids) else 0
+        minor = comps != largest
+        for i in np.flatnonzero(minor):
             own = inverse[begin[i] : begin[i + 1]]
             hits = np.concatenate([posting[start[e] : start[e + 1]] for e in own]) if len(own) else np.zeros(0, np.int64)
             common = np.bincount(hits, minlength=len(ids))
             linked = np.flatnonzero(100 * common >= percent * (sizes[i] + sizes - common))
-            for j in linked[linked < i]:
+            for j in linked[((linked < i) | ~minor[linked]) & (comps[linked] != comps[i])]:
                 a, b = find(int(comps[i])), find(int(comps[j]))
                 if a != b:
                     root[max(a, b)] = min(a, b)
@@ -215,10 +219,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     placed = buckets.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     # Three members at least: two have been compared with each other already.
     mixed = (
-        placed.filter("size > 2").groupBy("key", "component").agg(F.max("size").alias("size"))
-        .groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max("size").alias("size")).filter("parts > 1")
+        placed.filter("size > 2").join(sizes, "id").groupBy("key", "component").agg(F.sum("n").alias("n"))
+        .groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n")).filter("parts > 1")
     )
-    blocks = F.ceil(F.col("size") / BLOCK)
+    blocks = F.ceil(F.col("n") / BLOCK)
     at = F.pmod(F.xxhash64("id"), blocks)
     dealt = (
         placed.drop("size").join(mixed, "key")
