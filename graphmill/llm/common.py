@@ -92,3 +92,22 @@ def lower_ascii(text: Column) -> Column:
 
 def empty_if_null(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
+
+
+def lookup_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "left", spread: int = 64) -> DataFrame:
+    """Join rows, in which a key may be very common, with facts, which has one row for a key.
+
+    facts is broadcast if it is known to be small.  Else both sides are shuffled, and the rows of the
+    commonest keys, at most 256 of them, are dealt to `spread` partitions each.
+    """
+    if facts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(facts), keys, how)
+    hot = F.broadcast(materialize(hot_keys(rows, keys), "hot"))
+    own = [c for c in rows.columns if c not in keys]
+    salted = rows.join(hot, keys, "left").withColumn(
+        "__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*keys, *own), F.lit(spread))).otherwise(F.lit(0).cast("long"))
+    )
+    copies = facts.join(hot, keys, "left").withColumn(
+        "__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))
+    )
+    return salted.drop("__hot").join(copies.drop("__hot"), [*keys, "__salt"], how).drop("__salt")

@@ -172,10 +172,10 @@ def _mark(broadcast, last: bool):
                     n_hit = total[begin + counts] - total[begin]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            ids.slice(a, b - a), pa.array(counts), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()),
+                            ids.slice(a, b - a), batch.column(4).slice(a, b - a), pa.array(counts), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()),
                             pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()), pa.array(n_hit > 0),
                         ],
-                        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+                        ["doc_id", "row", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
                     )
                 else:
                     spans = []
@@ -183,8 +183,8 @@ def _mark(broadcast, last: bool):
                         flips = np.flatnonzero(np.diff(np.concatenate(([0], hit[s : s + n].astype(np.int8), [0]))))
                         spans.append(flips.astype(np.int64).tobytes())
                     yield pa.RecordBatch.from_arrays(
-                        [ids.slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(spans, pa.binary()), pa.array(names, pa.list_(pa.string()))],
-                        ["doc_id", "text", "spans", "items"],
+                        [ids.slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(spans, pa.binary()), pa.array(names, pa.list_(pa.string())), batch.column(4).slice(a, b - a)],
+                        ["doc_id", "text", "spans", "items", "row"],
                     )
 
     return run
@@ -203,21 +203,33 @@ def _blocks(benchmark: DataFrame, window: int, block_bytes: int):
         yield context.broadcast(Block([(r.name, bytes(r.text)) for r in own.toLocalIterator()], window)), i == n - 1
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """For each row of docs (doc_id, text): n_words, n_hit, n_items, items_sha256 and contaminated."""
+def _judged(docs: DataFrame, carried: list[str], benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """doc_id, row (a struct of the carried columns) and the verdict's columns."""
     workers_can_import(docs.sparkSession)
-    out = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.lit(None).cast("binary").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    row = F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.struct(F.lit(0).alias("none"))
+    none = F.lit(None)
+    out = docs.select("doc_id", F.col("text").cast("string").alias("text"), none.cast("binary").alias("spans"), none.cast("array<string>").alias("items"), row.alias("row"))
+    kind, row_kind = (out.schema[c].dataType.simpleString() for c in ("doc_id", "row"))
     for block, last in _blocks(benchmark, window, block_bytes):
         schema = (
-            f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+            f"doc_id {kind}, row {row_kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
             if last
-            else f"doc_id {kind}, text string, spans binary, items array<string>"
+            else f"doc_id {kind}, text string, spans binary, items array<string>, row {row_kind}"
         )
         out = map_arrow(out, _mark(block, last), schema)
     return out
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """For each row of docs (doc_id, text): n_words, n_hit, n_items, items_sha256 and contaminated."""
+    return _judged(docs, [], benchmark, window, block_bytes).drop("row")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns."""
+    return _judged(docs, docs.columns, benchmark, window, block_bytes).filter("not contaminated").select("row.*")
+
+
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each suffix of each item that matches a window or more: its longest verbatim match over all shards and one place of it."""
 

@@ -10,9 +10,23 @@ from pyspark.sql import functions as F
 from graphmill.llm.common import table
 from graphmill.llm.decontaminate import contamination
 from graphmill.llm.language_id import held_out, identify, learnable
+from graphmill.llm.license_scan import scan
+from graphmill.llm.line_winnow import line_matches
 from graphmill.llm.media_avi import media_digests, store_media
 from graphmill.llm.minhash import near_duplicates
+from graphmill.llm.mix_weights import mixed, mixed_sql
 from graphmill.llm.token_bin import tokenized
+from graphmill.llm.unit_dedup import removals
+from graphmill.llm.url_filter import filtered
+
+# The rules of op3.
+URL_RULES = (
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -32,14 +46,36 @@ def op2_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(store_media(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "media"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filtered(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
 def op4_token_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenized(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_line_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_matches(table(spark, sf_dir, "documents"))
+
+
+def op6_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixed(table(spark, sf_dir, "documents"))
+    named = {c: F.coalesce(c, F.lit("unknown")) for c in ("source", "lang")}
+    return out.withColumns(named).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 9).alias("weight"), F.round("p", 6).alias("p"), "kept")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removals(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
@@ -47,8 +83,15 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_media_avi": op2_media_avi,
+    "op3_url_filter": op3_url_filter,
     "op4_token_bin": op4_token_bin,
+    "op5_line_winnow": op5_line_winnow,
+    "op6_mix_weights": op6_mix_weights,
     "op7_decontaminate": op7_decontaminate,
+    "op8_unit_dedup": op8_unit_dedup,
+    "op9_license_scan": op9_license_scan,
     "op10_minhash": op10_minhash,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_mix_weights": mixed_sql(),
+}
