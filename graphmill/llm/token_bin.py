@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from contextlib import suppress
 from itertools import accumulate
 
 import numpy as np
@@ -50,6 +51,8 @@ class Pieces:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # what is known here is never asked for again
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.newline = self._whole("\n")
         self.size = len(self._pack([0]))
@@ -65,8 +68,8 @@ class Pieces:
 
     def _learn(self, new: list[str]) -> None:
         """Newlines part the pieces, as none holds a newline but as its first character."""
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
+        for at in range(0, len(new), 512):
+            some = new[at : at + 512]
             joined = "\n".join([p[1:] if p[0] == "\n" else " " + p for p in some])
             ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.width)
             cut = (np.flatnonzero(ids == np.frombuffer(self.newline, self.width)[0]) * self.size).tolist()
@@ -86,19 +89,25 @@ class Pieces:
             pieces[0] = "\n" + pieces[0]
             ids = list(map(get, pieces))
             if None in ids:
-                unknown = {p for p, v in zip(pieces, ids, strict=True) if v is None}
+                gaps, at = [], -1
+                with suppress(ValueError):
+                    while True:
+                        gaps.append(at := ids.index(None, at + 1))
+                unknown = [pieces[g] for g in gaps]
                 if any(not p or p[-1].isspace() or p[p[0] == "\n" :][0].isspace() for p in unknown):
                     out[i] = self._whole(t)
                 else:
-                    new |= unknown
-                    lacking.append((i, pieces, ids))
+                    new.update(unknown)
+                    lacking.append((i, ids, gaps, unknown))
             else:
                 out[i] = b"".join(ids)[self.size :]
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
         self._learn(list(new))
-        for i, pieces, ids in lacking:
-            out[i] = b"".join([get(p) if v is None else v for p, v in zip(pieces, ids, strict=True)])[self.size :]
+        for i, ids, gaps, unknown in lacking:
+            for g, p in zip(gaps, unknown, strict=True):
+                ids[g] = self.known[p]
+            out[i] = b"".join(ids)[self.size :]
         return out
 
 
