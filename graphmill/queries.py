@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmill.functions import scalars as S
+from graphmill.operators import extract as X
 from graphmill.operators import graph as G
 from graphmill.operators import impact as I
 from graphmill.operators import quality as Q
+from graphmill.operators import resolve as R
 from graphmill.operators import search as T
 from graphmill.operators import store as K
 from graphmill.operators import telemetry as M
 from graphmill.plans.planner import Engine
+from graphmill.sources import files as FL
+from graphmill.sources import sinks as SK
 from graphmill.sources import trade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -453,3 +457,70 @@ query("search_term_frequencies", "", f"WITH {_INDEX} SELECT term, count(*) AS df
 )
 query("corpus_routing", "symbols", "SELECT 'code' AS corpus, count(*) AS n FROM symbols")(lambda spark, d: T.route(trade.symbols(spark, d)).groupBy("corpus").agg(F.count(F.lit(1)).alias("n")))
 query("approx_tokens", "", "SELECT doc_id, ((octet_length(encode(text)) + 3) // 4)::BIGINT AS tokens FROM documents")(lambda spark, d: trade.table(spark, d, "documents").select("doc_id", S.approx_tokens(F.col("text")).alias("tokens")))
+
+# -- files, extraction and streaming ----------------------------------------------------------------
+query("file_languages", "", "SELECT page_id, CASE WHEN regexp_matches(url, '\\.html?$') THEN 'HTML' END AS language FROM pages")(
+    lambda spark, d: trade.files(spark, d).select("page_id", FL.language(F.col("path")).alias("language"))
+)
+query("hash_skip", "", "SELECT page_id FROM pages WHERE page_id % 3 <> 0")(
+    lambda spark, d: _hashed(spark, d).join(_hashed(spark, d).filter("page_id % 3 = 0").select("path", "hash"), ["path", "hash"], "left_anti").select("page_id")
+)
+
+
+def _hashed(spark, d):
+    return trade.files(spark, d).withColumn("hash", F.hex(F.xxhash64("content")))
+
+
+def _extracted(spark, d):
+    return X.extract(trade.files(spark, d).withColumn("language", F.lit("HTML")))
+
+
+query("html_sections")(lambda spark, d: X.symbols_of(_extracted(spark, d), "pages").select("id", "kind", "name", "start_line", "extraction_confidence"))
+query("html_imports")(lambda spark, d: X.pending_of(_extracted(spark, d), "pages").select("from_file", "kind", "to_name"))
+query("html_title_count", "", "SELECT 'Document' AS kind, count(*) AS n FROM pages WHERE contains(html, '<title>')")(
+    lambda spark, d: X.symbols_of(_extracted(spark, d), "pages").filter("kind = 'Document'").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+)
+query("export_dangling", "edges", "SELECT kind, count(*) AS n FROM edges WHERE split_part(to_id, '::', 1) <> 'party/supplier' AND split_part(from_id, '::', 1) <> 'party/supplier' GROUP BY 1")(
+    lambda spark, d: SK.without_dangling(trade.symbols(spark, d).filter("kind <> 'Supplier'"), trade.edges(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+)
+query("export_graphml")(lambda spark, d: SK.graphml_lines(trade.symbols(spark, d), trade.edges(spark, d).filter("kind = 'IMPORTS'")))
+query("export_tsv", "symbols", "SELECT concat_ws(chr(9), id, name, complexity::VARCHAR) AS value FROM symbols WHERE kind = 'Part'")(
+    lambda spark, d: SK.tsv(trade.symbols(spark, d).filter("kind = 'Part'"), ["id", "name", "complexity"])
+)
+query("prometheus_text", "calls", "SELECT 'tool_calls_total{tool=\"' || tool || '\"} ' || count(*) AS value FROM calls GROUP BY tool UNION ALL SELECT 'tool_tokens_sum{tool=\"' || tool || '\"} ' || sum(tokens_used) FROM calls GROUP BY tool UNION ALL SELECT 'tool_tokens_count{tool=\"' || tool || '\"} ' || count(*) FROM calls GROUP BY tool")(
+    lambda spark, d: SK.prometheus(_calls(spark, d))
+)
+
+
+@query("tumbling_counts", "", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def _(spark, d):
+    e = trade.table(spark, d, "events")
+    return e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+@query("sliding_counts", "", "SELECT day + s::INT AS start_day, event_type, count(*) AS n FROM (SELECT ts::DATE AS day, event_type FROM events), range(-6, 1) r(s) GROUP BY 1, 2")
+def _(spark, d):
+    e = trade.table(spark, d, "events")
+    out = e.groupBy(F.window("ts", "7 days", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return out.select(F.to_date("window.start").alias("start_day"), "event_type", "n")
+
+
+@query("session_windows", "", """SELECT user_id, count(*) AS sessions, max(n) AS longest FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events)) GROUP BY 1, 2) GROUP BY 1""")
+def _(spark, d):
+    e = trade.table(spark, d, "events")
+    s = e.groupBy(F.session_window("ts", "6 hours"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return s.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
+
+
+@query("imports_resolved", "", "SELECT 'order' || (o_orderkey % 7) AS from_qn, CASE WHEN o_orderkey % 3 = 0 THEN '@external' ELSE 'lib' END AS place, count(DISTINCT o_orderkey % 5) AS n FROM orders GROUP BY 1, 2")
+def _(spark, d):
+    """Imports of made names: a third of them have no definition and become external modules."""
+    o = trade.table(spark, d, "orders").select(F.concat(F.lit("order"), F.col("o_orderkey") % 7).alias("from_qn"), (F.col("o_orderkey") % 3 == 0).alias("ext"), F.concat(F.lit("m"), F.col("o_orderkey") % 5).alias("m")).distinct()
+    name = F.when(F.col("ext"), F.concat(F.lit("none."), "m")).otherwise(F.col("m"))
+    one = lambda c: F.lit(c)
+    pending = o.select(one("p").alias("project_id"), F.concat("from_qn", F.lit(".go")).alias("from_file"), one("IMPORTS").alias("kind"), "from_qn", name.alias("to_name"), F.lit(1.0).alias("confidence"))
+    node = lambda df, c, f: df.select(one("p").alias("project_id"), S.symbol_id(f, F.col(c), F.lit("Module")).alias("id"), f.alias("file_path"), F.col(c).alias("name"), F.col(c).alias("qualified_name"), one("Module").alias("kind")).distinct()
+    symbols = node(o, "from_qn", F.concat("from_qn", F.lit(".go"))).union(node(o, "m", F.lit("lib")))
+    found, _ext = R.resolve_imports(symbols, pending)
+    return found.select(F.regexp_extract("from_id", "::(.*)#", 1).alias("from_qn"), S.file_of_id(F.col("to_id")).alias("place")).groupBy("from_qn", "place").agg(F.count(F.lit(1)).alias("n"))
