@@ -14,8 +14,21 @@ from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[2]
 #: A side of a join is broadcast only when it is known to have no more rows than this.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
+#: Rows of an Arrow batch between Spark and a Python worker.
+BATCH_ROWS = 1_000
 _OWN_DIRS: dict[str, str] = {}
+#: What Python workers remember between tasks, by operator.
+_CACHES: dict[str, list[dict]] = {}
+
+
+def exclusive(operator: str, *caches: dict) -> None:
+    """Called by a worker at the start of a task: what other operators remembered in this worker is let go."""
+    _CACHES[operator] = list(caches)
+    for name, held in _CACHES.items():
+        if name != operator:
+            for c in held:
+                c.clear()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,7 +82,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, func: Callable, schema: str) -> DataFrame:
+    """mapInArrow with batches of few rows, as rows hold whole texts; the session keeps that batch size."""
     workers_can_import(df.sparkSession)
+    if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(func, schema)
 
 

@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import map_arrow, workers_can_import
+from graphmill.llm.common import exclusive, map_arrow, workers_can_import
 from graphmill.llm.wordhash import LOWER, NON_WORD, chunks, text_bytes
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
+#: Text of one shard.
+SHARD_BYTES = 4 << 20
 _TABLE = bytes(np.where(NON_WORD[LOWER], 32, LOWER).astype(np.uint8))
 
 
@@ -145,11 +147,12 @@ def _expand(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 def _mark(broadcast, last: bool):
     def run(batches):
+        exclusive("decontaminate")
         block = broadcast.value
         for batch in batches:
             ids, texts = batch.column(0), text_bytes(batch.column(1))
             spans_so_far, items_so_far = batch.column(2), batch.column(3).to_pylist()
-            for a, b in chunks(texts, 8 << 20):
+            for a, b in chunks(texts, SHARD_BYTES):
                 seq, to_end, begin, counts, array = _shard(texts[a:b], block)
                 (suffix, low, high), _, _ = search(block, seq, to_end, array, False)
                 places, of = array[_expand(low, high)], np.repeat(suffix, high - low)
@@ -238,7 +241,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             block = broadcast.value
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
-                for a, b in chunks(texts, 8 << 20):
+                for a, b in chunks(texts, SHARD_BYTES):
                     seq, to_end, begin, _, array = _shard(texts[a:b], block)
                     _, length, place = search(block, seq, to_end, array, True)
                     good = np.flatnonzero((block.window > 0) & (length >= block.window))

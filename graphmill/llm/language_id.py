@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import map_arrow, workers_can_import
+from graphmill.llm.common import exclusive, map_arrow, workers_can_import
 
 TRAIN_DOCS = 4_000
 WORDS = 30_000
@@ -32,7 +32,7 @@ GRAMS = 10_000
 LONGEST = 4
 UNKNOWN = "und"
 #: Words whose sums a worker remembers, besides the model's.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -93,27 +93,30 @@ class Model:
     def __init__(self, counts: pa.Table) -> None:
         self.langs = sorted(set(counts["lang"].to_pylist()))
         at = {x: i for i, x in enumerate(self.langs)}
-        tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-        for size, lang, gram, n in zip(*(counts[c].to_pylist() for c in ("size", "lang", "gram", "n")), strict=True):
-            tables[size].setdefault(gram, np.zeros(len(self.langs)))[at[lang]] = n
-        self.tables = []
-        for t in tables:
-            total = sum(t.values()) if t else np.zeros(len(self.langs))
-            self.tables.append({g: np.log((v + 0.5) / (total + 0.5 * len(t) + 0.5)) for g, v in t.items()})
-        self.rows = np.zeros((len(self.tables[0]) + REMEMBERED + 1, len(self.langs)), np.float32)
-        self.base = {w: i for i, w in enumerate(self.tables[0])}
-        for w, i in self.base.items():
-            self.rows[i] = self.tables[0][w]
-        self.known = dict(self.base)
+        tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        size, lang, gram, n = (counts[c].to_pylist() for c in ("size", "lang", "gram", "n"))
+        where = [tables[k].setdefault(g, len(tables[k])) for k, g in zip(size, gram, strict=True)]
+        logs = []
+        for k, table in enumerate(tables):
+            own = [i for i, s in enumerate(size) if s == k]
+            sums = np.zeros((len(table), len(self.langs)))
+            sums[[where[i] for i in own], [at[lang[i]] for i in own]] = [n[i] for i in own]
+            total = sums.sum(axis=0) if len(table) else np.zeros(len(self.langs))
+            logs.append(np.log((sums + 0.5) / (total + 0.5 * len(table) + 0.5)).astype(np.float32))
+        #: Rows of the words, then of what has been met since.
+        self.rows = np.zeros((len(tables[0]) + REMEMBERED + 1, len(self.langs)), np.float32)
+        self.rows[: len(tables[0])] = logs[0]
+        self.grams, self.logs = tables, logs
+        self.known = dict(tables[0])
 
     def back_off(self, word: str) -> np.ndarray:
         marked = f"^{word}$"
         for k in range(LONGEST, 0, -1):
-            table = self.tables[k]
-            found = [table[g] for i in range(max(1, len(marked) - k + 1)) if (g := marked[i : i + k]) in table]
+            table = self.grams[k]
+            found = [i for a in range(max(1, len(marked) - k + 1)) if (i := table.get(marked[a : a + k])) is not None]
             if found:
-                return sum(found) / len(found)
-        return np.zeros(len(self.langs))
+                return self.logs[k][found].mean(axis=0)
+        return np.zeros(len(self.langs), np.float32)
 
     def totals(self, words: list[str]) -> np.ndarray:
         """Sum by language over the words, a segment at a time."""
@@ -124,7 +127,7 @@ class Model:
             if None in at:
                 new = {w for w, i in zip(some, at, strict=True) if i is None}
                 if len(self.known) + len(new) > len(self.rows):
-                    self.known = dict(self.base)
+                    self.known = dict(self.grams[0])
                     new = {w for w in some if w not in self.known}
                 for w in new:
                     i = len(self.known)
@@ -140,6 +143,7 @@ _MODELS: dict[str, Model] = {}
 
 def _predict(broadcast, key: str):
     def run(batches):
+        exclusive("language_id", _MODELS)
         if key not in _MODELS:
             _MODELS.clear()
             _MODELS[key] = Model(pa.ipc.open_stream(broadcast.value).read_all())

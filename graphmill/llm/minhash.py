@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import BROADCAST_ROWS, map_arrow, materialize
+from graphmill.llm.common import BROADCAST_ROWS, exclusive, map_arrow, materialize
 from graphmill.llm.components import components
 from graphmill.llm.wordhash import _STEP, chunks, mix, shingle_sets, text_bytes
 
@@ -82,6 +82,7 @@ def _groups(ends: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 def _sketch(k: int, bands: int, rows: int):
     def run(batches):
+        exclusive("minhash")
         for batch in batches:
             ids, texts = batch.column(0), text_bytes(batch.column(1))
             for a, b in chunks(texts):
@@ -115,6 +116,7 @@ def _sketch(k: int, bands: int, rows: int):
 
 def _sets(k: int):
     def run(batches):
+        exclusive("minhash")
         for batch in batches:
             ids, texts = batch.column(0), text_bytes(batch.column(1))
             for a, b in chunks(texts):

@@ -29,7 +29,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import map_arrow, new_path, workers_can_import
+from graphmill.llm.common import exclusive, map_arrow, new_path, workers_can_import
 
 END_ID = 2
 NULL_ID = np.iinfo(np.int64).min
@@ -45,7 +45,8 @@ class Pieces:
     A text in which white space meets white space, or that white space begins or ends, is encoded whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -58,7 +59,8 @@ class Pieces:
         self.size = len(self._pack([0]))
         #: Ids of " piece", or of a piece that begins with a newline.
         self.known: dict[str, bytes] = {}
-        self.by_pieces = len(self.newline) == self.size and self._whole("a b\nb") == b"".join(map(self._whole, ("a", " b", "\n", "b")))
+        self.marks = {m: self._whole(m) for m in ",."}
+        self.by_pieces = len(self.newline) == self.size and self._whole("a b,\nb") == b"".join(map(self._whole, ("a", " b", ",", "\n", "b")))
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.width).tobytes()
@@ -101,9 +103,14 @@ class Pieces:
                     lacking.append((i, ids, gaps, unknown))
             else:
                 out[i] = b"".join(ids)[self.size :]
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) + 2 * len(new) > self.remembered:
             self.known.clear()
-        self._learn(list(new))
+        # A comma or full stop after a letter is a token of its own; the word before it may be known already.
+        ended = [p for p in new if p[-1] in self.marks and p[-2:-1].isalpha()]
+        bare = {p[:-1] for p in ended}
+        self._learn([p for p in (new.difference(ended) | bare) if p not in self.known])
+        for p in ended:
+            self.known[p] = self.known[p[:-1]] + self.marks[p[-1]]
         for i, ids, gaps, unknown in lacking:
             for g, p in zip(gaps, unknown, strict=True):
                 ids[g] = self.known[p]
@@ -114,10 +121,10 @@ class Pieces:
 _PIECES: dict[str, Pieces] = {}
 
 
-def pieces_of(path: str) -> Pieces:
+def pieces_of(path: str, remembered: int = REMEMBERED) -> Pieces:
     """A worker's encoder, made once."""
     if path not in _PIECES:
-        _PIECES[path] = Pieces(path)
+        _PIECES[path] = Pieces(path, remembered)
     return _PIECES[path]
 
 
@@ -125,16 +132,17 @@ def _store(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(uri)
 
 
-def _write(uri: str, tokenizer: str, end_id: int):
+def _write(uri: str, tokenizer: str, end_id: int, remembered: int):
     def run(batches):
         from pyspark import TaskContext
 
+        exclusive("token_bin", _PIECES)
         shard = TaskContext.get().partitionId()
         store, folder = _store(uri)
         store.create_dir(folder, recursive=True)
         name = f"{folder}/shard-{shard:05d}"
         mine = f"{folder}/attempt-{uuid.uuid4().hex}"
-        pieces = pieces_of(tokenizer)
+        pieces = pieces_of(tokenizer, remembered)
         end = np.array([end_id], pieces.width).tobytes()
         at, docs = 0, 0
         with store.open_output_stream(f"{mine}.bin") as ids, store.open_output_stream(f"{mine}.idx") as idx, store.open_output_stream(f"{mine}.doc") as names:
@@ -157,7 +165,7 @@ def _write(uri: str, tokenizer: str, end_id: int):
     return run
 
 
-def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID) -> list[dict]:
+def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID, remembered: int = REMEMBERED) -> list[dict]:
     """Write docs (doc_id, text) as shards under uri; what the shards hold, with the ids and documents before each."""
     workers_can_import(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -166,7 +174,7 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = E
         .repartitionByRange(n, "doc_id")
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
     )
-    shards = sorted((r.asDict() for r in map_arrow(ordered, _write(uri, tokenizer, end_id), "shard long, docs long, ids long, width long").collect()), key=lambda s: s["shard"])
+    shards = sorted((r.asDict() for r in map_arrow(ordered, _write(uri, tokenizer, end_id, remembered), "shard long, docs long, ids long, width long").collect()), key=lambda s: s["shard"])
     shards = [s for s in shards if s["docs"]]
     for s, base, first in zip(shards, accumulate((s["ids"] for s in shards), initial=0), accumulate((s["docs"] for s in shards), initial=0), strict=False):
         s |= {"base": base, "first_doc": first}
@@ -209,7 +217,7 @@ def read_token_files(spark: SparkSession, uri: str, shards: list[dict]) -> DataF
     return map_arrow(listed, _read(uri), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID, uri: str | None = None) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID, uri: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """Write docs as token files in the shared folder, or under uri, and return what reading them gives."""
     uri = uri or new_path(docs.sparkSession, "tokens")
-    return read_token_files(docs.sparkSession, uri, write_token_files(docs, uri, tokenizer, end_id))
+    return read_token_files(docs.sparkSession, uri, write_token_files(docs, uri, tokenizer, end_id, remembered))

@@ -14,7 +14,7 @@ _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
-SEGMENT = 4 << 20
+SEGMENT = 1 << 20
 
 #: Lower-casing of A-Z alone, as a byte table.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -103,9 +103,10 @@ def shingle_sets(texts: list[bytes], k: int, separators: np.ndarray = SPACES) ->
     words, first = word_hashes(texts, separators)
     counts = np.diff(first)
     with np.errstate(over="ignore"):
-        acc = np.full(max(len(words) - k + 1, 0), mix(np.array([k], np.uint64))[0])
+        n_all = max(len(words) - k + 1, 0)
+        acc = np.full(n_all, mix(np.array([k], np.uint64))[0])
         for j in range(k):
-            acc = mix((acc ^ words[j : len(words) - k + 1 + j]) + _STEP)
+            acc = mix((acc ^ words[j : j + n_all]) + _STEP)
         sets: list[np.ndarray] = []
         for i, n in enumerate(counts):
             a = first[i]
