@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of what is left, and their index as read back."""
-    return token_bin.tokenized(docs, tokenizer_path())
+    return token_bin.tokenized(docs, tokenizer_path(), remembered=400_000)
 
 
 STAGES = [
