@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphmill.llm import oracle
 from graphmill.llm.common import table
 from graphmill.llm.decontaminate import contamination
 from graphmill.llm.language_id import held_out, identify, learnable
@@ -14,7 +15,7 @@ from graphmill.llm.license_scan import scan
 from graphmill.llm.line_winnow import line_matches
 from graphmill.llm.media_avi import media_digests, store_media
 from graphmill.llm.minhash import near_duplicates
-from graphmill.llm.mix_weights import mixed, mixed_sql
+from graphmill.llm.mix_weights import mixed
 from graphmill.llm.token_bin import tokenized
 from graphmill.llm.unit_dedup import removals
 from graphmill.llm.url_filter import filtered
@@ -55,7 +56,10 @@ def op4_token_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_matches(table(spark, sf_dir, "documents"))
+    out = line_matches(table(spark, sf_dir, "documents"))
+    match = lambda m: F.format_string("%d-%d=%d:%d", m["line"], m["end_line"], m["source_doc"], m["source_line"])
+    by_place = F.transform(F.array_sort(F.transform("matches", lambda m: F.struct(m["line"], m["end_line"], m["source_doc"], m["source_line"]))), match)
+    return out.withColumn("matches", F.array_join(by_place, ","))
 
 
 def op6_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +73,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removals(table(spark, sf_dir, "documents"))
+    out = removals(table(spark, sf_dir, "documents"))
+    return out.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.format_string("%d-%d", s["start"], s["end"])), ","))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +97,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_minhash": op10_minhash,
 }
-SQL: dict[str, str] = {
-    "op6_mix_weights": mixed_sql(),
-}
+SQL: dict[str, str] = oracle.SQL
