@@ -34,7 +34,7 @@ from graphmill.llm.common import exclusive, map_arrow, new_path, workers_can_imp
 END_ID = 2
 NULL_ID = np.iinfo(np.int64).min
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_600_000
 
 
 class Pieces:
@@ -57,6 +57,9 @@ class Pieces:
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.newline = self._whole("\n")
         self.size = len(self._pack([0]))
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token[:1] in ("\u0120", "\u010a")]] = True
         #: Ids of " piece", or of a piece that begins with a newline.
         self.known: dict[str, bytes] = {}
         self.marks = {m: self._whole(m) for m in ",."}
@@ -69,15 +72,15 @@ class Pieces:
         return self._pack(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
     def _learn(self, new: list[str]) -> None:
-        """Newlines part the pieces, as none holds a newline but as its first character."""
+        """Encode pieces one after the other: an id whose token begins with a space or newline begins a piece, as no piece has one inside."""
         for at in range(0, len(new), 512):
             some = new[at : at + 512]
-            joined = "\n".join([p[1:] if p[0] == "\n" else " " + p for p in some])
+            joined = "".join([p if p[0] == "\n" else " " + p for p in some])
             ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.width)
-            cut = (np.flatnonzero(ids == np.frombuffer(self.newline, self.width)[0]) * self.size).tolist()
+            cut = (np.flatnonzero(self.begins[ids]) * self.size).tolist()
             raw = ids.tobytes()
-            for p, a, b in zip(some, [0, *[c + self.size for c in cut]], [*cut, len(raw)], strict=True):
-                self.known[p] = self.newline + raw[a:b] if p[0] == "\n" else raw[a:b]
+            for p, a, b in zip(some, cut, [*cut[1:], len(raw)], strict=True):
+                self.known[p] = raw[a:b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_pieces:
