@@ -416,3 +416,23 @@ def skeleton(source: str) -> str:
         elif line.strip():
             hidden += 1
     return "\n".join([*out, f"    ... {hidden} lines"] if hidden else out)
+
+
+def register_udtf(spark, name: str = "extract_symbols") -> None:
+    """SQL's `extract_symbols(path, language, content)`: a table function over the registry."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="kind string, name string, qualified_name string, start_line int, end_line int")
+    class Extracted:
+        def eval(self, path: str, lang: str, content: str):
+            for r in extract_file(path, lang, content):
+                if r["row"] == "symbol":
+                    yield r["kind"], r["name"], r["qualified_name"], r["start_line"], r["end_line"]
+
+    spark.udtf.register(name, Extracted)
+
+
+def python_source_roots(files: DataFrame) -> list[str]:
+    """Folders that Python's imports start from: the root, and `src`, `lib` or `python` where they hold packages; a handful at most."""
+    top = F.regexp_extract("path", r"^(src|lib|python)/[^/]+/__init__\.py$", 1)
+    return [""] + sorted(r[0] for r in files.select(top.alias("r")).filter("r <> ''").distinct().limit(8).collect())

@@ -90,17 +90,22 @@ def recent_calls(log: DataFrame, session: str, limit: int) -> DataFrame:
 def resolve_hooks(hooks: DataFrame, calls: DataFrame, within: int = 3) -> DataFrame:
     """Redirects with took_recommendation: whether the tool they suggest is among the session's next three calls; null while there is none.
 
-    Calls and hooks of a session are put in one order and the following calls are looked up by position: one
-    sort by session, with no join of each hook to all later calls.  Position among calls is a running count.
+    Calls are numbered through within their session: by a window over each session and day, plus the calls of
+    the days before, so that one session with most of the log is many tasks.  A hook then looks up the
+    numbers that follow its own by an equi-join.
     """
     redirects = hooks.filter(F.col("decision") == "redirect")
     c = calls.select("session_id", "at", F.col("request_id").alias("key"), "tool", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("string").alias("suggested"))
     h = redirects.select("session_id", "at", F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("tool"), "id", F.col("suggested_tool").alias("suggested"))
+    both = c.unionByName(h).withColumn("day", F.to_date("at"))
     # Calls at the moment of a hook come before it, so that only later ones follow.
-    order = Window.partitionBy("session_id").orderBy("at", F.col("id").isNotNull(), F.col("key").cast("bigint"), "id")
-    both = c.unionByName(h).withColumn("seen", F.count("tool").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    numbered = both.filter("tool is not null").select("session_id", F.col("seen").alias("n"), "tool")
-    wanted = both.filter("id is not null").select("session_id", "id", "suggested", F.explode(F.array(*[F.col("seen") + i for i in range(1, within + 1)])).alias("n"))
+    order = Window.partitionBy("session_id", "day").orderBy("at", F.col("id").isNotNull(), F.col("key").cast("bigint"), "id")
+    counted = both.withColumn("seen", F.count("tool").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    earlier = Window.partitionBy("session_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = both.groupBy("session_id", "day").agg(F.count("tool").alias("n")).select("session_id", "day", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    placed = counted.join(days, ["session_id", "day"]).withColumn("seen", F.col("seen") + F.col("before"))
+    numbered = placed.filter("tool is not null").select("session_id", F.col("seen").alias("n"), "tool")
+    wanted = placed.filter("id is not null").select("session_id", "id", "suggested", F.explode(F.array(*[F.col("seen") + i for i in range(1, within + 1)])).alias("n"))
     found = wanted.join(numbered, ["session_id", "n"], "left").groupBy("id").agg(F.count("tool").alias("following"), F.max((F.col("tool") == F.col("suggested")).cast("int")).alias("took"))
     return redirects.join(found, "id").withColumn("took_recommendation", F.when(F.col("following") > 0, F.coalesce("took", F.lit(0)))).drop("following", "took")
 
@@ -130,10 +135,14 @@ def tokens_left(resolved: DataFrame) -> DataFrame:
 
 
 def opening_sessions(log: DataFrame, tool: str = "loop", first: int = 3) -> DataFrame:
-    """Sessions, and those that use a tool in their first calls."""
+    """Sessions, and those that use a tool in their first calls.
+
+    Only the first rows of a session pass the filter on their rank, which Spark applies before the shuffle too.
+    """
     w = Window.partitionBy("session_id").orderBy("ts", F.col("request_id").cast("bigint"))
-    ranked = log.select("session_id", "tool", F.row_number().over(w).alias("rn"))
-    return ranked.agg(F.countDistinct("session_id").alias("sessions"), F.countDistinct(F.when((F.col("tool") == tool) & (F.col("rn") <= first), F.col("session_id"))).alias("opening"))
+    ranked = log.select("session_id", "tool", "ts", "request_id").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= first)
+    by = ranked.groupBy("session_id").agg(F.max((F.col("tool") == tool).cast("int")).alias("opens"))
+    return by.agg(F.count(F.lit(1)).alias("sessions"), F.coalesce(F.sum("opens"), F.lit(0)).cast("bigint").alias("opening"))
 
 
 def append_checkpoints(ledger: DataFrame, new: DataFrame, order: str) -> DataFrame:
@@ -199,12 +208,16 @@ def milestones(log: DataFrame, fired: DataFrame | None = None, steps: tuple[int,
 
 
 def latency(log: DataFrame, key: str, column: str) -> DataFrame:
-    """Count, total, mean, largest, and the values at n/2 and 95n/100 of the sorted ones."""
-    v = F.sort_array(F.collect_list(column))
-    n = F.size("v")
-    at = lambda p: F.get("v", F.least(n - 1, F.floor(n * p / 100).cast("int")))
-    out = log.groupBy(key).agg(F.count(column).alias("n"), F.sum(column).alias("total"), F.max(column).alias("largest"), v.alias("v"))
-    return out.select(key, "n", "total", (F.col("total") / F.col("n")).alias("mean"), "largest", at(50).alias("p50"), at(95).alias("p95"))
+    """Count, total, mean, largest, and the values at n/2 and 95n/100 of the sorted ones, exact.
+
+    Equal values are counted before they are ranked, so no group is gathered into one task.
+    """
+    counts = log.filter(F.col(column).isNotNull()).groupBy(key, F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(key)
+    ranked = counts.withColumn("upto", F.sum("c").over(w.orderBy("v"))).withColumn("n", F.sum("c").over(w))
+    at = lambda p: F.min(F.when(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.col("n") * p / 100)), F.col("v")))
+    out = ranked.groupBy(key).agg(F.max("n").alias("n"), F.sum(F.col("v") * F.col("c")).alias("total"), F.max("v").alias("largest"), at(50).alias("p50"), at(95).alias("p95"))
+    return out.select(key, "n", "total", (F.col("total") / F.col("n")).alias("mean"), "largest", "p50", "p95")
 
 
 def composite_score(gains: DataFrame) -> DataFrame:
@@ -212,3 +225,22 @@ def composite_score(gains: DataFrame) -> DataFrame:
     floor = lambda c: F.greatest(F.col(c), F.lit(0.0))
     total = F.col("accuracy") * 10 + floor("tokens") * 0.001 + floor("p50") * 0.05 + floor("p95") * 0.02 + floor("trips") * 5
     return gains.withColumn("score", total)
+
+
+def bench_history(runs: DataFrame, results: DataFrame, limit: int = 20) -> DataFrame:
+    """The last runs (run_id, project_id, ts) with their results (run_id, metric, value)."""
+    last = runs.orderBy(F.desc("ts"), "run_id").limit(limit)
+    return results.join(F.broadcast(last), "run_id").select("run_id", "ts", "metric", "value")
+
+
+def bench_regressions(baseline: DataFrame, actual: DataFrame, ns: float = 0.20, allocs: float = 0.30) -> DataFrame:
+    """Benchmarks (name, ns, allocs) that have become slower, or allocate more, than the gate allows."""
+    a = actual.select("name", F.col("ns").alias("new_ns"), F.col("allocs").alias("new_allocs"))
+    grown = lambda new, old: F.when(F.col(old) > 0, F.col(new) / F.col(old) - 1).otherwise(0.0)
+    out = baseline.join(a, "name").withColumn("ns_growth", grown("new_ns", "ns")).withColumn("allocs_growth", grown("new_allocs", "allocs"))
+    return out.filter((F.col("ns_growth") > ns) | (F.col("allocs_growth") > allocs)).select("name", "ns_growth", "allocs_growth")
+
+
+def recent(log: DataFrame, order: str, limit: int) -> DataFrame:
+    """The latest rows of a log of failures or slow queries."""
+    return log.orderBy(F.desc(order)).limit(limit)

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphmill.functions import scalars as S
 from graphmill.operators.paths import reached, reversed_edges
 from graphmill.plans import warnings as W
 from graphmill.plans.ast import Both, Condition, Item, Node, Not, Query, Ref
@@ -91,18 +92,22 @@ def _typed(kind: str, value):
 class Engine:
     """Queries over a symbols table and an edges table of one project, or of all with project='*'."""
 
-    def __init__(self, symbols: DataFrame, edges: DataFrame, project: str = "*", max_rows: int | None = DEFAULT_ROWS, compat: bool = False) -> None:
+    def __init__(self, symbols: DataFrame, edges: DataFrame, project: str = "*", max_rows: int | None = DEFAULT_ROWS, compat: bool = False, include_fixtures: bool = True) -> None:
+        """include_fixtures=False leaves out nodes in fixture paths where a query shows file_path."""
         if not project:
             raise ValueError("a project is needed; name '*' for all of them")
         own = F.lit(True) if project == "*" else F.col("project_id") == project
         self.symbols, self.edges = symbols.filter(own), edges.filter(own)
         self.max_rows = None if max_rows is None else min(max_rows, MOST_ROWS)
-        self.compat = compat
+        self.compat, self.include_fixtures = compat, include_fixtures
 
     def query(self, text: str) -> Result:
         q = parse(text)
-        result = Result(self._shape(q, self._rows(q)), q, W.static_warnings(q))
-        return result
+        said = W.static_warnings(q)
+        if not self.include_fixtures and any(PROPERTIES.get(i.prop) == "file_path" for i in q.items):
+            inner = Engine(self.symbols.filter(~S.is_fixture_path(F.col("file_path"))), self.edges, "*", self.max_rows, self.compat)
+            return Result(inner._shape(q, inner._rows(q)), q, [*said, "nodes in fixture paths are left out; include_fixtures shows them"])
+        return Result(self._shape(q, self._rows(q)), q, said)
 
     def diagnose(self, result: Result) -> list[str]:
         """Warnings that have to look at the graph: misspelt kinds and, if the result is empty, values that do not occur."""

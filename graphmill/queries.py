@@ -524,3 +524,52 @@ def _(spark, d):
     symbols = node(o, "from_qn", F.concat("from_qn", F.lit(".go"))).union(node(o, "m", F.lit("lib")))
     found, _ext = R.resolve_imports(symbols, pending)
     return found.select(F.regexp_extract("from_id", "::(.*)#", 1).alias("from_qn"), S.file_of_id(F.col("to_id")).alias("place")).groupBy("from_qn", "place").agg(F.count(F.lit(1)).alias("n"))
+
+# -- ledgers and small tools ------------------------------------------------------------------------
+query("decisions_upsert", "", "SELECT c_mktsegment AS key, CASE WHEN c_mktsegment < 'C' THEN 'new' ELSE count(*)::VARCHAR END AS value FROM customer GROUP BY 1")(lambda spark, d: _decisions(spark, d))
+
+
+def _decisions(spark, d):
+    now = trade.table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("key")).agg(F.count(F.lit(1)).cast("string").alias("value")).withColumn("project_id", F.lit("trade"))
+    return K.set_decisions(now, now.filter("key < 'C'").withColumn("value", F.lit("new"))).select("key", "value")
+
+
+@query("loop_append", "", "SELECT conv_id::VARCHAR AS loop_name, (max(turn) + 2)::INT AS seq FROM conversations GROUP BY 1")
+def _(spark, d):
+    old = trade.loop_checkpoints(spark, d).withColumn("project_id", F.lit("p"))
+    new = old.groupBy("project_id", "loop_name").agg(F.lit("more").alias("claim"), F.lit("go on").alias("decision"), F.lit(1).alias("at"))
+    out = M.append_checkpoints(old, new, "at")
+    return out.filter("claim = 'more' and decision = 'go on'").select("loop_name", "seq")
+
+
+@query("decisions_by_keyword", "", "SELECT c_name AS key, CASE WHEN contains(lower(c_name || ' ' || c_mktsegment), 'build') THEN 'build' ELSE 'mach' END AS keyword FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), 'build') OR contains(lower(c_name || ' ' || c_mktsegment), 'mach')")
+def _(spark, d):
+    return I.decisions_for(trade.table(spark, d, "customer").select(F.col("c_name").alias("key"), F.col("c_mktsegment").alias("value")), ["build", "mach"]).select("key", "keyword")
+
+
+@query("context_for_task", "symbols edges", """SELECT s.id, coalesce(i, 0) AS callers, coalesce(o, 0) AS callees FROM symbols s LEFT JOIN (SELECT to_id AS id, count(DISTINCT from_id) AS i FROM edges WHERE kind = 'CALLS' GROUP BY 1) a USING (id)
+LEFT JOIN (SELECT from_id AS id, count(DISTINCT to_id) AS o FROM edges WHERE kind = 'CALLS' GROUP BY 1) b USING (id) WHERE s.kind = 'Part' AND s.complexity = 17 ORDER BY coalesce(i, 0) > 30, id LIMIT 10""")
+def _(spark, d):
+    s = trade.symbols(spark, d)
+    seeds = s.filter("kind = 'Part' and complexity = 17").select("id", F.lit(1.0).alias("score"))
+    return I.context_for_task(s, trade.edges(spark, d), seeds, 30).select("id", "callers", "callees")
+
+
+query("provenance_tiers", "", "SELECT event_type, CASE WHEN upper(trim(event_type)) IN ('EXTRACTED', 'INFERRED', 'AMBIGUOUS') THEN upper(trim(event_type)) ELSE 'EXTRACTED' END AS tier FROM events GROUP BY 1")(
+    lambda spark, d: trade.table(spark, d, "events").select("event_type", S.provenance_tier(F.col("event_type")).alias("tier")).distinct()
+)
+query("savings_signals", "calls", "SELECT session_id, CASE WHEN s IS NULL THEN 'needs_baseline' WHEN u + s <= 0 THEN 'no_usage' WHEN 100.0 * s / (u + s) >= 70 THEN 'excellent' WHEN 100.0 * s / (u + s) >= 50 THEN 'good' WHEN 100.0 * s / (u + s) >= 30 THEN 'watch' ELSE 'improve_query' END AS signal FROM (SELECT session_id, sum(tokens_used)::BIGINT AS u, sum(tokens_saved)::BIGINT AS s FROM calls GROUP BY 1)")(
+    lambda spark, d: _calls(spark, d).groupBy("session_id").agg(F.sum("tokens_used").alias("u"), F.sum("tokens_saved").alias("s")).select("session_id", S.savings_signal(F.col("u"), F.col("s")).alias("signal"))
+)
+query("bench_regressions", "", "SELECT 'Brand' || n AS name, round(0.1::DOUBLE * n, 6) AS ns_growth, 0.0::DOUBLE AS allocs_growth FROM range(1, 6) r(n) WHERE 0.1 * n > 0.2")(lambda spark, d: _regressions(spark))
+
+
+def _regressions(spark):
+    base = spark.range(1, 6).select(F.concat(F.lit("Brand"), "id").alias("name"), F.lit(1000.0).alias("ns"), F.lit(10.0).alias("allocs"), "id")
+    return M.bench_regressions(base.drop("id"), base.withColumn("ns", F.col("ns") * (1 + F.col("id") / 10.0)).drop("id"), 0.2 + 1e-9).withColumn("ns_growth", F.round("ns_growth", 6))
+
+
+query("settings_flood", "symbols", "SELECT project_id FROM symbols GROUP BY 1 HAVING count(*) > 1000 AND count(*) FILTER (kind = 'Setting') > 0.8 * count(*)")(lambda spark, d: Q.settings_flood(trade.symbols(spark, d)).select("project_id"))
+query("tests_by_package", "symbols edges", "SELECT 'order' AS package, false AS runnable, count(DISTINCT e.from_id) AS tests FROM edges e JOIN symbols s ON s.id = e.from_id WHERE e.kind = 'CALLS' AND s.is_test AND e.to_id LIKE 'catalog/Brand#2::%'")(
+    lambda spark, d: I.tests_by_package(I.impacted_tests(I.blast_radius(trade.symbols(spark, d), trade.edges(spark, d), trade.symbols(spark, d).filter("file_path = 'catalog/Brand#2'"), 1)))
+)
