@@ -63,6 +63,12 @@ def delete(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Remove all tables and files that operators have written in the shared folder, once no result that reads them is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/graphmill")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def workers_can_import(spark: SparkSession) -> None:
     """Send the package to Python workers that would not find it by PYTHONPATH or the working folder."""
     on_path = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}

@@ -62,6 +62,14 @@ def superminhash(sets: np.ndarray, ends: np.ndarray, m: int) -> np.ndarray:
     return best.reshape(docs, m)
 
 
+def signature(sets: np.ndarray, ends: np.ndarray, m: int) -> np.ndarray:
+    """superminhash() of sets of any size: the signature of a large set is the least of its parts' signatures."""
+    if len(ends) == 2 and len(sets) > ELEMENTS:
+        parts = [sets[a : a + ELEMENTS] for a in range(0, len(sets), ELEMENTS)]
+        return np.minimum.reduce([superminhash(p, np.array([0, len(p)]), m) for p in parts])
+    return superminhash(sets, ends, m)
+
+
 def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One 64-bit key for each band, the band's number mixed in."""
     with np.errstate(over="ignore"):
@@ -98,7 +106,7 @@ def _sketch(k: int, bands: int, rows: int):
                     with np.errstate(over="ignore"):
                         digest[lo + full, 0] = np.add.reduceat(mix(own), at).view(np.int64)
                         digest[lo + full, 1] = np.add.reduceat(mix(own ^ _STEP), at).view(np.int64)
-                        keys[lo:hi] = band_keys(superminhash(own, ends[lo : hi + 1] - ends[lo], bands * rows), bands, rows)
+                        keys[lo:hi] = band_keys(signature(own, ends[lo : hi + 1] - ends[lo], bands * rows), bands, rows)
                 flat = pa.array(keys.ravel())
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -162,6 +162,8 @@ def _write(uri: str, tokenizer: str, end_id: int, remembered: int):
                     names.write(keys[a : a + 512].astype("<i8").tobytes())
                     docs += len(encoded)
         for kind in ("bin", "idx", "doc"):
+            with suppress(FileNotFoundError):
+                store.delete_file(f"{name}.{kind}")  # of an attempt whose executor was lost
             store.move(f"{mine}.{kind}", f"{name}.{kind}")
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, docs, at, len(end))], ["shard", "docs", "ids", "width"])
 

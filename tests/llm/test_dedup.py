@@ -90,6 +90,14 @@ def test_superminhash_estimates_similarity_better_than_chance():
     assert sorted((one[0] >> np.uint64(32)).tolist()) == list(range(32))
 
 
+def test_signatures_of_large_sets_are_the_least_of_their_parts(monkeypatch):
+    sets = np.arange(1, 5001, dtype=np.uint64) * np.uint64(7919)
+    ends = np.array([0, 5000])
+    whole = H.superminhash(sets, ends, 96)
+    monkeypatch.setattr(H, "ELEMENTS", 700)
+    assert (H.signature(sets, ends, 96) == whole).all()
+
+
 def test_word_hashes_are_those_of_each_text_alone():
     texts = [b"The cat\nsat", b"", b"  cat  THE ", "é ü x".encode(), b"y" * 3_000_000, b"the"]
     hashes, first = X.word_hashes(texts, X.SPACES)
