@@ -92,20 +92,20 @@ def _typed(kind: str, value):
 class Engine:
     """Queries over a symbols table and an edges table of one project, or of all with project='*'."""
 
-    def __init__(self, symbols: DataFrame, edges: DataFrame, project: str = "*", max_rows: int | None = DEFAULT_ROWS, compat: bool = False, include_fixtures: bool = True) -> None:
-        """include_fixtures=False leaves out nodes in fixture paths where a query shows file_path."""
+    def __init__(self, symbols: DataFrame, edges: DataFrame, project: str = "*", max_rows: int | None = DEFAULT_ROWS, compat: bool = False, include_fixtures: bool = True, unique_edges: bool = False) -> None:
+        """include_fixtures=False leaves out nodes in fixture paths where a query shows file_path; unique_edges says that no (from, to, kind) repeats, which saves a shuffle."""
         if not project:
             raise ValueError("a project is needed; name '*' for all of them")
         own = F.lit(True) if project == "*" else F.col("project_id") == project
         self.symbols, self.edges = symbols.filter(own), edges.filter(own)
         self.max_rows = None if max_rows is None else min(max_rows, MOST_ROWS)
-        self.compat, self.include_fixtures = compat, include_fixtures
+        self.compat, self.include_fixtures, self.unique_edges = compat, include_fixtures, unique_edges
 
     def query(self, text: str) -> Result:
         q = parse(text)
         said = W.static_warnings(q)
         if not self.include_fixtures and any(PROPERTIES.get(i.prop) == "file_path" for i in q.items):
-            inner = Engine(self.symbols.filter(~S.is_fixture_path(F.col("file_path"))), self.edges, "*", self.max_rows, self.compat)
+            inner = Engine(self.symbols.filter(~S.is_fixture_path(F.col("file_path"))), self.edges, "*", self.max_rows, self.compat, unique_edges=self.unique_edges)
             return Result(inner._shape(q, inner._rows(q)), q, [*said, "nodes in fixture paths are left out; include_fixtures shows them"])
         return Result(self._shape(q, self._rows(q)), q, said)
 
@@ -158,12 +158,12 @@ class Engine:
         p, r = q.pattern, q.pattern.hop.var or "__r"
         e = self.edges.filter(F.col("kind").isin(p.hop.kinds)) if p.hop.kinds else self.edges
         on_edge = any(c.var == p.hop.var for c in W.conditions(q.where)) if p.hop.var else False
-        if not on_edge:
+        if not on_edge and not self.unique_edges:
             e = e.groupBy("from_id", "to_id", "kind").agg(F.max("confidence").alias("confidence"))
         e = e.select(F.struct("from_id", "to_id", "kind", "confidence").alias(r))
         rows = e.join(self._nodes(p.source, a), F.col(f"{r}.from_id") == F.col(f"{a}.id")).join(self._nodes(p.target, b), F.col(f"{r}.to_id") == F.col(f"{b}.id"))
         rows = rows.filter(self._where(q.where, {a, b}, p.hop.var, False))
-        if on_edge:
+        if on_edge and not self.unique_edges:
             best = F.max_by(r, F.struct(F.col(f"{r}.confidence"))).alias(r)
             keys = [F.col(f"{a}.id").alias("__f"), F.col(f"{b}.id").alias("__t"), F.col(f"{r}.kind").alias("__k")]
             rows = rows.groupBy(*keys).agg(best, F.first(a).alias(a), F.first(b).alias(b)).select(r, a, b)

@@ -84,7 +84,7 @@ def query(name: str, needs: str = "", sql: str | None = None, recursive: bool =
 
 
 def _engine(spark: SparkSession, d: str) -> Engine:
-    return Engine(trade.symbols(spark, d), trade.edges(spark, d), trade.PROJECT, max_rows=None)
+    return Engine(trade.symbols(spark, d), trade.edges(spark, d), trade.PROJECT, max_rows=None, unique_edges=True)
 
 
 def _graph(name: str, text: str, sql: str, needs: str = "symbols edges", recursive: bool = False) -> None:
