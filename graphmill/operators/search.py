@@ -119,26 +119,37 @@ def parse(query: str) -> Search:
     return s
 
 
-def _matches(index: Index, kind: str, ws: tuple[str, ...]) -> DataFrame:
-    """(term, id, tf) of a term of the query."""
-    if kind == "word":
-        return index.postings.filter(F.col("term") == ws[0])
-    if kind == "prefix":
-        return index.postings.filter(F.col("term").startswith(ws[0])).groupBy("id").agg(F.sum("tf").alias("tf")).select(F.lit(ws[0] + "*").alias("term"), "id", "tf")
-    found = index.positions.filter(F.col("term") == ws[0]).select("id", "pos")
-    for i, w in enumerate(ws[1:], 1):
-        found = found.join(index.positions.filter(F.col("term") == w).select("id", (F.col("pos") - i).alias("pos")), ["id", "pos"])
-    return found.groupBy("id").agg(F.count(F.lit(1)).alias("tf")).select(F.lit(" ".join(ws)).alias("term"), "id", "tf")
+def _phrase(index: Index, ws: tuple[str, ...]) -> DataFrame:
+    """(id, tf) of the texts in which words follow each other; the positions of all words are read once."""
+    places = index.positions.filter(F.col("term").isin(list(ws)))
+    at = F.create_map(*[F.lit(x) for w in dict.fromkeys(ws) for x in (w, [i for i, v in enumerate(ws) if v == w])])
+    starts = places.select("id", F.explode(F.transform(F.element_at(at, F.col("term")), lambda i: F.struct((F.col("pos") - i).alias("start"), i.alias("i")))).alias("x"))
+    whole = starts.groupBy("id", F.col("x.start").alias("start")).agg(F.countDistinct("x.i").alias("n")).filter(F.col("n") == len(ws))
+    return whole.groupBy("id").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def score(index: Index, search: Search) -> DataFrame:
-    """(id, score) of the documents that match all groups, by Okapi BM25."""
+    """(id, score) of the documents that match all groups, by Okapi BM25.
+
+    All words and prefixes of a query are looked up in one pass over the postings.
+    """
+    if not search.groups:
+        return index.lengths.limit(0).select("id", F.lit(0.0).alias("score"))
+    plain = [(g, kind, ws) for g, group in enumerate(search.groups) for kind, ws in group if kind != "phrase"]
     parts = []
+    if plain:
+        test = {True: lambda w: F.col("term") == w, False: lambda w: F.col("term").startswith(w)}
+        found = F.array_compact(F.array(*[F.when(test[kind == "word"](ws[0]), F.struct(F.lit(g).alias("group"), F.lit(ws[0] + "*" * (kind == "prefix")).alias("term"))) for g, kind, ws in plain]))
+        wanted = F.col("term").isin([ws[0] for _, kind, ws in plain if kind == "word"])
+        for _, kind, ws in plain:
+            if kind == "prefix":
+                wanted = wanted | F.col("term").startswith(ws[0])
+        rows = index.postings.filter(wanted).select("id", "tf", F.explode(found).alias("m"))
+        parts.append(rows.groupBy("m.group", "m.term", "id").agg(F.sum("tf").alias("tf")))
     for g, group in enumerate(search.groups):
         for kind, ws in group:
-            parts.append(_matches(index, kind, ws).withColumn("group", F.lit(g)))
-    if not parts:
-        return index.lengths.limit(0).select("id", F.lit(0.0).alias("score"))
+            if kind == "phrase":
+                parts.append(_phrase(index, ws).select(F.lit(g).alias("group"), F.lit(" ".join(ws)).alias("term"), "id", "tf"))
     hits = parts[0]
     for p in parts[1:]:
         hits = hits.unionByName(p)
