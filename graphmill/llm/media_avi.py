@@ -400,10 +400,20 @@ def _digest(batches):
         )
 
 
+_MADE = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
 def media_digests(stored: DataFrame) -> DataFrame:
     """One row for each stored medium: digests of the payload that is read back and of the file, and its shots in one string."""
     own = stored.drop("n_bytes", "media")
     packed = stored.select(F.struct(*[F.col(f"`{c}`") for c in own.columns]).alias("row"), "n_bytes", "media")
     kind = packed.schema["row"].dataType.simpleString()
-    made = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_arrow(packed, _digest, f"row {kind}, {made}").select("row.*", *[c.split()[0] for c in made.split(", ")])
+    return map_arrow(packed, _digest, f"row {kind}, {_MADE}").select("row.*", *[c.split()[0] for c in _MADE.split(", ")])
+
+
+def media_round_trip(df: DataFrame, payload: str = "text") -> DataFrame:
+    """media_digests(store_media(df)) in one pass: media are written and read back inside a task and never travel."""
+    own = df.drop(payload)
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in own.columns]).alias("row"), F.col(f"`{payload}`").cast("binary").alias("payload"))
+    kind = packed.schema["row"].dataType.simpleString()
+    return map_arrow(packed, lambda batches: _digest(_store_column(batches)), f"row {kind}, {_MADE}").select("row.*", *[c.split()[0] for c in _MADE.split(", ")])

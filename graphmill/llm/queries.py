@@ -13,7 +13,7 @@ from graphmill.llm.decontaminate import contamination
 from graphmill.llm.language_id import held_out, identify, learnable
 from graphmill.llm.license_scan import scan
 from graphmill.llm.line_winnow import line_matches
-from graphmill.llm.media_avi import media_digests, store_media
+from graphmill.llm.media_avi import media_round_trip
 from graphmill.llm.minhash import near_duplicates
 from graphmill.llm.mix_weights import mixed
 from graphmill.llm.token_bin import tokenized
@@ -44,7 +44,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digests(store_media(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "media"))
+    return media_round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

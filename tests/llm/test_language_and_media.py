@@ -83,7 +83,7 @@ def test_shots_are_cut_where_histograms_jump():
 
 def test_media_columns(spark, odd, nothing, clashing):
     out = M.media_digests(M.store_media(odd.select("doc_id", "text")).select("doc_id", "n_bytes", "media")).collect()
-    assert len(out) == odd.count()
+    assert len(out) == odd.count() and sorted(map(repr, out)) == sorted(map(repr, M.media_round_trip(odd.select("doc_id", "text")).collect()))
     payload = {}
     for r in odd.collect():
         t = (r.text or "").encode()
