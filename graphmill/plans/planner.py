@@ -45,39 +45,46 @@ def _float(text: str) -> float | None:
 
 
 def leaf(col: Column, kind: str, op: str, value, ignore_case: bool = False) -> Column:
-    """One condition over a column, true or false for every row, null included."""
-    text = col.cast("string")
+    """One condition over a column; null counts as false, which a filter sees to, and NOT by `sure`.
+
+    Conditions are plain comparisons where they can be, so that they reach the scan.
+    """
+    text = col if kind == "text" else col.cast("string")
     never = F.lit(False)
     if op == "IS NULL":
-        return col.isNull() | F.coalesce(text == "", never)
+        return col.isNull() | (text == "") if kind == "text" else col.isNull()
     if op == "IS NOT NULL":
-        return col.isNotNull() & F.coalesce(text != "", never)
+        return col.isNotNull() & (text != "") if kind == "text" else col.isNotNull()
     if op == "=~":
-        return F.coalesce(text.rlike(value), never)
+        return text.rlike(value)
     if op in ("CONTAINS", "STARTS WITH", "ENDS WITH"):
         a, b = (F.lower(text), F.lower(F.lit(value))) if ignore_case else (text, F.lit(value))
-        return F.coalesce({"CONTAINS": F.contains, "STARTS WITH": F.startswith, "ENDS WITH": F.endswith}[op](a, b), never)
+        return {"CONTAINS": F.contains, "STARTS WITH": F.startswith, "ENDS WITH": F.endswith}[op](a, b)
     if op == "IN":
         typed = [x for x in (_typed(kind, v) for v in value) if x is not None]
-        return F.coalesce(col.isin(typed), never) if typed else never
+        return col.isin(typed) if typed else never
     typed = _typed(kind, value)
     if op in ("=", "<>"):
         zero = value == "" or (kind == "bool" and typed is False)
         if zero:
             none = typed if kind == "bool" and typed is not None else "" if kind == "text" else None
-            empty = col.isNull() if none is None else col.isNull() | (col == F.lit(none))
-            return empty if op == "=" else ~F.coalesce(empty, never)
+            if none is None:
+                return col.isNull() if op == "=" else col.isNotNull()
+            return col.isNull() | (col == F.lit(none)) if op == "=" else col.isNotNull() & (col != F.lit(none))
         if typed is None:
             return never if op == "=" else F.lit(True)
-        same = col.eqNullSafe(F.lit(typed))
-        return same if op == "=" else ~same
+        return col == F.lit(typed) if op == "=" else col.isNull() | (col != F.lit(typed))
     if kind == "bool":
         col, typed = col.cast("int"), _float(value)
     if typed is None:
         return never
     lit = F.lit(typed)
-    made = {">": col > lit, "<": col < lit, ">=": col >= lit, "<=": col <= lit}[op]
-    return F.coalesce(made, never)
+    return {">": col > lit, "<": col < lit, ">=": col >= lit, "<=": col <= lit}[op]
+
+
+def sure(condition: Column) -> Column:
+    """A condition that is false where it is null."""
+    return F.coalesce(condition, F.lit(False))
 
 
 def _typed(kind: str, value):
@@ -204,7 +211,7 @@ class Engine:
         if drop_unbound and all(c.var not in bound for c in W.conditions(where)):
             return F.lit(True)
         if isinstance(where, Not):
-            return ~self._where(where.inner, bound, edge, False)
+            return ~sure(self._where(where.inner, bound, edge, False))
         if isinstance(where.value, Ref):
             return F.lit(True)
         col, kind = self._column(where.var, where.prop, bound, edge)
