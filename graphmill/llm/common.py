@@ -95,16 +95,33 @@ def map_arrow(df: DataFrame, func: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(func, schema)
 
 
-def hot_keys(keyed: DataFrame, keys: list[str], share: int = 256, floor: int = 20_000) -> DataFrame:
-    """Keys that hold more than one row in `share` and over `floor` rows: at most `share` keys, whatever the input."""
-    counted = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = counted.agg(F.sum("__n").alias("__total"))
-    return (
-        counted.filter(F.col("__n") > floor)
-        .crossJoin(F.broadcast(total))
-        .filter(F.col("__n") * share > F.col("__total"))
-        .select(*keys, F.lit(True).alias("__hot"))
-    )
+#: Keys that hold more than one row in so many, and more rows than a floor, are hot: at most HOT of them, whatever the input.
+HOT, HOT_FLOOR, SPREAD = 256, 1_000, 64
+
+
+def _hot(counted: DataFrame, keys: list[str], n: str) -> DataFrame:
+    total = counted.agg(F.sum(n).alias("__total"))
+    common = counted.crossJoin(F.broadcast(total)).filter((F.col(n) > HOT_FLOOR) & (F.col(n) * HOT > F.col("__total")))
+    return common.select(*keys, F.lit(True).alias("__hot"))
+
+
+def keyed_join(rows: DataFrame, facts: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """Join rows with facts, one for each key, by a shuffle in which the rows of each hot key go to SPREAD places.
+
+    hot: (keys, __hot), bounded as above and so broadcast; the facts of hot keys are copied to all places.
+    """
+    own = [c for c in rows.columns if c not in keys]
+    zero = F.lit(0).cast("long")
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*keys, *own), F.lit(SPREAD).cast("long"))).otherwise(zero)
+    places = F.when(F.col("__hot"), F.sequence(zero, F.lit(SPREAD - 1).cast("long"))).otherwise(F.array(zero))
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).drop("__hot")
+    copies = facts.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(places)).drop("__hot")
+    return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
+
+
+def counted_join(rows: DataFrame, facts: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """Inner keyed_join() with facts that know, in column n, how many rows have their key."""
+    return keyed_join(rows, facts, keys, _hot(facts, keys, n))
 
 
 def lower_ascii(text: Column) -> Column:
@@ -116,20 +133,12 @@ def empty_if_null(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def lookup_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "left", spread: int = 64) -> DataFrame:
-    """Join rows, in which a key may be very common, with facts, which has one row for a key.
+def lookup_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join rows, in which a key may be very common, with a few facts, one for each key: broadcast once they are counted to be few.
 
-    facts is broadcast if it is known to be small.  Else both sides are shuffled, and the rows of the
-    commonest keys, at most 256 of them, are dealt to `spread` partitions each.
+    Beyond that both sides are shuffled, by keyed_join().
     """
     if facts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(facts), keys, how)
-    hot = F.broadcast(materialize(hot_keys(rows, keys), "hot"))
-    own = [c for c in rows.columns if c not in keys]
-    salted = rows.join(hot, keys, "left").withColumn(
-        "__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*keys, *own), F.lit(spread))).otherwise(F.lit(0).cast("long"))
-    )
-    copies = facts.join(hot, keys, "left").withColumn(
-        "__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))
-    )
-    return salted.drop("__hot").join(copies.drop("__hot"), [*keys, "__salt"], how).drop("__salt")
+    hot = materialize(_hot(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), keys, "__n"), "hot")
+    return keyed_join(rows, facts, keys, hot, how)

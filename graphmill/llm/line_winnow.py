@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import lookup_join, map_arrow, materialize
+from graphmill.llm.common import counted_join, map_arrow, materialize
 from graphmill.llm.wordhash import _STEP, mix
 
 GRAM, RUN = 2, 3
@@ -99,13 +99,13 @@ def repeats(docs: DataFrame, gram: int = GRAM, run: int = RUN) -> DataFrame:
     prints = materialize(
         map_arrow(ranked, _fingerprints(gram, run), "doc_id long, line long, gram long, first array<long>, run0 array<long>, run1 array<long>"), "prints"
     )
-    common = materialize(prints.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "grams")
-    met = lookup_join(prints, common, ["gram"], "inner")
+    common = materialize(prints.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "grams")
+    met = counted_join(prints, common, ["gram"], "n")
     runs = materialize(
         met.select("doc_id", F.explode(F.arrays_zip("first", "run0", "run1")).alias("x")).select("doc_id", F.col("x.first").alias("line"), "x.run0", "x.run1").filter("line >= 0").distinct(), "runs"
     )
-    firsts = materialize(runs.groupBy("run0", "run1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line")).alias("source")).filter("n > 1").drop("n"), "firsts")
-    later = lookup_join(runs, firsts, ["run0", "run1"], "inner").filter("doc_id <> source.doc_id or line <> source.line")
+    firsts = materialize(runs.groupBy("run0", "run1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line")).alias("source")).filter("n > 1"), "firsts")
+    later = counted_join(runs, firsts, ["run0", "run1"], "n").filter("doc_id <> source.doc_id or line <> source.line")
     return later.select("doc_id", "line", F.col("source.doc_id").alias("source_doc"), F.col("source.line").alias("source_line"))
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import BROADCAST_ROWS, lookup_join, map_arrow, materialize
+from graphmill.llm.common import BROADCAST_ROWS, counted_join, map_arrow, materialize
 
 LINE_WORDS, SENTENCE_WORDS = 4, 8
 #: Rank of a null doc_id.
@@ -77,9 +77,9 @@ def repeated_spans(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words
     ranked = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     units = materialize(map_arrow(ranked, _units(line_words, sentence_words), "doc_id long, d0 long, d1 long, start int, end int"), "units")
     firsts = materialize(
-        units.groupBy("d0", "d1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).filter("n > 1").drop("n"), "firsts"
+        units.groupBy("d0", "d1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).filter("n > 1"), "firsts"
     )
-    later = lookup_join(units, firsts, ["d0", "d1"], "inner").filter("doc_id <> first.doc_id or start <> first.start")
+    later = counted_join(units, firsts, ["d0", "d1"], "n").filter("doc_id <> first.doc_id or start <> first.start")
     return later.select("doc_id", "start", "end", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
 
 
