@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import BROADCAST_ROWS, exclusive, map_arrow, materialize
+from graphmill.llm.common import BROADCAST_ROWS, counted_join, exclusive, map_arrow, materialize
 from graphmill.llm.components import components
 from graphmill.llm.wordhash import _STEP, chunks, mix, shingle_sets, text_bytes
 
@@ -192,9 +192,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         "sketch",
     )
     usable = sketch.filter("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("d0", "d1").agg(F.min("doc_id").alias("cls"))
+    classes = usable.groupBy("d0", "d1").agg(F.min("doc_id").alias("cls"), F.count(F.lit(1)).alias("copies"))
     members = materialize(
-        usable.select("doc_id", "n_shingles", "d0", "d1").join(classes, ["d0", "d1"]).select("doc_id", "n_shingles", "cls"), "classes"
+        counted_join(usable.select("doc_id", "n_shingles", "d0", "d1"), classes, ["d0", "d1"], "copies").select("doc_id", "n_shingles", "cls"), "classes"
     )
     sizes = members.filter("doc_id = cls").groupBy(F.col("cls").alias("id")).agg(F.max("n_shingles").alias("n"))
     # A row is a class's representative where its id is the class's; only these go on.
@@ -202,12 +202,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         F.col("doc_id").alias("id"), F.explode("bands").alias("key")
     )
     crowded = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    buckets = materialize(banded.join(crowded, "key").distinct(), "buckets")
+    buckets = materialize(counted_join(banded, crowded, ["key"], "size").distinct(), "buckets")
     degree = buckets.groupBy("id").agg(F.sum("size").alias("degree"))
     ranked = buckets.join(degree, "id").join(sizes, "id")
-    lead = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), "n")).alias("top"))
+    lead = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), "n")).alias("top"), F.count(F.lit(1)).alias("members"))
     pairs = (
-        ranked.join(lead, "key")
+        counted_join(ranked, lead, ["key"], "members")
         .select("id", (-F.col("top.minus")).alias("leader"), "n", F.col("top.n").alias("leader_n"))
         .filter(f"id <> leader and 100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)")
         .select("id", "leader")
@@ -229,13 +229,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     placed = buckets.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     # Three members at least: two have been compared with each other already.
     mixed = (
-        placed.filter("size > 2").join(sizes, "id").groupBy("key", "component").agg(F.sum("n").alias("n"))
-        .groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n")).filter("parts > 1")
+        placed.filter("size > 2").join(sizes, "id").groupBy("key", "component").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("members"))
+        .groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("members").alias("members")).filter("parts > 1")
     )
     blocks = F.ceil(F.col("n") / BLOCK)
     at = F.pmod(F.xxhash64("id"), blocks)
     dealt = (
-        placed.drop("size").join(mixed, "key")
+        counted_join(placed.drop("size"), mixed, ["key"], "members")
         .select("key", "id", "component", at.alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
         .select("key", "id", "component", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"))
         .join(shingled, "id")

@@ -60,6 +60,7 @@ def test_chains_and_crowds_join_up(spark):
 def test_ways_for_many_candidates_and_blocks(spark, corpus, monkeypatch):
     monkeypatch.setattr(H, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(H, "BLOCK", 300)
+    monkeypatch.setattr(C, "HOT_FLOOR", 1)
     docs = chain(10) + corpus
     got = {r.doc_id: r.component_id for r in H.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 2).collect()}
     merged = {}
@@ -141,9 +142,9 @@ def brute_spans(docs):
     return out
 
 
-@pytest.mark.parametrize("limit", [250_000, 0])
+@pytest.mark.parametrize("limit", [1_000, 1])
 def test_unit_dedup_equals_brute_force(spark, corpus, monkeypatch, limit):
-    monkeypatch.setattr(C, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(C, "HOT_FLOOR", limit)
     df = spark.createDataFrame(corpus, "doc_id long, text string")
     got = {r.doc_id: {i for s in r.spans for i in range(s.start, s.end)} for r in U.removals(df).collect()}
     want = brute_spans(corpus)
@@ -179,9 +180,9 @@ def brute_lines(docs, run):
     return out
 
 
-@pytest.mark.parametrize("limit", [250_000, 0])
+@pytest.mark.parametrize("limit", [1_000, 1])
 def test_winnowing_finds_every_repeated_run(spark, corpus, monkeypatch, limit):
-    monkeypatch.setattr(C, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(C, "HOT_FLOOR", limit)
     got = {r.doc_id: {i for m in r.matches for i in range(m.line, m.end_line)} for r in W.line_matches(spark.createDataFrame(corpus, "doc_id long, text string")).collect()}
     want = brute_lines(corpus, W.RUN)
     assert got == want and sum(map(bool, want.values())) > 10
