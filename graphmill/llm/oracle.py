@@ -41,7 +41,7 @@ firsts AS (SELECT body, min((doc_id, s)) AS f FROM long GROUP BY 1 HAVING count(
 gone AS (SELECT DISTINCT doc_id, s::BIGINT AS s, e::BIGINT AS e FROM long JOIN firsts USING (body) WHERE (doc_id, s) <> f),
 runs AS (SELECT doc_id, s, e, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM gone),
 spans AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum((before IS NULL OR s > before)::INT) OVER (PARTITION BY doc_id ORDER BY s, e) AS g FROM runs) GROUP BY doc_id, g)
-SELECT d.doc_id, coalesce(len(d.text), 0)::BIGINT AS n_chars, coalesce(n, 0) AS n_removed, coalesce(c, 0)::BIGINT AS removed_chars, coalesce(x, '') AS spans FROM documents d
+SELECT d.doc_id, coalesce(len(d.text), 0)::BIGINT AS n_chars, coalesce(n, 0) AS n_removed, coalesce(c, 0)::BIGINT AS removed_chars, coalesce(x, '') AS spans, coalesce(n, 0) > 0 AS repeated FROM documents d
 LEFT JOIN (SELECT doc_id, count(*) AS n, sum(e - s) AS c, string_agg(s || '-' || e, ',' ORDER BY s) AS x FROM spans GROUP BY 1) USING (doc_id)"""
 
 LINE_RUNS = rf"""WITH lines AS MATERIALIZED (SELECT doc_id, i - 1 AS i, {_NORMAL.format('l')} AS l FROM ({_LINES})),
@@ -50,7 +50,7 @@ firsts AS (SELECT body, min((doc_id, i)) AS f FROM runs GROUP BY 1 HAVING count(
 later AS MATERIALIZED (SELECT doc_id, i, f[1] AS source_doc, f[2] AS source_line FROM runs JOIN firsts USING (body) WHERE (doc_id, i) <> f),
 grouped AS (SELECT *, sum((prior IS NULL OR i > prior + 3)::INT) OVER (PARTITION BY doc_id, source_doc, i - source_line ORDER BY i) AS g FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id, source_doc, i - source_line ORDER BY i) AS prior FROM later)),
 matches AS (SELECT doc_id, min(i) AS a, max(i) + 3 AS b, source_doc, min(source_line) AS sa FROM grouped GROUP BY doc_id, source_doc, i - source_line, g)
-SELECT d.doc_id, CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END::BIGINT AS n_lines, coalesce(n, 0) AS n_deleted, coalesce(m, '') AS matches FROM documents d
+SELECT d.doc_id, CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END::BIGINT AS n_lines, coalesce(n, 0) AS n_deleted, coalesce(m, '') AS matches, coalesce(n, 0) > 0 AS repeated FROM documents d
 LEFT JOIN (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS q FROM later) GROUP BY 1) USING (doc_id)
 LEFT JOIN (SELECT doc_id, string_agg(a || '-' || b || '=' || source_doc || ':' || sa, ',' ORDER BY a, b, source_doc, sa) AS m FROM matches GROUP BY 1) USING (doc_id)"""
 

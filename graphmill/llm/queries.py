@@ -59,7 +59,7 @@ def op5_line_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_matches(table(spark, sf_dir, "documents"))
     match = lambda m: F.format_string("%d-%d=%d:%d", m["line"], m["end_line"], m["source_doc"], m["source_line"])
     by_place = F.transform(F.array_sort(F.transform("matches", lambda m: F.struct(m["line"], m["end_line"], m["source_doc"], m["source_line"]))), match)
-    return out.withColumn("matches", F.array_join(by_place, ","))
+    return out.withColumn("matches", F.array_join(by_place, ",")).withColumn("repeated", F.col("n_deleted") > 0)
 
 
 def op6_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = removals(table(spark, sf_dir, "documents"))
-    return out.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.format_string("%d-%d", s["start"], s["end"])), ","))
+    return out.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.format_string("%d-%d", s["start"], s["end"])), ",")).withColumn("repeated", F.col("n_removed") > 0)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
