@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmill.functions import scalars as S
@@ -198,3 +198,22 @@ def exists(symbols: DataFrame, index: Index, name: str) -> DataFrame:
     """Nodes by exact name; if there are none, by search."""
     exact = symbols.filter(F.col("name") == name).select("id")
     return exact if not exact.isEmpty() else search(index, name, 20)[0].select("id")
+
+
+def save_index(index: Index, path: str) -> None:
+    """Write an index anew: postings and positions sorted by term, so that a query reads the row groups of its words."""
+    for name in ("postings", "positions"):
+        getattr(index, name).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/{name}")
+    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def load_index(spark: SparkSession, path: str) -> Index:
+    return Index(*[spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "stats", "positions")])
+
+
+def fragmentation(spark: SparkSession, path: str) -> DataFrame:
+    """Files and rows of each table of a saved index."""
+    parts = [spark.read.parquet(f"{path}/{n}").select(F.lit(n).alias("name"), F.input_file_name().alias("file")) for n in ("postings", "positions", "lengths")]
+    out = parts[0].union(parts[1]).union(parts[2])
+    return out.groupBy("name").agg(F.countDistinct("file").alias("files"), F.count(F.lit(1)).alias("n"))

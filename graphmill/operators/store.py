@@ -117,3 +117,17 @@ def filter_projects(projects: DataFrame, min_edges: int = 0, active_since: int |
 def set_decisions(current: DataFrame, changes: DataFrame) -> DataFrame:
     """Key-value decisions (project_id, key, value), changes last."""
     return upsert(current, changes, ["project_id", "key"])
+
+
+def write_symbols(symbols: DataFrame, path: str) -> None:
+    """Symbols in folders by project; only the projects that symbols holds are replaced."""
+    symbols.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(path)
+
+
+def write_edges(edges: DataFrame, path: str) -> None:
+    """Edges in folders by project, kind and source, sorted by where they start; only the folders that edges fills are replaced.
+
+    A walk over one kind reads that kind's folders, and a lookup by from_id skips row groups.
+    """
+    ordered = edges.repartitionByRange("project_id", "kind", "source", "from_id").sortWithinPartitions("project_id", "kind", "source", "from_id")
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id", "kind", "source").parquet(path)

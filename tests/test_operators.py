@@ -264,3 +264,23 @@ def test_tools(spark):
     assert tools.resume(ledger, "l").first().seq == 2 and tools.handoff(ledger, "l").first().claim == "HANDOFF\n- d1\n- d2"
     assert "func" in tools.skeleton_of_children(s.withColumn("parent", F.lit("x"))).first().outline
     assert X.skeleton("def f():\n    x = 1\n    y = 2\n    return x") == "def f():\n    ... 2 lines\n    return x"
+
+
+def test_saved_tables(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red apple pie"), (2, "red car")], "id long, text string")
+    index = T.build_index(docs, ["text"])
+    T.save_index(index, str(tmp_path / "i"))
+    again = T.load_index(spark, str(tmp_path / "i"))
+    assert rows(T.search(again, "red apple")[0]) == rows(T.search(index, "red apple")[0]) and T.fragmentation(spark, str(tmp_path / "i")).count() == 3
+    e, path = edges(spark), str(tmp_path / "e")
+    K.write_edges(e, path)
+    K.write_edges(e.filter("kind = 'READS'").limit(1), path)
+    kept = spark.read.parquet(path)
+    assert kept.filter("kind = 'READS'").count() == 1 and kept.filter("kind = 'CALLS'").count() == 5
+
+
+def test_table_function(spark):
+    X.register_udtf(spark)
+    assert [tuple(r) for r in spark.sql("SELECT kind, name FROM extract_symbols('a.py', 'Python', 'def f():\n    pass\n')").collect()] == [("Function", "f")]
+    files = spark.createDataFrame([("src/pkg/__init__.py",), ("a/b.py",)], "path string")
+    assert X.python_source_roots(files) == ["", "src"]
