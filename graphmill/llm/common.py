@@ -90,7 +90,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def map_arrow(df: DataFrame, func: Callable, schema: str) -> DataFrame:
     """mapInArrow with batches of few rows, as rows hold whole texts; the session keeps that batch size."""
     workers_can_import(df.sparkSession)
-    if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+    if not 0 < int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
         df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(func, schema)
 
