@@ -105,11 +105,15 @@ def trace_candidates(symbols: DataFrame, name: str, limit: int = 50) -> DataFram
     return symbols.filter(F.col("name") == name).withColumn("place", place).withColumn("rank", rank).orderBy("place", "rank", "id").limit(limit).drop("place", "rank")
 
 
-def closure(edges: DataFrame, depth: int = CLOSURE_DEFAULT, kinds: tuple[str, ...] = CALL_FAMILY) -> DataFrame:
-    """(from_id, to_id, depth, via_kind) of all pairs up to a depth; via_kind is that of the last edge of a shortest walk."""
+def closure(edges: DataFrame, depth: int = CLOSURE_DEFAULT, kinds: tuple[str, ...] = CALL_FAMILY, starts: DataFrame | None = None) -> DataFrame:
+    """(from_id, to_id, depth, via_kind) of all pairs up to a depth; via_kind is that of the last edge of a shortest walk.
+
+    starts (id): only pairs that begin there, for a part of the closure to be made anew.
+    """
     most = max(1, min(depth, CLOSURE_MOST)) if depth > 0 else CLOSURE_DEFAULT
     steps = cut(edges.filter(F.col("kind").isin(list(kinds))).select(F.col("from_id").alias("__from"), F.col("to_id").alias("__to"), F.col("kind").alias("via")).distinct())
-    level = cut(steps.filter("__from <> __to").groupBy(F.col("__from").alias("from_id"), F.col("__to").alias("to_id")).agg(F.min("via").alias("via_kind")))
+    first = steps if starts is None else steps.join(starts.select(F.col("id").alias("__from")).distinct(), "__from", "left_semi")
+    level = cut(first.filter("__from <> __to").groupBy(F.col("__from").alias("from_id"), F.col("__to").alias("to_id")).agg(F.min("via").alias("via_kind")))
     seen = level.select("from_id", "to_id")
     found = level.withColumn("depth", F.lit(1))
     for d in range(2, most + 1):
@@ -176,12 +180,18 @@ def risk_hotspots(symbols: DataFrame, edges: DataFrame, kinds: tuple[str, ...] =
 
 
 def package_pairs(edges: DataFrame, kinds: tuple[str, ...] | None = ("CALLS",)) -> DataFrame:
-    """Edges between packages: how many there are for each pair, and the one that sorts first."""
+    """Edges between packages: how many there are for each pair, and the one that sorts first.
+
+    Edges are counted by pairs of files first, so that paths are taken apart once for each such pair.
+    """
     e = edges if kinds is None else edges.filter(F.col("kind").isin(list(kinds)))
-    e = e.select(S.package_of_id(F.col("from_id")).alias("from_package"), S.package_of_id(F.col("to_id")).alias("to_package"), "from_id", "to_id", "kind")
-    e = e.filter((F.col("from_package") != "") & (F.col("to_package") != "") & (F.col("from_package") != F.col("to_package")))
+    by_file = e.groupBy(S.file_of_id(F.col("from_id")).alias("from_file"), S.file_of_id(F.col("to_id")).alias("to_file")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("from_id", "to_id", "kind")).alias("example")
+    )
+    p = by_file.select(S.package_of_file(F.col("from_file")).alias("from_package"), S.package_of_file(F.col("to_file")).alias("to_package"), "n", "example")
+    p = p.filter((F.col("from_package") != "") & (F.col("to_package") != "") & (F.col("from_package") != F.col("to_package")))
     return (
-        e.groupBy("from_package", "to_package").agg(F.count(F.lit(1)).alias("edge_count"), F.min(F.struct("from_id", "to_id", "kind")).alias("example"))
+        p.groupBy("from_package", "to_package").agg(F.sum("n").alias("edge_count"), F.min("example").alias("example"))
         .select("from_package", "to_package", "edge_count", F.col("example.from_id").alias("example_from"), F.col("example.to_id").alias("example_to"))
     )
 

@@ -168,8 +168,8 @@ for _n in ("trace_both", "trace_risk_counts", "closure_d3"):
 @query("closure_lookup", "edges", """c1 AS (SELECT to_id AS node, 1 AS depth FROM edges WHERE kind = 'CALLS' AND from_id LIKE '%::o7#Order'), c2 AS (SELECT e.to_id AS node, 2 AS depth FROM c1 JOIN edges e ON e.from_id = node WHERE e.kind = 'CALLS')
 SELECT node, min(depth) AS depth, 'CALLS' AS via FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2) GROUP BY 1""")
 def _(spark, d):
-    start = trade.symbols(spark, d).filter(F.col("qualified_name") == "o7").select("id").first()[0]
-    return G.closure_lookup(G.closure(trade.edges(spark, d), 3), start, "out", 3, None)
+    start = trade.symbols(spark, d).filter(F.col("qualified_name") == "o7").select("id")
+    return G.closure_lookup(G.closure(trade.edges(spark, d), 3, starts=start), start.first()[0], "out", 3, None)
 
 
 SQL["closure_lookup"] = SQL["closure_lookup"].replace(")\nc1 AS", "),\nc1 AS", 1)
