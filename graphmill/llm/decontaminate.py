@@ -73,7 +73,8 @@ def suffix_array(seq: np.ndarray, run: np.ndarray, least: int, bits: int) -> np.
         start, key = order[tied], np.zeros(len(tied), np.int64)
         for d in range(depth, depth + per):
             key = (key << bits) | np.where(run[start] > d, seq[np.minimum(start + d, len(seq) - 1)], 0)
-        by = np.lexsort((key, group[tied]))
+        # Of equal keys those that end here sort first: they leave the tie below and keep their places.
+        by = np.lexsort((run[start] > depth + per, key, group[tied]))
         start, key, g = start[by], key[by], group[tied]
         order[tied] = start
         new = np.concatenate(([True], (g[1:] != g[:-1]) | (key[1:] != key[:-1])))
@@ -81,7 +82,6 @@ def suffix_array(seq: np.ndarray, run: np.ndarray, least: int, bits: int) -> np.
         depth += per
         lone = new & np.concatenate((new[1:], [True]))
         tied = tied[~lone & (run[start] > depth)] if len(tied) else tied
-        # A tie in which one suffix has ended holds only suffixes that are equal to it so far; it sorts first.
     return order
 
 

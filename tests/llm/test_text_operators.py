@@ -64,6 +64,30 @@ def test_suffix_array_is_sorted_and_longest_matches_are_found(spark):
     assert best[1] == (13, 2, 1) and best[3] == (11, 2, 3)
 
 
+@pytest.mark.parametrize("bits", [2, 9, 12, 31])
+def test_suffixes_that_end_at_a_compared_depth_sort_first(bits):
+    rng = np.random.default_rng(bits)
+    per, parts = 62 // bits, []
+    phrase = rng.integers(1, 4, 3 * per + 2)
+    for n in [len(phrase), *rng.integers(1, len(phrase) + 1, 40), per, 2 * per, 3 * per, len(phrase)]:
+        parts += [phrase[:n], [0]]
+    seq = np.concatenate(parts).astype(np.int32)
+    zero = np.where(seq == 0, np.arange(len(seq)), len(seq))
+    run = np.minimum.accumulate(zero[::-1])[::-1] - np.arange(len(seq))
+    array = D.suffix_array(seq, run, 1, bits)
+    keys = [tuple(seq[i : i + run[i]].tolist()) for i in array]
+    assert keys == sorted(keys) and sorted(array.tolist()) == np.flatnonzero(run >= 1).tolist()
+
+
+@pytest.mark.parametrize(("vocabulary", "per"), [(300, 6), (2100, 5)])
+def test_windows_are_found_beside_shorter_copies(spark, vocabulary, per):
+    names = [f"w{i}" for i in range(vocabulary)]
+    items = [(1, " ".join(names)), (2, " ".join(names[50:53])), (3, " ".join(names[60:65])), (4, " ".join(names[70:79]))]
+    docs = [(1, " ".join(names[:10])), (2, " ".join(["x", *names[50:82], "x"])), (3, " ".join([*names[:per], "other", *names[60 : 60 + per], "other", *names[70 : 70 + per], "other"]))]
+    got = {r[0]: tuple(r)[1:] for r in D.contamination(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute_contamination(docs, items) and got[1][1] == 10
+
+
 def test_clean_keeps_all_columns(spark, odd, nothing, clashing):
     bench = spark.createDataFrame([(1, "the same text twice over here")], "item_id long, text string")
     kept = D.clean(clashing, bench)
