@@ -7,6 +7,11 @@ with map-side counts.  The others carry the lines around them, are extended to t
 them, and each run that has occurred before, in the order of doc_id and line, is a later repeat.  Repeats that
 follow each other with one source extend the match both ways; their lines are deleted.
 
+Fewer than RUN lines hold no fingerprint.  Where long_words is given, a passage of fewer lines with that many
+words is a match of its own, and so is a text of fewer lines and words that another text equals as a whole.
+without_repeats() finds these too, from LONG words on; line_matches() does so where it is told to, as the query
+reports runs of RUN lines alone.
+
 Only hashes are shuffled.  A line counts as its words in lower case.  Empty lines are lines.  Null or empty
 texts have no lines.  A null doc_id ranks last.  Rows that repeat a doc_id are one document with equal text.
 Runs that overlap their own earlier occurrence, such as a line that a text repeats, are deleted from the
@@ -26,6 +31,8 @@ from graphmill.llm.common import counted_join, map_arrow, materialize
 from graphmill.llm.wordhash import _STEP, mix
 
 GRAM, RUN = 2, 3
+#: Words of a passage that is a repeat however few lines it has.
+LONG = 8
 LAST = (1 << 63) - 1
 
 
@@ -93,49 +100,78 @@ def _fingerprints(gram: int, run: int):
     return scan
 
 
-def repeats(docs: DataFrame, gram: int = GRAM, run: int = RUN) -> DataFrame:
-    """(doc_id, line, source_doc, source_line): every run of `run` lines, by its first, that has occurred before."""
+def _passages(run: int, long_words: int):
+    """Passages of fewer than `run` lines with long_words or more, and whole texts of fewer lines and words, as two digests."""
+
+    def scan(batches):
+        for batch in batches:
+            ids, rows = batch.column(0), []
+            columns: list[list[np.ndarray]] = [[], [], [], []]
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                hashes = line_hashes(text)
+                if not len(hashes):
+                    continue
+                words = np.concatenate(([0], np.cumsum([len(x.split()) for x in text.split("\n")])))
+                whole = len(hashes) < run and 0 < words[-1] < long_words
+                for size in [len(hashes)] if whole else range(1, min(run, len(hashes) + 1)):
+                    # A whole text meets whole texts only.
+                    own = mix(hashes + np.uint64(whole))
+                    at = np.flatnonzero((words[size:] - words[:-size] >= long_words) | whole)
+                    rows.append(np.full(len(at), i))
+                    columns[0].append(at)
+                    columns[1].append(np.full(len(at), size))
+                    columns[2].append(rolled(own, size)[at].view(np.int64))
+                    columns[3].append(rolled(mix(own + _STEP), size)[at].view(np.int64))
+            if rows:
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(rows))), *(pa.array(np.concatenate(c)) for c in columns)], ["doc_id", "line", "size", "run0", "run1"])
+
+    return scan
+
+
+def repeats(docs: DataFrame, gram: int = GRAM, run: int = RUN, long_words: int | None = None) -> DataFrame:
+    """(doc_id, line, size, source_doc, source_line): every run of `run` lines, by its first, that has occurred before.
+
+    With long_words also every shorter passage that _passages() gives.
+    """
     ranked = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = materialize(
         map_arrow(ranked, _fingerprints(gram, run), "doc_id long, line long, gram long, first array<long>, run0 array<long>, run1 array<long>"), "prints"
     )
     common = materialize(prints.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "grams")
     met = counted_join(prints, common, ["gram"], "n")
-    runs = materialize(
-        met.select("doc_id", F.explode(F.arrays_zip("first", "run0", "run1")).alias("x")).select("doc_id", F.col("x.first").alias("line"), "x.run0", "x.run1").filter("line >= 0").distinct(), "runs"
-    )
+    held = met.select("doc_id", F.explode(F.arrays_zip("first", "run0", "run1")).alias("x")).filter("x.first >= 0")
+    held = held.select("doc_id", F.col("x.first").alias("line"), F.lit(run).cast("long").alias("size"), "x.run0", "x.run1")
+    if long_words is not None:
+        held = held.union(map_arrow(ranked, _passages(run, long_words), "doc_id long, line long, size long, run0 long, run1 long"))
+    runs = materialize(held.distinct(), "runs")
     firsts = materialize(runs.groupBy("run0", "run1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line")).alias("source")).filter("n > 1"), "firsts")
     later = counted_join(runs, firsts, ["run0", "run1"], "n").filter("doc_id <> source.doc_id or line <> source.line")
-    return later.select("doc_id", "line", F.col("source.doc_id").alias("source_doc"), F.col("source.line").alias("source_line"))
+    return later.select("doc_id", "line", "size", F.col("source.doc_id").alias("source_doc"), F.col("source.line").alias("source_line"))
 
 
-def _extend(run: int):
+def _extend(batches):
     """Repeats of a document to maximal runs: those on one diagonal of one source that meet are one match."""
-
-    def go(batches):
-        for batch in batches:
-            out = []
-            for found in batch.column(1).to_pylist():
-                done: list[list[int]] = []
-                for source, shift, line in sorted((x["source_doc"], x["line"] - x["source_line"], x["line"]) for x in found):
-                    if done and done[-1][2:] == [source, shift] and done[-1][1] >= line:
-                        done[-1][1] = line + run
-                    else:
-                        done.append([line, line + run, source, shift])
-                out.append([{"line": a, "end_line": b, "source_doc": s, "source_line": a - d} for a, b, s, d in sorted(done)])
-            kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("line", "end_line", "source_doc", "source_line")]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "matches"])
-
-    return go
+    for batch in batches:
+        out = []
+        for found in batch.column(1).to_pylist():
+            done: list[list[int]] = []
+            for source, shift, line, size in sorted((x["source_doc"], x["line"] - x["source_line"], x["line"], x["size"]) for x in found):
+                if done and done[-1][2:] == [source, shift] and done[-1][1] >= line:
+                    done[-1][1] = max(done[-1][1], line + size)
+                else:
+                    done.append([line, line + size, source, shift])
+            out.append([{"line": a, "end_line": b, "source_doc": s, "source_line": a - d} for a, b, s, d in sorted(done)])
+        kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("line", "end_line", "source_doc", "source_line")]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "matches"])
 
 
 _MATCHES = "array<struct<line:bigint,end_line:bigint,source_doc:bigint,source_line:bigint>>"
 
 
-def line_matches(docs: DataFrame, gram: int = GRAM, run: int = RUN) -> DataFrame:
+def line_matches(docs: DataFrame, gram: int = GRAM, run: int = RUN, long_words: int | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, n_lines, n_deleted, and matches, the later repeated runs with their sources."""
-    grouped = repeats(docs, gram, run).groupBy("doc_id").agg(F.collect_set(F.struct("line", "source_doc", "source_line")).alias("found"))
-    matches = map_arrow(grouped, _extend(run), f"doc_id long, matches {_MATCHES}").withColumnRenamed("doc_id", "__rank")
+    grouped = repeats(docs, gram, run, long_words).groupBy("doc_id").agg(F.collect_set(F.struct("line", "size", "source_doc", "source_line")).alias("found"))
+    matches = map_arrow(grouped, _extend, f"doc_id long, matches {_MATCHES}").withColumnRenamed("doc_id", "__rank")
     text = F.col("text").cast("string")
     lines = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("n_lines")).withColumn("__rank", F.coalesce("doc_id", F.lit(LAST)))
@@ -153,9 +189,9 @@ def _delete(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "text"])
 
 
-def without_repeats(docs: DataFrame, gram: int = GRAM, run: int = RUN) -> DataFrame:
+def without_repeats(docs: DataFrame, gram: int = GRAM, run: int = RUN, long_words: int | None = LONG) -> DataFrame:
     """docs with the lines of later repeated runs deleted from text."""
-    found = line_matches(docs, gram, run).filter("n_deleted > 0").select(F.col("doc_id").alias("__doc"), "matches").dropDuplicates(["__doc"])
+    found = line_matches(docs, gram, run, long_words).filter("n_deleted > 0").select(F.col("doc_id").alias("__doc"), "matches").dropDuplicates(["__doc"])
     joined = docs.join(found, docs.doc_id.eqNullSafe(F.col("__doc")), "left")
     packed = joined.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("text").cast("string").alias("text"), "matches")
     kind = packed.schema["row"].dataType.simpleString()

@@ -188,6 +188,38 @@ def test_winnowing_finds_every_repeated_run(spark, corpus, monkeypatch, limit):
     assert got == want and sum(map(bool, want.values())) > 10
 
 
+def brute_passages(docs, run, long_words):
+    seen, out = {}, {}
+    for d, text in sorted(docs):
+        lines = [" ".join(x.lower().split()) for x in text.split("\n")] if text else []
+        gone, n = set(), [len(x.split()) for x in lines]
+        for i in range(len(lines)):
+            for size in range(1, min(run, len(lines) - i) + 1):
+                if size < run and sum(n[i : i + size]) < long_words:
+                    continue
+                if seen.setdefault(tuple(lines[i : i + size]), (d, i)) != (d, i):
+                    gone.update(range(i, i + size))
+        if len(lines) < run and 0 < sum(n) < long_words and seen.setdefault(("whole", *lines), d) != d:
+            gone.update(range(len(lines)))
+        out[d] = gone
+    return out
+
+
+@pytest.mark.parametrize("limit", [1_000, 1])
+def test_passages_of_few_lines_are_found_by_their_size(spark, corpus, monkeypatch, limit):
+    monkeypatch.setattr(C, "HOT_FLOOR", limit)
+    long, half = "one two three four five six seven eight nine", "ten eleven twelve thirteen"
+    texts = [long, f"x\n{long.upper()}\ny", f"{half}\nfourteen fifteen sixteen seventeen", f"z\n{half}\nfourteen  fifteen sixteen seventeen\nz", f"{half}\nz", "short text", "Short  text", "short text\nand more", "\n", "\n", f"{long}\n{long}", "a\nb", "a\nb"]
+    docs = corpus + [(1000 + i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: {i for m in r.matches for i in range(m.line, m.end_line)} for r in W.line_matches(df, long_words=W.LONG).collect()}
+    want = brute_passages(docs, W.RUN, W.LONG)
+    assert got == want and sum(map(len, want.values())) > sum(map(len, brute_lines(docs, W.RUN).values()))
+    assert [len(got[1000 + i]) for i in range(len(texts))] == [0, 1, 0, 2, 0, 0, 1, 0, 0, 0, 2, 0, 2]
+    left = {r.doc_id: r.text for r in W.without_repeats(df).collect()}
+    assert [left[1000 + i] for i in (0, 1, 3, 6, 7, 10, 12)] == [long, "x\ny", "z\nz", "", "short text\nand more", "", ""]
+
+
 def test_matches_extend_both_ways_and_lines_go(spark, odd, nothing, clashing):
     run = "\n".join(f"line number {i}" for i in range(8))
     df = spark.createDataFrame([(1, f"top\n{run}\nend"), (2, f"x\ny\n{run}\nz")], "doc_id long, text string")
