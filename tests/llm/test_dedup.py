@@ -70,6 +70,16 @@ def test_ways_for_many_candidates_and_blocks(spark, corpus, monkeypatch):
         assert got == {d: c for d, (_, c) in brute(docs, 2).items()}
 
 
+def test_ways_for_many_candidates_and_blocks_lose_no_link(spark, corpus, monkeypatch):
+    monkeypatch.setattr(H, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(H, "BLOCK", 300)
+    monkeypatch.setattr(C, "HOT_FLOOR", 1)
+    docs = [(5000 + d, t) for d, t in chain(10)] + corpus
+    assert len({d for d, _ in docs}) == len(docs)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in H.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 2).collect()}
+    assert got == brute(docs, 2)
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, nothing, clashing):
     got = {r.doc_id: r for r in H.near_duplicates(odd, 2).collect()}
     assert all(got[d].n_shingles == 0 and got[d].kept and got[d].component_id == d for d in (101, 102, 103))
