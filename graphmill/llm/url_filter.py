@@ -1,7 +1,7 @@
 """URL filter: rules by host and path first, then path templates judged by the labels of the URLs they cover.
 
 Path segments with digits become shapes; then, level by level from the root of each host, a branching with
-too many children for its URLs becomes a wildcard.  Sibling branches whose share of blocked labels does not
+too many children for its distinct paths becomes a wildcard.  Sibling branches whose share of blocked labels does not
 differ from their pool's by more than chance are merged.  A template is rejected where its blocked share,
 smoothed towards the share of the same template on all hosts and that towards the overall one, reaches a
 threshold.  The labels are the verdicts of the rules, or any boolean column that the caller names.
@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 
 from graphmill.llm.common import lookup_join, lower_ascii, materialize
 
-DEPTH = 8
-#: A branching becomes a wildcard from so many children on, if they are at least this share of its URLs.
+#: A branching becomes a wildcard from so many children on, if they are at least this share of its distinct paths.
 CHILDREN, VARIETY = 20, 0.2
 #: Branches within so many standard errors of their pool are merged.
 ERRORS = 2.0
@@ -51,10 +50,9 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
 
 
 def shape(path: Column) -> Column:
-    """Segments of a path, runs of digits and long hexadecimal names replaced; what lies deeper than DEPTH is one segment."""
+    """Segments of a path, runs of digits and long hexadecimal names replaced."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    plain = F.transform(segments, lambda s: F.regexp_replace(F.regexp_replace(s, "[0-9a-fA-F]{8}[0-9a-fA-F-]*", "{h}"), "[0-9]+", "{n}"))
-    return F.when(F.size(plain) > DEPTH, F.concat(F.slice(plain, 1, DEPTH), F.array(F.lit("{more}")))).otherwise(plain)
+    return F.transform(segments, lambda s: F.regexp_replace(F.regexp_replace(s, "[0-9a-fA-F]{8}[0-9a-fA-F-]*", "{h}"), "[0-9]+", "{n}"))
 
 
 def _put(path: Column, at: int, value: Column) -> Column:
@@ -62,7 +60,7 @@ def _put(path: Column, at: int, value: Column) -> Column:
 
 
 def templates(shapes: DataFrame) -> DataFrame:
-    """shapes (host, shape, n, labelled, blocked) with the template of each and how much of it is blocked, smoothed."""
+    """shapes (host, shape, n, labelled, blocked; n: distinct paths) with the template of each and how much of it is blocked, smoothed."""
     deepest = shapes.agg(F.max(F.size("shape"))).first()[0] or 0
     tree = shapes.withColumn("template", F.col("shape"))
     for d in range(deepest):
@@ -106,12 +104,10 @@ def filtered(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url
     which, said = rule_of(F.col("host"), F.col("path"), rules)
     known = F.coalesce(F.col(label), said == "block") if label else said == "block"
     rows = rows.withColumn("rule", which).withColumn("__said", said).withColumn("__bad", known).withColumn("__shape", shape(F.col("path")))
-    shapes = materialize(
-        rows.groupBy("host", F.col("__shape").alias("shape")).agg(
-            F.count(F.lit(1)).alias("n"), F.count("__bad").alias("labelled"), F.sum(F.coalesce(F.col("__bad").cast("long"), F.lit(0))).alias("blocked")
-        ),
-        "shapes",
+    paths = rows.groupBy("host", F.col("__shape").alias("shape"), "path").agg(
+        F.count("__bad").alias("labelled"), F.sum(F.coalesce(F.col("__bad").cast("long"), F.lit(0))).alias("blocked")
     )
+    shapes = materialize(paths.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")), "shapes")
     judged = materialize(templates(shapes).withColumnRenamed("shape", "__shape"), "templates")
     out = lookup_join(rows, judged, ["host", "__shape"])
     by_template = F.when(F.col("purity") >= REJECT, F.lit("block")).otherwise(F.lit("allow"))

@@ -166,6 +166,22 @@ def test_templates_learn_from_labels(spark, monkeypatch, limit):
     assert L.filtered(clash, URL_RULES).count() == len(rows)
 
 
+def test_deep_paths_keep_their_labels(spark):
+    base = "/".join("abcdefghij")
+    rows = [(i, f"http://h.net/{base}/{'spam' if i % 2 else 'ham'}/x{i}", bool(i % 2)) for i in range(60)]
+    out = L.filtered(spark.createDataFrame(rows, "page_id long, url string, bad boolean"), (), label="bad").collect()
+    assert len(out) == len(rows) and all((r.verdict == "block") == ("/spam/" in r.url) for r in out)
+
+
+def test_templates_do_not_depend_on_how_often_a_url_occurs(spark):
+    urls = [f"http://v.net/item{chr(97 + i % 26)}{chr(97 + i // 26)}q/page" for i in range(50)]
+    for times in (1, 20):
+        df = spark.createDataFrame([(i, u) for i, u in enumerate(urls * times)], "page_id long, url string")
+        # Half of them is blocked by name, so that branches are not merged by their labels alone.
+        df = df.withColumn("bad", F.pmod(F.xxhash64("url"), F.lit(2)) == 0)
+        assert {r.template for r in L.filtered(df, (), label="bad").collect()} == {"/*/page"}, times
+
+
 def test_license_places_equal_brute_force(spark, odd, nothing, clashing):
     phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
     texts = [
