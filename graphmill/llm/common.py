@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -11,10 +12,15 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = Path(__file__).resolve().parents[2]
-#: A side of a join is broadcast only when it is known to have no more rows than this.
-BROADCAST_ROWS = 250_000
+#: A side of a join is broadcast only when its rows are measured to take no more bytes than this.
+BROADCAST_BYTES = 32 << 20
+#: Rank of a null doc_id; ids are below it.
+LAST = (1 << 63) - 1
+#: What tells rows apart: the rank of the id, and two digests of the text.
+KEY = ["rank", "t0", "t1"]
 #: Rows of an Arrow batch between Spark and a Python worker.
 BATCH_ROWS = 1_000
 _OWN_DIRS: dict[str, str] = {}
@@ -32,10 +38,12 @@ def exclusive(operator: str, *caches: dict) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on one machine only, a temporary one where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="graphmill-")
@@ -95,11 +103,37 @@ def map_arrow(df: DataFrame, func: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(func, schema)
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    """The columns KEY: rows of one id with different texts differ in them, rows that are equal in both do not."""
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("rank"), F.xxhash64(t).alias("t0"), F.xxhash64(F.lit(1), t).alias("t1")]
+
+
+def _width(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.StructType):
+        parts = [_width(value[f.name], f.dataType) for f in kind]
+        return functools.reduce(Column.__add__, parts, F.lit(16).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StringType | T.BinaryType | T.StructType | T.ArrayType):
+            return F.coalesce(F.aggregate(value, F.lit(16).cast("long"), lambda n, x: n + _width(x, kind.elementType)), F.lit(16).cast("long"))
+        return F.greatest(F.size(value), F.lit(0)).cast("long") * 8 + 16
+    return F.lit(8).cast("long")
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether all rows of df take no more than BROADCAST_BYTES, as measured."""
+    total = df.agg(F.sum(functools.reduce(Column.__add__, [_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema]) + 32)).first()[0]
+    return (total or 0) <= BROADCAST_BYTES
+
+
 #: Keys that hold more than one row in so many, and more rows than a floor, are hot: at most HOT of them, whatever the input.
 HOT, HOT_FLOOR, SPREAD = 256, 1_000, 64
 
 
-def _hot(counted: DataFrame, keys: list[str], n: str) -> DataFrame:
+def hot_keys(counted: DataFrame, keys: list[str], n: str) -> DataFrame:
     total = counted.agg(F.sum(n).alias("__total"))
     common = counted.crossJoin(F.broadcast(total)).filter((F.col(n) > HOT_FLOOR) & (F.col(n) * HOT > F.col("__total")))
     return common.select(*keys, F.lit(True).alias("__hot"))
@@ -110,7 +144,7 @@ def keyed_join(rows: DataFrame, facts: DataFrame, keys: list[str], hot: DataFram
 
     hot: (keys, __hot), bounded as above and so broadcast; the facts of hot keys are copied to all places.
     """
-    own = [c for c in rows.columns if c not in keys]
+    own = [f.name for f in rows.schema if f.name not in keys and not isinstance(f.dataType, T.ArrayType | T.StringType | T.BinaryType)]
     zero = F.lit(0).cast("long")
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*keys, *own), F.lit(SPREAD).cast("long"))).otherwise(zero)
     places = F.when(F.col("__hot"), F.sequence(zero, F.lit(SPREAD - 1).cast("long"))).otherwise(F.array(zero))
@@ -121,7 +155,7 @@ def keyed_join(rows: DataFrame, facts: DataFrame, keys: list[str], hot: DataFram
 
 def counted_join(rows: DataFrame, facts: DataFrame, keys: list[str], n: str) -> DataFrame:
     """Inner keyed_join() with facts that know, in column n, how many rows have their key."""
-    return keyed_join(rows, facts, keys, _hot(facts, keys, n))
+    return keyed_join(rows, facts, keys, hot_keys(facts, keys, n))
 
 
 def lower_ascii(text: Column) -> Column:
@@ -134,11 +168,11 @@ def empty_if_null(text: Column) -> Column:
 
 
 def lookup_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join rows, in which a key may be very common, with a few facts, one for each key: broadcast once they are counted to be few.
+    """Join rows, in which a key may be very common, with a few facts, one for each key: broadcast once they are measured to be few.
 
     Beyond that both sides are shuffled, by keyed_join().
     """
-    if facts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if fits_broadcast(facts):
         return rows.join(F.broadcast(facts), keys, how)
-    hot = materialize(_hot(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), keys, "__n"), "hot")
+    hot = materialize(hot_keys(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), keys, "__n"), "hot")
     return keyed_join(rows, facts, keys, hot, how)

@@ -5,23 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import delete, materialize
+from graphmill.llm.common import counted_join, delete, materialize
 
+#: From so many links on, the rows of a node that a large share of them has are dealt out.
+DEAL = 200_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _of_node(rows: DataFrame, least: DataFrame, deal: bool) -> DataFrame:
+    """rows with their node's least; a hub's rows go to many tasks."""
+    return counted_join(rows, least, ["u"], "n").drop("n") if deal else rows.join(least.drop("n"), "u")
+
+
+def _large_star(edges: DataFrame, deal: bool = False) -> DataFrame:
     """Every node links its larger neighbours to the least node it knows."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return (
-        both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-    )
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return _of_node(both.filter("v > u"), least, deal).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, deal: bool = False) -> DataFrame:
     """Every node links itself and its smaller neighbours to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = _of_node(down, least, deal).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
@@ -38,6 +44,7 @@ def components(edges: DataFrame) -> DataFrame:
         if row[0] == 0 or tuple(row) == mark:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
         mark = tuple(row)
-        after = materialize(_small_star(_large_star(now)), "cc")
+        deal = row[0] >= DEAL
+        after = materialize(_small_star(_large_star(now, deal), deal), "cc")
         delete(now)
         now = after

@@ -2,20 +2,23 @@
 
 A text is a sequence of line hashes.  Hashes of GRAM lines in a row are winnowed: in every window of
 RUN - GRAM + 1 of them the least is selected (of equal ones the last), so every run of RUN lines that two
-texts share holds a fingerprint that both have selected.  Fingerprints that occur once are dropped by an aggregation
-with map-side counts.  The others carry the lines around them, are extended to the runs of RUN lines that hold
-them, and each run that has occurred before, in the order of doc_id and line, is a later repeat.  Repeats that
-follow each other with one source extend the match both ways; their lines are deleted.
+texts share holds a fingerprint that both have selected.  Fingerprints that occur once are dropped by an
+aggregation with map-side counts.  Each of the others is extended both ways, by digests of the lines around it, to
+all runs of RUN lines that hold it, and the positions of equal runs are joined with the first of them, in the
+order of doc_id and line: each later one is a repeat.  A match that goes on beyond a run holds the next run's
+fingerprint too, so repeats on one diagonal of one source that meet are put together to the longest match
+without reading either text again.  Lines of later repeats are deleted.
 
-Fewer than RUN lines hold no fingerprint.  Where long_words is given, a passage of fewer lines with that many
-words is a match of its own, and so is a text of fewer lines and words that another text equals as a whole.
-without_repeats() finds these too, from LONG words on; line_matches() does so where it is told to, as the query
-reports runs of RUN lines alone.
+Fewer than RUN lines hold no fingerprint.  There the guarantee comes from the size: where long_words is given, a
+passage of fewer lines with that many words is a fingerprint and a match of its own, and so is a text of fewer
+lines and words that another text equals as a whole.
 
 Only hashes are shuffled.  A line counts as its words in lower case.  Empty lines are lines.  Null or empty
-texts have no lines.  A null doc_id ranks last.  Rows that repeat a doc_id are one document with equal text.
-Runs that overlap their own earlier occurrence, such as a line that a text repeats, are deleted from the
-second occurrence on.
+texts have no lines.  A row is known by its id and two digests of its text: rows that repeat a doc_id, or have
+none, are documents of their own where their texts differ, ranked by id, then by digest; a null doc_id ranks
+last.  Rows equal in id and text are one document, and both keep what the first keeps.  Runs that overlap
+their own earlier occurrence, such as a line that a text repeats, are deleted from the second occurrence on.
+An empty table gives an empty one; a very long text is one row of hashes at a time.  Other columns are kept.
 """
 
 from __future__ import annotations
@@ -27,13 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import counted_join, map_arrow, materialize
+from graphmill.llm.common import KEY, LAST, counted_join, map_arrow, materialize, row_key
 from graphmill.llm.wordhash import _STEP, mix
 
 GRAM, RUN = 2, 3
 #: Words of a passage that is a repeat however few lines it has.
 LONG = 8
-LAST = (1 << 63) - 1
 
 
 def line_hashes(text: str) -> np.ndarray:
@@ -71,9 +73,9 @@ def _fingerprints(gram: int, run: int):
 
     def scan(batches):
         for batch in batches:
-            ids, rows = batch.column(0), []
+            rows = []
             columns: list[list[np.ndarray]] = [[], [], [], [], []]
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            for i, text in enumerate(batch.column(3).to_pylist()):
                 hashes = line_hashes(text)
                 grams = rolled(hashes, gram)
                 at = selected(grams, window)
@@ -95,7 +97,8 @@ def _fingerprints(gram: int, run: int):
                 n = len(flat[0])
                 offsets = pa.array(np.arange(0, n * window + 1, window, dtype=np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (flat[2], flat[3], flat[4])]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(rows))), pa.array(flat[0]), pa.array(flat[1]), *lists], ["doc_id", "line", "gram", "first", "run0", "run1"])
+                of = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in range(3)), pa.array(flat[0]), pa.array(flat[1]), *lists], [*KEY, "line", "gram", "first", "run0", "run1"])
 
     return scan
 
@@ -105,9 +108,9 @@ def _passages(run: int, long_words: int):
 
     def scan(batches):
         for batch in batches:
-            ids, rows = batch.column(0), []
+            rows = []
             columns: list[list[np.ndarray]] = [[], [], [], []]
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            for i, text in enumerate(batch.column(3).to_pylist()):
                 hashes = line_hashes(text)
                 if not len(hashes):
                     continue
@@ -123,59 +126,65 @@ def _passages(run: int, long_words: int):
                     columns[2].append(rolled(own, size)[at].view(np.int64))
                     columns[3].append(rolled(mix(own + _STEP), size)[at].view(np.int64))
             if rows:
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(rows))), *(pa.array(np.concatenate(c)) for c in columns)], ["doc_id", "line", "size", "run0", "run1"])
+                of = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in range(3)), *(pa.array(np.concatenate(c)) for c in columns)], [*KEY, "line", "size", "run0", "run1"])
 
     return scan
 
 
+_KEY = "rank long, t0 long, t1 long"
+
+
 def repeats(docs: DataFrame, gram: int = GRAM, run: int = RUN, long_words: int | None = None) -> DataFrame:
-    """(doc_id, line, size, source_doc, source_line): every run of `run` lines, by its first, that has occurred before.
+    """(rank, t0, t1, line, size, source): every run of `run` lines, by its row and first line, that has occurred before.
 
-    With long_words also every shorter passage that _passages() gives.
+    With long_words also every shorter passage that _passages() gives.  source: the first one's row and line.
     """
-    ranked = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = materialize(
-        map_arrow(ranked, _fingerprints(gram, run), "doc_id long, line long, gram long, first array<long>, run0 array<long>, run1 array<long>"), "prints"
-    )
+    rows = docs.select(*row_key(), F.col("text").cast("string").alias("text"))
+    prints = materialize(map_arrow(rows, _fingerprints(gram, run), f"{_KEY}, line long, gram long, first array<long>, run0 array<long>, run1 array<long>"), "prints")
     common = materialize(prints.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "grams")
     met = counted_join(prints, common, ["gram"], "n")
-    held = met.select("doc_id", F.explode(F.arrays_zip("first", "run0", "run1")).alias("x")).filter("x.first >= 0")
-    held = held.select("doc_id", F.col("x.first").alias("line"), F.lit(run).cast("long").alias("size"), "x.run0", "x.run1")
+    held = met.select(*KEY, F.explode(F.arrays_zip("first", "run0", "run1")).alias("x")).filter("x.first >= 0")
+    held = held.select(*KEY, F.col("x.first").alias("line"), F.lit(run).cast("long").alias("size"), "x.run0", "x.run1")
     if long_words is not None:
-        held = held.union(map_arrow(ranked, _passages(run, long_words), "doc_id long, line long, size long, run0 long, run1 long"))
+        held = held.union(map_arrow(rows, _passages(run, long_words), f"{_KEY}, line long, size long, run0 long, run1 long"))
     runs = materialize(held.distinct(), "runs")
-    firsts = materialize(runs.groupBy("run0", "run1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line")).alias("source")).filter("n > 1"), "firsts")
-    later = counted_join(runs, firsts, ["run0", "run1"], "n").filter("doc_id <> source.doc_id or line <> source.line")
-    return later.select("doc_id", "line", "size", F.col("source.doc_id").alias("source_doc"), F.col("source.line").alias("source_line"))
+    firsts = materialize(runs.groupBy("run0", "run1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "line")).alias("source")).filter("n > 1"), "firsts")
+    later = counted_join(runs, firsts, ["run0", "run1"], "n").filter("struct(rank, t0, t1, line) <> source")
+    return later.select(*KEY, "line", "size", "source")
 
 
 def _extend(batches):
     """Repeats of a document to maximal runs: those on one diagonal of one source that meet are one match."""
+    kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("line", "end_line", "source_doc", "source_line")]))
     for batch in batches:
         out = []
-        for found in batch.column(1).to_pylist():
-            done: list[list[int]] = []
-            for source, shift, line, size in sorted((x["source_doc"], x["line"] - x["source_line"], x["line"], x["size"]) for x in found):
+        for found in batch.column(3).to_pylist():
+            done: list[list] = []
+            for source, shift, line, size in sorted(((s["rank"], s["t0"], s["t1"]), x["line"] - s["line"], x["line"], x["size"]) for x in found for s in (x["source"],)):
                 if done and done[-1][2:] == [source, shift] and done[-1][1] >= line:
                     done[-1][1] = max(done[-1][1], line + size)
                 else:
                     done.append([line, line + size, source, shift])
-            out.append([{"line": a, "end_line": b, "source_doc": s, "source_line": a - d} for a, b, s, d in sorted(done)])
-        kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("line", "end_line", "source_doc", "source_line")]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "matches"])
+            out.append([{"line": a, "end_line": b, "source_doc": None if s[0] == LAST else s[0], "source_line": a - d} for a, b, s, d in sorted(done)])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, kind)], [*KEY, "matches"])
 
 
 _MATCHES = "array<struct<line:bigint,end_line:bigint,source_doc:bigint,source_line:bigint>>"
 
 
+def _matches(docs: DataFrame, gram: int, run: int, long_words: int | None) -> DataFrame:
+    """(rank, t0, t1, matches) of the rows that have any."""
+    grouped = repeats(docs, gram, run, long_words).groupBy(*KEY).agg(F.collect_set(F.struct("line", "size", "source")).alias("found"))
+    return map_arrow(grouped, _extend, f"{_KEY}, matches {_MATCHES}")
+
+
 def line_matches(docs: DataFrame, gram: int = GRAM, run: int = RUN, long_words: int | None = None) -> DataFrame:
-    """One row for each row of docs: doc_id, n_lines, n_deleted, and matches, the later repeated runs with their sources."""
-    grouped = repeats(docs, gram, run, long_words).groupBy("doc_id").agg(F.collect_set(F.struct("line", "size", "source_doc", "source_line")).alias("found"))
-    matches = map_arrow(grouped, _extend, f"doc_id long, matches {_MATCHES}").withColumnRenamed("doc_id", "__rank")
+    """One row for each row of docs: doc_id, n_lines, n_deleted, and matches, the later repeated runs with their sources (null for one without an id)."""
     text = F.col("text").cast("string")
     lines = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("n_lines")).withColumn("__rank", F.coalesce("doc_id", F.lit(LAST)))
-    out = rows.join(matches, "__rank", "left").withColumn("matches", F.coalesce("matches", F.array().cast(_MATCHES)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(), lines.alias("n_lines"))
+    out = rows.join(_matches(docs, gram, run, long_words), KEY, "left").withColumn("matches", F.coalesce("matches", F.array().cast(_MATCHES)))
     covered = F.array_distinct(F.flatten(F.transform("matches", lambda m: F.sequence(m["line"], m["end_line"] - 1))))
     return out.select("doc_id", "n_lines", F.size(covered).cast("long").alias("n_deleted"), "matches")
 
@@ -191,8 +200,7 @@ def _delete(batches):
 
 def without_repeats(docs: DataFrame, gram: int = GRAM, run: int = RUN, long_words: int | None = LONG) -> DataFrame:
     """docs with the lines of later repeated runs deleted from text."""
-    found = line_matches(docs, gram, run, long_words).filter("n_deleted > 0").select(F.col("doc_id").alias("__doc"), "matches").dropDuplicates(["__doc"])
-    joined = docs.join(found, docs.doc_id.eqNullSafe(F.col("__doc")), "left")
-    packed = joined.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("text").cast("string").alias("text"), "matches")
-    kind = packed.schema["row"].dataType.simpleString()
-    return map_arrow(packed, _delete, f"row {kind}, text string").select("row.*", "text").select(*docs.columns)
+    packed = docs.select(*row_key(), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("text").cast("string").alias("text"))
+    joined = packed.join(_matches(docs, gram, run, long_words), KEY, "left").select("row", "text", "matches")
+    kind = joined.schema["row"].dataType.simpleString()
+    return map_arrow(joined, _delete, f"row {kind}, text string").select("row.*", "text").select(*docs.columns)

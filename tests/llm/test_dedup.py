@@ -57,21 +57,8 @@ def test_chains_and_crowds_join_up(spark):
     assert got == brute(docs, 1)
 
 
-def test_ways_for_many_candidates_and_blocks(spark, corpus, monkeypatch):
-    monkeypatch.setattr(H, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(H, "BLOCK", 300)
-    monkeypatch.setattr(C, "HOT_FLOOR", 1)
-    docs = chain(10) + corpus
-    got = {r.doc_id: r.component_id for r in H.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 2).collect()}
-    merged = {}
-    for d, t in docs:
-        merged.setdefault(d, t)
-    if len(merged) == len(docs):
-        assert got == {d: c for d, (_, c) in brute(docs, 2).items()}
-
-
 def test_ways_for_many_candidates_and_blocks_lose_no_link(spark, corpus, monkeypatch):
-    monkeypatch.setattr(H, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(C, "BROADCAST_BYTES", -1)
     monkeypatch.setattr(H, "BLOCK", 300)
     monkeypatch.setattr(C, "HOT_FLOOR", 1)
     docs = [(5000 + d, t) for d, t in chain(10)] + corpus

@@ -152,9 +152,9 @@ def test_url_rules_equal_brute_force(spark):
         assert (got.host, got.path, got.rule) == (host, path, rule) and (got.verdict == verdict if rule else got.verdict in ("allow", "block"))
 
 
-@pytest.mark.parametrize("limit", [250_000, 0])
+@pytest.mark.parametrize("limit", [1 << 25, -1])
 def test_templates_learn_from_labels(spark, monkeypatch, limit):
-    monkeypatch.setattr(C, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(C, "BROADCAST_BYTES", limit)
     rows = [(i, f"http://h.net/{'spam' if i % 2 else 'ham'}/{word}-{i}", None if i % 5 == 0 else bool(i % 2)) for i, word in enumerate(["x", "y", "z", "w"] * 60)]
     df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
     out = L.filtered(df, (), label="bad").collect()
