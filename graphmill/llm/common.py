@@ -123,10 +123,15 @@ def _width(value: Column, kind: T.DataType) -> Column:
     return F.lit(8).cast("long")
 
 
+def measured_bytes(df: DataFrame) -> int:
+    """About how many bytes all rows of df take, by one aggregation."""
+    width = functools.reduce(Column.__add__, [_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema])
+    return df.agg(F.sum(width + 32)).first()[0] or 0
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether all rows of df take no more than BROADCAST_BYTES, as measured."""
-    total = df.agg(F.sum(functools.reduce(Column.__add__, [_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema]) + 32)).first()[0]
-    return (total or 0) <= BROADCAST_BYTES
+    return measured_bytes(df) <= BROADCAST_BYTES
 
 
 #: Keys that hold more than one row in so many, and more rows than a floor, are hot: at most HOT of them, whatever the input.

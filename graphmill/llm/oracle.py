@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from graphmill.llm import license_scan
+import re
+
+from graphmill.llm import license_scan, line_winnow
 from graphmill.llm.mix_weights import mixed_sql
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -44,30 +46,40 @@ spans AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum((before IS
 SELECT d.doc_id, coalesce(len(d.text), 0)::BIGINT AS n_chars, coalesce(n, 0) AS n_removed, coalesce(c, 0)::BIGINT AS removed_chars, coalesce(x, '') AS spans, coalesce(n, 0) > 0 AS repeated FROM documents d
 LEFT JOIN (SELECT doc_id, count(*) AS n, sum(e - s) AS c, string_agg(s || '-' || e, ',' ORDER BY s) AS x FROM spans GROUP BY 1) USING (doc_id)"""
 
-LINE_RUNS = rf"""WITH lines AS MATERIALIZED (SELECT doc_id, i - 1 AS i, {_NORMAL.format('l')} AS l FROM ({_LINES})),
-runs AS MATERIALIZED (SELECT * FROM (SELECT doc_id, i, l || chr(10) || lead(l, 1) OVER o || chr(10) || lead(l, 2) OVER o AS body FROM lines WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE body IS NOT NULL),
-firsts AS (SELECT body, min((doc_id, i)) AS f FROM runs GROUP BY 1 HAVING count(*) > 1),
-later AS MATERIALIZED (SELECT doc_id, i, f[1] AS source_doc, f[2] AS source_line FROM runs JOIN firsts USING (body) WHERE (doc_id, i) <> f),
-grouped AS (SELECT *, sum((prior IS NULL OR i > prior + 3)::INT) OVER (PARTITION BY doc_id, source_doc, i - source_line ORDER BY i) AS g FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id, source_doc, i - source_line ORDER BY i) AS prior FROM later)),
-matches AS (SELECT doc_id, min(i) AS a, max(i) + 3 AS b, source_doc, min(source_line) AS sa FROM grouped GROUP BY doc_id, source_doc, i - source_line, g)
+LINE_RUNS = rf"""WITH lines AS MATERIALIZED (SELECT doc_id, i, l, CASE WHEN l = '' THEN 0 ELSE len(string_split(l, ' ')) END AS n FROM (SELECT doc_id, i - 1 AS i, {_NORMAL.format('l')} AS l FROM ({_LINES}))),
+near AS (SELECT doc_id, i, l, n, lead(l, 1) OVER o AS l1, lead(l, 2) OVER o AS l2, lead(n, 1) OVER o AS n1 FROM lines WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+runs AS MATERIALIZED (SELECT doc_id, i, 3 AS size, 'run' AS kind, l || chr(10) || l1 || chr(10) || l2 AS body FROM near WHERE l2 IS NOT NULL
+UNION ALL SELECT doc_id, i, 2, 'passage', l || chr(10) || l1 FROM near WHERE n + n1 >= {line_winnow.LONG}
+UNION ALL SELECT doc_id, i, 1, 'passage', l FROM near WHERE n >= {line_winnow.LONG}
+UNION ALL SELECT doc_id, 0, count(*), 'whole', string_agg(l, chr(10) ORDER BY i) FROM lines GROUP BY doc_id HAVING count(*) < 3 AND sum(n) BETWEEN 1 AND {line_winnow.LONG - 1}),
+firsts AS (SELECT size, kind, body, min((doc_id, i)) AS f FROM runs GROUP BY ALL HAVING count(*) > 1),
+later AS MATERIALIZED (SELECT doc_id, i, size, f[1] AS source_doc, f[2] AS source_line FROM runs JOIN firsts USING (size, kind, body) WHERE (doc_id, i) <> f),
+met AS (SELECT *, i - source_line AS shift, max(i + size) OVER (PARTITION BY doc_id, source_doc, i - source_line ORDER BY i, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM later),
+islands AS (SELECT *, sum((before IS NULL OR i > before)::INT) OVER (PARTITION BY doc_id, source_doc, shift ORDER BY i, size) AS g FROM met),
+matches AS (SELECT doc_id, min(i) AS a, max(i + size) AS b, source_doc, min(source_line) AS sa FROM islands GROUP BY doc_id, source_doc, shift, g)
 SELECT d.doc_id, CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END::BIGINT AS n_lines, coalesce(n, 0) AS n_deleted, coalesce(m, '') AS matches, coalesce(n, 0) > 0 AS repeated FROM documents d
-LEFT JOIN (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS q FROM later) GROUP BY 1) USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS q FROM later) GROUP BY 1) USING (doc_id)
 LEFT JOIN (SELECT doc_id, string_agg(a || '-' || b || '=' || source_doc || ':' || sa, ',' ORDER BY a, b, source_doc, sa) AS m FROM matches GROUP BY 1) USING (doc_id)"""
 
 
 def licenses() -> str:
     """The query op9: k-grams of whole texts, joined with those of the templates."""
-    rows = ", ".join(f"({n}, '{label}', {base}, '{gram}', {at}, {grams}, {words})" for n, label, base, gram, at, grams, words in license_scan._templates(license_scan.PHRASES, license_scan.NOTICES))
-    k, r, near = license_scan.PAIR, license_scan.RUN, license_scan.NEAR
+    rows = []
+    for n, (text, label) in enumerate([*license_scan.PHRASES, *license_scan.NOTICES, *license_scan.TEXTS]):
+        base, ws = n < len(license_scan.PHRASES), re.findall("[a-z0-9]+", text.lower())
+        k = license_scan.PAIR if base else license_scan.RUN
+        near = max(license_scan.NEAR, len(ws) // license_scan.NEAR_SHARE)
+        rows += [f"({n}, '{label}', {base}, '{' '.join(ws[i : i + k])}', {i}, {len(ws) - k + 1}, {len(ws)}, {near})" for i in range(len(ws) - k + 1)]
+    k, r = license_scan.PAIR, license_scan.RUN
     return rf"""WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
-t(template, label, base, gram, place, grams, words) AS (VALUES {rows}),
+t(template, label, base, gram, place, grams, words, near) AS (VALUES {", ".join(rows)}),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
-hits AS (SELECT doc_id, i - 1 AS pos, t.* FROM (SELECT doc_id, i, array_to_string(w[i : i + {k - 1}], ' ') AS gram FROM p UNION ALL SELECT doc_id, i, array_to_string(w[i : i + {r - 1}], ' ') FROM p) JOIN t USING (gram)),
-votes AS MATERIALIZED (SELECT doc_id, template, label, base, grams, words, pos - place AS diagonal, count(DISTINCT place) AS votes, min(pos) AS f, max(pos) AS l FROM hits GROUP BY ALL),
+hits AS MATERIALIZED (SELECT doc_id, i - 1 AS pos, i - 1 - place AS diagonal, t.* FROM (SELECT doc_id, i, array_to_string(w[i : i + {k - 1}], ' ') AS gram FROM p UNION ALL SELECT doc_id, i, array_to_string(w[i : i + {r - 1}], ' ') FROM p) JOIN t USING (gram)),
+votes AS MATERIALIZED (SELECT doc_id, template, label, base, grams, near, diagonal, count(DISTINCT place) AS votes FROM hits GROUP BY ALL),
 places AS (SELECT doc_id, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, list_sort(list_distinct(list(label))) AS base_set FROM votes WHERE base AND votes = grams GROUP BY 1),
-clusters AS (SELECT *, sum((prior IS NULL OR diagonal - prior > {near})::INT) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS c FROM (SELECT *, lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS prior FROM votes WHERE NOT base)),
-found AS (SELECT doc_id, list_sort(list_distinct(list(label))) AS own_set, max(cover) AS cover FROM (SELECT doc_id, label, least(1.0::DOUBLE, sum(votes)::DOUBLE / any_value(grams)) AS cover, max(l) - min(f) + {r} <= {license_scan.STRETCH} * any_value(words) AS fits FROM clusters GROUP BY doc_id, template, label, c)
-WHERE cover >= {license_scan.COVER} AND fits GROUP BY 1)
+clusters AS (SELECT *, sum((prior IS NULL OR diagonal - prior > near)::INT) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS c FROM (SELECT *, lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS prior FROM votes WHERE NOT base)),
+spans AS (SELECT doc_id, template, c, h.label, count(DISTINCT place)::DOUBLE / any_value(h.grams) AS cover, max(pos) - min(pos) + {r} <= {license_scan.STRETCH} * any_value(words) AS fits FROM clusters JOIN hits h USING (doc_id, template, diagonal) GROUP BY ALL),
+found AS (SELECT doc_id, list_sort(list_distinct(list(label))) AS own_set, max(cover) AS cover FROM spans WHERE cover >= {license_scan.COVER} AND fits GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, array_to_string(coalesce(base_set, []), ',') AS base_labels,
 array_to_string(list_sort(list_distinct(list_concat(coalesce(base_set, []), coalesce(own_set, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(cover, 0.0::DOUBLE) END AS score
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)"""

@@ -12,7 +12,7 @@ from graphmill.llm.common import table
 from graphmill.llm.decontaminate import contamination
 from graphmill.llm.language_id import held_out, identify, learnable
 from graphmill.llm.license_scan import scan
-from graphmill.llm.line_winnow import line_matches
+from graphmill.llm.line_winnow import LONG, line_matches
 from graphmill.llm.media_avi import media_round_trip
 from graphmill.llm.minhash import near_duplicates
 from graphmill.llm.mix_weights import mixed
@@ -56,8 +56,8 @@ def op4_token_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_matches(table(spark, sf_dir, "documents"))
-    match = lambda m: F.format_string("%d-%d=%d:%d", m["line"], m["end_line"], m["source_doc"], m["source_line"])
+    out = line_matches(table(spark, sf_dir, "documents"), long_words=LONG)
+    match = lambda m: F.format_string("%d-%d=%s:%d", m["line"], m["end_line"], m["source_doc"].cast("string"), m["source_line"])
     by_place = F.transform(F.array_sort(F.transform("matches", lambda m: F.struct(m["line"], m["end_line"], m["source_doc"], m["source_line"]))), match)
     return out.withColumn("matches", F.array_join(by_place, ",")).withColumn("repeated", F.col("n_deleted") > 0)
 
@@ -78,7 +78,7 @@ def op8_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

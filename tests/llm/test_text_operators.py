@@ -205,6 +205,36 @@ def test_license_places_equal_brute_force(spark, odd, nothing, clashing):
     assert S.scan(odd).count() == odd.count() and S.scan(nothing).count() == 0 and S.scan(clashing).count() == odd.count()
 
 
+@pytest.mark.parametrize("limit", [1 << 25, -1])
+def test_many_templates_and_blocks_of_them(spark, monkeypatch, limit):
+    monkeypatch.setattr(C, "BROADCAST_BYTES", limit)
+    rng = np.random.default_rng(5)
+    names = np.array([f"v{i}" for i in range(300)])
+    texts = [(" ".join(names[rng.integers(0, 300, 30)]), f"t{i:03d}") for i in range(500)]
+    docs = []
+    for i in range(60):
+        own = texts[7 * i][0].split()
+        # Every third has a word put in, every third four words in a row changed.
+        own = own[:15] + ["new"] + own[15:] if i % 3 == 1 else own[:10] + ["a", "b", "c", "d"] + own[14:] if i % 3 == 2 else own
+        docs.append((i, " ".join([*names[rng.integers(0, 300, 20)], *own, *names[rng.integers(0, 300, 5)]]).upper()))
+    out = {r.doc_id: r for r in S.scan(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), (), texts).collect()}
+    for i, _ in docs:
+        (span,) = out[i].spans
+        n = 30 + (i % 3 == 1)
+        runs = {0: 27, 1: 24, 2: 20}[i % 3]
+        assert out[i].labels == span.label == f"t{7 * i:03d}" and (span.first_word, span.end_word) == (20, 20 + n) and abs(span.cover - runs / 27) < 1e-9 and out[i].n_words == len(docs[i][1].split())
+
+
+def test_whole_license_texts_are_found(spark):
+    from graphmill.llm.license_texts import TEXTS
+
+    docs = [(i, f"Copyright (c) 2020 someone\n\n{t}\n\nint main() {{}}") for i, (t, _) in enumerate(TEXTS)]
+    out = {r.doc_id: r for r in S.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(label in out[i].labels.split(",") for i, (_, label) in enumerate(TEXTS))
+    whole = {i: max(out[i].spans, key=lambda s: s.end_word - s.first_word) for i, _ in docs}
+    assert all((whole[i].first_word, whole[i].end_word) == (4, 4 + len(words(t))) and whole[i].cover == 1.0 for i, (t, _) in enumerate(TEXTS))
+
+
 def test_raking_meets_its_margins(spark, odd, nothing, clashing):
     cells = spark.createDataFrame([(s, l, t, n) for s, l, t, n in [("a", "en", "x", 1000), ("a", "fr", "y", 10), ("b", "en", "y", 300), ("b", "fr", "x", 5), ("c", "en", "x", 70), ("c", "fr", "y", 70)]], "source string, lang string, topic string, tokens long")
     out = M.rake(cells, sweeps=60).cache()
