@@ -6,17 +6,20 @@ Format, one triple of little-endian files for each shard, shards in ascending do
 * shard-NNNNN.idx  n + 1 unsigned 64-bit offsets, in ids, of the shard's documents; the first is 0
 * shard-NNNNN.doc  n signed 64-bit doc_ids
 
-A range partition by doc_id is a shard; bases of the shards are prefix sums of their sizes, the only
-numbers that the driver sees.  Files are written under a name of the attempt and then renamed, so a task
-that runs again after a lost executor replaces its files with equal ones.  Readers map the files to memory.
+A range partition by doc_id, and within one id by a digest of the text, is a shard; there are as many as bytes of text
+ask for (SHARD_BYTES).  Bases of the shards are prefix sums of their sizes, the only numbers that the driver sees.
+Files are written under a name of the attempt and then renamed, so a task that runs again after a lost executor
+replaces its files with equal ones.  Readers map local files to memory and read others by ranges.
 
 Null or empty texts are documents of the end id alone.  A null doc_id sorts first and is stored as the least
 64-bit integer, which reads back as null.  Rows that repeat a doc_id are documents of their own, next to
-each other.  Extra columns are ignored.
+each other.  An empty table gives no files and an empty result.  A very long text is encoded whole.  Extra columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 import zlib
@@ -33,6 +36,10 @@ from graphmill.llm.common import exclusive, map_arrow, new_path, workers_can_imp
 
 END_ID = 2
 NULL_ID = np.iinfo(np.int64).min
+#: Text of a shard; and, where that gives fewer shards than spark.sql.shuffle.partitions, the least text worth one more.
+SHARD_BYTES, LEAST_BYTES = 128 << 20, 4 << 20
+#: Documents, and ids, that are read from a file at once.
+READ_DOCS, READ_IDS = 4096, 4 << 20
 #: Pieces of text whose ids a worker remembers.
 REMEMBERED = 1_600_000
 
@@ -42,7 +49,8 @@ class Pieces:
 
     A byte-level tokenizer cuts its input before a space or newline that follows anything but white space,
     so the pieces between such places are encoded independently, and most of them have been seen before.
-    A text in which white space meets white space, or that white space begins or ends, is encoded whole.
+    A text in which white space meets white space, that white space begins or ends, or that holds one of the
+    tokenizer's added tokens as text is encoded whole.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
@@ -51,7 +59,7 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # what is known here is never asked for again
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
@@ -90,6 +98,9 @@ class Pieces:
         for i, t in enumerate(texts):
             if not t:
                 continue
+            if any(a in t for a in self.added):
+                out[i] = self._whole(t)
+                continue
             pieces = t.replace("\n", " \n").split(" ")
             pieces[0] = "\n" + pieces[0]
             ids = list(map(get, pieces))
@@ -173,12 +184,12 @@ def _write(uri: str, tokenizer: str, end_id: int, remembered: int):
 def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID, remembered: int = REMEMBERED) -> list[dict]:
     """Write docs (doc_id, text) as shards under uri; what the shards hold, with the ids and documents before each."""
     workers_can_import(docs.sparkSession)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange(n, "doc_id")
-        .sortWithinPartitions("doc_id", F.xxhash64("text"))
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16)).first()[0] or 0
+    n = max(1, math.ceil(size / SHARD_BYTES), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / LEAST_BYTES)))
+    # Where rows of one id, or equal rows, are many, the text's digest and the place of reading part them.
+    ordered = rows.withColumn("t", F.xxhash64("text")).withColumn("part", F.spark_partition_id())
+    ordered = ordered.repartitionByRange(n, "doc_id", "t", "part").sortWithinPartitions("doc_id", "t").select("doc_id", "text")
     shards = sorted((r.asDict() for r in map_arrow(ordered, _write(uri, tokenizer, end_id, remembered), "shard long, docs long, ids long, width long").collect()), key=lambda s: s["shard"])
     shards = [s for s in shards if s["docs"]]
     for s, base, first in zip(shards, accumulate((s["ids"] for s in shards), initial=0), accumulate((s["docs"] for s in shards), initial=0), strict=False):
@@ -186,11 +197,18 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = E
     return shards
 
 
-def _mapped(store: pa.fs.FileSystem, path: str, kind: str) -> np.ndarray:
-    if isinstance(store, pa.fs.LocalFileSystem):
-        return np.memmap(path, kind, "r")
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), kind)
+class Ranges:
+    """A file of numbers of which ranges are read: mapped to memory where it is local."""
+
+    def __init__(self, store: pa.fs.FileSystem, path: str, kind: str) -> None:
+        self.kind = np.dtype(kind)
+        self.mapped = np.memmap(path, self.kind, "r") if isinstance(store, pa.fs.LocalFileSystem) else None
+        self.file = None if self.mapped is not None else store.open_input_file(path)
+
+    def __getitem__(self, span: slice) -> np.ndarray:
+        if self.mapped is not None:
+            return np.asarray(self.mapped[span])
+        return np.frombuffer(self.file.read_at((span.stop - span.start) * self.kind.itemsize, span.start * self.kind.itemsize), self.kind)
 
 
 def _read(uri: str):
@@ -199,14 +217,19 @@ def _read(uri: str):
         for batch in batches:
             for s in batch.to_pylist():
                 name = f"{folder}/shard-{s['shard']:05d}"
-                offsets, keys = _mapped(store, f"{name}.idx", "<u8"), _mapped(store, f"{name}.doc", "<i8")
-                ids = _mapped(store, f"{name}.bin", f"<u{s['width']}")
-                for a in range(0, len(keys), 4096):
-                    b = min(a + 4096, len(keys))
+                offsets, keys = Ranges(store, f"{name}.idx", "<u8"), Ranges(store, f"{name}.doc", "<i8")
+                ids = Ranges(store, f"{name}.bin", f"<u{s['width']}")
+                for a in range(0, s["docs"], READ_DOCS):
+                    b = min(a + READ_DOCS, s["docs"])
                     o = offsets[a : b + 1].astype(np.int64)
-                    wide = np.asarray(ids[o[0] : o[-1]]).astype("<u4")
-                    crc = [zlib.crc32(wide[x:y]) for x, y in zip(o[:-1] - o[0], o[1:] - o[0], strict=True)]
-                    own = np.asarray(keys[a:b]).astype(np.int64)
+                    crc, at = [], 0
+                    while at < b - a:
+                        # So many documents at once as READ_IDS allows, one at least.
+                        to = max(at + 1, int(np.searchsorted(o, o[at] + READ_IDS, "right")) - 1)
+                        wide = ids[int(o[at]) : int(o[to])].astype("<u4")
+                        crc += [zlib.crc32(wide[x:y]) for x, y in zip(o[at:to] - o[at], o[at + 1 : to + 1] - o[at], strict=True)]
+                        at = to
+                    own = keys[a:b].astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(own, mask=own == NULL_ID), pa.array(o[:-1] + s["base"]), pa.array(np.diff(o)), pa.array(crc, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
@@ -217,8 +240,8 @@ def _read(uri: str):
 
 def read_token_files(spark: SparkSession, uri: str, shards: list[dict]) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files."""
-    rows = [(s["shard"], s["base"], s["width"]) for s in shards]
-    listed = spark.createDataFrame(rows, "shard long, base long, width long").repartition(max(1, len(rows)))
+    rows = [(s["shard"], s["docs"], s["base"], s["width"]) for s in shards]
+    listed = spark.createDataFrame(rows, "shard long, docs long, base long, width long").repartition(max(1, len(rows)))
     return map_arrow(listed, _read(uri), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -100,8 +100,7 @@ def test_token_files_round_trip(spark, odd, nothing, clashing, corpus, tmp_path)
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    extra = [(500, "a  b\n\n\nc \n d"), (501, " lead"), (502, "trail \n"), (503, "x   y"), (504, "<|endoftext|> and don't, won't."), (505, "tab\tnew\rline\u00a0nb \u3000 wide"), (506, "a, b. c,. d.,")]
+    extra = [(500, "a  b\n\n\nc \n d"), (501, " lead"), (502, "trail \n"), (503, "x   y"), (504, "<|endoftext|> and don't, won't."), (507, "a <|endoftext|> b"), (508, "x<|endoftext|>"), (None, "twice <|endoftext|>"), (None, "other"), (505, "tab\tnew\rline\u00a0nb \u3000 wide"), (506, "a, b. c,. d.,")]
     rows = corpus + extra + [(r.doc_id, r.text) for r in odd.collect() if r.doc_id is not None]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     uri = str(tmp_path / "tokens")
@@ -116,7 +115,8 @@ def test_token_files_round_trip(spark, odd, nothing, clashing, corpus, tmp_path)
         assert r.start == at and (r.n_tokens, r.ids_crc32) in by[r.doc_id]
         at += r.n_tokens
         want.append(r.doc_id)
-    assert want == sorted(want) and len(out) == len(rows) and [s["base"] for s in shards] == sorted(s["base"] for s in shards)
+    order = [float("-inf") if d is None else d for d in want]
+    assert order == sorted(order) and len(out) == len(rows) and [s["base"] for s in shards] == sorted(s["base"] for s in shards)
     flat = np.concatenate([np.memmap(f"{uri}/shard-{s['shard']:05d}.bin", "<u2", "r") for s in shards])
     assert len(flat) == at and (flat == 2).sum() >= len(rows)
     assert T.tokenized(nothing, path).count() == 0
@@ -124,6 +124,21 @@ def test_token_files_round_trip(spark, odd, nothing, clashing, corpus, tmp_path)
     assert len(null) == 1 and null[0].start == 0
 
 
+def test_shards_follow_bytes_and_part_equal_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "SHARD_BYTES", 4_000)
+    monkeypatch.setattr(T, "READ_IDS", 50)
+    monkeypatch.setattr(T, "READ_DOCS", 7)
+    rows = [(None if i % 3 == 0 else 5, f"words of text number {i // 4} " * 5) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    shards = T.write_token_files(df, str(tmp_path / "t"), tokenizer_path())
+    assert len(shards) >= 8 and max(s["docs"] for s in shards) < 120 and sum(s["docs"] for s in shards) == 400
+    mapped = T.read_token_files(spark, str(tmp_path / "t"), shards).orderBy("start").collect()
+    monkeypatch.setattr(T.np, "memmap", None)
+    store = T.pa.fs.SubTreeFileSystem(str(tmp_path / "t"), T.pa.fs.LocalFileSystem())
+    far = T.Ranges(store, f"shard-{shards[0]['shard']:05d}.idx", "<u8")
+    assert far[0:3].tolist() == [0, *(r.start + r.n_tokens for r in mapped[:2])] and len(mapped) == 400
+
+
 def test_pieces_forget_without_changing_results(monkeypatch, corpus):
     p = T.Pieces(tokenizer_path(), remembered=50)
     texts = [t for _, t in corpus]
