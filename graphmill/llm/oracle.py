@@ -12,13 +12,17 @@ _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 CONTAMINATION = rf"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id::VARCHAR AS item, w, least(10, len(w)) AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
-iw AS (SELECT DISTINCT item, s, array_to_string(w[p : p + s - 1], ' ') AS txt FROM (SELECT *, unnest(range(1, len(w) - s + 2)) AS p FROM b)),
+iw AS (SELECT DISTINCT item, s, p AS ip, array_to_string(w[p : p + s - 1], ' ') AS txt FROM (SELECT *, unnest(range(1, len(w) - s + 2)) AS p FROM b)),
 dw AS (SELECT doc_id, p, s, array_to_string(w[p : p + s - 1], ' ') AS txt FROM (SELECT *, unnest(range(1, len(w) - s + 2)) AS p FROM d, (SELECT DISTINCT s FROM iw) WHERE len(w) >= s)),
-hits AS (SELECT doc_id, p, s, item FROM dw JOIN iw USING (s, txt)),
+hits AS MATERIALIZED (SELECT doc_id, p, s, item, ip FROM dw JOIN iw USING (s, txt)),
 covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + s)) AS q FROM (SELECT DISTINCT doc_id, p, s FROM hits)) GROUP BY 1),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY 1)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY 1),
+runs AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item, s, p - ip ORDER BY p) AS g FROM hits),
+found AS (SELECT doc_id, item, min(p) - 1 AS p, min(ip) - 1 AS ip, max(p) - min(p) + s AS n FROM runs GROUP BY doc_id, item, s, p - ip, g),
+best AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p, item, ip) = 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+coalesce(n, 0)::BIGINT AS longest_words, best.item AS longest_item, best.p::BIGINT AS longest_doc_word, best.ip::BIGINT AS longest_item_word
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN best USING (doc_id)"""
 
 NEAR_DUPLICATES = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 sh AS MATERIALIZED (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, w[i] || ' ' || w[i + 1] AS s FROM (SELECT *, unnest(range(1, len(w))) AS i FROM w) UNION ALL SELECT doc_id, w[1] FROM w WHERE len(w) = 1)),

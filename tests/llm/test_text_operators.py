@@ -36,7 +36,19 @@ def brute_contamination(docs, items, window=10):
                 if (w := tuple(x[i : i + n])) in found:
                     hit |= set(range(i, i + n))
                     names |= found[w]
-        out[d] = (len(x), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit))
+        best = None
+        for name, text_of in items if names else ():
+            y = words(text_of)
+            least = min(window, len(y))
+            for i in range(len(x)):
+                for j in range(len(y)):
+                    n = 0
+                    while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+                        n += 1
+                    if n >= least:
+                        best = min(best or (0,), (-n, i, str(name), j))
+        longest = (-best[0], best[2], best[1], best[3]) if best else (0, None, None, None)
+        out[d] = (len(x), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit), *longest)
     return out
 
 
@@ -60,8 +72,11 @@ def test_suffix_array_is_sorted_and_longest_matches_are_found(spark):
     assert keys == sorted(keys) and len(array) == (run >= 2).sum()
     docs = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "z a b c d e f g h i j k l m")], "doc_id long, text string")
     item = spark.createDataFrame([("q", "x a b c d e f g h i j k l m y")], "item_id string, text string")
-    best = {r.item_word: (r.n_words, r.doc_id, r.doc_word) for r in D.longest_matches(docs, item).collect()}
-    assert best[1] == (13, 2, 1) and best[3] == (11, 2, 3)
+    got = {tuple(r) for r in D.matches(docs, item).collect()}
+    assert got == {(1, "q", 0, 1, 12), (2, "q", 1, 1, 13)}
+    # Items of one word each stand side by side in a block, and are no longer match for that.
+    short = spark.createDataFrame([("p", "g"), ("q", "h")], "item_id string, text string")
+    assert {tuple(r) for r in D.matches(docs.filter("doc_id = 1"), short).collect()} == {(1, "p", 6, 0, 1), (1, "q", 7, 0, 1)}
 
 
 @pytest.mark.parametrize("bits", [2, 9, 12, 31])
