@@ -1,19 +1,26 @@
 """Mixing by iterative proportional fitting.
 
-Documents are counted into cells of (source, language, topic).  The cells' token weights are raked: scaled
-to the wanted share of each source, then of each language, then of each topic, again and again.  Raked
-weights over actual tokens, scaled so that a wanted fraction of all tokens is expected, are sampling
-probabilities; a document is kept where a hash of its id falls below its cell's.
+Documents are counted into cells of (source, language, topic).  The cells' expected tokens are raked: scaled to
+the wanted share of each source, then of each language, then of each topic, again and again, and never beyond
+the tokens that a cell has.  Expected over actual tokens are sampling probabilities; a document is kept where a hash
+of its id falls below its cell's.  The sample is a fraction of all tokens, but no larger than the scarcest
+margin can fill (FILL of what it has), so that all wanted shares can be met; margins() tells how nearly they are.
+
+Wanted shares are given by name, or are the actual ones to a power.  Sweeps go on until no margin is further off than
+TOLERANCE or none comes nearer, SWEEPS at least and MOST at the most.
 
 Only DataFrame functions are used.  Documents meet in one aggregation with map-side sums, whatever the share
-of a source; raking works on the cells, in one partition while they are few and by margin when they are not.
+of a source; raking works on the cells, in one partition while they are few and by margin when they are not:
+no other step needs them together.
 
 Null source or language counts as `unknown`, null text as empty; a null doc_id is replaced by the text in
-the draw.  Repeated rows are kept or dropped together.  An empty table gives an empty result.
+the draw.  Rows of one id in one cell, and equal rows, are kept or dropped together.  A cell without words weighs one
+token.  A very long text is split into words in its row.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,10 +29,11 @@ from pyspark.sql import functions as F
 from graphmill.llm.common import empty_if_null, lookup_join, materialize
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Wanted share of a margin: its actual share to this power, made to sum to 1.  0 is uniform, 1 as it is.
+#: Wanted share of a margin that no target names: its actual share to this power, made to sum to 1.  0 is uniform, 1 as it is.
 TEMPERATURE = {"source": 0.5, "lang": 0.7, "topic": 0.7}
-SWEEPS, SCALINGS = 12, 12
-FRACTION = 0.5
+SWEEPS, STEP, MOST, TOLERANCE = 24, 8, 96, 1e-5
+#: Wanted fraction of all tokens, and the part of the scarcest margin's tokens that may be asked for.
+FRACTION, FILL = 0.5, 0.95
 #: Cells that are raked in one partition.
 ONE_TASK = 100_000
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -49,52 +57,98 @@ def draw(doc_id: Column, text: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def rake(cells: DataFrame, temperature: Mapping[str, float] = TEMPERATURE, sweeps: int = SWEEPS, fraction: float = FRACTION, scalings: int = SCALINGS) -> DataFrame:
-    """cells (source, lang, topic, tokens) with weight, which sums to 1, and p, the probability of each of its documents."""
+def _wanted(cells: DataFrame, d: str, given: Mapping[str, float] | None, temperature: float) -> DataFrame:
+    """(d, want, have): the wanted share of each value of a dimension, and its tokens.
+
+    Named values get their shares (made to sum to 1 if they exceed it); the others share what is left, as their
+    actual tokens to the power `temperature` do.
+    """
+    own = cells.groupBy(d).agg(F.sum(F.col("tokens").cast("double")).alias("have"))
+    share = F.lit(None).cast("double")
+    for value, x in (given or {}).items():
+        share = F.when(F.col(d) == F.lit(value), F.lit(float(x))).otherwise(share)
+    own = own.withColumn("named", share).withColumn("power", F.when(F.col("named").isNull(), F.pow("have", F.lit(float(temperature)))).otherwise(F.lit(0.0)))
+    total = own.agg(F.coalesce(F.sum("named"), F.lit(0.0)).alias("__named"), F.sum("power").alias("__power"))
+    left = F.when(F.col("__power") > 0, F.greatest(F.lit(1.0) - F.col("__named"), F.lit(0.0))).otherwise(F.lit(0.0))
+    want = F.coalesce(F.col("named"), F.col("power") * left / F.col("__power")) / (F.when(F.col("__power") > 0, F.greatest(F.col("__named"), F.lit(1.0))).otherwise(F.col("__named")))
+    return own.crossJoin(F.broadcast(total)).select(d, want.alias(f"want_{d}"), "have")
+
+
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temperature: Mapping[str, float] = TEMPERATURE, fraction: float = FRACTION, sweeps: int = SWEEPS) -> DataFrame:
+    """cells (source, lang, topic, tokens) with the wanted shares, weight, which sums to 1, and p, the probability of each of its documents."""
     few = cells.limit(ONE_TASK + 1).count() <= ONE_TASK
-    now = (cells.coalesce(1) if few else cells).withColumn("weight", F.col("tokens").cast("double"))
-    everything = Window.partitionBy()
+    now, scarce, together = cells, [], lambda x: x.coalesce(1) if few else x
     for d in DIMENSIONS:
-        own = F.sum(F.col("tokens").cast("double")).over(Window.partitionBy(d))
-        now = now.withColumn(f"want_{d}", F.pow(own, F.lit(temperature[d])))
-    for d in DIMENSIONS:
-        # Each margin counts once in the sum over all cells.
-        now = now.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(d)).cast("double"))
-        now = now.withColumn(f"want_{d}", F.col(f"want_{d}") / F.sum(F.col(f"want_{d}") / F.col("__n")).over(everything)).drop("__n")
-    now = materialize(now, "rake")
-    for sweep in range(sweeps):
-        now = now.coalesce(1) if few else now
-        for d in DIMENSIONS:
-            now = now.withColumn("weight", F.col("weight") * F.col(f"want_{d}") / F.sum("weight").over(Window.partitionBy(d)))
-        if sweep % 4 == 3:
-            now = materialize(now, "rake")
-    now = (now.coalesce(1) if few else now).withColumn("weight", F.col("weight") / F.sum("weight").over(everything))
-    budget = F.lit(fraction) * F.sum(F.col("tokens").cast("double")).over(everything)
-    now = now.withColumn("budget", budget).withColumn("ratio", F.col("weight") * F.col("budget") / F.col("tokens")).withColumn("scale", F.lit(1.0))
-    for _ in range(scalings):
-        expected = F.sum(F.least(F.lit(1.0), F.col("scale") * F.col("ratio")) * F.col("tokens")).over(everything)
-        now = now.withColumn("scale", F.col("scale") * F.col("budget") / expected)
-    return now.select(*DIMENSIONS, "tokens", "weight", F.least(F.lit(1.0), F.col("scale") * F.col("ratio")).alias("p"))
-
-
-def mixed(docs: DataFrame, seed: int = 17, **wanted) -> DataFrame:
-    """docs with topic, n_tokens, weight, p and kept; columns of these names are replaced.  Needs doc_id, text, source, lang."""
+        wanted = materialize(_wanted(cells, d, (targets or {}).get(d), temperature[d]), "wanted")
+        scarce.append(wanted.filter(f"want_{d} > 0").agg(F.min(F.col("have") / F.col(f"want_{d}")).alias("most")))
+        now = lookup_join(now, wanted.drop("have"), [d], "inner")
+    most = scarce[0].unionByName(scarce[1]).unionByName(scarce[2]).agg(F.min("most").alias("__most"))
+    total = cells.agg(F.sum(F.col("tokens").cast("double")).alias("__all"))
+    budget = F.least(F.lit(fraction) * F.col("__all"), F.lit(FILL) * F.col("__most"))
+    now = now.crossJoin(F.broadcast(most)).crossJoin(F.broadcast(total)).withColumn("budget", budget)
+    now = materialize(together(now.withColumn("expected", F.col("tokens") * F.col("budget") / F.col("__all")).drop("__most", "__all")), "rake")
+    done, worst = 0, math.inf
+    while True:
+        now = together(now)
+        for _ in range(min(STEP, max(1, sweeps - done))):
+            for d in DIMENSIONS:
+                own = F.sum("expected").over(Window.partitionBy(d))
+                scaled = F.when(own > 0, F.col("expected") * F.col(f"want_{d}") * F.col("budget") / own).otherwise(F.lit(0.0))
+                now = now.withColumn("expected", F.least(F.col("tokens").cast("double"), scaled))
+        now, done = materialize(now, "rake"), done + min(STEP, max(1, sweeps - done))
+        if done >= sweeps:
+            before, worst = worst, _worst(now)
+            if done >= MOST or worst <= TOLERANCE or worst > 0.99 * before:
+                break
+    sums = now.agg(F.sum("expected").alias("__sum"))
+    return now.crossJoin(F.broadcast(sums)).select(*DIMENSIONS, "tokens", *[f"want_{d}" for d in DIMENSIONS], (F.col("expected") / F.col("__sum")).alias("weight"), (F.col("expected") / F.col("tokens")).alias("p"))
+
+
+def _worst(now: DataFrame) -> float:
+    """By how much of the budget the worst margin misses its share."""
+    off = [now.groupBy(d).agg(F.abs(F.sum("expected") / F.first("budget") - F.first(f"want_{d}")).alias("off")).agg(F.max("off").alias("off")) for d in DIMENSIONS]
+    return off[0].unionByName(off[1]).unionByName(off[2]).agg(F.max("off")).first()[0] or 0.0
+
+
+def margins(raked: DataFrame) -> DataFrame:
+    """(dimension, value, wanted, expected): shares of tokens by margin, as wanted and as the probabilities of rake() give them."""
+    total = raked.agg(F.sum(F.col("p") * F.col("tokens")).alias("__all"))
+    own = [
+        raked.groupBy(F.lit(d).alias("dimension"), F.col(d).alias("value")).agg(F.first(f"want_{d}").alias("wanted"), F.sum(F.col("p") * F.col("tokens")).alias("expected"))
+        for d in DIMENSIONS
+    ]
+    out = own[0].unionByName(own[1]).unionByName(own[2])
+    return out.crossJoin(F.broadcast(total)).select("dimension", "value", "wanted", (F.col("expected") / F.col("__all")).alias("expected"))
+
+
+def cells_of(docs: DataFrame, topic: str | None = None) -> DataFrame:
+    """(source, lang, topic, tokens) of docs; topic names a column, else topic_of() tells it from the text."""
+    rows = docs.withColumns(_cell(topic))
+    by = [F.col(f"__{d}").alias(d) for d in DIMENSIONS]
+    return rows.groupBy(*by).agg(F.greatest(F.sum("__tokens"), F.lit(1).cast("long")).alias("tokens"))
+
+
+def _cell(topic: str | None) -> dict[str, Column]:
+    text, known = empty_if_null(F.col("text").cast("string")), lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+    return {"__source": known("source"), "__lang": known("lang"), "__topic": known(topic) if topic else topic_of(text), "__tokens": tokens_of(text)}
+
+
+def mixed(docs: DataFrame, seed: int = 17, topic: str | None = None, **wanted) -> DataFrame:
+    """docs with topic, n_tokens, weight, p and kept; columns of these names are replaced.  Needs doc_id, text, source, lang.
+
+    wanted: targets, temperature and fraction, as rake() takes them.
+    """
     made = ["topic", "n_tokens", "weight", "p", "kept"]
-    text = empty_if_null(F.col("text").cast("string"))
-    own = docs.drop(*made)
-    cell = {"__source": F.coalesce(F.col("source").cast("string"), F.lit("unknown")), "__lang": F.coalesce(F.col("lang").cast("string"), F.lit("unknown")), "__topic": topic_of(text), "n_tokens": tokens_of(text)}
-    rows = own.withColumns(cell)
-    # A cell without a word still has documents: it weighs one token.
-    cells = materialize(
-        rows.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.greatest(F.sum("n_tokens"), F.lit(1).cast("long")).alias("tokens")),
-        "cells",
-    )
-    weights = materialize(rake(cells, **wanted), "weights").select(F.col("source").alias("__source"), F.col("lang").alias("__lang"), F.col("topic").alias("__topic"), "weight", "p")
-    out = lookup_join(rows, weights, ["__source", "__lang", "__topic"])
-    return out.withColumn("kept", draw(F.col("doc_id"), text, seed) < F.col("p")).select(*[F.col(f"`{c}`") for c in own.columns], F.col("__topic").alias("topic"), "n_tokens", "weight", "p", "kept")
-
-
-def mixed_sql(seed: int = 17, sweeps: int = SWEEPS, scalings: int = SCALINGS, fraction: float = FRACTION, temperature: Mapping[str, float] = TEMPERATURE) -> str:
+    rows = docs.withColumns(_cell(topic)).drop(*made)
+    own = [c for c in docs.columns if c not in made]
+    weights = materialize(rake(materialize(cells_of(docs, topic), "cells"), **wanted), "weights")
+    weights = weights.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], "weight", "p")
+    out = lookup_join(rows, weights, [f"__{d}" for d in DIMENSIONS])
+    kept = draw(F.col("doc_id"), empty_if_null(F.col("text").cast("string")), seed) < F.col("p")
+    return out.withColumn("kept", kept).select(*[F.col(f"`{c}`") for c in own], F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), "weight", "p", "kept")
+
+
+def mixed_sql(seed: int = 17, sweeps: int = SWEEPS, fraction: float = FRACTION, temperature: Mapping[str, float] = TEMPERATURE) -> str:
     """The query op6 in SQL: the sweeps one after the other."""
     steps = [
         r"""docs AS (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
@@ -103,19 +157,19 @@ def mixed_sql(seed: int = 17, sweeps: int = SWEEPS, scalings: int = SCALINGS, fr
         "cells AS MATERIALIZED (SELECT source, lang, topic, greatest(sum(n_tokens), 1)::BIGINT AS tokens FROM docs GROUP BY ALL)",
     ]
     for d in DIMENSIONS:
-        steps.append(f"want_{d} AS MATERIALIZED (SELECT {d}, w / sum(w) OVER () AS w FROM (SELECT {d}, pow(sum(tokens::DOUBLE), {temperature[d]}) AS w FROM cells GROUP BY {d}))")
+        steps.append(f"want_{d} AS MATERIALIZED (SELECT {d}, have, w / sum(w) OVER () AS w FROM (SELECT {d}, sum(tokens::DOUBLE) AS have, pow(sum(tokens::DOUBLE), {temperature[d]}) AS w FROM cells GROUP BY {d}))")
+    scarce = " UNION ALL ".join(f"SELECT min(have / w) AS most FROM want_{d}" for d in DIMENSIONS)
+    steps.append(f"size AS MATERIALIZED (SELECT a, least({fraction}::DOUBLE * a, {FILL}::DOUBLE * (SELECT min(most) FROM ({scarce}))) AS budget FROM (SELECT sum(tokens::DOUBLE) AS a FROM cells))")
     joins = " ".join(f"JOIN want_{d} USING ({d})" for d in DIMENSIONS)
     wants = ", ".join(f"want_{d}.w AS want_{d}" for d in DIMENSIONS)
-    steps.append(f"r0 AS MATERIALIZED (SELECT source, lang, topic, tokens, tokens::DOUBLE AS weight, {wants} FROM cells {joins})")
+    steps.append(f"r0 AS MATERIALIZED (SELECT source, lang, topic, tokens, budget, tokens * budget / a AS expected, {wants} FROM cells {joins}, size)")
     n = 0
     for _ in range(sweeps):
         for d in DIMENSIONS:
-            steps.append(f"r{n + 1} AS MATERIALIZED (SELECT * REPLACE (weight * want_{d} / sum(weight) OVER (PARTITION BY {d}) AS weight) FROM r{n})")
+            steps.append(f"r{n + 1} AS MATERIALIZED (SELECT * REPLACE (least(tokens::DOUBLE, expected * want_{d} * budget / sum(expected) OVER (PARTITION BY {d})) AS expected) FROM r{n})")
             n += 1
-    steps.append(f"s0 AS MATERIALIZED (SELECT source, lang, topic, tokens, weight, weight * budget / tokens AS ratio, budget, 1.0::DOUBLE AS scale FROM (SELECT source, lang, topic, tokens, weight / sum(weight) OVER () AS weight, {fraction}::DOUBLE * sum(tokens::DOUBLE) OVER () AS budget FROM r{n}))")
-    for i in range(scalings):
-        steps.append(f"s{i + 1} AS MATERIALIZED (SELECT * REPLACE (scale * budget / sum(least(1.0::DOUBLE, scale * ratio) * tokens) OVER () AS scale) FROM s{i})")
-    final = f"""SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(s.weight, 9) AS weight, round(least(1.0::DOUBLE, s.scale * s.ratio), 6) AS p,
-  ('0x' || substr(md5(concat_ws(':', coalesce(d.doc_id::VARCHAR, d.t), '{seed}')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < least(1.0::DOUBLE, s.scale * s.ratio) AS kept
-FROM docs d JOIN s{scalings} s USING (source, lang, topic)"""
+    steps.append(f"s AS MATERIALIZED (SELECT source, lang, topic, expected / sum(expected) OVER () AS weight, expected / tokens AS p FROM r{n})")
+    final = f"""SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(s.weight, 9) AS weight, round(s.p, 6) AS p,
+  ('0x' || substr(md5(concat_ws(':', coalesce(d.doc_id::VARCHAR, d.t), '{seed}')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < s.p AS kept
+FROM docs d JOIN s USING (source, lang, topic)"""
     return "WITH " + ",\n".join(steps) + "\n" + final

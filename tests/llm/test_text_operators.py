@@ -265,24 +265,47 @@ def test_whole_license_texts_are_found(spark):
     assert all((whole[i].first_word, whole[i].end_word) == (4, 4 + len(words(t))) and whole[i].cover == 1.0 for i, (t, _) in enumerate(TEXTS))
 
 
-def test_raking_meets_its_margins(spark, odd, nothing, clashing):
-    cells = spark.createDataFrame([(s, l, t, n) for s, l, t, n in [("a", "en", "x", 1000), ("a", "fr", "y", 10), ("b", "en", "y", 300), ("b", "fr", "x", 5), ("c", "en", "x", 70), ("c", "fr", "y", 70)]], "source string, lang string, topic string, tokens long")
-    out = M.rake(cells, sweeps=60).cache()
-    assert abs(out.agg(F.sum("weight")).first()[0] - 1) < 1e-9 and out.filter("p > 1 or p < 0").count() == 0
-    for d in M.DIMENSIONS:
-        actual = {r[0]: r[1] for r in cells.groupBy(d).agg(F.pow(F.sum(F.col("tokens").cast("double")), F.lit(M.TEMPERATURE[d]))).collect()}
-        total = sum(actual.values())
-        for r in out.groupBy(d).agg(F.sum("weight").alias("w")).collect():
-            assert abs(r.w - actual[r[0]] / total) < 0.02
-    got = M.mixed(odd)
-    assert got.count() == odd.count() and M.mixed(nothing).count() == 0 and M.mixed(clashing).count() == odd.count()
-    twice = got.filter("doc_id = 107").select("kept").collect()
-    assert twice[0] == twice[1]
+CELLS = [("a", "en", "x", 1000), ("a", "fr", "y", 10), ("b", "en", "y", 300), ("b", "fr", "x", 5), ("c", "en", "x", 70), ("c", "fr", "y", 70), ("a", "en", "y", 400), ("b", "fr", "y", 60), ("c", "en", "y", 9), ("b", "en", "x", 200)]
+
+
+def off(out):
+    return max(abs(r.wanted - r.expected) for r in M.margins(out).collect())
 
 
 @pytest.mark.parametrize("limit", [100_000, 0])
-def test_raking_in_one_task_or_in_many(spark, monkeypatch, limit):
+def test_raking_meets_its_margins(spark, odd, nothing, clashing, monkeypatch, limit):
     monkeypatch.setattr(M, "ONE_TASK", limit)
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    rows = M.mixed(docs).agg(F.count("*"), F.round(F.sum("p"), 6)).first()
-    assert rows[0] == docs.count() and 0 < rows[1] < rows[0]
+    cells = spark.createDataFrame(CELLS, "source string, lang string, topic string, tokens long")
+    out = M.rake(cells).cache()
+    assert abs(out.agg(F.sum("weight")).first()[0] - 1) < 1e-9 and out.filter("p > 1 or p < 0").count() == 0 and off(out) < 1e-4
+    for d in M.DIMENSIONS:
+        actual = {r[0]: r[1] for r in cells.groupBy(d).agg(F.pow(F.sum(F.col("tokens").cast("double")), F.lit(M.TEMPERATURE[d]))).collect()}
+        for r in M.margins(out).filter(F.col("dimension") == d).collect():
+            assert abs(r.wanted - actual[r.value] / sum(actual.values())) < 1e-9
+    if limit:
+        got = M.mixed(odd)
+        assert got.count() == odd.count() and M.mixed(nothing).count() == 0 and M.mixed(clashing).count() == odd.count()
+        twice = got.filter("doc_id = 107").select("kept").collect()
+        assert twice[0] == twice[1]
+
+
+def test_targets_are_met_and_never_overdrawn(spark):
+    cells = spark.createDataFrame(CELLS, "source string, lang string, topic string, tokens long")
+    out = M.rake(cells, {"source": {"a": 0.2, "b": 0.5, "c": 0.3}, "lang": {"fr": 0.3}}, fraction=0.1).cache()
+    shares = {(r.dimension, r.value): r for r in M.margins(out).collect()}
+    assert [round(shares["source", v].expected, 4) for v in "abc"] == [0.2, 0.5, 0.3] and abs(shares["lang", "fr"].expected - 0.3) < 1e-4 and off(out) < 1e-4
+    # c has 149 tokens: the sample is no larger than they allow at a share of 0.6.
+    most = M.rake(cells, {"source": {"c": 0.6}}, fraction=0.9, sweeps=8).cache()
+    assert most.filter("p > 1").count() == 0 and most.agg(F.sum(F.col("p") * F.col("tokens"))).first()[0] <= M.FILL * 149 / 0.6 + 1e-6
+    gone = M.rake(cells, {"source": {"a": 1.0}}, sweeps=8)
+    assert gone.filter("source <> 'a' and p > 0").count() == 0
+
+
+def test_a_given_topic_is_used_and_samples_are_calibrated(spark):
+    rows = [(i, "word " * (1 + i % 9), "en" if i % 4 else "fr", "s" if i % 3 else "t", f"k{i % 5}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, subject string")
+    out = M.mixed(docs, topic="subject", targets={"topic": {"k0": 0.4}}).cache()
+    assert {r.topic for r in out.select("topic").distinct().collect()} == {f"k{i}" for i in range(5)}
+    kept = out.filter("kept")
+    n = kept.agg(F.sum("n_tokens")).first()[0]
+    assert abs(kept.filter("topic = 'k0'").agg(F.sum("n_tokens")).first()[0] / n - 0.4) < 0.03
