@@ -5,17 +5,22 @@ every sample is one flat 8 x 8 block: with a quantiser of 8 for the DC coefficie
 decodes to exactly the sample, so any JPEG decoder gives the payload back.  The Huffman code for the
 DC difference of s bits is 9 - s bits long, and the end-of-block code 7, so a block is two bytes.
 
-The reader walks the RIFF index, decodes each intra frame (any baseline grey or 4:4:4 frame; codes of a constant
-length by array operations, others bit by bit), and cuts shots where the histogram of a frame differs from
-the one before by more than an adaptive threshold.
+The reader walks the RIFF index, decodes each intra frame (baseline, grey or in colours of any sampling, with its own
+Huffman tables or, as most motion-JPEG has none, the standard's; codes of a constant length by array operations, others
+by table look-up), and cuts shots where the histogram of a frame differs from the one before by more than an adaptive
+threshold.
 
 Null payloads are stored as empty ones; every payload is followed by bytes 32 up to a positive multiple of
-192, one frame's samples.  Media that are null or broken give no clips.  Equal payloads give equal media.
+192, one frame's samples.  Equal payloads give equal media.  A payload of more than half a gigabyte does not fit into
+a value of a column and fails.  Media that are null, cut off or broken give no row less: `error` says what is wrong, frames before the
+place where a file is cut off still count, and a file without an index is read chunk by chunk.  Empty tables give
+empty ones, repeated rows equal results; columns with the results' names are replaced, all others kept.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import map_arrow
+from graphmill.llm.common import map_arrow, materialize
 from graphmill.llm.wordhash import text_bytes
 
 COLUMNS, LINES = 16, 12
@@ -34,13 +39,30 @@ PAD = b" "
 #: Frames to either side that an adaptive threshold looks at, its factor on their spread, and its least value.
 NEAR, SPREAD, LEAST = 8, 2.0, 0.35
 #: Payload bytes that are encoded or decoded at once.
-PORTION = 1 << 20
+PORTION = 256 << 10
+#: Bytes of a row group of stored media, so that neither writer nor reader holds many of them.
+ROW_GROUP = 4 << 20
 
 # Fixed values of ISO/IEC 10918-1: the order in which coefficients are stored.
 ZIGZAG = np.array([
     0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28,
     35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63,
 ])
+# Fixed values of ISO/IEC 10918-1, annex K: number of codes of each length, and the symbols in their order.
+_LUMA_DC = ([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], list(range(12)))
+_CHROMA_DC = ([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0], list(range(12)))
+_LUMA_AC_FIRST = [
+    0x01, 0x02, 0x03, 0x00, 0x04, 0x11, 0x05, 0x12, 0x21, 0x31, 0x41, 0x06, 0x13, 0x51, 0x61, 0x07, 0x22, 0x71, 0x14, 0x32,
+    0x81, 0x91, 0xA1, 0x08, 0x23, 0x42, 0xB1, 0xC1, 0x15, 0x52, 0xD1, 0xF0, 0x24, 0x33, 0x62, 0x72, 0x82,
+]
+_CHROMA_AC_FIRST = [
+    0x00, 0x01, 0x02, 0x03, 0x11, 0x04, 0x05, 0x21, 0x31, 0x06, 0x12, 0x41, 0x51, 0x07, 0x61, 0x71, 0x13, 0x22, 0x32, 0x81, 0x08, 0x14,
+    0x42, 0x91, 0xA1, 0xB1, 0xC1, 0x09, 0x23, 0x33, 0x52, 0xF0, 0x15, 0x62, 0x72, 0xD1, 0x0A, 0x16, 0x24, 0x34, 0xE1, 0x25, 0xF1,
+]
+#: All symbols of AC codes: a run of up to 15 zeros and a size of 1 to 10, end of block, and 16 zeros.  Those with codes of 16 bits follow in ascending order.
+_AC_ALL = sorted([0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))])
+_LUMA_AC = ([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125], _LUMA_AC_FIRST + [s for s in _AC_ALL if s not in _LUMA_AC_FIRST])
+_CHROMA_AC = ([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119], _CHROMA_AC_FIRST + [s for s in _AC_ALL if s not in _CHROMA_AC_FIRST])
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -128,41 +150,84 @@ class Broken(ValueError):
     """Media that are no AVI of motion-JPEG frames."""
 
 
-def riff_index(media: bytes) -> tuple[list[bytes], float]:
-    """The frames that the index lists, and frames a second."""
+_ENTRY = np.dtype([("id", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")])
+_IS_FRAME = re.compile(rb"[0-9]{2}d[bc]")
+
+
+def riff_index(media: bytes) -> tuple[list[bytes], float, str | None]:
+    """The frames that the index lists, frames a second, and what is wrong, if anything."""
     if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
         raise Broken("no AVI file")
-    movi, entries, fps = None, None, float(FPS)
-
-    def walk(at: int, end: int) -> None:
-        nonlocal movi, entries, fps
-        while at + 8 <= end:
-            name, size = media[at : at + 4], int.from_bytes(media[at + 4 : at + 8], "little")
-            if name == b"LIST":
-                if media[at + 8 : at + 12] == b"movi":
-                    movi = at + 8
-                else:
-                    walk(at + 12, min(end, at + 8 + size))
-            elif name == b"avih" and size >= 4:
-                fps = 1e6 / (int.from_bytes(media[at + 8 : at + 12], "little") or 1e6 / FPS)
-            elif name == b"idx1":
-                entries = np.frombuffer(media[at + 8 : at + 8 + size - size % 16], np.dtype([("id", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")]))
-            at += 8 + size + size % 2
-
-    walk(12, len(media))
-    if movi is None or entries is None:
-        raise Broken("no index")
-    wanted = entries[np.isin(entries["id"], [b"00dc", b"00db"])]
-    # Offsets count from the list's name, or in some files from the start of the file.
-    base = 0 if len(wanted) and media[wanted["at"][0] : wanted["at"][0] + 4] == wanted["id"][0] else movi
-    return [media[base + a + 8 : base + a + 8 + n] for a, n in zip(wanted["at"].tolist(), wanted["size"].tolist(), strict=True)], fps
+    movi, entries, fps, wrong = None, None, float(FPS), None
+    open_ = [(12, min(len(media), 8 + int.from_bytes(media[4:8], "little")))]
+    if open_[0][1] < 8 + int.from_bytes(media[4:8], "little"):
+        wrong = "cut off"
+    while open_:
+        at, end = open_.pop()
+        if at + 8 > end:
+            continue
+        name, size = media[at : at + 4], int.from_bytes(media[at + 4 : at + 8], "little")
+        open_.append((at + 8 + size + size % 2, end))
+        body, stop = at + 8, min(end, at + 8 + size)
+        if name == b"LIST" and media[body : body + 4] == b"movi":
+            movi = movi or (body, stop)
+        elif name == b"LIST":
+            open_.append((body + 4, stop))
+        elif name == b"avih" and stop - body >= 4:
+            fps = 1e6 / (int.from_bytes(media[body : body + 4], "little") or 1e6 / FPS)
+        elif name == b"idx1":
+            entries = np.frombuffer(media[body : body + (stop - body) // 16 * 16], _ENTRY)
+    if movi is None:
+        raise Broken("no frames")
+    if entries is None:
+        wanted, wrong = _one_by_one(media, *movi), wrong or "no index"
+    else:
+        listed = [(i, a, n) for i, a, n in zip(entries["id"].tolist(), entries["at"].tolist(), entries["size"].tolist(), strict=True) if _IS_FRAME.fullmatch(i)]
+        listed = [x for x in listed if x[0][:2] == listed[0][0][:2]]  # the first stream of pictures
+        # Offsets count from the list's name, or in some files from the start of the file.
+        base = 0 if listed and media[listed[0][1] : listed[0][1] + 4] == listed[0][0] else movi[0]
+        wanted = [(base + a + 8, n) for _, a, n in listed]
+    frames: list[bytes] = []
+    for at, n in wanted:
+        if at + n > len(media):
+            wrong = "cut off"
+            break
+        # A frame of no bytes shows the one before again.
+        if n or frames:
+            frames.append(media[at : at + n] if n else frames[-1])
+    return frames, fps, wrong
+
+
+def _one_by_one(media: bytes, at: int, end: int) -> list[tuple[int, int]]:
+    """Places and sizes of the whole frames of a list without an index."""
+    out, at = [], at + 4
+    while at + 8 <= end:
+        name, size = media[at : at + 4], int.from_bytes(media[at + 4 : at + 8], "little")
+        if name == b"LIST":
+            at += 12
+            continue
+        if _IS_FRAME.fullmatch(name) and at + 8 + size <= end:
+            out.append((at + 8, size))
+        at += 8 + size + size % 2
+    return out
+
+
+def _lookup(codes: dict[tuple[int, int], int]) -> list[int]:
+    """For the next 16 bits: the length of the code they begin with, times 256, and its symbol; 0 where there is none."""
+    out = [0] * (1 << 16)
+    for (length, code), symbol in codes.items():
+        low = code << (16 - length)
+        out[low : low + (1 << (16 - length))] = [length << 8 | symbol] * (1 << (16 - length))
+    return out
 
 
 class Scan:
     """What the segments before a frame's entropy-coded data say."""
 
     def __init__(self, head: bytes) -> None:
-        self.quantisers, self.codes, self.restart, at = {}, {}, 0, 2
+        self.quantisers, self.restart, at = {}, 0, 2
+        self.codes = {key: _canonical(*t) for key, t in ((0x00, _LUMA_DC), (0x01, _CHROMA_DC), (0x10, _LUMA_AC), (0x11, _CHROMA_AC))}
+        self._tables: dict[int, list[int]] = {}
         while at + 4 <= len(head):
             marker, size = head[at + 1], int.from_bytes(head[at + 2 : at + 4], "big")
             body = head[at + 4 : at + 2 + size]
@@ -173,10 +238,12 @@ class Scan:
                     self.quantisers[body[0] & 15], body = q, body[1 + wide :]
             elif marker == 0xC0:
                 self.height, self.width, n = struct.unpack(">HHB", body[1:6])
-                self.parts = [tuple(body[6 + 3 * i : 9 + 3 * i]) for i in range(n)]
-                if any(p[1] != 0x11 for p in self.parts):
-                    raise Broken("subsampled colours")
-            elif marker in (0xC1, 0xC2, 0xC3):
+                self.parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+                if n == 1:
+                    self.parts = [(self.parts[0][0], 1, 1, self.parts[0][3])]  # one component is never interleaved
+                if not self.height or not self.width or not n or any(not 1 <= x <= 4 for p in self.parts for x in p[1:3]):
+                    raise Broken("no picture")
+            elif 0xC1 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
                 raise Broken("no baseline frame")
             elif marker == 0xC4:
                 while body:
@@ -187,9 +254,22 @@ class Scan:
                 self.restart = int.from_bytes(body[:2], "big")
             elif marker == 0xDA:
                 self.tables = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
+                if len(self.tables) != len(self.parts):
+                    raise Broken("several scans")
             at += 2 + size
+        #: Blocks of the picture's luma, and of the interleaved units, across and down.
+        self.across, self.down = -(-self.width // 8), -(-self.height // 8)
+        widest, tallest = max(p[1] for p in self.parts), max(p[2] for p in self.parts)
+        if (self.parts[0][1], self.parts[0][2]) != (widest, tallest):
+            raise Broken("colours finer than luma")
+        self.units = (-(-self.width // (8 * widest)), -(-self.height // (8 * tallest)))
         self.fixed = self._fixed()
 
+    def lookup(self, key: int) -> list[int]:
+        if key not in self._tables:
+            self._tables[key] = _lookup(self.codes[key])
+        return self._tables[key]
+
     def _fixed(self) -> np.ndarray | None:
         """DC differences by the 16 bits of a block, if every block has 16 bits and no AC coefficient."""
         if len(self.parts) != 1 or self.restart:
@@ -207,42 +287,49 @@ class Scan:
         return out
 
 
-def _coefficients(scan: Scan, data: bytes, blocks: int) -> np.ndarray:
-    """Quantised coefficients (blocks x components x 64) read bit by bit."""
-    out = np.zeros((blocks, len(scan.parts), 64), np.int64)
-    bits, at, last = "".join(f"{b:08b}" for b in data), 0, [0] * len(scan.parts)
-
-    def symbol(table: dict) -> int:
-        nonlocal at
-        code = 0
-        for length in range(1, 17):
-            code = code << 1 | (bits[at] == "1")
-            at += 1
-            if (length, code) in table:
-                return table[length, code]
-        raise Broken("no such code")
-
-    def amount(size: int) -> int:
-        nonlocal at
-        value = int(bits[at : at + size] or "0", 2)
-        at += size
-        return value if not size or value >> (size - 1) else value - (1 << size) + 1
-
-    for b in range(blocks):
-        for c, part in enumerate(scan.parts):
-            t = scan.tables[part[0]]
-            last[c] += amount(symbol(scan.codes[t >> 4]))
-            out[b, c, 0], k = last[c], 1
+def _coefficients(scan: Scan, data: bytes, units: int) -> np.ndarray:
+    """Quantised luma coefficients (blocks in the order of storage x 64) of so many interleaved units."""
+    plan = []
+    for c, (name, h, v, _) in enumerate(scan.parts):
+        t = scan.tables[name]
+        plan += [(c, scan.lookup(t >> 4), scan.lookup(0x10 | t & 15))] * (h * v)
+    own = scan.parts[0][1] * scan.parts[0][2]
+    out, last = np.zeros((units * own, 64), np.int64), [0] * len(scan.parts)
+    held, n, at, size = 0, 0, 0, len(data)
+    block = 0
+    for _ in range(units):
+        for c, dc, ac in plan:
+            k, table = 0, dc
             while k < 64:
-                s = symbol(scan.codes[0x10 | t & 15])
-                if not s & 15:
-                    if s != 0xF0:
+                while n < 32:
+                    held = (held << 32 | int.from_bytes(data[at : at + 4].ljust(4, b"\xff"), "big")) & 0xFFFFFFFFFFFFFFFF
+                    at, n = at + 4, n + 32
+                entry = table[held >> (n - 16) & 0xFFFF]
+                if not entry:
+                    raise Broken("no such code")
+                n -= entry >> 8
+                symbol = entry & 0xFF
+                bits = symbol & 15
+                value = held >> (n - bits) & ((1 << bits) - 1)
+                n -= bits
+                if bits and not value >> (bits - 1):
+                    value -= (1 << bits) - 1
+                if not k:
+                    last[c] += value
+                    value, table = last[c], ac
+                elif not bits:
+                    if symbol != 0xF0:
                         break
                     k += 16
                     continue
-                k += s >> 4
-                out[b, c, k] = amount(s & 15)
+                else:
+                    k += symbol >> 4
+                if not c:
+                    out[block, k] = value
                 k += 1
+            block += not c
+        if at - n // 8 > size:
+            raise Broken("a frame is cut off")
     return out
 
 
@@ -258,40 +345,57 @@ def _scan_of(head: bytes) -> Scan:
     return _SCANS[head]
 
 
+def _head(frame: bytes) -> int:
+    """Where a frame's entropy-coded data begin."""
+    at = 2
+    while at + 4 <= len(frame):
+        size = int.from_bytes(frame[at + 2 : at + 4], "big")
+        if frame[at] != 0xFF or size < 2:
+            break
+        at += 2 + size
+        if frame[at - size - 1] == 0xDA:
+            return at
+    raise Broken("no scan")
+
+
 def decode_frames(frames: list[bytes]) -> np.ndarray:
     """Mean luma of each 8 x 8 block (frames x blocks), as 8-bit samples."""
     if not frames:
         return np.zeros((0, 0), np.uint8)
     try:
-        at = frames[0].index(b"\xff\xda")
-        head = frames[0][: at + 2 + int.from_bytes(frames[0][at + 2 : at + 4], "big")]
+        head = frames[0][: _head(frames[0])]
         scan = _scan_of(head)
-        blocks = -(-scan.width // 8) * -(-scan.height // 8)
         if scan.fixed is not None and all(f.startswith(head) for f in frames):
             n = len(head)
             raw = b"".join([f[n:-2].replace(b"\xff\x00", b"\xff") for f in frames])
-            diff = scan.fixed[np.frombuffer(raw, ">u2")].reshape(len(frames), blocks)
-            dc = np.cumsum(diff, axis=1, dtype=np.int16).astype(np.int32) * int(scan.quantisers[scan.parts[0][2]][0])
+            diff = scan.fixed[np.frombuffer(raw, ">u2")].reshape(len(frames), scan.across * scan.down)
+            dc = np.cumsum(diff, axis=1, dtype=np.int16).astype(np.int32) * int(scan.quantisers[scan.parts[0][3]][0])
             return np.clip((dc + 4 >> 3) + 128, 0, 255).astype(np.uint8)
         return np.stack([pixels(f).mean(axis=(1, 2)).round().astype(np.uint8) for f in frames])
-    except (KeyError, IndexError, ValueError, struct.error, AttributeError) as e:
-        raise Broken(str(e)) from e
+    except Broken:
+        raise
+    except (KeyError, IndexError, ValueError, struct.error, AttributeError, OverflowError) as e:
+        raise Broken(f"a frame is broken: {e}") from e
 
 
 def pixels(frame: bytes) -> np.ndarray:
-    """Luma of a baseline frame as blocks x 8 x 8 pixels, decoded in full."""
-    at = frame.index(b"\xff\xda")
-    n = at + 2 + int.from_bytes(frame[at + 2 : at + 4], "big")
+    """Luma of a baseline frame as blocks x 8 x 8 pixels, row by row, decoded in full."""
+    n = _head(frame)
     scan = _scan_of(frame[:n])
-    blocks = -(-scan.width // 8) * -(-scan.height // 8)
-    data, each = frame[n:-2], scan.restart or blocks
-    for r in range(8):
-        data = data.replace(bytes([0xFF, 0xD0 + r]), b"\xff\xd0") if scan.restart else data
-    runs = [p.replace(b"\xff\x00", b"\xff") for p in (data.split(b"\xff\xd0") if scan.restart else [data])]
-    coefficients = np.concatenate([_coefficients(scan, p, min(each, blocks - i * each)) for i, p in enumerate(runs)])[:, 0]
-    plain = np.zeros((blocks, 64))
-    plain[:, ZIGZAG] = coefficients * scan.quantisers[scan.parts[0][2]]
-    spatial = np.einsum("xu,buv,yv->bxy", _COS, plain.reshape(blocks, 8, 8), _COS)
+    total = scan.units[0] * scan.units[1]
+    data, each = frame[n:-2] if frame.endswith(TAIL) else frame[n:], scan.restart or total
+    runs = re.split(rb"\xff[\xd0-\xd7]", data) if scan.restart else [data]
+    if len(runs) < -(-total // each):
+        raise Broken("a frame is cut off")
+    runs = [p.replace(b"\xff\x00", b"\xff") for p in runs[: -(-total // each)]]
+    coefficients = np.concatenate([_coefficients(scan, p, min(each, total - i * each)) for i, p in enumerate(runs)])
+    name, h, v, q = scan.parts[0]
+    # From units of h x v blocks to rows of blocks; what lies beyond the picture goes.
+    grid = coefficients.reshape(scan.units[1], scan.units[0], v, h, 64).transpose(0, 2, 1, 3, 4).reshape(scan.units[1] * v, scan.units[0] * h, 64)
+    coefficients = grid[: scan.down, : scan.across].reshape(-1, 64)
+    plain = np.zeros((len(coefficients), 64))
+    plain[:, ZIGZAG] = coefficients * scan.quantisers[q]
+    spatial = np.einsum("xu,buv,yv->bxy", _COS, plain.reshape(-1, 8, 8), _COS)
     return np.clip(np.rint(spatial) + 128, 0, 255)
 
 
@@ -349,71 +453,61 @@ def store_media(df: DataFrame, payload: str = "text") -> DataFrame:
     return map_arrow(packed, _store_column, f"row {kind}, n_bytes long, media binary").select("row.*", "n_bytes", "media")
 
 
-def _clips(batches):
+_READ = {
+    "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "n_frames": "long", "fps": "double",
+    "clips": "array<struct<clip:bigint,first_frame:bigint,end_frame:bigint,start_s:double,end_s:double,luma:double>>", "error": "string",
+}
+
+
+def read_one(media: bytes | None) -> tuple:
+    """What _READ names, of one medium; digests are those of the samples that its frames decode to."""
+    if media is None:
+        return (None,) * 7 + ([], "no media")
+    frames, fps, samples, wrong = [], float(FPS), np.zeros((0, 0), np.uint8), None
+    try:
+        frames, fps, wrong = riff_index(media)
+        samples = decode_frames(frames)
+    except Broken as e:
+        frames, wrong = [], str(e)
+    raw = samples.tobytes()
+    cut = [
+        {"clip": i, "first_frame": a, "end_frame": b, "start_s": a / fps, "end_s": b / fps, "luma": float(samples[a:b].mean())}
+        for i, (a, b) in enumerate(shots(samples))
+    ]
+    return len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(media), hashlib.sha256(media).hexdigest(), len(frames), fps, cut, wrong
+
+
+def _read_column(batches):
+    schema = pa.schema([(c, k) for c, k in zip(_READ, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), _CLIPS, pa.string()), strict=True)])
     for batch in batches:
-        keys = []
-        rows: list[tuple] = []
-        for i, m in enumerate(batch.column(1).to_pylist()):
-            try:
-                frames, fps = riff_index(m or b"")
-                samples = decode_frames(frames)
-            except Broken:
-                continue
-            for number, (a, b) in enumerate(shots(samples)):
-                keys.append(i)
-                rows.append((number, a, b, a / fps, b / fps, float(samples[a:b].mean())))
-        if rows:
-            columns = list(zip(*rows, strict=True))
-            kinds = [pa.int64()] * 3 + [pa.float64()] * 3
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(keys)), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]],
-                ["row", "clip", "first_frame", "end_frame", "start_s", "end_s", "luma"],
-            )
+        out = [read_one(m.as_py()) for m in batch.column(1)]
+        columns = list(zip(*out, strict=True)) if out else [[]] * len(_READ)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]], ["row", *_READ])
 
 
-def clips(df: DataFrame, media: str = "media") -> DataFrame:
-    """A row for each shot of each media file: its number, frames, times in seconds and mean luma, with df's other columns."""
-    made = ["clip", "first_frame", "end_frame", "start_s", "end_s", "luma"]
-    own = df.drop(media, *[c for c in made if c != media])
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in own.columns]).alias("row"), F.col(f"`{media}`").cast("binary").alias("media"))
-    kind = packed.schema["row"].dataType.simpleString()
-    schema = f"row {kind}, clip long, first_frame long, end_frame long, start_s double, end_s double, luma double"
-    return map_arrow(packed, _clips, schema).select("row.*", *made)
+_CLIPS = pa.list_(pa.struct([("clip", pa.int64()), ("first_frame", pa.int64()), ("end_frame", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("luma", pa.float64())]))
 
 
-def _digest(batches):
-    for batch in batches:
-        keys, lengths = batch.column(0), batch.column(1)
-        out = []
-        for m in batch.column(2).to_pylist():
-            frames, fps = riff_index(m)
-            samples = decode_frames(frames)
-            raw = samples.tobytes()
-            cut = shots(samples)
-            feature = f"frames={len(samples)};shots={len(cut)};" + ",".join(f"{a / fps:.2f}-{b / fps:.2f}" for a, b in cut)
-            out.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 6
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays(
-            [keys, lengths, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]],
-            ["row", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-        )
-
-
-_MADE = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-
-
-def media_digests(stored: DataFrame) -> DataFrame:
-    """One row for each stored medium: digests of the payload that is read back and of the file, and its shots in one string."""
-    own = stored.drop("n_bytes", "media")
-    packed = stored.select(F.struct(*[F.col(f"`{c}`") for c in own.columns]).alias("row"), "n_bytes", "media")
-    kind = packed.schema["row"].dataType.simpleString()
-    return map_arrow(packed, _digest, f"row {kind}, {_MADE}").select("row.*", *[c.split()[0] for c in _MADE.split(", ")])
+def read_media(stored: DataFrame, media: str = "media") -> DataFrame:
+    """One row for each medium, with the other columns: digests of what its frames hold and of the file, timed clips, and what is wrong."""
+    own = [c for c in stored.columns if c != media and c not in _READ]
+    row = F.struct(*[F.col(f"`{c}`") for c in own]) if own else F.struct(F.lit(0).alias("none"))
+    packed = stored.select(row.alias("row"), F.col(f"`{media}`").cast("binary").alias("media"))
+    schema = ", ".join([f"row {packed.schema['row'].dataType.simpleString()}", *(f"{c} {k}" for c, k in _READ.items())])
+    return map_arrow(packed, _read_column, schema).select(*[F.col(f"row.`{c}`") for c in own], *_READ)
+
+
+def clips(df: DataFrame, media: str = "media") -> DataFrame:
+    """A row for each shot of each medium: its number, frames, times in seconds and mean luma, with df's other columns."""
+    made = ["clip", "first_frame", "end_frame", "start_s", "end_s", "luma"]
+    read = read_media(df.drop(*[c for c in made if c != media]), media).drop(*[c for c in _READ if c != "clips"])
+    return read.select("*", F.explode("clips").alias("__clip")).select(*[F.col(f"`{c}`") for c in read.columns if c != "clips"], "__clip.*")
 
 
 def media_round_trip(df: DataFrame, payload: str = "text") -> DataFrame:
-    """media_digests(store_media(df)) in one pass: media are written and read back inside a task and never travel."""
-    own = df.drop(payload)
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in own.columns]).alias("row"), F.col(f"`{payload}`").cast("binary").alias("payload"))
-    kind = packed.schema["row"].dataType.simpleString()
-    return map_arrow(packed, lambda batches: _digest(_store_column(batches)), f"row {kind}, {_MADE}").select("row.*", *[c.split()[0] for c in _MADE.split(", ")])
+    """Store each payload as a medium in a written table, read the table back: read_media() of it, n_bytes, and the clips in one string."""
+    stored = materialize(store_media(df, payload).drop(payload), "media", **{"parquet.block.size": ROW_GROUP, "parquet.enable.dictionary": "false"})
+    spans = F.transform("clips", lambda c: F.format_string("%.2f-%.2f", c["start_s"], c["end_s"]))
+    feature = F.concat(F.lit("frames="), F.col("n_frames"), F.lit(";shots="), F.size("clips"), F.lit(";"), F.array_join(spans, ","))
+    out = read_media(stored).withColumn("feature", feature)
+    return out.drop("n_frames", "fps", "clips", "error")

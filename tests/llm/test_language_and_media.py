@@ -45,8 +45,8 @@ def test_language_of_odd_texts(spark, odd, nothing, clashing):
 def test_media_are_lossless_and_decode_to_flat_blocks(size):
     payload = bytes(np.random.default_rng(size).integers(0, 256, size, dtype=np.uint8))
     media = M.store(payload)
-    frames, fps = M.riff_index(media)
-    assert fps == 25.0 and M.decode_frames(frames).tobytes() == payload
+    frames, fps, wrong = M.riff_index(media)
+    assert fps == 25.0 and wrong is None and M.decode_frames(frames).tobytes() == payload
     px = M.pixels(frames[-1])
     assert (px == np.frombuffer(payload, np.uint8)[-192:, None, None]).all()
 
@@ -81,9 +81,52 @@ def test_shots_are_cut_where_histograms_jump():
     assert M.shots(dark) == [(0, 10)] and M.shots(dark[:0]) == []
 
 
+def test_the_standards_codes_are_whole():
+    for counts, symbols in (M._LUMA_DC, M._CHROMA_DC, M._LUMA_AC, M._CHROMA_AC):
+        codes = M._canonical(counts, symbols)
+        assert sum(counts) == len(codes) == len(set(symbols)) and all(code < (1 << n) - 1 for n, code in codes)
+    assert len(M._LUMA_AC[1]) == len(M._CHROMA_AC[1]) == 162
+
+
+def colour_frame(luma, across, h, v, tables=False):
+    """A frame of flat blocks in colours of sampling h x v, with the standard's codes, which are left out of the file."""
+    codes = [{s: x for x, s in M._canonical(*t).items()} for t in (M._LUMA_DC, M._LUMA_AC, M._CHROMA_DC, M._CHROMA_AC)]
+    down = -(-len(luma) // across)
+    bits, last = "", [0, 0, 0]
+
+    def put(c, value):
+        nonlocal bits
+        dc, ac = codes[:2] if c == 0 else codes[2:]
+        diff, last[c] = value - last[c], value
+        size = abs(diff).bit_length()
+        n, code = dc[size]
+        bits += f"{code:0{n}b}" + (f"{diff if diff > 0 else diff + (1 << size) - 1:0{size}b}" if size else "")
+        n, code = ac[0]
+        bits += f"{code:0{n}b}"
+
+    for my in range(-(-down // v)):
+        for mx in range(-(-across // h)):
+            for y in range(v):
+                for x in range(h):
+                    at = (my * v + y, mx * h + x)
+                    put(0, luma[at[0] * across + at[1]] - 128 if at[0] < down and at[1] < across and at[0] * across + at[1] < len(luma) else 0)
+            put(1, 5)
+            put(2, -3)
+    bits += "1" * (-len(bits) % 8)
+    sof = bytes([8]) + (down * 8).to_bytes(2, "big") + (across * 8).to_bytes(2, "big") + bytes([3, 1, h << 4 | v, 0, 2, 0x11, 0, 3, 0x11, 0])
+    head = b"\xff\xd8" + M._segment(0xDB, b"\x00" + bytes([8] * 64)) + M._segment(0xC0, sof) + M._segment(0xDA, bytes([3, 1, 0x00, 2, 0x11, 3, 0x11, 0, 63, 0]))
+    return head + int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00") + b"\xff\xd9"
+
+
+@pytest.mark.parametrize(("h", "v"), [(1, 1), (2, 1), (2, 2), (1, 2)])
+def test_colours_of_any_sampling_without_tables(h, v):
+    luma = np.random.default_rng(3).integers(0, 256, 5 * 3).tolist()
+    assert M.decode_frames([colour_frame(luma, 5, h, v)] * 2).tolist() == [luma, luma]
+
+
 def test_media_columns(spark, odd, nothing, clashing):
-    out = M.media_digests(M.store_media(odd.select("doc_id", "text")).select("doc_id", "n_bytes", "media")).collect()
-    assert len(out) == odd.count() and sorted(map(repr, out)) == sorted(map(repr, M.media_round_trip(odd.select("doc_id", "text")).collect()))
+    out = M.media_round_trip(odd.select("doc_id", "text")).collect()
+    assert len(out) == odd.count() and set(out[0].asDict()) == {"doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"}
     payload = {}
     for r in odd.collect():
         t = (r.text or "").encode()
@@ -91,10 +134,24 @@ def test_media_columns(spark, odd, nothing, clashing):
     for r in out:
         p = payload[r.doc_id]
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
+        assert r.feature.startswith(f"frames={len(p) // 192};shots=") and r.media_sha256 == hashlib.sha256(M.store(p)).hexdigest()
     same = [r for r in out if r.doc_id == 107]
     assert same[0] == same[1]
-    assert M.store_media(nothing).count() == 0
-    clips = M.clips(M.store_media(clashing)).filter("doc_id = 105").orderBy("clip").collect()
-    assert clips[0].first_frame == 0 and clips[-1].end_frame == -(-150_000 // 192) and clips[0].end_s > 0
-    broken = spark.createDataFrame([(1, bytearray(b"RIFF")), (2, None), (3, bytearray(b"RIFF\0\0\0\0AVI LIST"))], "k long, media binary")
-    assert M.clips(broken).count() == 0
+    assert M.store_media(nothing).count() == 0 and M.media_round_trip(nothing.select("doc_id", "text")).count() == 0
+    found = M.clips(M.store_media(clashing)).filter("doc_id = 105").orderBy("clip").collect()
+    assert found[0].first_frame == 0 and found[-1].end_frame == -(-150_000 // 192) and found[0].end_s > 0
+
+
+def test_broken_media_are_told_and_fail_nothing(spark):
+    payload = bytes(np.random.default_rng(1).integers(0, 256, 192 * 6, dtype=np.uint8))
+    whole = M.store(payload)
+    nested = b"RIFF\xff\xff\xff\x00AVI " + b"LIST\xff\xff\xff\x00abcd" * 50_000
+    no_index = whole[: whole.index(b"idx1")]
+    cases = [None, b"", b"RIFF", b"RIFF\0\0\0\0AVI LIST", nested, no_index, whole[:2000], whole.replace(M.HEAD[-14:], b"\xff\xda\x00\x0c" + b"\0" * 10), *[whole[:n] for n in range(0, len(whole), 97)]]
+    df = spark.createDataFrame([(i, bytearray(c) if c is not None else None) for i, c in enumerate([*cases, whole])], "k long, media binary")
+    got = {r.k: r for r in M.read_media(df).collect()}
+    assert len(got) == len(cases) + 1 and all(got[i].error for i in range(len(cases)))
+    last = got[len(cases)]
+    assert last.error is None and last.payload_sha256 == hashlib.sha256(payload).hexdigest() and last.n_frames == 6
+    assert got[5].n_frames == 6 and got[5].payload_sha256 == last.payload_sha256 and got[5].error == "cut off" and 0 < got[6].n_frames < 6
+    assert {r.k for r in M.clips(df).collect()} >= {5, 6, len(cases)}
