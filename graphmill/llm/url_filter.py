@@ -10,7 +10,9 @@ Only DataFrame functions are used.  Everything after the first aggregation works
 and shape, and the verdicts reach the URLs by a join that a host with a third of all URLs does not skew.
 
 A null URL, or one without `://`, has an empty host and path, and is judged like any other such.  Repeated
-rows get equal verdicts.  Rows keep their other columns; columns of the result's names are replaced.
+rows get equal verdicts, and ids play no part; a very long URL is a deep path, for which the tree has as many levels.
+Ties of a share with its threshold count as reaching it.  An empty table gives an empty one.  Rows keep their other
+columns, whatever their names, but for those of the result's names, which are replaced.
 """
 
 from __future__ import annotations
@@ -39,9 +41,10 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
-    """The longest rule (verdict, host/path) that fits, and its verdict; null if none does.  Of equally long ones, the first."""
+    """The longest rule (verdict, host/path) that fits, and its verdict; null if none does.  Of equally long ones, the first given."""
     which, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for said, rule in sorted(rules, key=lambda r: len(r[1])):
+    # Later conditions win, so rules come by length, and equally long ones from the last given to the first.
+    for said, rule in sorted(reversed(rules), key=lambda r: len(r[1])):
         at = rule.index("/")
         own, prefix = rule[:at], rule[at:]
         fits = ((host == own) | host.endswith("." + own)) & path.startswith(prefix)
@@ -98,20 +101,18 @@ def filtered(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url
     label names a boolean column, true for URLs known to be bad and null for unknown ones; the rules' verdicts
     count as labels where it is null or not given.
     """
-    host, path = host_and_path(F.col(url))
+    host, path = host_and_path(F.col(url).cast("string"))
     made = ["host", "path", "rule", "template", "purity", "verdict"]
-    rows = pages.drop(*[c for c in made if c not in (url, label)]).withColumn("host", host).withColumn("path", path)
+    kept = [c for c in pages.columns if c not in made or c in (url, label)]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(0).alias("none"))
+    rows = pages.select(row.alias("row"), host.alias("host"), path.alias("path"))
     which, said = rule_of(F.col("host"), F.col("path"), rules)
-    known = F.coalesce(F.col(label), said == "block") if label else said == "block"
-    rows = rows.withColumn("rule", which).withColumn("__said", said).withColumn("__bad", known).withColumn("__shape", shape(F.col("path")))
-    paths = rows.groupBy("host", F.col("__shape").alias("shape"), "path").agg(
-        F.count("__bad").alias("labelled"), F.sum(F.coalesce(F.col("__bad").cast("long"), F.lit(0))).alias("blocked")
-    )
+    known = F.coalesce(F.col(f"row.`{label}`"), said == "block") if label else said == "block"
+    rows = rows.select("*", which.alias("rule"), said.alias("said"), known.alias("bad"), shape(F.col("path")).alias("shape"))
+    paths = rows.groupBy("host", "shape", "path").agg(F.count("bad").alias("labelled"), F.sum(F.coalesce(F.col("bad").cast("long"), F.lit(0))).alias("blocked"))
     shapes = materialize(paths.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")), "shapes")
-    judged = materialize(templates(shapes).withColumnRenamed("shape", "__shape"), "templates")
-    out = lookup_join(rows, judged, ["host", "__shape"])
+    judged = materialize(templates(shapes), "templates")
+    out = lookup_join(rows, judged, ["host", "shape"])
     by_template = F.when(F.col("purity") >= REJECT, F.lit("block")).otherwise(F.lit("allow"))
-    keep = [c for c in rows.columns if not c.startswith("__") and c not in ("host", "path", "rule")]
-    return out.select(
-        *keep, "host", "path", "rule", F.concat(F.lit("/"), F.concat_ws("/", "template")).alias("template"), "purity", F.coalesce("__said", by_template).alias("verdict")
-    )
+    own = [F.col(f"row.`{c}`") for c in kept if c not in made]
+    return out.select(*own, "host", "path", "rule", F.concat(F.lit("/"), F.concat_ws("/", "template")).alias("template"), "purity", F.coalesce("said", by_template).alias("verdict"))

@@ -196,6 +196,83 @@ def test_templates_learn_from_labels(spark, monkeypatch, limit):
     assert L.filtered(clash, URL_RULES).count() == len(rows)
 
 
+def brute_templates(rows):
+    """Template and purity of each (host, path, label), by the rule of the module, in plain Python."""
+    import math
+    from collections import defaultdict
+
+    shape = lambda path: tuple(re.sub("[0-9]+", "{n}", re.sub("[0-9a-fA-F]{8}[0-9a-fA-F-]*", "{h}", x)) for x in path.split("/") if x)
+    leaves = defaultdict(lambda: [set(), 0, 0])
+    for h, path, bad in rows:
+        leaf = leaves[h, shape(path)]
+        leaf[0].add(path)
+        leaf[1] += bad is not None
+        leaf[2] += bool(bad)
+    tree = {k: k[1] for k in leaves}
+    deepest = max(len(s) for _, s in leaves)
+    star = lambda t, d: (*t[:d], "*", *t[d + 1 :])
+    for d in range(deepest):
+        below = defaultdict(lambda: defaultdict(int))
+        for k, t in tree.items():
+            if len(t) > d:
+                below[k[0], t[:d]][t[d]] += len(leaves[k][0])
+        for k, t in list(tree.items()):
+            kids = below.get((k[0], t[:d]))
+            if len(t) > d and len(kids) >= L.CHILDREN and len(kids) >= L.VARIETY * sum(kids.values()):
+                tree[k] = star(t, d)
+    for d in reversed(range(deepest)):
+        branch = defaultdict(lambda: [0, 0])
+        for k, t in tree.items():
+            branch[k[0], t][0] += leaves[k][1]
+            branch[k[0], t][1] += leaves[k][2]
+        pools = defaultdict(lambda: [0, 0, 0])
+        for (h, t), (n, b) in branch.items():
+            pool = pools[h, star(t, d) if len(t) > d else t]
+            for i, x in enumerate((1, n, b)):
+                pool[i] += x
+        for k, t in list(tree.items()):
+            to = star(t, d) if len(t) > d else t
+            (n, b), (members, pn, pb) = branch[k[0], t], pools[k[0], to]
+            if members > 1 and (not n or abs(b / n - pb / pn) <= L.ERRORS * math.sqrt(pb / pn * (1 - pb / pn) / n)):
+                tree[k] = to
+    own, across = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for k, t in tree.items():
+        for table, key in ((own, (k[0], t)), (across, t)):
+            table[key][0] += leaves[k][1]
+            table[key][1] += leaves[k][2]
+    n, b = sum(x[1] for x in leaves.values()), sum(x[2] for x in leaves.values())
+    base = b / n if n else 0.0
+    out = []
+    for h, path, _ in rows:
+        t = tree[h, shape(path)]
+        prior = (across[t][1] + L.PRIOR * base) / (across[t][0] + L.PRIOR)
+        out.append(("/" + "/".join(t), (own[h, t][1] + L.PRIOR * prior) / (own[h, t][0] + L.PRIOR)))
+    return out
+
+
+def test_templates_equal_brute_force(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for _ in range(900):
+        host = ["a.net", "b.net", "c.org"][rng.integers(3)]
+        kind = ["spam", "news", "shop", "x"][rng.integers(4)]
+        depth = rng.integers(0, 5)
+        names = [kind, "".join(rng.choice(list("ghijkl"), 3)), str(rng.integers(0, 99)), ["p", "q"][rng.integers(2)], "0123abcd-ff"][:depth]
+        bad = None if rng.random() < 0.3 else bool(rng.random() < {"spam": 0.9, "news": 0.1, "shop": 0.4, "x": 0.1}[kind])
+        rows.append((host, "".join(f"/{n}" for n in names), bad))
+    df = spark.createDataFrame([(i, f"http://{h}{p}?q={i}", b) for i, (h, p, b) in enumerate(rows)], "page_id long, url string, bad boolean")
+    got = {r.page_id: r for r in L.filtered(df, (), label="bad").collect()}
+    for i, (template, purity) in enumerate(brute_templates(rows)):
+        assert got[i].template == template and abs(got[i].purity - purity) < 1e-9 and got[i].verdict == ("block" if purity >= L.REJECT else "allow")
+    assert any("*" in r.template for r in got.values()) and len({r.verdict for r in got.values()}) == 2
+
+
+def test_equally_long_rules_and_odd_columns(spark):
+    df = spark.createDataFrame([(1, "http://a.b/xy", "k")], "page_id long, url string, __x string")
+    assert [L.filtered(df, rules).first().rule for rules in ((("allow", "b/xy"), ("block", "a.b/")), (("block", "a.b/"), ("allow", "b/xy")))] == ["b/xy", "a.b/"]
+    assert L.filtered(df, ()).columns == ["page_id", "url", "__x", "host", "path", "rule", "template", "purity", "verdict"]
+
+
 def test_deep_paths_keep_their_labels(spark):
     base = "/".join("abcdefghij")
     rows = [(i, f"http://h.net/{base}/{'spam' if i % 2 else 'ham'}/x{i}", bool(i % 2)) for i in range(60)]
