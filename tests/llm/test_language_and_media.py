@@ -31,6 +31,63 @@ def test_back_off_to_shorter_grams(spark):
     assert got == {1: "x", 2: "y", 3: "x", 4: "y"}
 
 
+def brute_languages(train, texts):
+    """The rule of the module, in plain Python."""
+    import math
+    import re
+    from collections import Counter
+
+    split = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    langs = sorted({lang for _, lang in train})
+    counts = {lang: Counter(w for t, x in train if x == lang for w in split(t)) for lang in langs}
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    everything = sum(total.values())
+
+    def telling(w):
+        n = sum(c[w] for c in counts.values())
+        return sum(2 * c[w] * math.log(c[w] / (n * total[lang] / everything)) for lang, c in counts.items() if c[w]) >= L.SIGNIFICANT
+
+    known = {w for c in counts.values() for w in c if telling(w)}
+    tables = [{lang: Counter({w: n for w, n in c.items() if w in known}) for lang, c in counts.items()}]
+    pieces = lambda w, k: [f"^{w}$"[i : i + k] for i in range(max(1, len(w) + 3 - k))]
+    for k in range(1, 5):
+        tables.append({lang: Counter(g for w in c for g in pieces(w, k)) for lang, c in counts.items()})
+    kinds = [len(set().union(*t.values())) for t in tables]
+    log = lambda k, g, lang: math.log((tables[k][lang][g] + 0.5) / (sum(tables[k][lang].values()) + 0.5 * kinds[k] + 0.5))
+
+    def of(w, lang):
+        if w in known:
+            return log(0, w, lang)
+        for k in range(4, 0, -1):
+            if found := [g for g in pieces(w, k) if any(g in tables[k][x] for x in langs)]:
+                return sum(log(k, g, lang) for g in found) / len(found)
+        return 0.0
+
+    out = []
+    for t in texts:
+        ws = split(t or "")
+        sums = {lang: sum(of(w, lang) for w in ws) for lang in langs}
+        best = max(sums, key=lambda x: (sums[x], [-ord(c) for c in x]))
+        out.append((best, 1 / sum(math.exp(s - sums[best]) for s in sums.values())) if ws else ("und", 0.0))
+    return out
+
+
+def test_predictions_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklmnoé"}
+    words = {x: ["".join(rng.choice(list(s), rng.integers(1, 6))) for _ in range(40)] for x, s in letters.items()}
+    rows = []
+    for i in range(90):
+        lang = ["aa", "bb", "cc"][i % 3]
+        text = " ".join([*rng.choice(words[lang], rng.integers(1, 12)), *rng.choice(words["aa"], 2), "".join(rng.choice(list("abcdefghijklmnoxyz"), 5)).title(), "12, _x_!"])
+        rows.append((i, text if i % 17 else "1 2 3", lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = [(r.text, r.lang) for r in L.learnable(docs).collect()]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.language_of(docs).collect()}
+    for (i, _, _), (lang, score) in zip(rows, brute_languages(train, [t for _, t, _ in rows]), strict=True):
+        assert abs(got[i][1] - score) < 1e-3 and (got[i][0] == lang or score < 0.501), i
+
+
 def test_language_of_odd_texts(spark, odd, nothing, clashing):
     got = {(r.doc_id, r.text and r.text[:5]): r for r in L.language_of(odd).collect()}
     assert all(got[k].lang_pred == "und" and got[k].score == 0.0 for k in ((101, None), (102, ""), (103, "   \n\t"[:5]), (104, "!!! .")))
