@@ -38,12 +38,13 @@ GRAM, RUN = 2, 3
 LONG = 8
 
 
-def line_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each line."""
+def line_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each line, and how many words it has."""
     if not text:
-        return np.zeros(0, np.uint64)
-    digest = [blake2b(" ".join(x.lower().split()).encode("utf-8", "surrogatepass"), digest_size=8).digest() for x in text.split("\n")]
-    return np.frombuffer(b"".join(digest), np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    lines = [x.split() for x in text.lower().split("\n")]
+    digest = [blake2b(" ".join(x).encode("utf-8", "surrogatepass"), digest_size=8).digest() for x in lines]
+    return np.frombuffer(b"".join(digest), np.uint64), np.fromiter(map(len, lines), np.int64, len(lines))
 
 
 def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -68,66 +69,44 @@ def selected(grams: np.ndarray, window: int) -> np.ndarray:
     return np.unique(best)
 
 
-def _fingerprints(gram: int, run: int):
-    window = run - gram + 1
+def _runs_of(hashes: np.ndarray, gram: int, run: int):
+    """(line, size, fingerprint, two digests) of every run that holds a selected fingerprint, once for each."""
+    grams, window = rolled(hashes, gram), run - gram + 1
+    at = selected(grams, window)
+    first = at[:, None] + np.arange(1 - window, 1)[None, :]
+    there = (first >= 0) & (first <= len(hashes) - run)
+    line = first[there]
+    return line, np.full(len(line), run), np.broadcast_to(grams[at][:, None], there.shape)[there], rolled(hashes, run)[line], rolled(mix(hashes + _STEP), run)[line]
 
-    def scan(batches):
-        for batch in batches:
-            rows = []
-            columns: list[list[np.ndarray]] = [[], [], [], [], []]
-            for i, text in enumerate(batch.column(3).to_pylist()):
-                hashes = line_hashes(text)
-                grams = rolled(hashes, gram)
-                at = selected(grams, window)
-                if not len(at):
-                    continue
-                # Two digests of the gram and, for each run that holds it, one of the run: 0 where there is none.
-                runs, other = rolled(hashes, run), rolled(mix(hashes + _STEP), run)
-                first = at[:, None] + np.arange(1 - window, 1)[None, :]
-                there = (first >= 0) & (first < len(runs))
-                safe = np.clip(first, 0, len(runs) - 1)
-                rows.append(np.full(len(at), i))
-                columns[0].append(at)
-                columns[1].append(grams[at].view(np.int64))
-                columns[2].append(np.where(there, first, -1).ravel())
-                columns[3].append(runs[safe].view(np.int64).ravel())
-                columns[4].append(other[safe].view(np.int64).ravel())
-            if rows:
-                flat = [np.concatenate(c) for c in columns]
-                n = len(flat[0])
-                offsets = pa.array(np.arange(0, n * window + 1, window, dtype=np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (flat[2], flat[3], flat[4])]
-                of = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in range(3)), pa.array(flat[0]), pa.array(flat[1]), *lists], [*KEY, "line", "gram", "first", "run0", "run1"])
-
-    return scan
 
+def _passages_of(hashes: np.ndarray, words: np.ndarray, run: int, long_words: int):
+    """The same of passages of fewer than `run` lines with long_words or more, and of a whole text of fewer lines and words: each is its own fingerprint."""
+    total = np.concatenate(([0], np.cumsum(words)))
+    whole = len(hashes) < run and 0 < total[-1] < long_words
+    # A whole text meets whole texts only.
+    own = mix(hashes + np.uint64(whole))
+    for size in [len(hashes)] if whole else range(1, min(run, len(hashes) + 1)):
+        at = np.flatnonzero((total[size:] - total[:-size] >= long_words) | whole)
+        digest = rolled(own, size)[at]
+        yield at, np.full(len(at), size), digest, digest, rolled(mix(own + _STEP), size)[at]
 
-def _passages(run: int, long_words: int):
-    """Passages of fewer than `run` lines with long_words or more, and whole texts of fewer lines and words, as two digests."""
 
+def _fingerprints(gram: int, run: int, long_words: int | None):
     def scan(batches):
         for batch in batches:
-            rows = []
-            columns: list[list[np.ndarray]] = [[], [], [], []]
-            for i, text in enumerate(batch.column(3).to_pylist()):
-                hashes = line_hashes(text)
-                if not len(hashes):
-                    continue
-                words = np.concatenate(([0], np.cumsum([len(x.split()) for x in text.split("\n")])))
-                whole = len(hashes) < run and 0 < words[-1] < long_words
-                for size in [len(hashes)] if whole else range(1, min(run, len(hashes) + 1)):
-                    # A whole text meets whole texts only.
-                    own = mix(hashes + np.uint64(whole))
-                    at = np.flatnonzero((words[size:] - words[:-size] >= long_words) | whole)
-                    rows.append(np.full(len(at), i))
-                    columns[0].append(at)
-                    columns[1].append(np.full(len(at), size))
-                    columns[2].append(rolled(own, size)[at].view(np.int64))
-                    columns[3].append(rolled(mix(own + _STEP), size)[at].view(np.int64))
-            if rows:
-                of = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in range(3)), *(pa.array(np.concatenate(c)) for c in columns)], [*KEY, "line", "size", "run0", "run1"])
+            for a in range(0, batch.num_rows, 256):
+                found, rows = [], []
+                for i, text in enumerate(batch.column(3).slice(a, 256).to_pylist()):
+                    hashes, words = line_hashes(text)
+                    parts = [_runs_of(hashes, gram, run)] if len(hashes) >= run else []
+                    if long_words is not None and len(hashes):
+                        parts += _passages_of(hashes, words, run, long_words)
+                    found += parts
+                    rows += [np.full(len(p[0]), a + i) for p in parts]
+                if rows:
+                    of = pa.array(np.concatenate(rows))
+                    flat = [np.concatenate(c).astype(np.int64) if k < 2 else np.concatenate(c).view(np.int64) for k, c in enumerate(zip(*found, strict=True))]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in range(3)), *map(pa.array, flat)], [*KEY, "line", "size", "gram", "run0", "run1"])
 
     return scan
 
@@ -138,17 +117,13 @@ _KEY = "rank long, t0 long, t1 long"
 def repeats(docs: DataFrame, gram: int = GRAM, run: int = RUN, long_words: int | None = None) -> DataFrame:
     """(rank, t0, t1, line, size, source): every run of `run` lines, by its row and first line, that has occurred before.
 
-    With long_words also every shorter passage that _passages() gives.  source: the first one's row and line.
+    With long_words also every shorter passage that _passages_of() gives.  source: the first one's row and line.
     """
     rows = docs.select(*row_key(), F.col("text").cast("string").alias("text"))
-    prints = materialize(map_arrow(rows, _fingerprints(gram, run), f"{_KEY}, line long, gram long, first array<long>, run0 array<long>, run1 array<long>"), "prints")
+    prints = materialize(map_arrow(rows, _fingerprints(gram, run, long_words), f"{_KEY}, line long, size long, gram long, run0 long, run1 long"), "prints")
     common = materialize(prints.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "grams")
     met = counted_join(prints, common, ["gram"], "n")
-    held = met.select(*KEY, F.explode(F.arrays_zip("first", "run0", "run1")).alias("x")).filter("x.first >= 0")
-    held = held.select(*KEY, F.col("x.first").alias("line"), F.lit(run).cast("long").alias("size"), "x.run0", "x.run1")
-    if long_words is not None:
-        held = held.union(map_arrow(rows, _passages(run, long_words), f"{_KEY}, line long, size long, run0 long, run1 long"))
-    runs = materialize(held.distinct(), "runs")
+    runs = materialize(met.select(*KEY, "line", "size", "run0", "run1").distinct(), "runs")
     firsts = materialize(runs.groupBy("run0", "run1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "line")).alias("source")).filter("n > 1"), "firsts")
     later = counted_join(runs, firsts, ["run0", "run1"], "n").filter("struct(rank, t0, t1, line) <> source")
     return later.select(*KEY, "line", "size", "source")
