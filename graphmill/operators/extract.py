@@ -27,6 +27,7 @@ SCHEMA = (
 )
 Extractor = Callable[[str, str], Iterator[dict]]
 REGISTRY: dict[str, Extractor] = {}
+# What counts as a branch.
 BRANCHES = ("if ", "else ", "for ", "while ", "switch ", "case ", "catch ", "&&", "||")
 
 
@@ -58,7 +59,7 @@ class Text:
         body = self.text[start:end]
         return {
             "row": "symbol", "kind": kind, "name": name, "qualified_name": qn or name, "start_byte": self.byte(start), "end_byte": self.byte(end), "start_line": self.line(start),
-            "end_line": self.line(max(start, end - 1)), "signature": body.split("\n", 1)[0].strip()[:200], "complexity": 1 + sum(body.count(w) for w in BRANCHES),
+            "end_line": self.line(max(start, end - 1)), "signature": body.split("\n", 1)[0].strip(), "complexity": 1 + sum(body.count(w) for w in BRANCHES),
             "is_exported": name[:1].isupper() and name[:1].isascii(), "confidence": confidence,
         } | more
 
@@ -203,16 +204,16 @@ def extract_python(path: str, text: str) -> Iterator[dict]:
     yield from visit(tree, [], False)
 
 
-def _settings(value, prefix: str, t: Text, depth: int = 0) -> Iterator[dict]:
-    if isinstance(value, dict) and depth < 12:
+def _settings(value, prefix: str, t: Text) -> Iterator[dict]:
+    if isinstance(value, dict):
         for k, v in value.items():
             qn = f"{prefix}.{k}" if prefix else str(k)
             at = max(t.text.find(str(k)), 0)
             yield t.symbol("Setting", str(k), at, at + len(str(k)), qn, 0.95, parent=prefix or None)
-            yield from _settings(v, qn, t, depth + 1)
-    elif isinstance(value, list) and depth < 12:
-        for i, v in enumerate(value[:200]):
-            yield from _settings(v, f"{prefix}[{i}]", t, depth + 1)
+            yield from _settings(v, qn, t)
+    elif isinstance(value, list):
+        for i, v in enumerate(value):
+            yield from _settings(v, f"{prefix}[{i}]", t)
 
 
 @register("JSON")
@@ -247,16 +248,15 @@ def extract_xml(path: str, text: str) -> Iterator[dict]:
     if "<!ENTITY" in text:
         raise ValueError("entities are not read")
 
-    def walk(e: ElementTree.Element, prefix: str, depth: int) -> Iterator[dict]:
+    # Not by recursion, as documents may be deeper than the stack.
+    waiting = [(ElementTree.fromstring(text), "")]
+    while waiting:
+        e, prefix = waiting.pop()
         name = e.tag.rsplit("}", 1)[-1]
         qn = f"{prefix}.{name}" if prefix else name
         at = max(t.text.find("<" + name), 0)
         yield t.symbol("Block" if len(e) else "Setting", name, at, at + len(name) + 1, qn, 0.9, parent=prefix or None)
-        if depth < 20:
-            for c in e:
-                yield from walk(c, qn, depth + 1)
-
-    yield from walk(ElementTree.fromstring(text), "", 0)
+        waiting += [(c, qn) for c in reversed(e)]
 
 
 @register("Markdown")
@@ -319,7 +319,7 @@ def extract_html(path: str, text: str) -> Iterator[dict]:
         name = " ".join(words.split())
         at = t.starts[line - 1] + column
         kind = "Document" if tag == "title" else "Section"
-        yield t.symbol(kind, name, at, min(len(text), at + len(words) + 4), f"{tag}.{i}.{name}"[:200], 0.8)
+        yield t.symbol(kind, name, at, min(len(text), at + len(words) + 4), f"{tag}.{i}.{name}", 0.8)
     for link in dict.fromkeys(p.links):
         if "://" not in link and not link.startswith(("#", "mailto:", "javascript:", "//")):
             yield edge("IMPORTS", path, re.sub(r"[?#].*$", "", link), 0.8)

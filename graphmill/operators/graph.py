@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphmill.functions import scalars as S
 from graphmill.operators.paths import reached, reversed_edges
-from graphmill.plans.cut import cut
+from graphmill.plans.cut import cut, steps_of
 from graphmill.schema import CALL_FAMILY
 
 MOST_HOPS_TRACED, TRACE_DEFAULT, TRACE_LIMIT = 5, 3, 500
@@ -38,7 +38,7 @@ def _walk_with_kinds(edges: DataFrame, starts: DataFrame, most: int) -> DataFram
     A node has a walk of d edges whose last has a given kind if some node that a walk of d - 1 edges reaches
     has such an edge to it; so levels need no more than (start, node), distinct.
     """
-    steps = cut(edges.select(F.col("from_id").alias("__from"), F.col("to_id").alias("__to"), F.col("kind").alias("via")).distinct())
+    steps = steps_of(edges.select(F.col("from_id").alias("__from"), F.col("to_id").alias("__to"), F.col("kind").alias("via")))
     front, found = starts.select("start", F.col("start").alias("node")).distinct(), None
     for depth in range(1, most + 1):
         level = front.join(steps, F.col("node") == F.col("__from")).groupBy("start", F.col("__to").alias("node")).agg(F.min("via").alias("via"))
@@ -111,7 +111,7 @@ def closure(edges: DataFrame, depth: int = CLOSURE_DEFAULT, kinds: tuple[str, ..
     starts (id): only pairs that begin there, for a part of the closure to be made anew.
     """
     most = max(1, min(depth, CLOSURE_MOST)) if depth > 0 else CLOSURE_DEFAULT
-    steps = cut(edges.filter(F.col("kind").isin(list(kinds))).select(F.col("from_id").alias("__from"), F.col("to_id").alias("__to"), F.col("kind").alias("via")).distinct())
+    steps = steps_of(edges.filter(F.col("kind").isin(list(kinds))).select(F.col("from_id").alias("__from"), F.col("to_id").alias("__to"), F.col("kind").alias("via")))
     first = steps if starts is None else steps.join(starts.select(F.col("id").alias("__from")).distinct(), "__from", "left_semi")
     level = cut(first.filter("__from <> __to").groupBy(F.col("__from").alias("from_id"), F.col("__to").alias("to_id")).agg(F.min("via").alias("via_kind")))
     seen = level.select("from_id", "to_id")

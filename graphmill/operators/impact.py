@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmill.functions import scalars as S
-from graphmill.operators.graph import direct_callers, trace
+from graphmill.operators.graph import direct_callers
+from graphmill.operators.paths import reached, reached_by_any, reversed_edges
 from graphmill.schema import CALL_FAMILY
 
 HIGH_BLAST = 14
@@ -42,17 +43,19 @@ def change_depth(depth: int) -> int:
 
 
 def blast_radius(symbols: DataFrame, edges: DataFrame, changed: DataFrame, depth: int = 3) -> DataFrame:
-    """All callers of the changed nodes by least depth, with risk: one trace from all of them together."""
-    found = trace(edges, changed.select(F.col("id").alias("start")), "in", change_depth(depth))
-    near = found.groupBy(F.col("node").alias("id")).agg(F.min("depth").alias("depth"), F.countDistinct("start").alias("reaches"))
-    near = near.join(changed.select("id"), "id", "left_anti")
+    """All callers of the changed nodes by least depth, with risk: one walk from all of them together, which keeps a node once and not for each start."""
+    calls = edges.filter(F.col("kind").isin(list(CALL_FAMILY)))
+    near = reached_by_any(reversed_edges(calls), changed.select("id"), change_depth(depth)).select(F.col("node").alias("id"), "depth")
     return near.join(symbols.select("id", "name", "kind", "file_path", "is_test"), "id").withColumn("risk", S.risk_label(F.col("depth")))
 
 
-def impacted_tests(blast: DataFrame) -> DataFrame:
-    """Tests among those affected, by how many changed nodes they reach."""
+def impacted_tests(blast: DataFrame, edges: DataFrame, changed: DataFrame, depth: int = 3) -> DataFrame:
+    """Tests among those affected, by how many changed nodes they reach; only tests are walked from to count these."""
     tests = blast.filter(F.col("is_test") | S.is_test_file(F.col("file_path")))
-    return tests.select("id", "name", "file_path", "depth", "reaches", S.package_of_file(F.col("file_path")).alias("package"))
+    calls = edges.filter(F.col("kind").isin(list(CALL_FAMILY)))
+    met = reached(calls, tests.select(F.col("id").alias("start")), 1, change_depth(depth)).join(changed.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    out = tests.join(met.groupBy(F.col("start").alias("id")).agg(F.count(F.lit(1)).alias("reaches")), "id")
+    return out.select("id", "name", "file_path", "depth", "reaches", S.package_of_file(F.col("file_path")).alias("package"))
 
 
 def tests_by_package(tests: DataFrame) -> DataFrame:
@@ -162,7 +165,10 @@ def context(symbols: DataFrame, edges: DataFrame, symbol: str) -> DataFrame:
 
 
 # Words in a stack trace that name nothing of the program.
-_STOP = frozenset("error exception panic goroutine running main at in line file traceback most recent call last raise return self runtime native caused by".split())
+_STOP = frozenset((
+    "error", "exception", "panic", "goroutine", "running", "main", "at", "in", "line", "file", "traceback", "most", "recent", "call", "last", "raise", "return", "self", "runtime",
+    "native", "caused", "by",
+))
 _FRAME = re.compile(r"(?<![\w/.-])([A-Za-z_][\w.]*)\s*(?=\()")
 _FILE = re.compile(r"([\w./\\-]+\.(?:go|py|js|ts|tsx|java|rb|rs|cs|php|kt|swift|cpp|c|h))(?::(\d+)|\", line (\d+))?")
 

@@ -1,7 +1,8 @@
 """Walks over edges by joins of a frontier, one level after the other.
 
-Each level is distinct by (start, node), so cycles cost no more than the nodes they hold.  Edges are cut once
-and read by every level; the frontier is cut at every level, so lineage never grows.
+Each level is distinct by (start, node), so cycles cost no more than the nodes they hold.  Edges that are stored are
+read by every level, filtered by its frontier; others are cut once.  The frontier is cut at every level, so
+lineage never grows.  Where it has many rows of one node, or a node has very many edges, adaptive execution splits the join.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.plans.cut import cut
+from graphmill.plans.cut import cut, steps_of
 
 
 def reached(edges: DataFrame, starts: DataFrame, least: int, most: int) -> DataFrame:
@@ -19,7 +20,7 @@ def reached(edges: DataFrame, starts: DataFrame, least: int, most: int) -> DataF
     reached are not walked from again; else every level is walked in full, as a longer walk may be the first
     that is long enough.
     """
-    steps = cut(edges.select(F.col("from_id").alias("__from"), F.col("to_id").alias("__to")).distinct())
+    steps = steps_of(edges.select(F.col("from_id").alias("__from"), F.col("to_id").alias("__to")))
     front = starts.select("start", F.col("start").alias("node")).distinct()
     found, seen = None, front if least == 1 else None
     for depth in range(1, most + 1):
@@ -39,5 +40,20 @@ def reached(edges: DataFrame, starts: DataFrame, least: int, most: int) -> DataF
     return found.filter("start <> node").groupBy("start", "node").agg(F.min("depth").alias("depth"))
 
 
+def reached_by_any(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
+    """(node, depth): nodes that some walk of at most `most` edges reaches from any of the starts (id), by least depth; starts are left out."""
+    steps = steps_of(edges.select(F.col("from_id").alias("__from"), F.col("to_id").alias("__to")))
+    front = cut(starts.select(F.col("id").alias("node")).distinct())
+    seen, found = front, None
+    for depth in range(1, most + 1):
+        front = cut(steps.join(front, F.col("__from") == F.col("node"), "left_semi").select(F.col("__to").alias("node")).distinct().join(seen, "node", "left_anti"))
+        if front.isEmpty():
+            break
+        level = front.withColumn("depth", F.lit(depth))
+        found = level if found is None else found.union(level)
+        seen = seen.union(front)
+    return starts.sparkSession.createDataFrame([], "node string, depth int") if found is None else found
+
+
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.withColumns({"from_id": F.col("to_id"), "to_id": F.col("from_id")})

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphmill.functions import scalars as S
-from graphmill.operators.graph import trace
 
 DEAD_KINDS, DEAD_CONFIDENCE = ("Function", "Method"), 0.95
 #: Bytes that a symbol, an edge and a full-text row are reckoned to take.
@@ -41,24 +40,20 @@ def presentable(dead: DataFrame) -> DataFrame:
     return dead.filter(~path.rlike("(^|/)scratch/") & ~S.is_fixture_path(path) & ~run)
 
 
-def audit_unused(symbols: DataFrame, edges: DataFrame, interface_names: DataFrame | None = None, confirm_depth: int = 2, limit: int | None = 100, **filters) -> DataFrame:
-    """Dead nodes with how sure that is: low if a trace finds a direct caller, medium if one further off, else high.
+def audit_unused(symbols: DataFrame, edges: DataFrame, interface_names: DataFrame | None = None, limit: int | None = 100, **filters) -> DataFrame:
+    """Dead nodes with how sure that is: high, or medium where an interface may dispatch to a method or extraction was not certain.
 
-    Where an interface may dispatch to a method, or where extraction was not certain, high becomes medium.
-    One trace is made for all nodes at once.
+    A node with a caller is not dead, so no trace can lower that: there is nothing to walk to from a node without incoming edges.
     """
-    dead = dead_nodes(symbols, edges, limit=None, **filters)
-    inbound = trace(edges, dead.select(F.col("id").alias("start")), "in", max(1, min(confirm_depth, 4)))
-    callers = inbound.groupBy(F.col("start").alias("id")).agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("deeper"))
-    out = dead.join(callers, "id", "left")
+    out = dead_nodes(symbols, edges, limit=None, **filters)
     dispatch = F.lit(False)
     if interface_names is not None:
         named = interface_names.select(F.lower("method_name").alias("__name"), F.lit(True).alias("__dispatch")).distinct()
         out = out.join(named, F.lower("name") == F.col("__name"), "left")
         dispatch = (F.col("kind") == "Method") & F.coalesce("__dispatch", F.lit(False))
     blind = dispatch | (F.col("extraction_confidence") < 0.95)
-    sure = F.when(F.coalesce("direct", F.lit(0)) > 0, "low").when(F.coalesce("deeper", F.lit(0)) > 0, "medium").when(blind, "medium").otherwise("high")
-    rank = F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "medium", 1).otherwise(2)
+    sure = F.when(blind, "medium").otherwise("high")
+    rank = F.when(F.col("confidence") == "high", 0).otherwise(1)
     out = out.select("id", "name", "qualified_name", "kind", "file_path", sure.alias("confidence"))
     return out if limit is None else out.orderBy(rank, "qualified_name", "id").limit(limit)
 

@@ -15,22 +15,26 @@ from graphmill.functions import scalars as S
 NOT_CODE = ("Setting", "Section", "Document", "Block", "Rationale")
 # Packages of a standard library, whose methods are never those of the project.
 STDLIB = (
-    "strings bytes time os fmt io ioutil errors context sync atomic filepath path exec url http regexp sort strconv math rand log slog ast token reflect runtime unsafe unicode "
-    "utf8 utf16 binary hex base64 csv xml html template tls syscall encoding hash crypto sha256 sha1 md5 rsa tar zip gzip flate bufio bits big cmplx list ring heap container image "
-    "color draw jpeg png gif mime multipart smtp mail net tcp udp ip rpc jsonrpc signal user build cgo format parser printer scanner types constant doc importer plugin tabwriter "
-    "text elliptic ecdsa ed25519 x509 pem subtle sql driver expvar trace pprof"
-).split()
+    "strings", "bytes", "time", "os", "fmt", "io", "ioutil", "errors", "context", "sync", "atomic", "filepath", "path", "exec", "url", "http", "regexp", "sort",
+    "strconv", "math", "rand", "log", "slog", "ast", "token", "reflect", "runtime", "unsafe", "unicode", "utf8", "utf16", "binary", "hex", "base64", "csv", "xml", "html",
+    "template", "tls", "syscall", "encoding", "hash", "crypto", "sha256", "sha1", "md5", "rsa", "tar", "zip", "gzip", "flate", "bufio", "bits", "big", "cmplx", "list",
+    "ring", "heap", "container", "image", "color", "draw", "jpeg", "png", "gif", "mime", "multipart", "smtp", "mail", "net", "tcp", "udp", "ip", "rpc", "jsonrpc",
+    "signal", "user", "build", "cgo", "format", "parser", "printer", "scanner", "types", "constant", "doc", "importer", "plugin", "tabwriter", "text", "elliptic",
+    "ecdsa", "ed25519", "x509", "pem", "subtle", "sql", "driver", "expvar", "trace", "pprof",
+)
 # Method names that many types have.
 POLYMORPHIC = (
-    "String Error GoString Read Write Close Seek ReadAt WriteAt ReadFrom WriteTo ReadByte WriteByte ReadString WriteString ReadRune WriteRune UnreadByte UnreadRune Lock Unlock RLock "
-    "RUnlock TryLock Len Less Swap ServeHTTP MarshalJSON UnmarshalJSON MarshalText UnmarshalText MarshalBinary UnmarshalBinary MarshalYAML UnmarshalYAML Format Scan Now Add Sub "
-    "Before After Equal Deadline Done Err Value Is As Unwrap Stats Run"
-).split()
+    "String", "Error", "GoString", "Read", "Write", "Close", "Seek", "ReadAt", "WriteAt", "ReadFrom", "WriteTo", "ReadByte", "WriteByte", "ReadString", "WriteString",
+    "ReadRune", "WriteRune", "UnreadByte", "UnreadRune", "Lock", "Unlock", "RLock", "RUnlock", "TryLock", "Len", "Less", "Swap", "ServeHTTP", "MarshalJSON",
+    "UnmarshalJSON", "MarshalText", "UnmarshalText", "MarshalBinary", "UnmarshalBinary", "MarshalYAML", "UnmarshalYAML", "Format", "Scan", "Now", "Add", "Sub", "Before",
+    "After", "Equal", "Deadline", "Done", "Err", "Value", "Is", "As", "Unwrap", "Stats", "Run",
+)
 # What a build tag adds to a file's name.
 PLATFORMS = (
-    "aix android darwin dragonfly freebsd hurd illumos ios js linux nacl netbsd openbsd plan9 solaris unix wasip1 windows zos 386 amd64 amd64p32 arm arm64 armbe arm64be loong64 mips "
-    "mips64 mips64le mips64p32 mips64p32le mipsle ppc ppc64 ppc64le riscv riscv64 s390 s390x sparc sparc64 wasm"
-).split()
+    "aix", "android", "darwin", "dragonfly", "freebsd", "hurd", "illumos", "ios", "js", "linux", "nacl", "netbsd", "openbsd", "plan9", "solaris", "unix", "wasip1",
+    "windows", "zos", "386", "amd64", "amd64p32", "arm", "arm64", "armbe", "arm64be", "loong64", "mips", "mips64", "mips64le", "mips64p32", "mips64p32le", "mipsle",
+    "ppc", "ppc64", "ppc64le", "riscv", "riscv64", "s390", "s390x", "sparc", "sparc64", "wasm",
+)
 
 
 def first_by(df: DataFrame, keys: list[str], alias: str, order: Column | None = None) -> DataFrame:
@@ -142,7 +146,7 @@ def resolve_calls(symbols: DataFrame, pending: DataFrame, struct_fields: DataFra
     # 7: a method that only one type has, unless its name or receiver says nothing.
     methods = only_by(code.filter("kind = 'Method' and language = 'Go'").filter(~S.is_fixture_path(F.col("file_path"))).select("project_id", F.col("name").alias("tail"), "id"), ["project_id", "tail"], "t7")
     p = p.join(methods, ["project_id", "tail"], "left")
-    telling = ~F.col("head").isin(STDLIB) & ~F.col("tail").isin(POLYMORPHIC)
+    telling = ~F.col("head").isin(list(STDLIB)) & ~F.col("tail").isin(list(POLYMORPHIC))
     bare = ~F.col("dotted")
     to = F.coalesce(
         "t1", *[F.when(python, r) for r in root_hits], F.when(go & bare, F.col("t2")), F.when(go, F.coalesce("t3", "t4")), F.when(js, F.coalesce("t5", F.when(bare, F.coalesce("t2", "t6")))),
@@ -184,7 +188,7 @@ def resolve_reads(symbols: DataFrame, pending: DataFrame) -> DataFrame:
     p = p.join(target, ["project_id", "to_id"])
     callable_ = F.col("to_kind").isin("Function", "Method")
     field = F.contains("to_name", F.lit(".")) & F.coalesce(F.col("receiver_type") != "", F.lit(False))
-    values = _edges(p.filter(callable_ & ~F.col("to_short").isin(POLYMORPHIC) & ~field), "CALLS", F.lit(0.4), "binding_pass")
+    values = _edges(p.filter(callable_ & ~F.col("to_short").isin(list(POLYMORPHIC)) & ~field), "CALLS", F.lit(0.4), "binding_pass")
     return _edges(p.filter("to_kind = 'Variable'")).unionByName(values)
 
 

@@ -114,20 +114,51 @@ def filter_projects(projects: DataFrame, min_edges: int = 0, active_since: int |
     return marked.filter("__drop is null").drop("__drop"), drops
 
 
+def decisions(current: DataFrame, project: str, key: str | None = None) -> DataFrame:
+    """The decisions of a project in order of their keys, or the one of a key."""
+    own = current.filter(F.col("project_id") == project)
+    return (own if key is None else own.filter(F.col("key") == key)).orderBy("key")
+
+
+def delete_decisions(current: DataFrame, gone: DataFrame) -> DataFrame:
+    """current without the decisions of some keys (project_id, key)."""
+    return current.join(gone.select("project_id", "key"), ["project_id", "key"], "left_anti")
+
+
+def fields(df: DataFrame, names: list[str] | None) -> DataFrame:
+    """Only the named columns, in that order; names that df has not are left out, and without any name all stay."""
+    kept = [n for n in names or [] if n in df.columns]
+    return df.select(*kept) if kept else df
+
+
 def set_decisions(current: DataFrame, changes: DataFrame) -> DataFrame:
     """Key-value decisions (project_id, key, value), changes last."""
     return upsert(current, changes, ["project_id", "key"])
 
 
-def write_symbols(symbols: DataFrame, path: str) -> None:
-    """Symbols in folders by project; only the projects that symbols holds are replaced."""
+def _remove(df: DataFrame, path: str, **folder: str) -> None:
+    """Delete a folder of a partitioned table."""
+    jvm = df.sparkSession._jvm
+    at = jvm.org.apache.hadoop.fs.Path("/".join([path.rstrip("/"), *(f"{k}={jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(v)}" for k, v in folder.items())]))
+    at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def write_symbols(symbols: DataFrame, path: str, projects: list[str] | None = None) -> None:
+    """Symbols in folders by project; the projects that symbols holds are replaced, and those named that it has no row of are emptied."""
+    for p in sorted(set(projects or []) - {r[0] for r in symbols.select("project_id").distinct().collect()} if projects else ()):
+        _remove(symbols, path, project_id=p)
     symbols.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(path)
 
 
-def write_edges(edges: DataFrame, path: str) -> None:
-    """Edges in folders by project, kind and source, sorted by where they start; only the folders that edges fills are replaced.
+def write_edges(edges: DataFrame, path: str, replaces: list[tuple[str, str, str]] | None = None) -> None:
+    """Edges in folders by project, kind and source, sorted by where they start; the folders that edges fills are replaced.
 
+    replaces: (project, kind, source) of folders that this write stands for; one that it has no row for is emptied.
     A walk over one kind reads that kind's folders, and a lookup by from_id skips row groups.
     """
+    if replaces:
+        filled = {tuple(r) for r in edges.select("project_id", "kind", "source").distinct().collect()}
+        for p, k, s in sorted(set(replaces) - filled):
+            _remove(edges, path, project_id=p, kind=k, source=s)
     ordered = edges.repartitionByRange("project_id", "kind", "source", "from_id").sortWithinPartitions("project_id", "kind", "source", "from_id")
     ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id", "kind", "source").parquet(path)

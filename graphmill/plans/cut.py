@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as files that survive a lost executor.  The folder is spark.checkpoint.dir; a temporary one where that is unset."""
+    """df as files that survive a lost executor.  The folder is spark.checkpoint.dir; on one machine only, a temporary one where that is unset."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphmill-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphmill-"))
     return df.checkpoint(eager=True)
+
+
+def is_stored(df: DataFrame) -> bool:
+    """Whether df is no more than filters and columns of files, which is as cheap to read again as a copy of it."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = [re.sub(r"^[\s:+-]*", "", line) for line in plan.splitlines() if line.strip()]
+    return all(n.startswith(("Project", "Filter", "Relation")) for n in nodes)
+
+
+def steps_of(df: DataFrame) -> DataFrame:
+    """The edges that every level of a walk joins with: read anew where they are stored, so that a level reads what its frontier asks for; else cut once."""
+    return df if is_stored(df) else cut(df.distinct())

@@ -20,7 +20,7 @@ from graphmill.plans.parser import parse
 from graphmill.schema import EDGE_PROPERTIES, PROPERTIES, property_type
 
 DEFAULT_ROWS, MOST_ROWS = 200, 10_000
-MOST_HOPS, MOST_STARTS = 10, 100
+MOST_HOPS = 10
 NODE_COLUMNS = tuple(dict.fromkeys(PROPERTIES.values()))
 
 
@@ -189,8 +189,6 @@ class Engine:
         for c in only(v):
             begin = begin.filter(self._where(c, {v}, "", False))
         begin = begin.select(F.col(f"{v}.id").alias("start"))
-        if self.max_rows is not None and not invert:
-            begin = begin.orderBy("start").limit(MOST_STARTS)
         pairs = reached(reversed_edges(e) if invert else e, begin, min(p.hop.least, most), most)
         f, t = ("node", "start") if invert else ("start", "node")
         target = Node(p.target.var, "" if self.compat and not invert else p.target.kind, p.target.props)

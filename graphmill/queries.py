@@ -299,17 +299,26 @@ query("changed_symbols", "symbols", "SELECT id FROM symbols WHERE file_path IN (
 
 
 @query("blast_radius", "symbols edges", """, c AS (SELECT id FROM symbols WHERE file_path IN ('party/supplier', 'catalog/Brand#2')),
-w AS (SELECT id AS start, id AS node, 0 AS depth FROM c UNION SELECT start, from_id, depth + 1 FROM w JOIN edges ON to_id = node WHERE kind = 'CALLS' AND depth < 2)
-SELECT node AS id, min(depth) AS depth, count(DISTINCT start) AS reaches, CASE min(depth) WHEN 1 THEN 'CRITICAL' ELSE 'HIGH' END AS risk FROM w WHERE node <> start AND node NOT IN (FROM c) GROUP BY node""", True)
+w AS (SELECT id AS node, 0 AS depth FROM c UNION SELECT from_id, depth + 1 FROM w JOIN edges ON to_id = node WHERE kind = 'CALLS' AND depth < 2)
+SELECT node AS id, min(depth) AS depth, CASE min(depth) WHEN 1 THEN 'CRITICAL' ELSE 'HIGH' END AS risk FROM w WHERE node NOT IN (FROM c) GROUP BY node""", True)
 def _(spark, d):
     s, e = trade.symbols(spark, d), trade.edges(spark, d)
-    return I.blast_radius(s, e, I.changed_symbols(s, _changes(spark)), 2).select("id", "depth", "reaches", "risk")
+    return I.blast_radius(s, e, I.changed_symbols(s, _changes(spark)), 2).select("id", "depth", "risk")
 
 
 SQL["blast_radius"] = SQL["blast_radius"].replace(")\n, c AS", "),\nc AS", 1)
-query("tests_ranked", "symbols edges", """SELECT e.from_id AS id, count(DISTINCT e.to_id) AS reaches FROM edges e JOIN symbols s ON s.id = e.from_id WHERE e.kind = 'CALLS' AND s.is_test AND e.to_id LIKE 'catalog/Brand#2::%' GROUP BY 1""")(
-    lambda spark, d: I.impacted_tests(I.blast_radius(trade.symbols(spark, d), trade.edges(spark, d), trade.symbols(spark, d).filter("file_path = 'catalog/Brand#2'"), 1)).select("id", "reaches")
-)
+
+
+@query("tests_ranked", "symbols edges", """, c AS (SELECT id FROM symbols WHERE file_path IN ('party/supplier', 'catalog/Brand#2')),
+w AS (SELECT id AS start, id AS node, 0 AS depth FROM symbols WHERE is_test UNION SELECT start, to_id, depth + 1 FROM w JOIN edges ON from_id = node WHERE kind = 'CALLS' AND depth < 2)
+SELECT start AS id, count(DISTINCT node) AS reaches FROM w WHERE depth > 0 AND node IN (FROM c) GROUP BY 1""", True)
+def _(spark, d):
+    s, e = trade.symbols(spark, d), trade.edges(spark, d)
+    changed = I.changed_symbols(s, _changes(spark))
+    return I.impacted_tests(I.blast_radius(s, e, changed, 2), e, changed, 2).select("id", "reaches")
+
+
+SQL["tests_ranked"] = SQL["tests_ranked"].replace(")\n, c AS", "),\nc AS", 1)
 query("callers_by_file", "symbols edges", "SELECT split_part(from_id, '::', 1) AS file_path, count(DISTINCT from_id) AS direct_callers FROM edges WHERE kind = 'CALLS' AND to_id LIKE 'party/supplier::%' GROUP BY 1")(
     lambda spark, d: I.callers_by_file(trade.symbols(spark, d), trade.edges(spark, d), trade.symbols(spark, d).filter("kind = 'Supplier'"))
 )
@@ -475,15 +484,23 @@ def _extracted(spark, d):
     return X.extract(trade.files(spark, d).withColumn("language", F.lit("HTML")))
 
 
-query("html_sections")(lambda spark, d: X.symbols_of(_extracted(spark, d), "pages").select("id", "kind", "name", "start_line", "extraction_confidence"))
-query("html_imports")(lambda spark, d: X.pending_of(_extracted(spark, d), "pages").select("from_file", "kind", "to_name"))
+_PAGE = "url"
+_WORDS = "trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<{0}>([^<]*)</{0}>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+_LINE = "(1 + length(split_part(html, '<{0}>', 1)) - length(replace(split_part(html, '<{0}>', 1), chr(10), '')))::INT"
+query("html_sections", "", f"""SELECT {_PAGE} || '::title.0.' || name || '#Document' AS id, 'Document' AS kind, name, start_line, 0.75::DOUBLE AS extraction_confidence FROM (SELECT url, {_WORDS.format('title')} AS name, {_LINE.format('title')} AS start_line FROM pages)
+UNION ALL SELECT {_PAGE} || '::h1.1.' || name || '#Section', 'Section', name, start_line, 0.8::DOUBLE FROM (SELECT url, {_WORDS.format('h1')} AS name, {_LINE.format('h1')} AS start_line FROM pages)""")(
+    lambda spark, d: X.symbols_of(_extracted(spark, d), "pages").select("id", "kind", "name", "start_line", "extraction_confidence")
+)
+query("html_imports", "", f"""SELECT DISTINCT {_PAGE} AS from_file, 'IMPORTS' AS kind, regexp_replace(link, '[?#].*$', '') AS to_name FROM (SELECT url, unnest(list_distinct(regexp_extract_all(html, '<a href="([^"]+)"', 1))) AS link FROM pages)
+WHERE NOT contains(link, '://') AND NOT regexp_matches(link, '^(#|mailto:|javascript:|//)')""")(
+    lambda spark, d: X.pending_of(_extracted(spark, d), "pages").select("from_file", "kind", "to_name").distinct()
+)
 query("html_title_count", "", "SELECT 'Document' AS kind, count(*) AS n FROM pages WHERE contains(html, '<title>')")(
     lambda spark, d: X.symbols_of(_extracted(spark, d), "pages").filter("kind = 'Document'").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 )
 query("export_dangling", "edges", "SELECT kind, count(*) AS n FROM edges WHERE split_part(to_id, '::', 1) <> 'party/supplier' AND split_part(from_id, '::', 1) <> 'party/supplier' GROUP BY 1")(
     lambda spark, d: SK.without_dangling(trade.symbols(spark, d).filter("kind <> 'Supplier'"), trade.edges(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 )
-query("export_graphml")(lambda spark, d: SK.graphml_lines(trade.symbols(spark, d), trade.edges(spark, d).filter("kind = 'IMPORTS'")))
 query("export_tsv", "symbols", "SELECT concat_ws(chr(9), id, name, complexity::VARCHAR) AS value FROM symbols WHERE kind = 'Part'")(
     lambda spark, d: SK.tsv(trade.symbols(spark, d).filter("kind = 'Part'"), ["id", "name", "complexity"])
 )
@@ -573,3 +590,5 @@ query("settings_flood", "symbols", "SELECT project_id FROM symbols GROUP BY 1 HA
 query("tests_by_package", "symbols edges", "SELECT 'order' AS package, false AS runnable, count(DISTINCT e.from_id) AS tests FROM edges e JOIN symbols s ON s.id = e.from_id WHERE e.kind = 'CALLS' AND s.is_test AND e.to_id LIKE 'catalog/Brand#2::%'")(
     lambda spark, d: I.tests_by_package(I.impacted_tests(I.blast_radius(trade.symbols(spark, d), trade.edges(spark, d), trade.symbols(spark, d).filter("file_path = 'catalog/Brand#2'"), 1)))
 )
+
+from graphmill import more_queries  # noqa: E402, F401  (adds its queries to the tables above)

@@ -42,6 +42,13 @@ def log_sink(events: DataFrame, path: str, checkpoint: str):
     return events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def newest(batch: DataFrame) -> DataFrame:
+    """(path, content), the last version of each path by mtime, of equally old ones by content; deleted files have no content."""
+    at = F.col("mtime") if "mtime" in batch.columns else F.lit(0)
+    last = F.max(F.struct(at.alias("at"), F.col("content").isNull().alias("gone"), "content")).alias("last")
+    return batch.groupBy("path").agg(last).select("path", "last.content")
+
+
 class Ingest:
     """Keeps tables of hashes, symbols and deferred edges up to date from micro-batches of files (path, content).
 
@@ -74,7 +81,7 @@ class Ingest:
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         self.publish({"event": "index_started", "batch": batch_id})
-        files = batch.select("path", "content").dropDuplicates(["path"]).withColumn("hash", F.hex(F.xxhash64("content")))
+        files = newest(batch).withColumn("hash", F.hex(F.xxhash64("content")))
         v, old = self.version(), {n: self.read(n) for n in self.TABLES}
         changed = files if old["hashes"] is None else files.join(old["hashes"].select("path", "hash"), ["path", "hash"], "left_anti")
         changed = changed.persist()
@@ -138,8 +145,8 @@ def adherence(steps: DataFrame) -> DataFrame:
 
 
 def resolved_stream(hooks: DataFrame, calls: DataFrame, within: str = "1 hour") -> DataFrame:
-    """Hooks joined with the later calls of their session, up to a time, so that pending rows are settled late."""
+    """Hooks joined with the later calls of their session, up to a time; a hook that no call follows comes out, with nulls, once its time is over."""
     h = hooks.withWatermark("hook_at", within)
     c = calls.withWatermark("call_at", within)
     near = (F.col("h.session_id") == F.col("c.session_id")) & (F.col("call_at") > F.col("hook_at")) & (F.col("call_at") <= F.col("hook_at") + F.expr(f"interval {within}"))
-    return h.alias("h").join(c.alias("c"), near, "inner").select("h.id", F.col("c.tool").alias("tool"), "hook_at", "call_at")
+    return h.alias("h").join(c.alias("c"), near, "left_outer").select("h.id", F.col("c.tool").alias("tool"), "hook_at", "call_at")
