@@ -48,23 +48,24 @@ def test_trace_direction_depth_and_candidates(spark):
     with pytest.raises(ValueError):
         G.direction_of("sideways")
     e = edges(spark)
-    start = spark.createDataFrame([("go_helper",)], "start string")
+    start = spark.createDataFrame([("lamp.dim",)], "start string")
     got = rows(G.trace(e, start, "in", 3).select("node", "depth", "risk"))
-    assert got == [("go_handler", 1, "CRITICAL"), ("go_main", 2, "HIGH")]
-    assert [r.id for r in G.trace_candidates(symbols(spark), "main").collect()] == ["go_main", "py_main"]
-    both = G.trace(e, spark.createDataFrame([("go_handler",)], "start string"), "both", 1)
-    assert {r.node for r in both.collect()} == {"go_main", "go_helper", "go_close"}
-    nodes, inside = G.callflow(e, "go_handler", "both", 1)
-    assert nodes.count() == 4 and inside.count() == 3
+    assert got == [("keeper.log", 3, "MEDIUM"), ("keeper.run", 2, "HIGH"), ("keeper.test", 3, "MEDIUM"), ("lamp.light", 1, "CRITICAL")]
+    assert [r.id for r in G.trace_candidates(symbols(spark), "run").collect()] == ["keeper.run", "horn.run"]
+    both = G.trace(e, spark.createDataFrame([("lamp.light",)], "start string"), "both", 1)
+    assert {r.node for r in both.collect()} == {"keeper.run", "lamp.dim"}
+    nodes, inside = G.callflow(e, "lamp.light", "both", 1)
+    assert nodes.count() == 3 and inside.count() == 2
     assert sinks.mermaid(nodes, inside).startswith("flowchart LR")
 
 
 def test_dead_and_audited_nodes(spark):
     s, e = symbols(spark), edges(spark)
-    assert [r.id for r in Q.dead_nodes(s, e).collect()] == []
-    assert [r.id for r in Q.dead_nodes(s.withColumn("language", F.lit("C")), e, min_confidence=0.5).collect()] == ["go_init"]
-    audited = Q.audit_unused(s.withColumn("language", F.lit("C")).withColumn("extraction_confidence", F.lit(0.9)), e, min_confidence=0.5)
-    assert [(r.id, r.confidence) for r in audited.collect()] == [("go_init", "medium")]
+    assert [r.id for r in Q.dead_nodes(s, e).collect()] == ["horn.run", "horn.unused"]
+    assert [r.id for r in Q.dead_nodes(s.withColumn("name", F.when(F.col("id") == "horn.unused", "init").otherwise(F.col("name"))), e).collect()] == ["horn.run"]
+    doubted = s.withColumn("extraction_confidence", F.when(F.col("id") == "horn.run", 0.9).otherwise(1.0))
+    audited = Q.audit_unused(doubted, e, min_confidence=0.5)
+    assert [(r.id, r.confidence) for r in audited.collect()] == [("horn.unused", "high"), ("horn.run", "medium")]
 
 
 def test_percentiles_are_exact_and_rounded_down(spark):
@@ -92,8 +93,8 @@ def test_hunks():
 
 
 def test_hunk_overlap_is_inclusive(spark):
-    s = symbols(spark).filter("id = 'go_open'").withColumn("start_line", F.lit(10)).withColumn("end_line", F.lit(20))
-    hits = lambda a, b: I.changed_symbols(s, spark.createDataFrame([("file.go", a, b)], "file_path string, start_line int, end_line int")).count()
+    s = symbols(spark).filter("id = 'lamp.light'").withColumn("start_line", F.lit(10)).withColumn("end_line", F.lit(20))
+    hits = lambda a, b: I.changed_symbols(s, spark.createDataFrame([("station/lamp.go", a, b)], "file_path string, start_line int, end_line int")).count()
     assert (hits(20, 25), hits(21, 25), hits(1, 10), hits(1, 9), hits(None, None)) == (1, 0, 1, 0, 1)
 
 
@@ -116,16 +117,16 @@ def test_search_syntax(spark):
 
 def test_store(spark):
     s, e = symbols(spark), edges(spark)
-    moved = s.withColumn("id", F.when(F.col("id") == "go_open", "go_open2").otherwise(F.col("id")))
+    moved = s.withColumn("id", F.when(F.col("id") == "lamp.light", "lamp.light2").otherwise(F.col("id")))
     moves = K.detect_moves(s, moved)
-    assert rows(moves) == [("p", "go_open", "go_open2")]
-    asked = spark.createDataFrame([("p", "go_open"), ("p", "x")], "project_id string, id string")
-    assert rows(K.resolve_stale(asked, moves)) == [("p", "go_open", "go_open2"), ("p", "x", "x")]
-    kept, left = K.delete_file(s, e, spark.createDataFrame([("p", "file.python")], "project_id string, file_path string"))
-    assert kept.count() == 9 and left.count() == 7
+    assert rows(moves) == [("p", "lamp.light", "lamp.light2")]
+    asked = spark.createDataFrame([("p", "lamp.light"), ("p", "x")], "project_id string, id string")
+    assert rows(K.resolve_stale(asked, moves)) == [("p", "lamp.light", "lamp.light2"), ("p", "x", "x")]
+    kept, left = K.delete_file(s, e, spark.createDataFrame([("p", "station/keeper.py")], "project_id string, file_path string"))
+    assert kept.count() == 8 and left.count() == 3
     assert K.insert_edges(e, e.withColumn("confidence", F.lit(0.1))).filter("confidence < 1").count() == 0
     df, total, more = K.page(s, [F.col("id")], 10, 5)
-    assert (df.count(), total, more) == (2, 12, False)
+    assert (df.count(), total, more) == (1, 11, False)
     projects = spark.createDataFrame([("a", True, 5, 10), ("b", False, 5, 10), ("c", True, 1, 10), ("d", True, 5, 0)], "id string, alive boolean, last_active int, edges int")
     alive, drops = K.filter_projects(projects, 1, 2)
     assert [r.id for r in alive.collect()] == ["a"] and tuple(drops.first()) == (1, 1, 1)
@@ -244,7 +245,7 @@ def test_sinks(spark, tmp_path):
     s, e = symbols(spark), edges(spark)
     sinks.write_lines(sinks.graphml_lines(s, e), str(tmp_path / "g"))
     text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "g")).collect())
-    assert text.count("<node ") == 12 and text.count("<edge ") == 8
+    assert text.count("<node ") == 11 and text.count("<edge ") == 9
     assert sinks.dot_lines(s, e).count() == 22 and json.loads(sinks.json_lines(s, e).first().value)["type"] == "node"
     assert sinks.tabular(s.orderBy("id"), "nodes", ["id", "kind"], 2).startswith("nodes[2]{id,kind}:")
     assert "## Hotspots" in sinks.report(s, e, "Report")
@@ -256,7 +257,7 @@ def test_tools(spark):
     assert out[1].count() == 3
     with pytest.raises(ValueError):
         tools.batch([tools.Step(lambda: s, (0, "ids"))])
-    assert tools.why_empty(s, "nothing") == "no_such_name" and tools.why_empty(s, "Open", "Class") == "filtered_by_kind" and tools.why_empty(s, "Open", "Method", 2.0) == "filtered_by_confidence"
+    assert tools.why_empty(s, "nothing") == "no_such_name" and tools.why_empty(s, "Light", "Class") == "filtered_by_kind" and tools.why_empty(s, "Light", "Method", 2.0) == "filtered_by_confidence"
     assert tools.seed_quality("fix parse_path now", ["parse_path"]) == "strong" and tools.seed_quality("fix the parser", ["Parser"]) == "fair"
     names, files = I.stack_frames('panic: x\nmain.HandleRequest(0x1)\n\t/app/a.go:12\n  File "b/c.py", line 3, in parse_path')
     assert "HandleRequest" in names and "parse_path" in names and files == ["/app/a.go", "b/c.py"]
@@ -276,7 +277,10 @@ def test_saved_tables(spark, tmp_path):
     K.write_edges(e, path)
     K.write_edges(e.filter("kind = 'READS'").limit(1), path)
     kept = spark.read.parquet(path)
-    assert kept.filter("kind = 'READS'").count() == 1 and kept.filter("kind = 'CALLS'").count() == 5
+    assert kept.filter("kind = 'READS'").count() == 1 and kept.filter("kind = 'CALLS'").count() == 6
+    K.write_edges(e.limit(0), path, [("p", "READS", "per_file"), ("p", "none", "per_file")])
+    left = spark.read.parquet(path)
+    assert left.filter("kind = 'READS'").count() == 0 and left.filter("kind = 'CALLS'").count() == 6
 
 
 def test_table_function(spark):
