@@ -41,7 +41,7 @@ NEAR, SPREAD, LEAST = 8, 2.0, 0.35
 #: Payload bytes that are encoded or decoded at once.
 PORTION = 256 << 10
 #: Bytes of a row group of stored media, so that neither writer nor reader holds many of them.
-ROW_GROUP = 4 << 20
+ROW_GROUP = 1 << 20
 
 # Fixed values of ISO/IEC 10918-1: the order in which coefficients are stored.
 ZIGZAG = np.array([
