@@ -53,3 +53,19 @@ def test_nothing_else_imports_the_optional_part():
             if f.endswith(".py"):
                 text = open(os.path.join(folder, f)).read()
                 assert "graphmill.llm" not in text and "corpus_pipeline" not in text
+
+
+@pytest.mark.parametrize("also", [True, False])
+def test_the_rest_works_without_the_optional_part(tmp_path, also):
+    """A copy without the optional package, with and without what stands beside it."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(core.__file__))
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", *([] if also else ["corpus_pipeline.py"])))
+    (copy / "graphmill" / "llm" / "__pycache__").mkdir(parents=True)
+    code = "import __spark_entry__ as e; import bench; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q) and not [n for n in q if n.startswith('op') and n[2:3].isdigit() or n == 'pipeline']; print(len(q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0 and int(out.stdout) == len(core.QUERIES), out.stderr[-2000:]
