@@ -257,6 +257,52 @@ def _(spark, d):
     return R.resolve_uses_var(nodes, _pending(n, own, own, F.concat(F.lit("v"), "n_regionkey"), "USES_VAR")).select("from_id", "to_id")
 
 
+@query("resolve_python_tails", "", "SELECT 'app/x.py::f' || n_nationkey || '#Function' AS from_id, 'lib/m.py::lib.m.g' || n_regionkey || '#Function' AS to_id FROM nation WHERE n_regionkey <> 2")
+def _(spark, d):
+    """Dotted Python names with which exactly one qualified name ends; that of region 2 occurs in two modules."""
+    n, r = trade.table(spark, d, "nation"), trade.table(spark, d, "region")
+    own, name = F.concat(F.lit("f"), "n_nationkey"), F.concat(F.lit("g"), "r_regionkey")
+    nodes = _code_nodes(r, F.lit("lib/m.py"), F.concat(F.lit("lib.m."), name), name, "Function", "Python").union(_code_nodes(r.filter("r_regionkey = 2"), F.lit("old/m.py"), F.concat(F.lit("old.m."), name), name, "Function", "Python"))
+    nodes = nodes.union(_code_nodes(n, F.lit("app/x.py"), own, own, "Function", "Python"))
+    return R.resolve_calls(nodes, _pending(n, F.lit("app/x.py"), own, F.concat(F.lit("m.g"), "n_regionkey"), "CALLS"))[0].select("from_id", "to_id")
+
+
+# -- health -------------------------------------------------------------------------------------------
+query("projects_listed", "symbols edges", "SELECT 'trade' AS project_id, count(*) AS symbols, (SELECT count(*) FROM edges) AS edges, count(DISTINCT file_path) AS files, count(DISTINCT language) AS languages FROM symbols")(
+    lambda spark, d: Q.projects(trade.symbols(spark, d), trade.edges(spark, d)).drop("ratio")
+)
+
+
+def _by_region(spark: SparkSession, d: str) -> DataFrame:
+    """Customers of each region as a project; those of region 0 are settings, those of region 1 were extracted badly."""
+    c = trade.table(spark, d, "customer").join(trade.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    r = F.col("n_regionkey")
+    return c.select(F.concat(F.lit("r"), r).alias("project_id"), F.lit("f").alias("file_path"), F.lit("x").alias("language"), F.when(r == 0, "Setting").otherwise("Function").alias("kind"), F.when(r == 1, 0.5).otherwise(1.0).alias("extraction_confidence"))
+
+
+query("doctor_findings", "", "SELECT 'r0' AS project_id, 'settings_flood' AS finding, 1.0::DOUBLE AS value WHERE (SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 0) > 150 UNION ALL SELECT 'r1', 'low_confidence', 0.5::DOUBLE")(
+    lambda spark, d: Q.doctor(_by_region(spark, d), trade.edges(spark, d).limit(0), 150).filter("finding <> 'few_edges'")
+)
+query("settings_flood_found", "", "SELECT 'r0' AS project_id, count(*) AS n, count(*) AS settings FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 0 HAVING count(*) > 150")(
+    lambda spark, d: Q.settings_flood(_by_region(spark, d), 150)
+)
+
+
+def _reads(spark: SparkSession, d: str) -> DataFrame:
+    """Events as hooks on ten files of each user."""
+    e = trade.table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "view", "Read").when(F.col("event_type") == "click", "Task").otherwise("Edit")
+    return e.select(F.col("event_id").alias("id"), F.col("ts"), F.concat(F.lit("s"), "user_id").alias("session_id"), kind.alias("tool_name"), F.concat(F.lit("/repo/"), F.col("event_id") % 10).alias("file_path"), F.when(F.col("event_id") % 97 == 0, "advise_index").otherwise("allow").alias("decision"))
+
+
+query("files_seen_before", "", "SELECT event_id AS id, row_number() OVER (PARTITION BY user_id, event_id % 10 ORDER BY ts, event_id) > 1 AS seen FROM events")(
+    lambda spark, d: M.seen_before(_reads(spark, d)).select("id", "seen")
+)
+query("session_probes", "", "SELECT 's' || user_id AS session_id, count(*) FILTER (event_type = 'view' AND event_id % 10 = 3) AS reads_under_root, count(*) FILTER (event_type = 'click') AS tasks, count(*) FILTER (event_id % 97 = 0 AND event_id % 10 = 3) > 0 AS advised FROM events GROUP BY 1")(
+    lambda spark, d: M.session_probes(_reads(spark, d), "/repo/3")
+)
+
+
 # -- scalars ------------------------------------------------------------------------------------------
 query("scalars_of_names", "", "SELECT p_partkey AS id, 1 + (length(p_name) - length(replace(p_name, 'for ', ''))) // 4 + (length(p_name) - length(replace(p_name, '||', ''))) // 2 AS complexity, regexp_matches(upper(p_name), '^[A-Z]') AS exported, contains('Code generated ' || p_name, 'Code generated') AS generated FROM part")(
     lambda spark, d: trade.table(spark, d, "part").select(
@@ -288,7 +334,7 @@ def _near_names(spark, d):
 
 # -- search -------------------------------------------------------------------------------------------
 def _docs(spark: SparkSession, d: str) -> T.Index:
-    return T.build_index(trade.corpus(spark, d), ["name", "docstring"])
+    return trade.index(spark, d)
 
 
 def _ways(spark: SparkSession, d: str) -> DataFrame:

@@ -129,10 +129,10 @@ def tool_mix(calls: DataFrame) -> DataFrame:
     return out.withColumn("stuck", (F.col("calls") >= STUCK_CALLS) & (F.col("entropy") < STUCK_ENTROPY) & (F.col("top_share") >= STUCK_SHARE))
 
 
-def settings_flood(symbols: DataFrame) -> DataFrame:
-    """Projects that are mostly settings."""
+def settings_flood(symbols: DataFrame, least: int = FLOOD_COUNT) -> DataFrame:
+    """Projects of more than some symbols that are mostly settings."""
     by = symbols.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "Setting").alias("settings"))
-    return by.filter((F.col("n") > FLOOD_COUNT) & (F.col("settings") > FLOOD_SHARE * F.col("n")))
+    return by.filter((F.col("n") > least) & (F.col("settings") > FLOOD_SHARE * F.col("n")))
 
 
 def edge_ratio(symbols: DataFrame, edges: DataFrame) -> DataFrame:
@@ -145,3 +145,27 @@ def edge_ratio(symbols: DataFrame, edges: DataFrame) -> DataFrame:
 def extraction_failures(counts: DataFrame, symbols: DataFrame) -> DataFrame:
     """Files (file_path, bytes) of some size that gave no symbol."""
     return counts.join(symbols.select("file_path").distinct(), "file_path", "left_anti").filter(F.col("bytes") > 256).withColumn("reason", F.lit("no_symbols"))
+
+
+def projects(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project_id, symbols, edges, ratio, files, languages) of each project."""
+    own = symbols.groupBy("project_id").agg(F.countDistinct("file_path").alias("files"), F.countDistinct("language").alias("languages"))
+    return edge_ratio(symbols, edges).join(own, "project_id")
+
+
+#: Edges for each symbol below which a project of some size is a ghost, and the mean confidence below which extraction is in doubt.
+GHOST_RATIO, GHOST_SYMBOLS, DOUBTFUL = 0.1, 100, 0.7
+
+
+def doctor(symbols: DataFrame, edges: DataFrame, flood_from: int = FLOOD_COUNT) -> DataFrame:
+    """(project_id, finding, value): projects that are mostly settings, have hardly any edge, or were extracted with little confidence."""
+    flood = settings_flood(symbols, flood_from).select("project_id", F.lit("settings_flood").alias("finding"), (F.col("settings") / F.col("n")).alias("value"))
+    ghost = edge_ratio(symbols, edges).filter((F.col("symbols") >= GHOST_SYMBOLS) & (F.col("ratio") < GHOST_RATIO)).select("project_id", F.lit("few_edges"), "ratio")
+    doubt = symbols.groupBy("project_id").agg(F.avg("extraction_confidence").alias("c")).filter(F.col("c") < DOUBTFUL).select("project_id", F.lit("low_confidence"), "c")
+    return flood.union(ghost).union(doubt)
+
+
+def health(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: projects, symbols, edges and findings."""
+    counted = projects(symbols, edges).agg(F.count(F.lit(1)).alias("projects"), F.coalesce(F.sum("symbols"), F.lit(0)).alias("symbols"), F.coalesce(F.sum("edges"), F.lit(0)).alias("edges"))
+    return counted.crossJoin(F.broadcast(doctor(symbols, edges).agg(F.count(F.lit(1)).alias("findings"))))

@@ -122,6 +122,12 @@ def resolve_calls(symbols: DataFrame, pending: DataFrame, struct_fields: DataFra
     for i, r in enumerate(r for r in roots or [] if r):
         p = p.withColumn("__q", F.concat(F.lit(r.replace("/", ".") + "."), "to_name")).join(by_qn(f"r{i}", "__q"), ["project_id", "__q"], "left").drop("__q")
         root_hits.append(F.col(f"r{i}"))
+    # 1a: for Python, a dotted name with which one qualified name ends.
+    tails = code.filter("language = 'Python'").select("project_id", "qualified_name", "id", F.split("qualified_name", r"\.").alias("q"))
+    at = F.sequence(F.lit(2), F.size("q"))
+    tails = tails.filter(F.size("q") > 2).select("project_id", "qualified_name", "id", F.explode(F.transform(at, lambda i: F.array_join(F.slice("q", i, F.size("q")), "."))).alias("to_name"))
+    tails = tails.groupBy("project_id", "to_name").agg(F.countDistinct("qualified_name").alias("__n"), F.min("id").alias("t1a")).filter("__n = 1").drop("__n")
+    p = p.join(tails, ["project_id", "to_name"], "left")
     # 2: a name of the same folder.
     local = code.select("project_id", folder(F.col("file_path")).alias("dir"), F.col("name").alias("to_name"), "id")
     p = p.join(first_by(local, ["project_id", "dir", "to_name"], "t2"), ["project_id", "dir", "to_name"], "left")
@@ -135,22 +141,30 @@ def resolve_calls(symbols: DataFrame, pending: DataFrame, struct_fields: DataFra
         p = p.withColumn("__m", F.concat("__t", F.lit("."), "tail")).join(by_qn("t4", "__m"), ["project_id", "__m"], "left").drop("__m", "__s", "__f", "__t")
     else:
         p = p.withColumn("t4", F.lit(None).cast("string"))
+    # 4: without a receiver's type, that of the folder's variable on which the call is made, which its signature tells.
+    held = code.filter("kind = 'Variable' and signature <> ''") if "signature" in code.columns else code.limit(0).withColumn("signature", F.lit(""))
+    held = held.groupBy("project_id", folder(F.col("file_path")).alias("dir"), F.col("name").alias("head")).agg(F.min("signature").alias("__v"))
+    p = p.join(held, ["project_id", "dir", "head"], "left")
+    single = (clean == "") & (F.size(F.split("to_name", r"\.")) == 2)
+    p = p.withColumn("__m", F.when(single, F.concat(F.regexp_replace("__v", r"^[*&]", ""), F.lit("."), "tail"))).join(by_qn("t4v", "__m"), ["project_id", "__m"], "left").drop("__m", "__v")
     # 5: a class by its name, then its method.
     classes = only_by(code.filter("kind in ('Class', 'Interface')").select("project_id", F.col("name").alias("__c"), "id"), ["project_id", "__c"], "class_id")
     named = code.select("project_id", F.col("id").alias("class_id"), F.col("qualified_name").alias("class_qn"))
     p = p.withColumn("__c", clean).join(classes, ["project_id", "__c"], "left").join(named, ["project_id", "class_id"], "left")
     p = p.withColumn("__m", F.concat("class_qn", F.lit("."), "tail")).join(by_qn("t5", "__m"), ["project_id", "__m"], "left").drop("__m", "__c", "class_id", "class_qn")
-    # 6: a bare name that one node of the web languages has.
+    # 6: a bare name that one node of the web languages has, or one of the same folder.
     web = code.filter(F.col("language").isin("JavaScript", "TypeScript", "JSX", "TSX"))
     p = p.join(only_by(web.select("project_id", F.col("name").alias("to_name"), "id"), ["project_id", "to_name"], "t6"), ["project_id", "to_name"], "left")
+    here = web.select("project_id", folder(F.col("file_path")).alias("dir"), F.col("name").alias("to_name"), "id")
+    p = p.join(only_by(here, ["project_id", "dir", "to_name"], "t6d"), ["project_id", "dir", "to_name"], "left")
     # 7: a method that only one type has, unless its name or receiver says nothing.
     methods = only_by(code.filter("kind = 'Method' and language = 'Go'").filter(~S.is_fixture_path(F.col("file_path"))).select("project_id", F.col("name").alias("tail"), "id"), ["project_id", "tail"], "t7")
     p = p.join(methods, ["project_id", "tail"], "left")
     telling = ~F.col("head").isin(list(STDLIB)) & ~F.col("tail").isin(list(POLYMORPHIC))
     bare = ~F.col("dotted")
     to = F.coalesce(
-        "t1", *[F.when(python, r) for r in root_hits], F.when(go & bare, F.col("t2")), F.when(go, F.coalesce("t3", "t4")), F.when(js, F.coalesce("t5", F.when(bare, F.coalesce("t2", "t6")))),
-        F.when(go & F.col("dotted") & telling, F.col("t7")),
+        "t1", *[F.when(python, r) for r in root_hits], F.when(python & F.col("dotted"), F.col("t1a")), F.when(go & bare, F.col("t2")), F.when(go & ~F.col("head").isin(list(STDLIB)), F.coalesce("t3", "t4", "t4v")),
+        F.when(js, F.coalesce("t5", F.when(bare, F.coalesce("t6", "t6d")))), F.when(go & F.col("dotted") & telling, F.col("t7")),
     )
     p = p.withColumn("to_id", to)
     drops = p.agg(

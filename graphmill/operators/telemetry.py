@@ -244,3 +244,19 @@ def bench_regressions(baseline: DataFrame, actual: DataFrame, ns: float = 0.20,
 def recent(log: DataFrame, order: str, limit: int) -> DataFrame:
     """The latest rows of a log of failures or slow queries."""
     return log.orderBy(F.desc(order)).limit(limit)
+
+
+def seen_before(hooks: DataFrame) -> DataFrame:
+    """hooks with whether their session has had the same file before."""
+    first = hooks.groupBy("session_id", "file_path").agg(F.min(F.struct("ts", "id")).alias("__first"))
+    return hooks.join(first, ["session_id", "file_path"], "left").withColumn("seen", F.coalesce(F.struct("ts", "id") > F.col("__first"), F.lit(False))).drop("__first")
+
+
+def session_probes(hooks: DataFrame, root: str, tool: str = "Read", task_tool: str = "Task", advice: str = "advise_index") -> DataFrame:
+    """(session_id, reads_under_root, tasks, advised): what a session has done so far at or below a folder, and whether it was advised on it."""
+    path = F.col("file_path")
+    below = (path == root) | path.startswith(root.rstrip("/") + "/")
+    return hooks.groupBy("session_id").agg(
+        F.count_if((F.col("tool_name") == tool) & below).alias("reads_under_root"), F.count_if(F.col("tool_name") == task_tool).alias("tasks"),
+        (F.count_if((F.col("decision") == advice) & (path == root)) > 0).alias("advised"),
+    )

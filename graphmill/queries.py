@@ -444,7 +444,7 @@ _BM25 = """SELECT id, round(sum(ln(1.0::DOUBLE + (n - df + 0.5) / (df + 0.5)) *
 
 def _searched(text):
     def run(spark, d):
-        index = T.build_index(trade.corpus(spark, d), ["name", "docstring"])
+        index = trade.index(spark, d)
         return T.score(index, T.parse(text)).withColumn("score", F.round("score", 6))
 
     return run
@@ -462,7 +462,7 @@ for _name, _text, _hits, _groups in (
 ):
     QUERIES[_name], SQL[_name] = _searched(_text), _search_sql(_hits, _groups)
 query("search_term_frequencies", "", f"WITH {_INDEX} SELECT term, count(*) AS df, sum(tf)::BIGINT AS n FROM post GROUP BY term HAVING count(*) >= 20")(
-    lambda spark, d: T.build_index(trade.corpus(spark, d), ["name", "docstring"]).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n")).filter("df >= 20")
+    lambda spark, d: trade.index(spark, d).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n")).filter("df >= 20")
 )
 query("corpus_routing", "symbols", "SELECT 'code' AS corpus, count(*) AS n FROM symbols")(lambda spark, d: T.route(trade.symbols(spark, d)).groupBy("corpus").agg(F.count(F.lit(1)).alias("n")))
 query("approx_tokens", "", "SELECT doc_id, ((octet_length(encode(text)) + 3) // 4)::BIGINT AS tokens FROM documents")(lambda spark, d: trade.table(spark, d, "documents").select("doc_id", S.approx_tokens(F.col("text")).alias("tokens")))

@@ -54,14 +54,15 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.repartitionByRange("part", "value").sortWithinPartitions("part", "value").select("value").write.mode("overwrite").text(path)
 
 
-def mermaid(nodes: DataFrame, edges: DataFrame) -> str:
-    """A call flow of at most some hundred nodes as a Mermaid chart."""
-    ids = [r.id for r in nodes.orderBy("depth", "id").limit(500).collect()]
-    at = {x: f"n{i}" for i, x in enumerate(ids)}
-    names = [r.n for r in nodes.select("id", S.name_of_id(F.col("id")).alias("n"), "depth").orderBy("depth", "id").limit(500).collect()]
-    lines = ["flowchart LR", *[f'  {at[i]}["{n}"]' for i, n in zip(ids, names, strict=True)]]
-    lines += [f"  {at[r.from_id]} --> {at[r.to_id]}" for r in edges.orderBy("from_id", "to_id").limit(5000).collect() if r.from_id in at and r.to_id in at]
-    return "\n".join(lines)
+def mermaid(nodes: DataFrame, edges: DataFrame, most: int = 500) -> str:
+    """A call flow as a Mermaid chart of the nearest nodes; a last line tells how many more there are."""
+    found = nodes.select("id", S.name_of_id(F.col("id")).alias("n"), "depth").orderBy("depth", "id").limit(most).collect()
+    at = {r.id: f"n{i}" for i, r in enumerate(found)}
+    lines = ["flowchart LR", *[f'  {at[r.id]}["{r.n}"]' for r in found]]
+    shown = edges.filter(F.col("from_id").isin(list(at)) & F.col("to_id").isin(list(at))).select("from_id", "to_id").distinct()
+    lines += [f"  {at[r.from_id]} --> {at[r.to_id]}" for r in shown.orderBy("from_id", "to_id").collect()]
+    more = nodes.count() - len(found)
+    return "\n".join(lines + [f"  %% {more} more nodes"] * (more > 0))
 
 
 def tsv(df: DataFrame, columns: list[str]) -> DataFrame:

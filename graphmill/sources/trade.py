@@ -8,6 +8,29 @@ from pyspark.sql import functions as F
 from graphmill.schema import SYMBOLS
 
 PROJECT, HANDOFF = "trade", "handoff"
+#: Folders of graphs and indexes that store() has written, by the tables' folder.
+_STORED: dict[str, str] = {}
+
+
+def store(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Write the graph and the search index of sf_dir below path; from now on they are read from there, as a store is."""
+    from graphmill.operators import search
+    from graphmill.operators import store as tables
+
+    _STORED.pop(sf_dir, None)
+    tables.write_symbols(symbols(spark, sf_dir), f"{path}/symbols")
+    tables.write_edges(edges(spark, sf_dir).withColumn("source", F.lit("per_file")), f"{path}/edges")
+    search.save_index(index(spark, sf_dir), f"{path}/index")
+    _STORED[sf_dir] = path
+
+
+def index(spark: SparkSession, sf_dir: str):
+    """The search index of the documents."""
+    from graphmill.operators import search
+
+    if sf_dir in _STORED:
+        return search.load_index(spark, f"{_STORED[sf_dir]}/index")
+    return search.build_index(corpus(spark, sf_dir), ["name", "docstring"])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +56,8 @@ def key(prefix: str, column: str) -> Column:
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nodes.  A filter on kind leaves one table's scan, as every branch of the union has a constant kind."""
+    if sf_dir in _STORED:
+        return spark.read.schema(SYMBOLS).parquet(f"{_STORED[sf_dir]}/symbols")
     t = lambda n: table(spark, sf_dir, n)
     size = F.col("p_size")
     parts = [
@@ -77,6 +102,8 @@ EDGE_COLUMNS = ("project_id", "from_id", "to_id", "kind", "confidence")
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All edges of the trade graph, one for each (from, to, kind), with constant kinds for pruning."""
+    if sf_dir in _STORED:
+        return spark.read.parquet(f"{_STORED[sf_dir]}/edges").select(*EDGE_COLUMNS)
     t = lambda n: table(spark, sf_dir, n)
     ids = _ids(spark, sf_dir)
     supplier = fixed_id("party/supplier", "s", "l_suppkey", "Supplier")

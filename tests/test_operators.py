@@ -241,6 +241,33 @@ def test_files_and_round_trip(spark, tmp_path):
     assert FL.changed_files(files, files).count() == 0 and FL.vanished_files(files.limit(0), files).count() == 2
 
 
+def test_ignore_files_and_refused_folders(spark, tmp_path):
+    files = {".gitignore": "*.log\n!keep.log\n/top\nbuild2/\n# no\ndoc/**/x?.txt\n[ab].md\n", "a.log": "", "keep.log": "", "top/x.py": "", "in/top/x.py": "", "in/build2/y.py": "", "in/build2x.py": "", "doc/p/q/x1.txt": "", "doc/x12.txt": "", "a.md": "", "c.md": "", "in/.gitignore": "z.py\n", "in/z.py": "", "z.py": "", "big.py": "x" * 99}
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text or "x")
+    out = {r.path: r.reason for r in FL.left_out(spark, str(tmp_path), 98).collect()}
+    assert out == dict.fromkeys(("a.log", "top/x.py", "in/build2/y.py", "doc/p/q/x1.txt", "a.md", "in/z.py"), "ignored") | {"big.py": "too_large"}
+    assert {r.path for r in FL.walk(spark, str(tmp_path), 98).collect()} == set(files) - set(out) - {".gitignore", "in/.gitignore"}
+    for root in ("/", "file:///", "s3://bucket"):
+        with pytest.raises(ValueError):
+            FL.walk(spark, root)
+
+
+def test_rules_of_calls_without_a_receiver(spark):
+    s = nodes(spark, [
+        ("a/v.go", "runner", "Variable", "Go"), ("a/t.go", "Engine.start", "Method", "Go"), ("a/x.go", "go1", "Function", "Go"), ("b/x.go", "go2", "Function", "Go"),
+        ("w/p/a.ts", "p.twice", "Function", "TypeScript"), ("w/q/b.ts", "q.twice", "Function", "TypeScript"), ("w/p/c.ts", "main", "Function", "TypeScript"), ("w/r/d.ts", "far", "Function", "TypeScript"),
+        ("m/n.py", "m.n.helper", "Function", "Python"), ("m/o.py", "use", "Function", "Python"),
+    ]).withColumn("signature", F.when(F.col("name") == "runner", "*Engine"))
+    p = pending(spark, [
+        ("a/x.go", "CALLS", "go1", "runner.start", 1.0, None, None), ("b/x.go", "CALLS", "go2", "strings.start", 1.0, None, None), ("w/p/c.ts", "CALLS", "main", "twice", 1.0, None, None),
+        ("w/r/d.ts", "CALLS", "far", "twice", 1.0, None, None), ("m/o.py", "CALLS", "use", "n.helper", 1.0, None, None), ("m/o.py", "CALLS", "use", "helper", 1.0, None, None),
+    ])
+    got = {(r.from_id.split("::")[1], r.to_id.split("::")[0]) for r in R.resolve_calls(s, p)[0].collect()}
+    assert got == {("go1#Function", "a/t.go"), ("main#Function", "w/p/a.ts"), ("use#Function", "m/n.py")}
+
+
 def test_sinks(spark, tmp_path):
     s, e = symbols(spark), edges(spark)
     sinks.write_lines(sinks.graphml_lines(s, e), str(tmp_path / "g"))
