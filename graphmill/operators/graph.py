@@ -179,26 +179,36 @@ def risk_hotspots(symbols: DataFrame, edges: DataFrame, kinds: tuple[str, ...] =
     return out if limit is None else out.orderBy(F.desc("risk"), F.desc("incoming"), F.desc("outgoing"), "file_path", "id").limit(limit)
 
 
-def package_pairs(edges: DataFrame, kinds: tuple[str, ...] | None = ("CALLS",)) -> DataFrame:
-    """Edges between packages: how many there are for each pair, and the one that sorts first.
+def _pairs_of_files(edges: DataFrame, kinds: tuple[str, ...] | None) -> DataFrame:
+    """(from_file, to_file, from_package, to_package, n): edges between files of different packages, counted before paths are taken apart.
 
-    Edges are counted by pairs of files first, so that paths are taken apart once for each such pair.
+    The counts are cut off, as the conditions on packages would else be pushed below them, to every edge.
     """
     e = edges if kinds is None else edges.filter(F.col("kind").isin(list(kinds)))
-    by_file = e.groupBy(S.file_of_id(F.col("from_id")).alias("from_file"), S.file_of_id(F.col("to_id")).alias("to_file")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("from_id", "to_id", "kind")).alias("example")
-    )
-    p = by_file.select(S.package_of_file(F.col("from_file")).alias("from_package"), S.package_of_file(F.col("to_file")).alias("to_package"), "n", "example")
-    p = p.filter((F.col("from_package") != "") & (F.col("to_package") != "") & (F.col("from_package") != F.col("to_package")))
-    return (
-        p.groupBy("from_package", "to_package").agg(F.sum("n").alias("edge_count"), F.min("example").alias("example"))
-        .select("from_package", "to_package", "edge_count", F.col("example.from_id").alias("example_from"), F.col("example.to_id").alias("example_to"))
-    )
+    by_file = cut(e.groupBy(S.file_of_id(F.col("from_id")).alias("from_file"), S.file_of_id(F.col("to_id")).alias("to_file")).agg(F.count(F.lit(1)).alias("n")))
+    p = by_file.select("from_file", "to_file", S.package_of_file(F.col("from_file")).alias("from_package"), S.package_of_file(F.col("to_file")).alias("to_package"), "n")
+    return p.filter((F.col("from_package") != "") & (F.col("to_package") != "") & (F.col("from_package") != F.col("to_package")))
+
+
+def package_pairs(edges: DataFrame, kinds: tuple[str, ...] | None = ("CALLS",), limit: int | None = None) -> DataFrame:
+    """Edges between packages: how many there are for each pair, and the one that sorts first; with a limit, of the rarest pairs only.
+
+    Counting needs no strings but the files' names; examples are looked for once the pairs are known.
+    """
+    files = _pairs_of_files(edges, kinds)
+    pairs = files.groupBy("from_package", "to_package").agg(F.sum("n").alias("edge_count"))
+    if limit is not None:
+        pairs = cut(pairs.orderBy("edge_count", "from_package", "to_package").limit(limit))
+    wanted = files.join(pairs, ["from_package", "to_package"]).select("from_file", "to_file", "from_package", "to_package", "edge_count")
+    e = edges if kinds is None else edges.filter(F.col("kind").isin(list(kinds)))
+    met = e.select("from_id", "to_id", "kind", S.file_of_id(F.col("from_id")).alias("from_file"), S.file_of_id(F.col("to_id")).alias("to_file")).join(wanted, ["from_file", "to_file"])
+    out = met.groupBy("from_package", "to_package", "edge_count").agg(F.min(F.struct("from_id", "to_id", "kind")).alias("example"))
+    return out.select("from_package", "to_package", "edge_count", F.col("example.from_id").alias("example_from"), F.col("example.to_id").alias("example_to"))
 
 
 def surprising(edges: DataFrame, limit: int | None = 10, kinds: tuple[str, ...] | None = ("CALLS",)) -> DataFrame:
     """The rarest connections between packages, with a word on the boundary that they cross."""
-    out = package_pairs(edges, kinds)
+    out = package_pairs(edges, kinds, limit)
     mention = lambda c: F.col(c).rlike("(^|/)(tests?|testdata|fixtures)(/|$)|_test$")
     placed = lambda c: S.is_test_file(S.file_of_id(F.col(c))) | S.is_fixture_path(S.file_of_id(F.col(c)))
     outer = lambda c: F.col(c).startswith("@external")

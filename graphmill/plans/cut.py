@@ -1,22 +1,41 @@
-"""Lineage cuts for iterations: reliable checkpoints in the session's shared folder."""
+"""Lineage cuts for iterations: written tables in the session's shared folder."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; on one machine only, a temporary folder where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if context.master.partition("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="graphmill-")
+    return _OWN[context.applicationId]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as files that survive a lost executor.  The folder is spark.checkpoint.dir; on one machine only, a temporary one where that is unset."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and context.master.partition("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphmill-"))
-    return df.checkpoint(eager=True)
+    """df as a table of files in the shared folder, which survives a lost executor and is read by columns."""
+    path = f"{shared_folder(df.sparkSession)}/graphmill-walks/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove what cut() has written, once no result that reads it is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/graphmill-walks")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def is_stored(df: DataFrame) -> bool:
