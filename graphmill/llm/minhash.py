@@ -34,7 +34,7 @@ from graphmill.llm.wordhash import _STEP, chunks, mix, shingle_sets, text_bytes
 #: 24 bands of 4: a pair at a similarity of 0.8 shares no band once in 300,000 times.
 BANDS, ROWS = 24, 4
 #: Elements whose permutations are held at once.
-ELEMENTS = 200_000
+ELEMENTS = 100_000
 #: Shingles of one block in step 4.
 BLOCK = 200_000
 _HALF, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)

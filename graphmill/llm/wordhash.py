@@ -14,7 +14,7 @@ _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 
 #: Lower-casing of A-Z alone, as a byte table.
 LOWER = np.arange(256, dtype=np.uint8)
