@@ -60,7 +60,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts are documents of the end id alone, a null id comes first and reads back as null, rows
     that repeat an id stand side by side, other columns are ignored, and an empty table gives an empty index.
     """
-    return token_bin.tokenized(docs, tokenizer_path(), remembered=400_000)
+    return token_bin.tokenized(docs, tokenizer_path(), remembered=150_000)
 
 
 STAGES = [
