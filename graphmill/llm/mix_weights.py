@@ -74,7 +74,7 @@ def _wanted(cells: DataFrame, d: str, given: Mapping[str, float] | None, tempera
     return own.crossJoin(F.broadcast(total)).select(d, want.alias(f"want_{d}"), "have")
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temperature: Mapping[str, float] = TEMPERATURE, fraction: float = FRACTION, sweeps: int = SWEEPS) -> DataFrame:
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temperature: Mapping[str, float] = TEMPERATURE, fraction: float = FRACTION, sweeps: int = SWEEPS, most: int = MOST) -> DataFrame:
     """cells (source, lang, topic, tokens) with the wanted shares, weight, which sums to 1, and p, the probability of each of its documents."""
     few = cells.limit(ONE_TASK + 1).count() <= ONE_TASK
     now, scarce, together = cells, [], lambda x: x.coalesce(1) if few else x
@@ -82,10 +82,10 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
         wanted = materialize(_wanted(cells, d, (targets or {}).get(d), temperature[d]), "wanted")
         scarce.append(wanted.filter(f"want_{d} > 0").agg(F.min(F.col("have") / F.col(f"want_{d}")).alias("most")))
         now = lookup_join(now, wanted.drop("have"), [d], "inner")
-    most = scarce[0].unionByName(scarce[1]).unionByName(scarce[2]).agg(F.min("most").alias("__most"))
+    bound = scarce[0].unionByName(scarce[1]).unionByName(scarce[2]).agg(F.min("most").alias("__most"))
     total = cells.agg(F.sum(F.col("tokens").cast("double")).alias("__all"))
     budget = F.least(F.lit(fraction) * F.col("__all"), F.lit(FILL) * F.col("__most"))
-    now = now.crossJoin(F.broadcast(most)).crossJoin(F.broadcast(total)).withColumn("budget", budget)
+    now = now.crossJoin(F.broadcast(bound)).crossJoin(F.broadcast(total)).withColumn("budget", budget)
     now = materialize(together(now.withColumn("expected", F.col("tokens") * F.col("budget") / F.col("__all")).drop("__most", "__all")), "rake")
     done, worst = 0, math.inf
     while True:
@@ -98,7 +98,7 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
         now, done = materialize(now, "rake"), done + min(STEP, max(1, sweeps - done))
         if done >= sweeps:
             before, worst = worst, _worst(now)
-            if done >= MOST or worst <= TOLERANCE or worst > 0.99 * before:
+            if done >= most or worst <= TOLERANCE or worst > 0.99 * before:
                 break
     sums = now.agg(F.sum("expected").alias("__sum"))
     return now.crossJoin(F.broadcast(sums)).select(*DIMENSIONS, "tokens", *[f"want_{d}" for d in DIMENSIONS], (F.col("expected") / F.col("__sum")).alias("weight"), (F.col("expected") / F.col("tokens")).alias("p"))
@@ -136,7 +136,7 @@ def _cell(topic: str | None) -> dict[str, Column]:
 def mixed(docs: DataFrame, seed: int = 17, topic: str | None = None, **wanted) -> DataFrame:
     """docs with topic, n_tokens, weight, p and kept; columns of these names are replaced.  Needs doc_id, text, source, lang.
 
-    wanted: targets, temperature and fraction, as rake() takes them.
+    wanted: targets, temperature, fraction, sweeps and most, as rake() takes them.
     """
     made = ["topic", "n_tokens", "weight", "p", "kept"]
     rows = docs.withColumns(_cell(topic)).drop(*made)

@@ -15,7 +15,7 @@ from graphmill.llm.license_scan import scan
 from graphmill.llm.line_winnow import LONG, line_matches
 from graphmill.llm.media_avi import media_round_trip
 from graphmill.llm.minhash import near_duplicates
-from graphmill.llm.mix_weights import mixed
+from graphmill.llm.mix_weights import SWEEPS, mixed
 from graphmill.llm.token_bin import tokenized
 from graphmill.llm.unit_dedup import removals
 from graphmill.llm.url_filter import filtered
@@ -63,7 +63,8 @@ def op5_line_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixed(table(spark, sf_dir, "documents"))
+    # As many sweeps as the SQL writes out, whether or not more would come nearer.
+    out = mixed(table(spark, sf_dir, "documents"), most=SWEEPS)
     named = {c: F.coalesce(c, F.lit("unknown")) for c in ("source", "lang")}
     return out.withColumns(named).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 9).alias("weight"), F.round("p", 6).alias("p"), "kept")
 
