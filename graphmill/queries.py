@@ -587,8 +587,12 @@ def _regressions(spark):
 
 
 query("settings_flood", "symbols", "SELECT project_id FROM symbols GROUP BY 1 HAVING count(*) > 1000 AND count(*) FILTER (kind = 'Setting') > 0.8 * count(*)")(lambda spark, d: Q.settings_flood(trade.symbols(spark, d)).select("project_id"))
-query("tests_by_package", "symbols edges", "SELECT 'order' AS package, false AS runnable, count(DISTINCT e.from_id) AS tests FROM edges e JOIN symbols s ON s.id = e.from_id WHERE e.kind = 'CALLS' AND s.is_test AND e.to_id LIKE 'catalog/Brand#2::%'")(
-    lambda spark, d: I.tests_by_package(I.impacted_tests(I.blast_radius(trade.symbols(spark, d), trade.edges(spark, d), trade.symbols(spark, d).filter("file_path = 'catalog/Brand#2'"), 1)))
-)
+query("tests_by_package", "symbols edges", "SELECT 'order' AS package, false AS runnable, count(DISTINCT e.from_id) AS tests FROM edges e JOIN symbols s ON s.id = e.from_id WHERE e.kind = 'CALLS' AND s.is_test AND e.to_id LIKE 'catalog/Brand#2::%'")(lambda spark, d: _packages_of_tests(spark, d))
+
+
+def _packages_of_tests(spark, d):
+    s, e = trade.symbols(spark, d), trade.edges(spark, d)
+    changed = s.filter("file_path = 'catalog/Brand#2'")
+    return I.tests_by_package(I.impacted_tests(I.blast_radius(s, e, changed, 1), e, changed, 1))
 
 from graphmill import more_queries  # noqa: E402, F401  (adds its queries to the tables above)
