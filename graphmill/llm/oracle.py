@@ -89,6 +89,28 @@ array_to_string(list_sort(list_distinct(list_concat(coalesce(base_set, []), coal
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
 
+#: crc32 of the ASCII text x, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({x}) + 1), lambda k: ascii(substr({x}, k, 1))::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"
+_LEAF = " || ".join(f"coalesce(strlen({f}::VARCHAR)::VARCHAR || ':' || {f}::VARCHAR, '-')" for f in ("doc_id", "source", "lang", "n_chars", "{text}"))
+
+MERKLE = rf"""WITH RECURSIVE leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n
+FROM (SELECT doc_id, coalesce('1' || lang, '0') AS tree, sha256({_LEAF.format(text="text")}) AS leaf,
+sha256({_LEAF.format(text="CASE WHEN " + _CRC.format(x="doc_id::VARCHAR") + " % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END")}) AS found FROM documents)),
+nodes AS (SELECT tree, 0 AS lvl, i, leaf AS h, n FROM leaves
+UNION ALL SELECT tree, lvl + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY tree, lvl, i // 8, n),
+tops AS MATERIALIZED (SELECT tree, lvl, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+over AS (SELECT 0 AS lvl, i, h, n FROM tops
+UNION ALL SELECT lvl + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM over WHERE n > 1 GROUP BY lvl, i // 8, n),
+steps AS MATERIALIZED (SELECT a.tree, a.lvl, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS lefts, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS rights
+FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.lvl = b.lvl AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY ALL
+UNION ALL SELECT t.tree, t.lvl + a.lvl, 0, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), ''), coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '')
+FROM tops t JOIN over a ON a.n > 1 AND a.i = CASE a.lvl {" ".join(f"WHEN {k} THEN t.i // {8**k}" for k in range(12))} END JOIN over b ON a.lvl = b.lvl AND a.i // 8 = b.i // 8 GROUP BY ALL),
+climbed AS (SELECT tree, i AS leaf_i, 0 AS lvl, i, found AS h, '' AS proof FROM leaves
+UNION ALL SELECT c.tree, c.leaf_i, c.lvl + 1, c.i // 8, sha256(s.lefts || c.h || s.rights), c.proof || s.lefts || s.rights FROM climbed c JOIN steps s ON s.tree = c.tree AND s.lvl = c.lvl AND s.i = c.i),
+folded AS (SELECT tree, leaf_i, h, proof FROM climbed QUALIFY row_number() OVER (PARTITION BY tree, leaf_i ORDER BY lvl DESC) = 1)
+SELECT doc_id, leaf, tops.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM leaves l JOIN tops ON tops.tree = l.tree JOIN folded f ON f.tree = l.tree AND f.leaf_i = l.i, (SELECT h FROM over WHERE n = 1) r"""
+
 SQL = {
     "op5_line_winnow": LINE_RUNS,
     "op6_mix_weights": mixed_sql(),
