@@ -118,4 +118,5 @@ SQL = {
     "op8_unit_dedup": UNITS,
     "op9_license_scan": licenses(),
     "op10_minhash": NEAR_DUPLICATES,
+    "op13_merkle": MERKLE,
 }

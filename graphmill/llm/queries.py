@@ -14,9 +14,12 @@ from graphmill.llm.language_id import held_out, identify, learnable
 from graphmill.llm.license_scan import scan
 from graphmill.llm.line_winnow import LONG, line_matches
 from graphmill.llm.media_avi import media_round_trip
+from graphmill.llm.merkle import verified_manifest
 from graphmill.llm.minhash import near_duplicates
 from graphmill.llm.mix_weights import SWEEPS, mixed
+from graphmill.llm.token_align import alignment
 from graphmill.llm.token_bin import tokenized
+from graphmill.llm.token_count import token_counts
 from graphmill.llm.unit_dedup import removals
 from graphmill.llm.url_filter import filtered
 
@@ -86,6 +89,18 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_media_avi": op2_media_avi,
@@ -97,5 +112,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_unit_dedup": op8_unit_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_minhash": op10_minhash,
+    "op11_token_align": op11_token_align,
+    "op12_token_count": op12_token_count,
+    "op13_merkle": op13_merkle,
 }
 SQL: dict[str, str] = oracle.SQL
