@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from graphmill.llm.common import lookup_join, lower_ascii, materialize, workers_can_import
 
+#: Nodes that become one, and levels that a task collapses at once.
 FANOUT, LEVELS = 8, 3
-BLOCK = FANOUT**LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 NODES = "grp string, idx long, h string, n long"
 #: For each level from the leaf up, the siblings left and right of a node, as hex text side by side.
@@ -69,21 +69,24 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return lookup_join(placed, held, ["grp", "__part"], "inner").withColumn("idx", F.col("__at") + F.col("__shift")).drop("__at", "__part", "__shift")
 
 
-def levels_of(nodes: list[str], n: int) -> Iterator[list[str]]:
+def levels_of(nodes: list[str], n: int, levels: int) -> Iterator[list[str]]:
     """Nodes of a bucket, and of each level above them within it; n: nodes of the whole group, as the last bucket is done when one is left."""
     yield nodes
-    for _ in range(LEVELS):
+    for _ in range(levels):
         if n == 1:
             return
         nodes, n = [digest("".join(nodes[a : a + FANOUT])) for a in range(0, len(nodes), FANOUT)], -(-n // FANOUT)
         yield nodes
 
 
-def _collapse(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("idx")
-    n = int(pdf["n"].iloc[0])
-    *_, top = levels_of(pdf["h"].tolist(), n)
-    return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "idx": [int(pdf["idx"].iloc[0]) // BLOCK], "h": top, "n": [1 if n <= BLOCK else -(-n // BLOCK)]})
+def _collapse(levels: int) -> Callable:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        n, block = int(pdf["n"].iloc[0]), FANOUT**levels
+        *_, top = levels_of(pdf["h"].tolist(), n, levels)
+        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "idx": [int(pdf["idx"].iloc[0]) // block], "h": top, "n": [-(-n // block)]})
+
+    return run
 
 
 def siblings(block: list[list[str]], place: int) -> list[tuple[str, str]]:
@@ -103,13 +106,13 @@ def fold(h: str, proof: list[tuple[str, str]]) -> str:
     return h
 
 
-def _down(columns: list[str], out: Callable) -> Callable:
+def _down(columns: list[str], out: Callable, levels: int) -> Callable:
     """Members of a bucket with their siblings within it, followed by the proof of the bucket's root."""
 
     def run(members: pd.DataFrame, upper: pd.DataFrame) -> pd.DataFrame:
         members = members.sort_values("idx")
         above = [(p["lefts"], p["rights"]) for p in upper["proof"].iloc[0]]
-        block = list(levels_of(members["h"].tolist(), int(members["n"].iloc[0])))
+        block = list(levels_of(members["h"].tolist(), int(members["n"].iloc[0]), levels))
         top = {c: upper[c].iloc[0] for c in ("subroot", "root")}
         rows = [out(m, siblings(block, place) + above, top) for place, m in enumerate(members.to_dict("records"))]
         return pd.DataFrame(rows, columns=columns)
@@ -117,11 +120,15 @@ def _down(columns: list[str], out: Callable) -> Callable:
     return run
 
 
-def _joined(members: DataFrame, uppers: DataFrame, out: Callable, schema: str) -> DataFrame:
+def _bucket(levels: int) -> Column:
+    return F.floor(F.col("idx") / F.lit(FANOUT**levels))
+
+
+def _joined(members: DataFrame, uppers: DataFrame, out: Callable, schema: str, levels: int) -> DataFrame:
     columns = [c.split()[0] for c in schema.split(", ")]
-    left = members.withColumn("bucket", F.floor(F.col("idx") / F.lit(BLOCK))).groupBy("grp", "bucket")
+    left = members.withColumn("bucket", _bucket(levels)).groupBy("grp", "bucket")
     right = uppers.withColumn("bucket", F.col("idx")).groupBy("grp", "bucket")
-    return left.cogroup(right).applyInPandas(_down(columns, out), schema)
+    return left.cogroup(right).applyInPandas(_down(columns, out, levels), schema)
 
 
 _UPPER = f"grp string, idx long, proof {PROOF}, subroot string, root string"
@@ -137,10 +144,11 @@ class Manifest:
 
     leaves: DataFrame
     uppers: DataFrame
+    levels: int
 
     def proofs(self) -> DataFrame:
         """(grp, idx, proof, subroot, root) of each leaf."""
-        return _joined(self.leaves, self.uppers, _proof_of, _UPPER)
+        return _joined(self.leaves, self.uppers, _proof_of, _UPPER, self.levels)
 
     def checked(self, tampered: str) -> DataFrame:
         """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of each leaf.
@@ -154,44 +162,43 @@ class Manifest:
             return None if pd.isna(m["key"]) else m["key"], m["h"], top["subroot"], top["root"], digest("".join(a + b for a, b in proof)), found, found == top["root"]
 
         schema = "key string, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
-        rows = _joined(self.leaves.withColumn("key", F.col("doc_id").cast("string")), self.uppers, out, schema)
+        rows = _joined(self.leaves.withColumn("key", F.col("doc_id").cast("string")), self.uppers, out, schema, self.levels)
         return rows.select(F.col("key").cast("long").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
-def _rounds(leaves: DataFrame, name: str) -> list[DataFrame]:
+def _rounds(leaves: DataFrame, name: str, levels: int) -> list[DataFrame]:
     """The leaves (grp, idx, h, n), and the bucket roots of each round, up to one node for each group."""
     tables = [leaves]
     while (tables[-1].agg(F.max("n")).first()[0] or 1) > 1:
-        bucket = F.floor(F.col("idx") / F.lit(BLOCK)).alias("bucket")
         nodes = tables[-1].select("grp", "idx", "h", "n")
-        tables.append(materialize(nodes.groupBy("grp", bucket).applyInPandas(_collapse, NODES), name))
+        tables.append(materialize(nodes.groupBy("grp", _bucket(levels).alias("bucket")).applyInPandas(_collapse(levels), NODES), name))
     return tables
 
 
-def _come_down(tables: list[DataFrame], top: DataFrame, name: str) -> DataFrame:
+def _come_down(tables: list[DataFrame], top: DataFrame, name: str, levels: int) -> DataFrame:
     """Proofs of the roots of the lowest buckets, or of the groups' only leaves, from those of the groups' roots."""
     for nodes in reversed(tables[1:-1]):
-        top = materialize(_joined(nodes, top, _proof_of, _UPPER), name)
+        top = materialize(_joined(nodes, top, _proof_of, _UPPER, levels), name)
     return top
 
 
-def manifest(rows: DataFrame, order: list[str]) -> Manifest:
+def manifest(rows: DataFrame, order: list[str], levels: int = LEVELS) -> Manifest:
     """The tree over rows (grp, h, the columns of order, ...)."""
     workers_can_import(rows.sparkSession)
     leaves = materialize(numbered(rows, order, "merkle-placed"), "merkle-leaves")
-    tables = _rounds(leaves, "merkle-nodes")
+    tables = _rounds(leaves, "merkle-nodes", levels)
     # The groups' roots are the leaves of the upper tree, whose one group is "".
     roots = tables[-1].select(F.lit("").alias("grp"), F.col("grp").alias("of"), "h")
     over = materialize(numbered(roots, ["of"], "merkle-roots"), "merkle-over")
-    upper = _rounds(over, "merkle-over-nodes")
+    upper = _rounds(over, "merkle-over-nodes", levels)
     none = F.array().cast(PROOF).alias("proof")
     top = upper[-1].select("grp", "idx", none, F.lit(None).cast("string").alias("subroot"), F.col("h").alias("root"))
 
     def named(m: dict, proof: list[tuple[str, str]], up: dict) -> tuple:
         return m["of"], 0, [{"lefts": a, "rights": b} for a, b in proof], m["h"], up["root"]
 
-    subroots = materialize(_joined(over, _come_down(upper, top, "merkle-upper"), named, _UPPER), "merkle-subroots")
-    return Manifest(leaves, _come_down(tables, subroots, "merkle-proofs"))
+    subroots = materialize(_joined(over, _come_down(upper, top, "merkle-upper", levels), named, _UPPER, levels), "merkle-subroots")
+    return Manifest(leaves, _come_down(tables, subroots, "merkle-proofs", levels), levels)
 
 
 def documents_manifest(docs: DataFrame, tampered: Column | None = None) -> Manifest:

@@ -59,4 +59,4 @@ def test_queries_equal_their_sql(spark, name):
 
 
 def test_names():
-    assert language_id.UNKNOWN == "und" and len(P.STAGES) == 5 and P.ORACLE_SQL is None and len(QUERIES) == 10
+    assert language_id.UNKNOWN == "und" and len(P.STAGES) == 5 and P.ORACLE_SQL is None and len(QUERIES) == 13
