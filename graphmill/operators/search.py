@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,14 +15,25 @@ K1, B = 1.2, 0.75
 CORPORA = ("code", "config", "docs")
 #: Confidence from which results are shown, by the shape of a query.
 PLAIN_CONFIDENCE, EXACT_CONFIDENCE = 0.71, 0.0
-# Letters with marks and what they become when the marks go.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-UNMARKED = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Marks that stand by themselves after their letter.
+MARKS = "[\u0300-\u036f]+"
+
+
+def _folded(c: str) -> str | None:
+    """The Latin letter that a small letter with marks is made of, or None."""
+    letter, *marks = unicodedata.normalize("NFD", c)
+    return letter if marks and "a" <= letter <= "z" and all("\u0300" <= m <= "\u036f" for m in marks) else None
+
+
+#: Small Latin letters with marks, one or several, and what they become when the marks go.
+FOLDED = {c: f for c in map(chr, range(0xC0, 0x1F00)) if c.islower() and (f := _folded(c))}
+MARKED, UNMARKED = "".join(FOLDED), "".join(FOLDED.values())
 
 
 def words(text: Column) -> Column:
-    """Runs of letters and digits in lower case without marks."""
-    return F.regexp_extract_all(F.translate(F.lower(text), MARKED, UNMARKED), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Runs of letters and digits in lower case without marks, composed or not."""
+    bare = F.regexp_replace(F.translate(F.lower(text), MARKED, UNMARKED), MARKS, "")
+    return F.regexp_extract_all(bare, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 @dataclass
@@ -74,8 +86,7 @@ _REGEX = re.compile(r"\.\*|\.\+|\\[wdsb]|\[[^\]]*\]|\(\?|^\^|\$$|\|")
 
 
 def _plain(text: str) -> list[str]:
-    table = str.maketrans(MARKED, UNMARKED)
-    return re.findall(r"[^\W_]+", text.lower().translate(table))
+    return re.findall(r"[^\W_]+", re.sub(MARKS, "", text.lower().translate(str.maketrans(FOLDED))))
 
 
 def sanitize(query: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,10 @@ from graphmill.operators import impact as I
 from graphmill.operators import quality as Q
 from graphmill.operators import resolve as R
 from graphmill.operators import search as T
+from graphmill.operators import segments as SG
 from graphmill.operators import store as K
 from graphmill.operators import telemetry as M
+from graphmill.plans.cut import shared_folder
 from graphmill.plans.planner import Engine
 from graphmill.sources import files as FL
 from graphmill.sources import sinks as SK
@@ -461,6 +464,33 @@ for _name, _text, _hits, _groups in (
     ("bm25_phrase", '"mit license"', "SELECT 'p' AS term, a.id, count(*) AS tf, 1 AS grp FROM tok a JOIN tok b ON a.id = b.id AND b.pos = a.pos + 1 WHERE a.term = 'mit' AND b.term = 'license' GROUP BY a.id", 1),
 ):
     QUERIES[_name], SQL[_name] = _searched(_text), _search_sql(_hits, _groups)
+
+
+# A tenth of the documents, dealt into four changes: texts replaced, documents added, documents removed.
+_CHANGED = """SELECT doc_id, source || CASE WHEN doc_id % 40 IN (3, 13, 23) THEN ' replaced license' ELSE '' END AS source, text FROM documents WHERE doc_id % 40 NOT IN (7, 17)
+UNION ALL SELECT doc_id + 1000000000, source, text FROM documents WHERE doc_id % 40 = 29"""
+query("index_after_changes", "", _search_sql("SELECT term, id, tf, 1 AS grp FROM post WHERE term IN ('license', 'replaced', 'mit')", 1).replace("FROM documents)", f"FROM ({_CHANGED}))"))(
+    lambda spark, d: T.score(_changed(spark, d).index(), T.parse("license OR replaced OR mit")).withColumn("score", F.round("score", 6))
+)
+query("index_fragments", "", f"SELECT 2 AS segments, 1 AS tombstones, count(*) AS n, (SELECT count(*) FROM documents WHERE doc_id % 40 IN (3, 7, 13, 17, 23)) AS dead, false AS due FROM ({_CHANGED})")(
+    lambda spark, d: _changed(spark, d).fragmentation().drop("dead_share")
+)
+
+
+def _changed(spark, d):
+    """The documents' index after four changes, of which three wrote a segment and the last merged them."""
+    docs = trade.corpus(spark, d).select("id", "name", "docstring")
+    some = lambda *rest: docs.filter((F.col("id") % 40).isin(*rest))
+    replaced = lambda *rest: some(*rest).withColumn("name", F.concat("name", F.lit(" replaced license")))
+    index = SG.Segments(spark, f"{shared_folder(spark)}/graphmill-walks/{uuid.uuid4().hex}", ["name", "docstring"])
+    index.create(docs)
+    index.apply(replaced(3, 13), some(7))
+    index.apply(some(29).withColumn("id", F.col("id") + 1_000_000_000))
+    index.apply(replaced(23))
+    index.apply(replaced(3), some(17))
+    return index
+
+
 query("search_term_frequencies", "", f"WITH {_INDEX} SELECT term, count(*) AS df, sum(tf)::BIGINT AS n FROM post GROUP BY term HAVING count(*) >= 20")(
     lambda spark, d: trade.index(spark, d).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n")).filter("df >= 20")
 )
