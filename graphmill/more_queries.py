@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmill.functions import scalars as S
+from graphmill.operators import extract as X
 from graphmill.operators import graph as G
 from graphmill.operators import impact as I
 from graphmill.operators import quality as Q
@@ -14,6 +15,7 @@ from graphmill.operators import search as T
 from graphmill.operators import store as K
 from graphmill.operators import telemetry as M
 from graphmill.plans import warnings as W
+from graphmill.plans.cut import cut
 from graphmill.plans.parser import one_edit_apart, parse
 from graphmill.plans.planner import Engine
 from graphmill.queries import _graph, query
@@ -216,6 +218,111 @@ def _(spark, d):
     return R.resolve_calls(nodes, _pending(c, F.lit("u/c.go"), caller, to, "CALLS", receiver))[0].select("from_id", "to_id")
 
 
+# -- Go sources -----------------------------------------------------------------------------------------
+def _go_files(spark: SparkSession, d: str) -> DataFrame:
+    """A file for each nation, with a struct, an interface and a variable, and one for each customer that uses its nation's."""
+    nations = trade.table(spark, d, "nation").select(F.format_string("s/%d.go", "n_nationkey").alias("path"), F.regexp_replace(F.lit("""package s
+
+import "io"
+
+// NOTE: the struct of nation @.
+type S@ struct{}
+
+func (s *S@) Run() { Total@++ }
+
+type Runner@ interface {
+	io.Closer
+	Run()
+	Stop@(n int) error
+}
+
+var Total@ int
+"""), "@", F.col("n_nationkey").cast("string")).alias("content"))
+    c = trade.table(spark, d, "customer")
+    text = F.regexp_replace(F.lit("""package c
+
+type C@ struct {
+	sync.Mutex
+	part, spare *S# `json:"}"`
+	name        string
+}
+
+func (c *C@) Go(n int) {
+	// TODO: not "}" but
+	// until # is done
+	c.part.Run()
+	Total# = n
+	c.name = `}` + Name(n)
+}
+
+func (c *C@) Stop@() { c.Go(Total#) }
+"""), "@", F.col("c_custkey").cast("string"))
+    customers = c.select(F.format_string("c/%d.go", "c_custkey").alias("path"), F.regexp_replace(text, "#", F.col("c_nationkey").cast("string")).alias("content"))
+    return nations.union(customers).withColumn("language", F.lit("Go"))
+
+
+def _go_rows(spark: SparkSession, d: str) -> DataFrame:
+    return X.extract(_go_files(spark, d))
+
+
+query("extract_go_fields", "", """SELECT 'C' || c_custkey AS struct, field, CASE field WHEN 'Mutex' THEN 'sync.Mutex' WHEN 'name' THEN 'string' ELSE '*S' || c_nationkey END AS type
+FROM customer, (VALUES ('Mutex'), ('part'), ('spare'), ('name')) f(field)""")(lambda spark, d: X.fields_of(_go_rows(spark, d), "p").select("struct", "field", "type"))
+query("extract_go_interfaces", "", "SELECT 'Runner' || n_nationkey AS interface, m || CASE m WHEN 'Stop' THEN n_nationkey::VARCHAR ELSE '' END AS method_name FROM nation, (VALUES ('Run'), ('Stop')) t(m)")(
+    lambda spark, d: X.interface_methods_of(_go_rows(spark, d), "p").select("interface", "method_name")
+)
+query("extract_go_symbols", "", """SELECT 's/' || n_nationkey || '.go::' || q || '#' || kind AS id, line AS start_line, till AS end_line FROM (SELECT n_nationkey, unnest([
+{'q': 'S' || n_nationkey, 'kind': 'Class', 'line': 6, 'till': 6}, {'q': 'S' || n_nationkey || '.Run', 'kind': 'Method', 'line': 8, 'till': 8}, {'q': 'Runner' || n_nationkey, 'kind': 'Interface', 'line': 10, 'till': 14},
+{'q': 'Total' || n_nationkey, 'kind': 'Variable', 'line': 16, 'till': 16}, {'q': 's.rationale.L5', 'kind': 'Rationale', 'line': 5, 'till': 5}], recursive := true) FROM nation)
+UNION ALL SELECT 'c/' || c_custkey || '.go::' || q || '#' || kind, line, till FROM (SELECT c_custkey, unnest([
+{'q': 'C' || c_custkey, 'kind': 'Class', 'line': 3, 'till': 7}, {'q': 'C' || c_custkey || '.Go', 'kind': 'Method', 'line': 9, 'till': 15}, {'q': 'C' || c_custkey || '.Stop' || c_custkey, 'kind': 'Method', 'line': 17, 'till': 17},
+{'q': 'c.rationale.L10', 'kind': 'Rationale', 'line': 10, 'till': 11}], recursive := true) FROM customer)""")(lambda spark, d: X.symbols_of(_go_rows(spark, d), "p").select("id", "start_line", "end_line"))
+query("extract_go_rationale", "", """SELECT 'C' || c_custkey || '.Go' AS parent, 'TODO: not "}" but' AS name FROM customer UNION ALL SELECT NULL, 'NOTE: the struct of nation ' || n_nationkey || '.' FROM nation""")(
+    lambda spark, d: X.symbols_of(_go_rows(spark, d), "p").filter("kind = 'Rationale'").select("parent", "name")
+)
+
+
+def _go_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = cut(_go_rows(spark, d))
+    return X.symbols_of(rows, "p"), X.pending_of(rows, "p"), rows
+
+
+@query("resolve_fields", "", """SELECT 'c/' || c_custkey || '.go::C' || c_custkey || '.Go#Method' AS from_id, 's/' || c_nationkey || '.go::S' || c_nationkey || '.Run#Method' AS to_id FROM customer
+UNION ALL SELECT 'c/' || c_custkey || '.go::C' || c_custkey || '.Stop' || c_custkey || '#Method', 'c/' || c_custkey || '.go::C' || c_custkey || '.Go#Method' FROM customer""")
+def _(spark, d):
+    """Calls through a field of the receiver, by the fields that extraction found, and on the receiver itself."""
+    symbols, pending, rows = _go_graph(spark, d)
+    return R.resolve_calls(symbols, pending, X.fields_of(rows, "p"))[0].select("from_id", "to_id")
+
+
+query("resolve_go_variables", "", """SELECT 'c/' || c_custkey || '.go::C' || c_custkey || '.Go#Method' AS from_id, 's/' || c_nationkey || '.go::Total' || c_nationkey || '#Variable' AS to_id, 'WRITES' AS kind FROM customer
+UNION ALL SELECT 'c/' || c_custkey || '.go::C' || c_custkey || '.Stop' || c_custkey || '#Method', 's/' || c_nationkey || '.go::Total' || c_nationkey || '#Variable', 'READS' FROM customer
+UNION ALL SELECT 's/' || n_nationkey || '.go::S' || n_nationkey || '.Run#Method', 's/' || n_nationkey || '.go::Total' || n_nationkey || '#Variable', k FROM nation, (VALUES ('READS'), ('WRITES')) t(k)""")(
+    lambda spark, d: R.resolve_reads(*_go_graph(spark, d)[:2]).select("from_id", "to_id", "kind")
+)
+query("dead_but_for_go_interfaces", "", "SELECT 'C' || c_custkey || '.Stop' || c_custkey AS qualified_name FROM customer WHERE c_custkey NOT IN (SELECT n_nationkey FROM nation)")(
+    lambda spark, d: _dead_go(spark, d).select("qualified_name")
+)
+
+
+def _dead_go(spark, d):
+    """Methods that nothing calls and no interface of the project declares."""
+    symbols, pending, rows = _go_graph(spark, d)
+    edges = R.resolve_calls(symbols, pending, X.fields_of(rows, "p"))[0]
+    unexported = symbols.withColumn("is_exported", F.lit(False))
+    return Q.dead_nodes(unexported, edges, ("Method",), interface_methods=X.interface_methods_of(rows, "p"), limit=None)
+
+
+@query("delete_file_members", "", """SELECT 'C' || c_custkey AS holder, field AS member FROM customer, (VALUES ('Mutex'), ('part'), ('spare'), ('name')) f(field) WHERE c_custkey % 3 <> 1
+UNION ALL SELECT 'Runner' || n_nationkey, m || CASE m WHEN 'Stop' THEN n_nationkey::VARCHAR ELSE '' END FROM nation, (VALUES ('Run'), ('Stop')) t(m) WHERE n_nationkey % 2 = 0""")
+def _(spark, d):
+    """Fields and methods go with their file."""
+    symbols, pending, rows = _go_graph(spark, d)
+    gone = trade.table(spark, d, "customer").filter("c_custkey % 3 = 1").select(F.lit("p").alias("project_id"), F.format_string("c/%d.go", "c_custkey").alias("file_path"))
+    gone = gone.union(trade.table(spark, d, "nation").filter("n_nationkey % 2 = 1").select(F.lit("p"), F.format_string("s/%d.go", "n_nationkey")))
+    fields, methods = K.delete_file(symbols, R.resolve_calls(symbols, pending)[0], gone, X.fields_of(rows, "p"), X.interface_methods_of(rows, "p"))[2:]
+    return fields.select(F.col("struct").alias("holder"), F.col("field").alias("member")).union(methods.select("interface", "method_name"))
+
+
 @query("resolve_reads", "", r"""SELECT 'a/s.go::f' || s_suppkey || '#Function' AS from_id, CASE WHEN s_nationkey % 2 = 0 THEN 'a/v.go::v' || s_nationkey || '#Variable' ELSE 'a/v.go::v' || s_nationkey || '#Function' END AS to_id,
 CASE WHEN s_nationkey % 2 = 0 THEN 'READS' ELSE 'CALLS' END AS kind, CASE WHEN s_nationkey % 2 = 0 THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END AS confidence FROM supplier""")
 def _(spark, d):

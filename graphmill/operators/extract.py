@@ -149,7 +149,6 @@ def by_pattern(patterns: list[tuple[str, str]], imports: str | None, block: Call
     return run
 
 
-register("Go")(by_pattern([("Function", r"^func (?P<name>\w+)\s*[(\[]"), ("Method", r"^func \(\s*\w*\s*\*?(?P<owner>\w+)[^)]*\)\s*(?P<name>\w+)\s*\("), ("Interface", r"^type (?P<name>\w+) interface\b"), ("Class", r"^type (?P<name>\w+) struct\b"), ("Variable", r"^(?:var|const) (?P<name>\w+)")], r'^\s*(?:import\s+)?(?:\w+\s+)?"(?P<name>[\w./-]+)"$', brace_block))
 register("JavaScript", "TypeScript", "JSX", "TSX")(by_pattern([("Function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\*?\s+(?P<name>\w+)"), ("Class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(?P<name>\w+)"), ("Interface", r"^\s*(?:export\s+)?interface\s+(?P<name>\w+)"), ("Enum", r"^\s*(?:export\s+)?enum\s+(?P<name>\w+)"), ("Function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(?P<name>\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>"), ("Method", r"^\s+(?:async\s+|static\s+|get\s+|set\s+)*(?P<name>(?!if|for|while|switch|return|catch|function)\w+)\s*\([^)]*\)\s*\{")], r"""(?:from|require\(|import)\s*['"](?P<name>[^'"]+)['"]""", brace_block))
 register("Java", "C#", "Kotlin", "Scala", "Swift", "Dart", "PHP")(by_pattern([("Class", r"^\s*(?:(?:public|private|protected|internal|static|final|abstract|sealed|open|data|case)\s+)*(?:class|object|struct|record)\s+(?P<name>\w+)"), ("Interface", r"^\s*(?:(?:public|private|protected|internal)\s+)*(?:interface|trait|protocol)\s+(?P<name>\w+)"), ("Enum", r"^\s*(?:(?:public|private)\s+)*enum\s+(?:class\s+)?(?P<name>\w+)"), ("Function", r"^\s*(?:(?:public|private|protected|internal|static|final|override|suspend|async|virtual|abstract|open)\s+)*(?:fun|func|def|function)\s+(?P<name>\w+)"), ("Method", r"^\s+(?:(?:public|private|protected|static|final|override|async|virtual|synchronized)\s+)+[\w<>\[\],.? ]+\s+(?P<name>\w+)\s*\([^;{]*\)\s*(?:throws [\w, .]+)?\{")], r"^\s*(?:import|using|use)\s+(?:static\s+)?(?P<name>[\w.\\]+)", brace_block))
 register("Rust", "C", "C++", "Zig")(by_pattern([("Function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+(?P<name>\w+)"), ("Class", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:typedef\s+)?(?:struct|class|union)\s+(?P<name>\w+)\s*[{:<]"), ("Interface", r"^\s*(?:pub\s+)?trait\s+(?P<name>\w+)"), ("Enum", r"^\s*(?:pub\s+)?enum\s+(?:class\s+)?(?P<name>\w+)"), ("Function", r"^(?!\s|return|else|typedef)[\w:*&<> ]+?[ *&](?:(?P<owner>\w+)::)?(?P<name>\w+)\s*\([^;{)]*\)\s*(?:const\s*)?\{")], r"^\s*(?:#include\s*[<\"]|use\s+)(?P<name>[\w./:]+)", brace_block))
@@ -403,6 +402,16 @@ def pending_of(rows: DataFrame, project: str) -> DataFrame:
     )
 
 
+def fields_of(rows: DataFrame, project: str) -> DataFrame:
+    """The fields of structs and their types, as the resolver of calls takes them."""
+    return rows.filter("row = 'field'").select(F.lit(project).alias("project_id"), "file_path", F.col("parent").alias("struct"), F.col("name").alias("field"), F.col("receiver_type").alias("type"))
+
+
+def interface_methods_of(rows: DataFrame, project: str) -> DataFrame:
+    """The methods that interfaces declare, as the search for dead nodes takes them."""
+    return rows.filter("row = 'method'").select(F.lit(project).alias("project_id"), "file_path", F.col("parent").alias("interface"), F.col("name").alias("method_name"))
+
+
 def skeleton(source: str) -> str:
     """A source's outline: declarations, and one line for each run of other lines."""
     keep = re.compile(r"^\s*(?:(?:export|public|private|protected|static|async|abstract|final|pub)\s+)*(?:func|def|class|interface|type|struct|enum|trait|impl|fn|function|module|package|import|from|return)\b|^\s*[})\]]+;?\s*$")
@@ -436,3 +445,6 @@ def python_source_roots(files: DataFrame) -> list[str]:
     """Folders that Python's imports start from: the root, and `src`, `lib` or `python` where they hold packages; a handful at most."""
     top = F.regexp_extract("path", r"^(src|lib|python)/[^/]+/__init__\.py$", 1)
     return [""] + sorted(r[0] for r in files.select(top.alias("r")).filter("r <> ''").distinct().limit(8).collect())
+
+
+from graphmill.operators import golang  # noqa: E402, F401  (registers itself)

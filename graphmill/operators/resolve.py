@@ -133,11 +133,14 @@ def resolve_calls(symbols: DataFrame, pending: DataFrame, struct_fields: DataFra
     p = p.join(first_by(local, ["project_id", "dir", "to_name"], "t2"), ["project_id", "dir", "to_name"], "left")
     # 3: a method of the receiver's type, pointer or not, perhaps through one field of it.
     clean = F.regexp_replace(F.coalesce("receiver_type", F.lit("")), r"^\*", "")
-    p = p.withColumn("__m", F.when(clean != "", F.concat(clean, F.lit("."), "tail")))
+    depth = F.size(F.split("to_name", r"\."))
+    p = p.withColumn("__m", F.when((clean != "") & (depth <= 2), F.concat(clean, F.lit("."), "tail")))
     p = p.join(by_qn("t3", "__m"), ["project_id", "__m"], "left").drop("__m")
     if struct_fields is not None:
         f = struct_fields.select("project_id", F.col("struct").alias("__s"), F.col("field").alias("__f"), F.regexp_replace("type", r"^\*", "").alias("__t"))
-        p = p.withColumn("__s", clean).withColumn("__f", F.get(F.split("to_name", r"\."), F.lit(1))).join(f, ["project_id", "__s", "__f"], "left")
+        # recv.field.M, and recv.M where an embedded type has the method.
+        f = f.groupBy("project_id", "__s", "__f").agg(F.min("__t").alias("__t"))
+        p = p.withColumn("__s", clean).withColumn("__f", F.when(depth == 3, F.get(F.split("to_name", r"\."), F.lit(1)))).join(f, ["project_id", "__s", "__f"], "left")
         p = p.withColumn("__m", F.concat("__t", F.lit("."), "tail")).join(by_qn("t4", "__m"), ["project_id", "__m"], "left").drop("__m", "__s", "__f", "__t")
     else:
         p = p.withColumn("t4", F.lit(None).cast("string"))

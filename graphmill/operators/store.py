@@ -76,13 +76,21 @@ def replace_edges(current: DataFrame, kind: str, source: str, new: DataFrame, fi
     return insert_edges(kept, new)
 
 
-def delete_file(symbols: DataFrame, edges: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Symbols and edges without those of some files (project_id, file_path); edges go with either end."""
+def delete_file(symbols: DataFrame, edges: DataFrame, files: DataFrame, *members: DataFrame) -> tuple[DataFrame, ...]:
+    """Symbols and edges without those of some files (project_id, file_path); edges go with either end.
+
+    members: tables of what symbols hold (fields of structs, methods of interfaces), by project_id and file_path; theirs go too.
+    """
     gone = symbols.join(files, ["project_id", "file_path"], "left_semi").select("project_id", "id")
     kept = symbols.join(files, ["project_id", "file_path"], "left_anti")
     for end in ("from_id", "to_id"):
         edges = edges.join(gone.withColumnRenamed("id", end), ["project_id", end], "left_anti")
-    return kept, edges
+    return kept, edges, *[m.join(files, ["project_id", "file_path"], "left_anti") for m in members]
+
+
+def replace_members(current: DataFrame, new: DataFrame, files: DataFrame) -> DataFrame:
+    """Members of symbols, with those of some files (project_id, file_path) replaced by new ones, which may be none."""
+    return current.join(files, ["project_id", "file_path"], "left_anti").unionByName(new)
 
 
 def resolve_stale(ids: DataFrame, moves: DataFrame) -> DataFrame:
