@@ -323,6 +323,33 @@ def _(spark, d):
     return fields.select(F.col("struct").alias("holder"), F.col("field").alias("member")).union(methods.select("interface", "method_name"))
 
 
+# -- sources of other languages ------------------------------------------------------------------------
+# For each language: a source whose strings and comments hold what ends blocks, and its declarations (kind, name, first and last line); @ is a supplier's key.
+_SOURCES = {
+    "JavaScript": ("class A@ {\n  // }\n  draw() {\n    const s = `}${ `}` }`;\n    return /}/.test(s);\n  }\n  later() {\n  }\n}\nconst f@ = (x) => x + 1\nfunction h@() {\n}\n",
+                   (("Class", "A@", 1, 9), ("Method", "A@.draw", 3, 6), ("Method", "A@.later", 7, 8), ("Function", "f@", 10, 10), ("Function", "h@", 11, 12))),
+    "Java": ("public class A@ {\n  /* class X { */\n  public int f@(int x) throws E {\n    char c = '}';\n    return \"\"\"\n      } \\\"\n      \"\"\".length();\n  }\n}\n", (("Class", "A@", 1, 9), ("Method", "A@.f@", 3, 8))),
+    "Rust": ("pub struct S@ { a: i32 }\npub fn go@<'a>(x: &'a str) {\n  let s = r#\"}\"#;\n  /* /* } */ } */\n}\npub trait T@ {\n  fn m(&self);\n}\n", (("Class", "S@", 1, 1), ("Function", "go@", 2, 5), ("Interface", "T@", 6, 8), ("Method", "T@.m", 7, 7))),
+    "Ruby": ("class A@\n  # end\n  def f@(x)\n    return 1 if x\n    while x do\n      y = \"end #{x ? 'end' : 1}\"\n    end\n  end\n  def g@ = 2\nend\ndef last@\nend\n", (("Class", "A@", 1, 10), ("Method", "A@.f@", 3, 8), ("Method", "A@.g@", 9, 9), ("Function", "last@", 11, 12))),
+    "Lua": ("function f@(x)\n  -- end\n  for i = 1, 2 do\n    if x then y = [[ end ]] end\n  end\n  repeat x = x + 1 until x > 2\nend\nlocal function h@()\nend\n", (("Function", "f@", 1, 7), ("Function", "h@", 8, 9))),
+    "C++": ("int f@(int x)\n{\n  auto s = R\"(})\";\n  return 1'000;\n}\nvoid A@::g() {\n  char c = '}';\n}\n", (("Function", "f@", 1, 5), ("Method", "A@.g", 6, 8))),
+}
+_DECLARED = " UNION ALL ".join(
+    f"SELECT '{lang}' AS language, '{kind}' AS kind, '{name.split('@')[0]}' || s_suppkey || '{name.split('@', 1)[1]}' AS qualified_name, {a} AS start_line, {b} AS end_line FROM supplier" if name.count("@") == 1
+    else f"SELECT '{lang}', '{kind}', replace('{name}', '@', s_suppkey::VARCHAR), {a}, {b} FROM supplier"
+    for lang, (_, found) in _SOURCES.items() for kind, name, a, b in found
+)
+
+
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("s_suppkey").cast("string")
+    each = [F.struct(F.lit(lang).alias("language"), F.replace(F.lit(text), F.lit("@"), key).alias("content")) for lang, (text, _) in _SOURCES.items()]
+    return trade.table(spark, d, "supplier").select(F.concat(F.lit("f"), key).alias("path"), F.explode(F.array(*each)).alias("s")).select("path", "s.*")
+
+
+query("extract_blocks", "", _DECLARED)(lambda spark, d: X.symbols_of(X.extract(_sources(spark, d)), "p").select("language", "kind", "qualified_name", "start_line", "end_line"))
+
+
 @query("resolve_reads", "", r"""SELECT 'a/s.go::f' || s_suppkey || '#Function' AS from_id, CASE WHEN s_nationkey % 2 = 0 THEN 'a/v.go::v' || s_nationkey || '#Variable' ELSE 'a/v.go::v' || s_nationkey || '#Function' END AS to_id,
 CASE WHEN s_nationkey % 2 = 0 THEN 'READS' ELSE 'CALLS' END AS kind, CASE WHEN s_nationkey % 2 = 0 THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END AS confidence FROM supplier""")
 def _(spark, d):

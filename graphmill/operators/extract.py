@@ -2,7 +2,8 @@
 
 An extractor takes (path, text) and yields symbols and edges as dicts.  It never fails a job: a file that it
 cannot read gives one row of kind `failure`.  Python files are parsed by the standard library's parser; for
-other languages of code there are declarations by pattern with blocks by braces, indents or `end`.
+other languages of code there are declarations by pattern, in what an automaton leaves of the text, with blocks
+by braces, indents or `end`.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmill.functions import scalars as S
+from graphmill.operators.lexical import brace_block, end_block, mask
 from graphmill.sources.files import language
 
 SCHEMA = (
@@ -69,23 +71,6 @@ def edge(kind: str, from_qn: str, to_name: str, confidence: float = 0.7, receive
 
 
 # -- blocks ------------------------------------------------------------------------------------------
-def brace_block(text: str, at: int) -> int:
-    """Where the block that opens at or after `at` ends; strings and comments hold no braces."""
-    depth, i = 0, at
-    for m in re.finditer(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`|//[^\n]*|/\*.*?\*/|[{};]", text[at:], re.DOTALL):
-        c = m[0]
-        if c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if depth <= 0:
-                return at + m.end()
-        elif c == ";" and depth == 0:
-            return at + m.end()
-        i = at + m.end()
-    return len(text) if depth else i
-
-
 def indent_block(text: str, at: int) -> int:
     first = text.rfind("\n", 0, at) + 1
     indent, end = at - first, len(text)
@@ -97,18 +82,12 @@ def indent_block(text: str, at: int) -> int:
     return end
 
 
-def end_block(text: str, at: int) -> int:
-    """Where the block ends whose opening word stands before `at`."""
-    depth = 1
-    for m in re.finditer(r"\b(def|class|module|do|begin|case|function|if|unless|while|end)\b", text[at:]):
-        depth += -1 if m[1] == "end" else 1
-        if depth == 0:
-            return at + m.end()
-    return len(text)
-
-
 _CALL = re.compile(r"(?<![\w.])((?:[A-Za-z_]\w*\.)*[A-Za-z_]\w*)\s*\(")
-_NO_CALL = frozenset("if for while switch return catch func function def class new sizeof await yield elif match with print assert not and or in is lambda do else case".split())
+# Words before a bracket that call nothing.
+_NO_CALL = frozenset((
+    "if", "for", "while", "switch", "return", "catch", "func", "function", "def", "class", "new", "sizeof", "await", "yield", "elif", "match", "with", "print", "assert", "not", "and", "or", "in", "is", "lambda", "do",
+    "else", "case",
+))
 
 
 def calls_in(body: str, qn: str) -> Iterator[dict]:
@@ -117,46 +96,60 @@ def calls_in(body: str, qn: str) -> Iterator[dict]:
             yield edge("CALLS", qn, name)
 
 
-def by_pattern(patterns: list[tuple[str, str]], imports: str | None, block: Callable[[str, int], int]) -> Extractor:
-    """Declarations by (kind, pattern with group `name` and perhaps `owner`), methods named by their owner or the class around them."""
+def by_pattern(language: str, patterns: list[tuple[str, str]], imports: str | None, block: Callable[..., int]) -> Extractor:
+    """Declarations by (kind, pattern with group `name` and perhaps `owner`), methods named by their owner or the class around them.
+
+    Patterns, blocks and calls are found in the masked text, where comments and strings are blank.
+    """
     compiled = [(kind, re.compile(p, re.MULTILINE)) for kind, p in patterns]
     importing = re.compile(imports, re.MULTILINE) if imports else None
+    ends = block if block is not end_block else lambda masked, at: end_block(masked, at, language)
 
     def run(path: str, text: str) -> Iterator[dict]:
-        t = Text(text)
+        t, masked = Text(text), mask(text, language)
         found, named = [], set()
         for kind, p in compiled:
-            for m in p.finditer(text):
+            for m in p.finditer(masked):
                 if m.start("name") in named:
                     continue
                 named.add(m.start("name"))
                 start = m.start() + len(m[0]) - len(m[0].lstrip())
-                found.append((start, block(text, m.start("name")), kind, m["name"], m.groupdict().get("owner")))
+                found.append((start, ends(masked, m.start("name")), kind, m["name"], m.groupdict().get("owner")))
         found.sort()
-        scopes = [f for f in found if f[2] in ("Class", "Interface", "Type", "Enum", "Module")]
+        around: list[tuple[int, str]] = []  # the types that are open, with where they end
         for start, end, kind, name, owner in found:
-            around = [s for s in scopes if s[0] < start and end <= s[1]]
-            inside = owner or (around[-1][3] if around else None)
+            while around and around[-1][0] <= start:
+                around.pop()
+            inside = owner or (around[-1][1] if around else None)
             if kind == "Function" and inside:
                 kind = "Method"
             qn = f"{inside}.{name}" if inside else name
-            yield t.symbol(kind, name, start, end, qn, parent=inside)
+            if kind in ("Class", "Interface", "Type", "Enum", "Module"):
+                around.append((end, name))
+            yield t.symbol(kind, name, start, end, qn, parent=inside, complexity=1 + sum(masked.count(w, start, end) for w in BRANCHES))
             if kind in ("Function", "Method"):
-                yield from calls_in(text[start:end], qn)
+                yield from calls_in(masked[start:end], qn)
         for m in importing.finditer(text) if importing else ():
-            yield edge("IMPORTS", path, m["name"])
+            # What begins in a comment or string imports nothing.
+            if masked[m.start() + len(m[0]) - len(m[0].lstrip())] != " ":
+                yield edge("IMPORTS", path, m["name"])
 
     return run
 
 
-register("JavaScript", "TypeScript", "JSX", "TSX")(by_pattern([("Function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\*?\s+(?P<name>\w+)"), ("Class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(?P<name>\w+)"), ("Interface", r"^\s*(?:export\s+)?interface\s+(?P<name>\w+)"), ("Enum", r"^\s*(?:export\s+)?enum\s+(?P<name>\w+)"), ("Function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(?P<name>\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>"), ("Method", r"^\s+(?:async\s+|static\s+|get\s+|set\s+)*(?P<name>(?!if|for|while|switch|return|catch|function)\w+)\s*\([^)]*\)\s*\{")], r"""(?:from|require\(|import)\s*['"](?P<name>[^'"]+)['"]""", brace_block))
-register("Java", "C#", "Kotlin", "Scala", "Swift", "Dart", "PHP")(by_pattern([("Class", r"^\s*(?:(?:public|private|protected|internal|static|final|abstract|sealed|open|data|case)\s+)*(?:class|object|struct|record)\s+(?P<name>\w+)"), ("Interface", r"^\s*(?:(?:public|private|protected|internal)\s+)*(?:interface|trait|protocol)\s+(?P<name>\w+)"), ("Enum", r"^\s*(?:(?:public|private)\s+)*enum\s+(?:class\s+)?(?P<name>\w+)"), ("Function", r"^\s*(?:(?:public|private|protected|internal|static|final|override|suspend|async|virtual|abstract|open)\s+)*(?:fun|func|def|function)\s+(?P<name>\w+)"), ("Method", r"^\s+(?:(?:public|private|protected|static|final|override|async|virtual|synchronized)\s+)+[\w<>\[\],.? ]+\s+(?P<name>\w+)\s*\([^;{]*\)\s*(?:throws [\w, .]+)?\{")], r"^\s*(?:import|using|use)\s+(?:static\s+)?(?P<name>[\w.\\]+)", brace_block))
-register("Rust", "C", "C++", "Zig")(by_pattern([("Function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+(?P<name>\w+)"), ("Class", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:typedef\s+)?(?:struct|class|union)\s+(?P<name>\w+)\s*[{:<]"), ("Interface", r"^\s*(?:pub\s+)?trait\s+(?P<name>\w+)"), ("Enum", r"^\s*(?:pub\s+)?enum\s+(?:class\s+)?(?P<name>\w+)"), ("Function", r"^(?!\s|return|else|typedef)[\w:*&<> ]+?[ *&](?:(?P<owner>\w+)::)?(?P<name>\w+)\s*\([^;{)]*\)\s*(?:const\s*)?\{")], r"^\s*(?:#include\s*[<\"]|use\s+)(?P<name>[\w./:]+)", brace_block))
-register("Ruby", "Lua", "Elixir")(by_pattern([("Class", r"^\s*class\s+(?P<name>[\w:]+)"), ("Module", r"^\s*(?:defmodule|module)\s+(?P<name>[\w.:]+)"), ("Function", r"^\s*(?:def|defp|local function|function)\s+(?:self\.)?(?P<name>[\w.:?!]+)")], r"""^\s*(?:require(?:_relative)?|import|alias)\s*\(?\s*['"]?(?P<name>[\w./:]+)""", end_block))
-register("R")(by_pattern([("Function", r"^(?P<name>[\w.]+)\s*(?:<-|=)\s*function\s*\(")], r"^\s*(?:library|require)\((?P<name>\w+)\)", brace_block))
-register("Bash")(by_pattern([("Function", r"^\s*(?:function\s+)?(?P<name>[\w-]+)\s*\(\)\s*\{"), ("Variable", r"^(?:export\s+)?(?P<name>[A-Z][A-Z0-9_]*)=")], r"^\s*(?:source|\.)\s+(?P<name>\S+)", brace_block))
-register("SQL")(by_pattern([("Class", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:table|view)\s+(?:if\s+not\s+exists\s+)?[\"`]?(?P<name>[\w.]+)"), ("Function", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:function|procedure|trigger)\s+(?P<name>[\w.]+)"), ("Setting", r"(?i)^\s*create\s+(?:unique\s+)?index\s+(?:if\s+not\s+exists\s+)?(?P<name>\w+)")], None, brace_block))
-register("HCL")(by_pattern([("Resource", r'^resource\s+"(?P<owner>[^"]+)"\s+"(?P<name>[^"]+)"'), ("DataSource", r'^data\s+"(?P<owner>[^"]+)"\s+"(?P<name>[^"]+)"'), ("Variable", r'^variable\s+"(?P<name>[^"]+)"'), ("Output", r'^output\s+"(?P<name>[^"]+)"'), ("Provider", r'^provider\s+"(?P<name>[^"]+)"'), ("Module", r'^module\s+"(?P<name>[^"]+)"')], None, brace_block))
+def declared(languages: tuple[str, ...], patterns: list[tuple[str, str]], imports: str | None, block: Callable[..., int]) -> None:
+    for name in languages:
+        register(name)(by_pattern(name, patterns, imports, block))
+
+
+declared(("JavaScript", "TypeScript", "JSX", "TSX"), [("Function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\*?\s+(?P<name>\w+)"), ("Class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(?P<name>\w+)"), ("Interface", r"^\s*(?:export\s+)?interface\s+(?P<name>\w+)"), ("Enum", r"^\s*(?:export\s+)?enum\s+(?P<name>\w+)"), ("Function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(?P<name>\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>"), ("Method", r"^\s+(?:async\s+|static\s+|get\s+|set\s+)*(?P<name>(?!if|for|while|switch|return|catch|function)\w+)\s*\([^)]*\)\s*\{")], r"""(?:from|require\(|import)\s*['"](?P<name>[^'"]+)['"]""", brace_block)
+declared(("Java", "C#", "Kotlin", "Scala", "Swift", "Dart", "PHP"), [("Class", r"^\s*(?:(?:public|private|protected|internal|static|final|abstract|sealed|open|data|case)\s+)*(?:class|object|struct|record)\s+(?P<name>\w+)"), ("Interface", r"^\s*(?:(?:public|private|protected|internal)\s+)*(?:interface|trait|protocol)\s+(?P<name>\w+)"), ("Enum", r"^\s*(?:(?:public|private)\s+)*enum\s+(?:class\s+)?(?P<name>\w+)"), ("Function", r"^\s*(?:(?:public|private|protected|internal|static|final|override|suspend|async|virtual|abstract|open)\s+)*(?:fun|func|def|function)\s+(?P<name>\w+)"), ("Method", r"^\s+(?:(?:public|private|protected|static|final|override|async|virtual|synchronized)\s+)+[\w<>\[\],.? ]+\s+(?P<name>\w+)\s*\([^;{]*\)\s*(?:throws [\w, .]+)?\{")], r"^\s*(?:import|using|use)\s+(?:static\s+)?(?P<name>[\w.\\]+)", brace_block)
+declared(("Rust", "C", "C++", "Zig"), [("Function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+(?P<name>\w+)"), ("Class", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:typedef\s+)?(?:struct|class|union)\s+(?P<name>\w+)\s*[{:<]"), ("Interface", r"^\s*(?:pub\s+)?trait\s+(?P<name>\w+)"), ("Enum", r"^\s*(?:pub\s+)?enum\s+(?:class\s+)?(?P<name>\w+)"), ("Function", r"^(?!\s|return|else|typedef)[\w:*&<> ]+?[ *&](?:(?P<owner>\w+)::)?(?P<name>\w+)\s*\([^;{)]*\)\s*(?:const\s*)?\{")], r"^\s*(?:#include\s*[<\"]|use\s+)(?P<name>[\w./:]+)", brace_block)
+declared(("Ruby", "Lua", "Elixir"), [("Class", r"^\s*class\s+(?P<name>[\w:]+)"), ("Module", r"^\s*(?:defmodule|module)\s+(?P<name>[\w.:]+)"), ("Function", r"^\s*(?:def|defp|local function|function)\s+(?:self\.)?(?P<name>[\w.:?!]+)")], r"""^\s*(?:require(?:_relative)?|import|alias)\s*\(?\s*['"]?(?P<name>[\w./:]+)""", end_block)
+declared(("R",), [("Function", r"^(?P<name>[\w.]+)\s*(?:<-|=)\s*function\s*\(")], r"^\s*(?:library|require)\((?P<name>\w+)\)", brace_block)
+declared(("Bash",), [("Function", r"^\s*(?:function\s+)?(?P<name>[\w-]+)\s*\(\)\s*\{"), ("Variable", r"^(?:export\s+)?(?P<name>[A-Z][A-Z0-9_]*)=")], r"^\s*(?:source|\.)\s+(?P<name>\S+)", brace_block)
+declared(("SQL",), [("Class", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:table|view)\s+(?:if\s+not\s+exists\s+)?[\"`]?(?P<name>[\w.]+)"), ("Function", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:function|procedure|trigger)\s+(?P<name>[\w.]+)"), ("Setting", r"(?i)^\s*create\s+(?:unique\s+)?index\s+(?:if\s+not\s+exists\s+)?(?P<name>\w+)")], None, brace_block)
+declared(("HCL",), [("Resource", r'^resource\s+"(?P<owner>[^"]+)"\s+"(?P<name>[^"]+)"'), ("DataSource", r'^data\s+"(?P<owner>[^"]+)"\s+"(?P<name>[^"]+)"'), ("Variable", r'^variable\s+"(?P<name>[^"]+)"'), ("Output", r'^output\s+"(?P<name>[^"]+)"'), ("Provider", r'^provider\s+"(?P<name>[^"]+)"'), ("Module", r'^module\s+"(?P<name>[^"]+)"')], None, brace_block)
 
 
 @register("Python")
@@ -165,7 +158,7 @@ def extract_python(path: str, text: str) -> Iterator[dict]:
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
-        yield from by_pattern([("Class", r"^\s*class\s+(?P<name>\w+)"), ("Function", r"^\s*(?:async\s+)?def\s+(?P<name>\w+)")], r"^\s*(?:from|import)\s+(?P<name>[\w.]+)", indent_block)(path, text)
+        yield from by_pattern("Python", [("Class", r"^\s*class\s+(?P<name>\w+)"), ("Function", r"^\s*(?:async\s+)?def\s+(?P<name>\w+)")], r"^\s*(?:from|import)\s+(?P<name>[\w.]+)", indent_block)(path, text)
         return
     t = Text(text)
     at = lambda n, end=False: t.starts[(n.end_lineno if end else n.lineno) - 1] + len(text[t.starts[(n.end_lineno if end else n.lineno) - 1] :].encode("utf-8", "surrogatepass")[: n.end_col_offset if end else n.col_offset].decode("utf-8", "ignore"))
