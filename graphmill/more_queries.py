@@ -350,6 +350,67 @@ def _sources(spark: SparkSession, d: str) -> DataFrame:
 query("extract_blocks", "", _DECLARED)(lambda spark, d: X.symbols_of(X.extract(_sources(spark, d)), "p").select("language", "kind", "qualified_name", "start_line", "end_line"))
 
 
+def _made(spark: SparkSession, d: str, table: str, key: str, language: str, text: str) -> DataFrame:
+    """A source for each row of a table, in which @ is its key."""
+    content = F.replace(F.lit(text), F.lit("@"), F.col(key).cast("string"))
+    return X.extract(trade.table(spark, d, table).select(F.concat(F.lit("f"), F.col(key).cast("string")).alias("path"), F.lit(language).alias("language"), content.alias("content")))
+
+
+_YAML = """base: &b
+  size: @
+  tags: [a, {k@: "}: x", e}]
+script: |
+  not: a key
+   - nor an element
+jobs:
+- name: 'j: @'
+  <<: *b
+  size: 2
+-
+  use: *b
+  image: {{ .Values.image@ }}
+"""
+_SETTINGS = (
+    ("base", 1, 3), ("base.size", 2, 2), ("base.tags", 3, 3), ("base.tags.0", 3, 3), ("base.tags.1", 3, 3), ("base.tags.1.k@", 3, 3), ("base.tags.1.e", 3, 3), ("script", 4, 6), ("jobs", 7, 13), ("jobs.0", 8, 10),
+    ("jobs.0.name", 8, 8), ("jobs.0.size", 10, 10), ("jobs.0.tags", 9, 9), ("jobs.0.tags.0", 9, 9), ("jobs.0.tags.1", 9, 9), ("jobs.0.tags.1.k@", 9, 9), ("jobs.0.tags.1.e", 9, 9), ("jobs.1", 12, 13), ("jobs.1.use", 12, 12),
+    ("jobs.1.use.size", 12, 12), ("jobs.1.use.tags", 12, 12), ("jobs.1.use.tags.0", 12, 12), ("jobs.1.use.tags.1", 12, 12), ("jobs.1.use.tags.1.k@", 12, 12), ("jobs.1.use.tags.1.e", 12, 12), ("jobs.1.image", 13, 13),
+)
+query("extract_yaml_settings", "", "SELECT 'f' || c_custkey AS file_path, replace(q, '@', c_custkey::VARCHAR) AS qualified_name, a AS start_line, b AS end_line FROM customer, (VALUES " + ", ".join(f"('{q}', {a}, {b})" for q, a, b in _SETTINGS) + ") t(q, a, b)")(
+    lambda spark, d: X.symbols_of(_made(spark, d, "customer", "c_custkey", "YAML", _YAML), "p").select("file_path", "qualified_name", "start_line", "end_line")
+)
+query("extract_yaml_variables", "", "SELECT 'f' || s_suppkey AS from_file, 'USES_VAR' AS kind, 'v' || s_suppkey AS to_name FROM supplier")(
+    lambda spark, d: X.pending_of(_made(spark, d, "supplier", "s_suppkey", "YAML", "a: 'x {{ v@ | upper }}'\nb: |\n  {{- v@ }}\n"), "p").select("from_file", "kind", "to_name")
+)
+_HCL = """variable "v@" { default = "}${"a"}" }
+locals {
+  n@ = "${var.v@}"
+  doc = <<-EOT
+    } resource "no" "no" { ${local.n@}
+  EOT
+}
+resource "host" "h@" {
+  name = local.n@
+  disk { size = data.sizes.s@.small }
+  disk { size = 2 } # }
+  lifecycle {
+    keep = true
+  }
+}
+output "o@" { value = host.h@[0].id }
+"""
+_BLOCKS = (
+    ("var.v@", "Variable", 1, 1), ("local.n@", "Local", 3, 3), ("local.doc", "Local", 4, 6), ("resource.host.h@", "Resource", 8, 15), ("resource.host.h@.disk.0", "Block", 10, 10), ("resource.host.h@.disk.1", "Block", 11, 11),
+    ("resource.host.h@.lifecycle", "Block", 12, 14), ("output.o@", "Output", 16, 16),
+)
+query("extract_hcl_blocks", "", "SELECT replace(q, '@', s_suppkey::VARCHAR) AS qualified_name, kind, a AS start_line, b AS end_line FROM supplier, (VALUES " + ", ".join(f"('{q}', '{k}', {a}, {b})" for q, k, a, b in _BLOCKS) + ") t(q, kind, a, b)")(
+    lambda spark, d: X.symbols_of(_made(spark, d, "supplier", "s_suppkey", "HCL", _HCL), "p").select("qualified_name", "kind", "start_line", "end_line")
+)
+query("extract_hcl_references", "", """SELECT replace(f, '@', s_suppkey::VARCHAR) AS from_qn, replace(t, '@', s_suppkey::VARCHAR) AS to_name FROM supplier,
+(VALUES ('local.n@', 'var.v@'), ('local.doc', 'local.n@'), ('resource.host.h@', 'local.n@'), ('resource.host.h@', 'data.sizes.s@'), ('output.o@', 'resource.host.h@')) r(f, t)""")(
+    lambda spark, d: X.pending_of(_made(spark, d, "supplier", "s_suppkey", "HCL", _HCL), "p").select("from_qn", "to_name")
+)
+
+
 @query("resolve_reads", "", r"""SELECT 'a/s.go::f' || s_suppkey || '#Function' AS from_id, CASE WHEN s_nationkey % 2 = 0 THEN 'a/v.go::v' || s_nationkey || '#Variable' ELSE 'a/v.go::v' || s_nationkey || '#Function' END AS to_id,
 CASE WHEN s_nationkey % 2 = 0 THEN 'READS' ELSE 'CALLS' END AS kind, CASE WHEN s_nationkey % 2 = 0 THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END AS confidence FROM supplier""")
 def _(spark, d):

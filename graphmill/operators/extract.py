@@ -9,7 +9,6 @@ by braces, indents or `end`.
 from __future__ import annotations
 
 import ast
-import json
 import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
@@ -149,7 +148,6 @@ declared(("Ruby", "Lua", "Elixir"), [("Class", r"^\s*class\s+(?P<name>[\w:]+)"),
 declared(("R",), [("Function", r"^(?P<name>[\w.]+)\s*(?:<-|=)\s*function\s*\(")], r"^\s*(?:library|require)\((?P<name>\w+)\)", brace_block)
 declared(("Bash",), [("Function", r"^\s*(?:function\s+)?(?P<name>[\w-]+)\s*\(\)\s*\{"), ("Variable", r"^(?:export\s+)?(?P<name>[A-Z][A-Z0-9_]*)=")], r"^\s*(?:source|\.)\s+(?P<name>\S+)", brace_block)
 declared(("SQL",), [("Class", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:table|view)\s+(?:if\s+not\s+exists\s+)?[\"`]?(?P<name>[\w.]+)"), ("Function", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:function|procedure|trigger)\s+(?P<name>[\w.]+)"), ("Setting", r"(?i)^\s*create\s+(?:unique\s+)?index\s+(?:if\s+not\s+exists\s+)?(?P<name>\w+)")], None, brace_block)
-declared(("HCL",), [("Resource", r'^resource\s+"(?P<owner>[^"]+)"\s+"(?P<name>[^"]+)"'), ("DataSource", r'^data\s+"(?P<owner>[^"]+)"\s+"(?P<name>[^"]+)"'), ("Variable", r'^variable\s+"(?P<name>[^"]+)"'), ("Output", r'^output\s+"(?P<name>[^"]+)"'), ("Provider", r'^provider\s+"(?P<name>[^"]+)"'), ("Module", r'^module\s+"(?P<name>[^"]+)"')], None, brace_block)
 
 
 @register("Python")
@@ -197,20 +195,13 @@ def extract_python(path: str, text: str) -> Iterator[dict]:
 
 
 def _settings(value, prefix: str, t: Text) -> Iterator[dict]:
-    if isinstance(value, dict):
-        for k, v in value.items():
-            qn = f"{prefix}.{k}" if prefix else str(k)
-            at = max(t.text.find(str(k)), 0)
-            yield t.symbol("Setting", str(k), at, at + len(str(k)), qn, 0.95, parent=prefix or None)
-            yield from _settings(v, qn, t)
-    elif isinstance(value, list):
-        for i, v in enumerate(value):
-            yield from _settings(v, f"{prefix}[{i}]", t)
-
-
-@register("JSON")
-def extract_json(path: str, text: str) -> Iterator[dict]:
-    yield from _settings(json.loads(text), "", Text(text))
+    """Keys and elements of data without places: at the first place of their name."""
+    children = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
+    for k, v in children:
+        qn = f"{prefix}.{str(k).replace('.', '_')}" if prefix else str(k).replace(".", "_")
+        at = max(t.text.find(str(k)), 0) if isinstance(value, dict) else 0
+        yield t.symbol("Setting", str(k), at, at + len(str(k)), qn, 0.95, parent=prefix or None)
+        yield from _settings(v, qn, t)
 
 
 @register("TOML")
@@ -220,20 +211,6 @@ def extract_toml(path: str, text: str) -> Iterator[dict]:
     yield from _settings(tomllib.loads(text), "", Text(text))
 
 
-@register("YAML")
-def extract_yaml(path: str, text: str) -> Iterator[dict]:
-    """Keys by indent, as dotted names; `{{ name }}` uses a variable."""
-    t, stack = Text(text), []
-    for m in re.finditer(r"^( *)(?:- )?([\w./-]+):(?= |$)", text, re.MULTILINE):
-        indent = len(m[1])
-        while stack and stack[-1][0] >= indent:
-            stack.pop()
-        stack.append((indent, m[2]))
-        yield t.symbol("Setting", m[2], m.start(2), m.end(2), ".".join(k for _, k in stack), 0.95, parent=".".join(k for _, k in stack[:-1]) or None)
-    for name in dict.fromkeys(re.findall(r"\{\{\s*([A-Za-z_]\w*)", text)):
-        yield edge("USES_VAR", path, name)
-
-
 @register("XML")
 def extract_xml(path: str, text: str) -> Iterator[dict]:
     t = Text(text)
@@ -440,4 +417,4 @@ def python_source_roots(files: DataFrame) -> list[str]:
     return [""] + sorted(r[0] for r in files.select(top.alias("r")).filter("r <> ''").distinct().limit(8).collect())
 
 
-from graphmill.operators import golang  # noqa: E402, F401  (registers itself)
+from graphmill.operators import config, golang  # noqa: E402, F401  (register themselves)

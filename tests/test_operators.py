@@ -202,7 +202,7 @@ SOURCES = {
     "Markdown": ("intro\n# One\n[x](b.md)\n## Two\n", {("Section", "preamble"), ("Section", "one"), ("Section", "one.two")}),
     "HTML": ("<title>T</title><h1>H</h1><a href='/x?y'>l</a>", {("Document", "title.0.T"), ("Section", "h1.1.H")}),
     "Makefile": ("all: b c\n\techo\nCC=gcc\n", {("Function", "all"), ("Variable", "CC")}),
-    "HCL": ('resource "aws_x" "y" {\n}\nvariable "v" {}\n', {("Resource", "aws_x.y"), ("Variable", "v")}),
+    "HCL": ('resource "aws_x" "y" {\n}\nvariable "v" {}\n', {("Resource", "resource.aws_x.y"), ("Variable", "var.v")}),
     "Jinja": ("{% block a %}{{ b }}{% endblock %}{% include 'c' %}", {("Block", "a")}),
 }
 
