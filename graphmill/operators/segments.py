@@ -1,189 +1,53 @@
-"""A search index that is kept current: segments of postings, tombstones by version, and merges by tiers.
+"""A search index that is kept current: layers of postings by document, as graphmill.operators.layers has them.
 
-Every change is a version.  It writes one segment with the documents that are new or different, and one table of the
-ids that it replaces or removes; a row of an older segment whose id has a tombstone of a later version is dead.  Nothing
-else is written until FANIN segments of one level have come together, which then become one of the next level, or until
-dead documents outnumber the living, when all become one.  So a document is written again about log(versions) / log(FANIN)
-times, and a query reads about FANIN segments a level.
-
-How many documents there are and how long they are together is added up over segments, less what is dead in them, so
-scores are those of an index built anew.  A manifest of a few rows names the files of a version and is written last:
-readers see a version whole or not at all, and what a failed attempt left is never read.  One writer at a time.
+How many documents there are and how long they are together is added up over layers, so scores are those of an index
+built anew.  A change writes the postings of its documents and the ids that they replace, and reads no text but theirs.
 """
 
 from __future__ import annotations
 
-import uuid
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphmill.operators.layers import Layers
 from graphmill.operators.search import Index, build_index
 
-TABLES = ("postings", "positions", "lengths")
-#: Segments of a level that are merged; and the level of a whole index, which deltas do not reach.
-FANIN, WHOLE = 4, 99
-MANIFEST = "kind string, folder string, low long, high long, level int, n long, total long, dead long, dead_total long"
-
 
-class Segments:
+class Segments(Layers):
     """An index below path, of some columns of documents that key tells apart.
 
     Documents of one key in one change are one: the one whose columns sort last.  A null key is no document.
     """
 
-    def __init__(self, spark: SparkSession, path: str, fields: list[str], key: str = "id") -> None:
-        self.spark, self.path, self.fields, self.key = spark, path.rstrip("/"), fields, key
-
-    # -- files
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    # Sorted by term, so that a query reads the row groups of its words.
+    tables = {"postings": ("id", ("term", "id")), "positions": ("id", ("term", "id")), "lengths": ("id", ())}
+    counted = "lengths"
 
-    def _write(self, df: DataFrame, folder: str, *order: str) -> None:
-        """Sorted by term, so that a query reads the row groups of its words."""
-        sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-        sorted_.write.parquet(f"{self.path}/{folder}")
-
-    def _read(self, folder: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{folder}")
-
-    def version(self) -> int:
-        """The last version that was written whole."""
-        return self._read("manifest").agg(F.max("version")).first()[0]
-
-    def manifest(self, version: int | None = None) -> list[dict]:
-        """What a version consists of: a few rows, whatever the index holds."""
-        v = self.version() if version is None else version
-        return [r.asDict() for r in self._read("manifest").filter(F.col("version") == v).orderBy("low", "kind").collect()]
+    def __init__(self, spark: SparkSession, path: str, fields: list[str], key: str = "id") -> None:
+        super().__init__(spark, path)
+        self.fields, self.key = fields, key
 
-    def _publish(self, rows: list[dict], version: int) -> None:
-        names = [c.split()[0] for c in MANIFEST.split(", ")]
-        table = self.spark.createDataFrame([tuple(r[c] for c in names) for r in rows], MANIFEST)
-        table.coalesce(1).write.parquet(f"{self.path}/manifest/version={version}")
+    def weight(self) -> Column:
+        return F.col("length")
 
-    # -- segments
-    def _documents(self, docs: DataFrame) -> DataFrame:
+    def _tables(self, docs: DataFrame) -> dict[str, DataFrame]:
         columns = [F.col(c).cast("string").alias(c) for c in self.fields]
         one = docs.filter(F.col(self.key).isNotNull()).groupBy(F.col(self.key).alias("id")).agg(F.max(F.struct(*columns)).alias("d"))
-        return one.select("id", "d.*")
+        index = build_index(one.select("id", "d.*"), self.fields)
+        return {name: getattr(index, name) for name in self.tables}
 
-    def _segment(self, index: Index, low: int, high: int, level: int) -> dict:
-        folder = f"segments/{uuid.uuid4().hex}"
-        self._write(index.postings, f"{folder}/postings", "term", "id")
-        self._write(index.positions, f"{folder}/positions", "term", "id")
-        self._write(index.lengths, f"{folder}/lengths")
-        n, total = self._read(f"{folder}/lengths").agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
-        return {"kind": "segment", "folder": folder, "low": low, "high": high, "level": level, "n": n, "total": total, "dead": 0, "dead_total": 0}
-
-    def _tombstones(self, rows: list[dict]) -> DataFrame | None:
-        """(id, until) of ids that a later version replaced: their rows in segments that end before it are dead."""
-        oldest = min(r["high"] for r in rows if r["kind"] == "segment")
-        tables = [self._read(r["folder"]).select("id", F.lit(r["high"]).alias("at")) for r in rows if r["kind"] == "tombstones" and r["high"] > oldest]
-        return reduce(DataFrame.unionByName, tables).groupBy("id").agg(F.max("at").alias("until")) if tables else None
-
-    def _living(self, rows: list[dict], name: str, of: list[dict] | None = None) -> DataFrame:
-        """A table over all segments, or some, without what is dead.  Filters on terms go below the join, to the scans."""
-        parts = [self._read(f"{r['folder']}/{name}").withColumn("high", F.lit(r["high"])) for r in of or rows if r["kind"] == "segment"]
-        table, dead = reduce(DataFrame.unionByName, parts), self._tombstones(rows)
-        if dead is not None:
-            # Spark broadcasts tombstones while they are few, and shuffles by id when they are not.
-            dead = dead.withColumnRenamed("id", "dead_id")
-            table = table.join(dead, (F.col("id") == F.col("dead_id")) & (F.col("until") > F.col("high")), "left_anti")
-        return table
-
-    # -- what a user calls
     def create(self, docs: DataFrame) -> None:
-        self._publish([self._segment(build_index(self._documents(docs), self.fields), 0, 0, WHOLE)], 0)
+        self.start(self._tables(docs))
 
     def apply(self, upserts: DataFrame | None = None, deletes: DataFrame | None = None) -> int:
-        """Put documents in the place of those of their ids, remove ids, merge what is due; the new version."""
-        rows, version = self.manifest(), self.version() + 1
-        at = max(r["high"] for r in rows) + 1
-        gone = []
-        added = None
-        if upserts is not None:
-            added = self._segment(build_index(self._documents(upserts), self.fields), at, at, 0)
-            gone.append(self._read(f"{added['folder']}/lengths").select("id"))
-        if deletes is not None:
-            gone.append(deletes.select(F.col(self.key).alias("id")).filter("id is not null"))
-        if not gone:
-            return version - 1
-        folder = f"tombstones/{uuid.uuid4().hex}"
-        self._write(reduce(DataFrame.unionByName, gone).distinct(), folder)
-        # What dies now, by segment: the rows that were alive and whose id is among them.
-        died = self._living(rows, "lengths").join(self._read(folder), "id", "left_semi").groupBy("high").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"))
-        for r in died.collect():  # one row for each segment
-            own = next(x for x in rows if x["kind"] == "segment" and x["high"] == r["high"])
-            own["dead"] += r["n"]
-            own["dead_total"] += r["total"]
-        rows.append({"kind": "tombstones", "folder": folder, "low": at, "high": at, "level": 0, "n": 0, "total": 0, "dead": 0, "dead_total": 0})
-        if added:
-            rows.append(added)
-        while run := due(rows):
-            rows = self._merged(rows, run)
-        self._publish(rows, version)
-        return version
-
-    def _merged(self, rows: list[dict], run: list[dict]) -> list[dict]:
-        """Neighbouring segments as one, without what is dead in them; tombstones that no older segment needs are dropped."""
-        tables = [self._living(rows, name, run).drop("high") for name in TABLES]
-        whole = len(run) == sum(r["kind"] == "segment" for r in rows)
-        level = WHOLE if run[0]["level"] == WHOLE else max(r["level"] for r in run) + 1
-        new = self._segment(Index(tables[0], tables[2], tables[2].limit(0), tables[1]), run[0]["low"], run[-1]["high"], level)
-        kept = [r for r in rows if r["kind"] == "segment" and r not in run] + [new]
-        # What was replaced within the run is gone from it; for older segments its tombstones are as one of its last version.
-        stones = [r for r in rows if r["kind"] == "tombstones" and not whole]
-        ours = [r for r in stones if new["low"] <= r["high"] <= new["high"]]
-        if len(ours) > 1:
-            folder = f"tombstones/{uuid.uuid4().hex}"
-            self._write(reduce(DataFrame.unionByName, [self._read(r["folder"]) for r in ours]).distinct(), folder)
-            stones = [r for r in stones if r not in ours] + [ours[-1] | {"folder": folder, "low": new["low"], "high": new["high"]}]
-        return kept + stones
-
-    def rebuild(self) -> int:
-        """All segments as one."""
-        rows, version = self.manifest(), self.version() + 1
-        self._publish(self._merged(rows, [r for r in rows if r["kind"] == "segment"]), version)
-        return version
+        """Put documents in the place of those of their ids, and remove ids; the new version."""
+        gone = None if deletes is None else deletes.select(F.col(self.key).alias("id"))
+        return self.change(None if upserts is None else self._tables(upserts), gone)
 
     def index(self, version: int | None = None) -> Index:
-        """The index of a version, for search: what is dead is left out, and statistics are sums over segments."""
+        """The index of a version, for search: what is dead is left out, and statistics are sums over layers."""
         rows = self.manifest(version)
         n = sum(r["n"] - r["dead"] for r in rows)
         total = sum(r["total"] - r["dead_total"] for r in rows)
         stats = self.spark.createDataFrame([(n, total / n if n else None)], "n long, avg_length double")
-        postings, positions, lengths = (self._living(rows, name).drop("high") for name in TABLES)
-        return Index(postings, lengths, stats, positions)
-
-    def fragmentation(self) -> DataFrame:
-        """(segments, tombstones, n, dead, dead_share, due): whether the next change will merge, and what it would win."""
-        rows = self.manifest()
-        segments = [r for r in rows if r["kind"] == "segment"]
-        n, dead = sum(r["n"] for r in segments), sum(r["dead"] for r in segments)
-        out = (len(segments), len(rows) - len(segments), n - dead, dead, dead / n if n else 0.0, due(rows) is not None)
-        return self.spark.createDataFrame([out], "segments int, tombstones int, n long, dead long, dead_share double, due boolean")
-
-    def vacuum(self) -> None:
-        """Remove files that the last version does not name: older versions can not be read after it."""
-        rows, last = self.manifest(), self.version()
-        named = {r["folder"].split("/")[1] for r in rows}
-        for top in ("segments", "tombstones"):
-            path, fs = self._fs(f"{self.path}/{top}")
-            for s in fs.listStatus(path) if fs.exists(path) else ():
-                if s.getPath().getName() not in named:
-                    fs.delete(s.getPath(), True)
-        path, fs = self._fs(f"{self.path}/manifest")
-        for s in fs.listStatus(path):
-            if s.getPath().getName() != f"version={last}":
-                fs.delete(s.getPath(), True)
-
-
-def due(rows: list[dict]) -> list[dict] | None:
-    """The neighbouring segments that are to become one now, oldest first."""
-    segments = sorted((r for r in rows if r["kind"] == "segment"), key=lambda r: r["high"])
-    if 2 * sum(r["dead"] for r in segments) > sum(r["n"] for r in segments):
-        return segments
-    newest = [r for r in segments if r["level"] == segments[-1]["level"]]
-    return newest if len(newest) >= FANIN else None
+        return Index(*[self._living(rows, name).drop("high") for name in ("postings", "lengths")], stats, self._living(rows, "positions").drop("high"))

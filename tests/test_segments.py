@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from graphmill.operators import layers as LA
 from graphmill.operators import search as T
 from graphmill.operators import segments as SG
 
@@ -65,7 +66,7 @@ def test_an_old_version_stays_readable_and_failed_attempts_are_not_read(spark, t
     assert [r[0] for r in found(store.index(0), "red")] == [1] and [r[0] for r in found(store.index(), "red")] == [3]
     assert [r[0] for r in found(store.index(), "blue OR azure")] == [1] and found(store.index(), "azure") == []
     # A segment and tombstones without a manifest are those of an attempt that failed.
-    store._segment(T.build_index(spark.createDataFrame([(9, "red")], SCHEMA), ["text"]), 2, 2, 0)
+    store._layer(store._tables(spark.createDataFrame([(9, "red")], SCHEMA)), 2, 2, 0)
     assert [r[0] for r in found(store.index(), "red")] == [3]
     assert store.apply() == 1 and store.version() == 1
     assert store.apply(None, spark.createDataFrame([(1,), (2,), (3,), (77,)], "id long")) == 2
@@ -84,7 +85,7 @@ def test_mostly_dead_segments_become_one(spark, tmp_path):
 @pytest.mark.parametrize("levels, want", [([99], None), ([99, 0, 0, 0], None), ([99, 0, 0, 0, 0], 4), ([99, 1, 1, 1, 0], None), ([99, 1, 1, 1, 1], 4), ([99, 2, 1, 0, 0, 0, 0], 4)])
 def test_what_is_due(levels, want):
     rows = [{"kind": "segment", "high": i, "level": x, "n": 10, "dead": 0} for i, x in enumerate(levels)]
-    assert (len(SG.due(rows)) if SG.due(rows) else None) == want
+    assert (len(LA.due(rows)) if LA.due(rows) else None) == want
 
 
 def test_words_lose_their_marks(spark):
