@@ -180,8 +180,13 @@ def efficiency(log: DataFrame, ignored: DataFrame, ledger: DataFrame, now: int,
     )
 
 
-def coach(log: DataFrame, overhead: int, left: DataFrame | None = None, burst_tools: tuple[str, ...] = BURST_TOOLS, heavy_tools: tuple[str, ...] = HEAVY_TOOLS) -> DataFrame:
-    """Findings (pattern, occurrences, tokens), the dearest first; none for fewer than ten calls."""
+def coach(
+    log: DataFrame, overhead: int, left: DataFrame | None = None, burst_tools: tuple[str, ...] = BURST_TOOLS, heavy_tools: tuple[str, ...] = HEAVY_TOOLS, zero: DataFrame | None = None, regression: DataFrame | None = None
+) -> DataFrame:
+    """Findings (pattern, occurrences, tokens), the dearest first; none for fewer than ten calls.
+
+    left: what ignored redirects would have saved; zero: (tokens_used) of calls whose empty result surprised; regression: les_regression().
+    """
     burst = F.col("tool").isin(list(burst_tools)) & (F.col("tokens_used") < BURST_TOKENS)
     heavy = F.col("tool").isin(list(heavy_tools)) & (F.col("tokens_used") > HEAVY_TOKENS)
     sums = log.agg(
@@ -194,6 +199,13 @@ def coach(log: DataFrame, overhead: int, left: DataFrame | None = None, burst_to
     out = rows[0].union(rows[1])
     if left is not None:
         out = out.union(left.crossJoin(F.broadcast(sums.select("calls"))).select("calls", F.lit("hook_fall_through"), "ignored", "tokens_left", F.col("ignored") > 0))
+    more = []
+    if zero is not None:
+        more.append(zero.agg(F.count(F.lit(1)).alias("occurrences"), F.coalesce(F.sum("tokens_used"), F.lit(0)).alias("tokens")).select(F.lit("zero_result_churn").alias("pattern"), "occurrences", "tokens"))
+    if regression is not None:
+        more.append(regression.select("pattern", "occurrences", "tokens"))
+    for rows in more:
+        out = out.union(rows.crossJoin(F.broadcast(sums.select("calls"))).select("calls", "pattern", "occurrences", "tokens", F.col("occurrences") > 0))
     return out.filter((F.col("calls") >= LEAST_CALLS) & F.col("on")).select("pattern", "occurrences", "tokens").orderBy(F.desc("tokens"), "pattern")
 
 
@@ -260,3 +272,85 @@ def session_probes(hooks: DataFrame, root: str, tool: str = "Read", task_tool: s
         F.count_if((F.col("tool_name") == tool) & below).alias("reads_under_root"), F.count_if(F.col("tool_name") == task_tool).alias("tasks"),
         (F.count_if((F.col("decision") == advice) & (path == root)) > 0).alias("advised"),
     )
+
+
+# -- efficiency week over week -----------------------------------------------------------------------
+def _week_of(ts: Column, now: int) -> Column:
+    """Half-open weeks that meet: a row is never in both."""
+    return F.when((ts >= now - WEEK) & (ts < now + 10**9), "this").when((ts >= now - 2 * WEEK) & (ts < now - WEEK), "before")
+
+
+def les_weeks(log: DataFrame, ledger: DataFrame, now: int, ignored: DataFrame | None = None, zero: DataFrame | None = None, loop_tool: str = "loop", recovery_tool: str = "investigate_failure", first: int = 3) -> DataFrame:
+    """For this week and the one before: tokens and calls, what an iteration costs, the share that was wasted, recoveries, and how many sessions went on from the ledger.
+
+    ledger: (ts, claim, decision) of checkpoints; ignored, zero: (ts) of redirects not taken and of unexpected empty results.
+    A figure that can not be had is null: the cost without a counted checkpoint, the fidelity with an empty ledger.
+    """
+    week = lambda df: df.withColumn("week", _week_of(F.col("ts"), now)).filter("week is not null")
+    used = week(log).groupBy("week").agg(F.sum("tokens_used").alias("tokens_used"), F.count(F.lit(1)).alias("calls"), F.count_if(F.col("tool") == recovery_tool).alias("recovery_load"))
+    wasted = [week(df.select("ts")).select("week") for df in (ignored, zero) if df is not None] or [log.limit(0).select(F.lit("").alias("week"))]
+    wasted = (wasted[0] if len(wasted) == 1 else wasted[0].unionAll(wasted[1])).groupBy("week").agg(F.count(F.lit(1)).alias("wasted"))
+    decided = (F.trim("decision") != "") & ~F.col("claim").startswith("HANDOFF")
+    counted = week(ledger).groupBy("week").agg(F.count_if(decided).alias("checkpoints"))
+    # Only a session's first rows of a week pass the filter on their rank, which Spark applies before the shuffle too.
+    w = Window.partitionBy("week", "session_id").orderBy("ts", F.col("request_id").cast("bigint"))
+    opened = week(log.select("session_id", "tool", "ts", "request_id")).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= first)
+    opened = opened.groupBy("week", "session_id").agg(F.max((F.col("tool") == loop_tool).cast("int")).alias("opens")).groupBy("week").agg(F.count(F.lit(1)).alias("sessions"), F.sum("opens").alias("opening"))
+    out = used.join(wasted, "week", "left").join(counted, "week", "left").join(opened, "week", "left").na.fill(0, ["wasted", "checkpoints"])
+    any_ = F.broadcast(ledger.agg((F.count(F.lit(1)) > 0).alias("__ledger")))
+    return out.crossJoin(any_).select(
+        "week", "tokens_used", "calls", "wasted", (F.col("wasted") / F.col("calls")).alias("waste_rate"), "checkpoints",
+        F.when(F.col("checkpoints") > 0, F.col("tokens_used") / F.col("checkpoints")).alias("iteration_cost"), "recovery_load", "sessions", "opening",
+        F.when(F.col("__ledger"), F.col("opening") / F.col("sessions")).alias("continuation_fidelity"),
+    )
+
+
+def les_regression(weeks: DataFrame) -> DataFrame:
+    """(pattern, sub_metric, occurrences, tokens): the figure that has become worse at the highest price, and how many have; none without a week before."""
+    names = ("tokens_used", "calls", "waste_rate", "checkpoints", "iteration_cost", "recovery_load", "continuation_fidelity")
+    both = weeks.agg(*[F.max(F.when(F.col("week") == k, F.col(n))).alias(f"{n}_{k}") for n in names for k in ("this", "before")]).filter("calls_before > 0 and calls_this > 0")
+    now, was = (lambda n: F.col(f"{n}_this")), (lambda n: F.col(f"{n}_before"))
+    rise = lambda n: now(n) - was(n)
+    average = F.floor(now("tokens_used") / now("calls"))
+    candidates = [
+        ("iteration_cost", rise("iteration_cost") > 0, (rise("iteration_cost") * now("checkpoints")).cast("long")),
+        ("waste_rate", rise("waste_rate") > 0, (rise("waste_rate") * now("calls") * average).cast("long")),
+        ("recovery_load", rise("recovery_load") > 0, F.lit(0).cast("long")),
+        ("continuation_fidelity", rise("continuation_fidelity") < 0, F.lit(0).cast("long")),
+    ]
+    found = F.array_compact(F.array(*[F.when(worse, F.struct(price.alias("tokens"), F.lit(-i).alias("rank"), F.lit(name).alias("sub_metric"))) for i, (name, worse, price) in enumerate(candidates)]))
+    out = both.select(F.size(found).alias("occurrences"), F.array_max(found).alias("best")).filter("occurrences > 0")
+    return out.select(F.lit("les_regression").alias("pattern"), "best.sub_metric", "occurrences", "best.tokens")
+
+
+# -- searches that are said again --------------------------------------------------------------------
+def _running(rows: DataFrame, value: Column, name: str, order: list[str]) -> DataFrame:
+    """rows (session_id, part, ...) with the running sum of a value in their session.
+
+    Summed up within each part, plus what the parts before have, so that a session with most of the rows is many tasks.
+    """
+    inside = Window.partitionBy("session_id", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy("session_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    valued = rows.withColumn("__v", value)
+    parts = valued.groupBy("session_id", "part").agg(F.sum("__v").alias("__n")).select("session_id", "part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    summed = valued.withColumn(name, F.sum("__v").over(inside)).join(parts, ["session_id", "part"])
+    return summed.withColumn(name, F.col(name) + F.col("__before")).drop("__v", "__before")
+
+
+def churn_runs(searches: DataFrame, overlap: float = 0.3) -> DataFrame:
+    """(session_id, first, last, searches, tokens) of runs of two searches or more that found nothing, each of which says the one before again.
+
+    searches: (session_id, part, at, text, results, tokens_used); part is any coarser time, by which long sessions are
+    dealt out.  A search says the one before again if of all words of the two a share of overlap or more are in both.
+    Gaps and islands: a search that found something, or says something else, begins a new island.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    rows = searches.select("session_id", "part", "at", (F.col("results") == 0).alias("empty"), "tokens_used", words.alias("words"))
+    placed = _running(rows, F.lit(1), "n", ["at"])
+    before = placed.select("session_id", (F.col("n") + 1).alias("n"), F.col("words").alias("was"), F.col("empty").alias("was_empty"))
+    both = placed.join(before, ["session_id", "n"], "left")
+    union = F.size(F.array_union("words", "was"))
+    again = F.coalesce(F.col("empty") & F.col("was_empty") & (union > 0) & (F.size(F.array_intersect("words", "was")) >= overlap * union), F.lit(False))
+    islands = _running(both.select("session_id", "part", "at", "empty", "tokens_used", again.alias("again")), (~F.col("again")).cast("int"), "island", ["at"])
+    runs = islands.filter("empty").groupBy("session_id", "island").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("searches"), F.sum("tokens_used").alias("tokens"))
+    return runs.filter("searches > 1").drop("island")

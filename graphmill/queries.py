@@ -464,6 +464,53 @@ def _(spark, d):
     return out.withColumn("waste_rate", F.round("waste_rate", 9)).withColumn("iteration_cost", F.round("iteration_cost", 6))
 
 
+# Purchases are checkpoints, of which small ones decide nothing; signups are calls of the loop; views of small value found nothing.
+_LES = """wk AS (SELECT *, CASE WHEN ts >= now - 604800000000000 THEN 'this' WHEN ts >= now - 2 * 604800000000000 THEN 'before' END AS week FROM calls, (SELECT max(ts) AS now FROM calls)),
+les AS MATERIALIZED (SELECT week, sum(tokens_used)::BIGINT AS tokens_used, count(*) AS calls, count(*) FILTER (tool = 'view' AND tokens_used < 300) AS wasted, count(*) FILTER (tool = 'purchase' AND tokens_used >= 50) AS checkpoints,
+count(*) FILTER (tool = 'error') AS recovery_load FROM wk WHERE week IS NOT NULL GROUP BY 1),
+op AS (SELECT week, count(*) AS sessions, sum(o)::BIGINT AS opening FROM (SELECT week, session_id, max((tool = 'signup')::INT) AS o FROM (SELECT *, row_number() OVER (PARTITION BY week, session_id ORDER BY ts, event_id) AS rn FROM wk WHERE week IS NOT NULL) WHERE rn <= 3 GROUP BY 1, 2) GROUP BY 1),
+lw AS (SELECT *, wasted::DOUBLE / calls AS waste_rate, tokens_used::DOUBLE / checkpoints AS iteration_cost, opening::DOUBLE / sessions AS continuation_fidelity FROM les JOIN op USING (week)),
+cand AS (SELECT unnest([{'s': 'iteration_cost', 'on': a.iteration_cost > b.iteration_cost, 't': trunc((a.iteration_cost - b.iteration_cost) * a.checkpoints)::BIGINT, 'k': 0},
+{'s': 'waste_rate', 'on': a.waste_rate > b.waste_rate, 't': trunc((a.waste_rate - b.waste_rate) * a.calls * (a.tokens_used // a.calls))::BIGINT, 'k': 1}, {'s': 'recovery_load', 'on': a.recovery_load > b.recovery_load, 't': 0, 'k': 2},
+{'s': 'continuation_fidelity', 'on': a.continuation_fidelity < b.continuation_fidelity, 't': 0, 'k': 3}], recursive := true) FROM (SELECT * FROM lw WHERE week = 'this') a, (SELECT * FROM lw WHERE week = 'before') b)"""
+
+
+def _les(spark, d):
+    log = _calls(spark, d)
+    ledger = log.filter("tool = 'purchase'").select("ts", F.lit("claim").alias("claim"), F.when(F.col("tokens_used") < 50, " ").otherwise("go on").alias("decision"))
+    return M.les_weeks(log, ledger, M.latest(log), None, _empty_views(log), "signup", "error")
+
+
+def _empty_views(log):
+    return log.filter("tool = 'view' and tokens_used < 300")
+
+
+query("les_weeks", "calls", ", " + _LES + "\nSELECT week, tokens_used, calls, wasted, round(waste_rate, 9) AS waste_rate, checkpoints, round(iteration_cost, 6) AS iteration_cost, recovery_load, sessions, opening, round(continuation_fidelity, 9) AS continuation_fidelity FROM lw")(
+    lambda spark, d: _les(spark, d).withColumns({c: F.round(c, n) for c, n in (("waste_rate", 9), ("iteration_cost", 6), ("continuation_fidelity", 9))})
+)
+query("les_regression", "calls", ", " + _LES + """
+SELECT 'les_regression' AS pattern, s AS sub_metric, (SELECT count(*) FROM cand WHERE "on")::INT AS occurrences, t AS tokens FROM cand WHERE "on" ORDER BY t DESC, k LIMIT 1""")(lambda spark, d: M.les_regression(_les(spark, d)))
+query("coach_churn", "calls", ", " + _LES + """
+SELECT * FROM (SELECT 'zero_result_churn' AS pattern, count(*) AS occurrences, sum(tokens_used)::BIGINT AS tokens FROM wk WHERE tool = 'view' AND tokens_used < 300 UNION ALL SELECT 'les_regression', (SELECT count(*) FROM cand WHERE "on"), t FROM (SELECT * FROM cand WHERE "on" ORDER BY t DESC, k LIMIT 1))""")(
+    lambda spark, d: M.coach(_calls(spark, d), 120, None, (), (), _empty_views(_calls(spark, d)), M.les_regression(_les(spark, d)))
+)
+for _n in ("les_weeks", "les_regression", "coach_churn"):
+    SQL[_n] = SQL[_n].replace("\n, wk AS", ",\nwk AS", 1)
+# Turns as searches, of which some found nothing; their texts share common words.
+query("churn_runs", "", """WITH t AS (SELECT conv_id AS s, turn AS n, text IS NOT NULL AND length(text) % 4 <> 0 AS e, length(text) AS u, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')) AS w FROM conversations),
+p AS (SELECT *, lag(w) OVER o AS v, lag(e) OVER o AS f FROM t WINDOW o AS (PARTITION BY s ORDER BY n)),
+b AS (SELECT *, coalesce(e AND f AND len(list_distinct(w || v)) > 0 AND len(list_intersect(w, v)) >= 0.05 * len(list_distinct(w || v)), false) AS again FROM p),
+i AS (SELECT *, sum((NOT again)::INT) OVER (PARTITION BY s ORDER BY n) AS island FROM b)
+SELECT s::VARCHAR AS session_id, min(n) AS first, max(n) AS last, count(*) AS searches, sum(u)::BIGINT AS tokens FROM i WHERE e GROUP BY s, island HAVING count(*) > 1""")(lambda spark, d: _churn(spark, d))
+
+
+def _churn(spark, d):
+    c = trade.table(spark, d, "conversations")
+    found = F.when(F.col("text").isNotNull() & (F.length("text") % 4 != 0), 0).otherwise(1)
+    searches = c.select(F.col("conv_id").cast("string").alias("session_id"), F.floor(F.col("turn") / 2).alias("part"), F.col("turn").alias("at"), "text", found.alias("results"), F.length("text").cast("long").alias("tokens_used"))
+    return M.churn_runs(searches, 0.05)
+
+
 query("coach_findings", "calls", """SELECT * FROM (SELECT 'single_fact_burst' AS pattern, count(*) FILTER (tool IN ('click', 'view') AND tokens_used < 600) AS occurrences, (count(*) FILTER (tool IN ('click', 'view') AND tokens_used < 600) - 1) * 120 AS tokens FROM calls
 UNION ALL SELECT 'unbudgeted_heavy_context', count(*), sum(tokens_used - 800)::BIGINT FROM calls WHERE tool = 'purchase' AND tokens_used > 2000)""")(
     lambda spark, d: M.coach(_calls(spark, d), 120, None, ("click", "view"), ("purchase",))
