@@ -11,6 +11,7 @@ from graphmill.operators import graph as G
 from graphmill.operators import impact as I
 from graphmill.operators import quality as Q
 from graphmill.operators import resolve as R
+from graphmill.operators import retrieval as RT
 from graphmill.operators import search as T
 from graphmill.operators import store as K
 from graphmill.operators import telemetry as M
@@ -312,6 +313,18 @@ def _dead_go(spark, d):
     return Q.dead_nodes(unexported, edges, ("Method",), interface_methods=X.interface_methods_of(rows, "p"), limit=None)
 
 
+@query("investigate_many", "", """SELECT c_custkey AS failure_id, 'c/' || c_custkey || '.go::C' || c_custkey || '.Stop' || c_custkey || '#Method' AS id, CASE WHEN c_nationkey = 3 THEN 0.85 ELSE 0.65 END::DOUBLE AS score,
+'stack_frame_exact_name_match,file_appears_in_trace' || CASE WHEN c_nationkey = 3 THEN ',modified_in_working_tree' ELSE '' END AS evidence, 1 AS rank FROM customer""")
+def _(spark, d):
+    """A failure for each customer, whose trace names its method and file; files of one nation's customers were changed."""
+    symbols, pending, rows = _go_graph(spark, d)
+    c = trade.table(spark, d, "customer")
+    failures = c.select(F.col("c_custkey").alias("failure_id"), F.format_string("panic: boom\ngoroutine 1 [running]:\nmain.C.Stop%d(0x1)\n\t/app/c/%d.go:17 in main", "c_custkey", "c_custkey").alias("error_text"))
+    recent = c.filter("c_nationkey = 3").select(F.format_string("c/%d.go", "c_custkey").alias("file_path"))
+    edges = R.resolve_calls(symbols, pending, X.fields_of(rows, "p"))[0]
+    return RT.investigate(symbols, edges, T.build_index(symbols, ["name", "qualified_name"]), failures, recent)
+
+
 @query("delete_file_members", "", """SELECT 'C' || c_custkey AS holder, field AS member FROM customer, (VALUES ('Mutex'), ('part'), ('spare'), ('name')) f(field) WHERE c_custkey % 3 <> 1
 UNION ALL SELECT 'Runner' || n_nationkey, m || CASE m WHEN 'Stop' THEN n_nationkey::VARCHAR ELSE '' END FROM nation, (VALUES ('Run'), ('Stop')) t(m) WHERE n_nationkey % 2 = 0""")
 def _(spark, d):

@@ -15,6 +15,7 @@ from graphmill.operators import graph as G
 from graphmill.operators import impact as I
 from graphmill.operators import quality as Q
 from graphmill.operators import resolve as R
+from graphmill.operators import retrieval as RT
 from graphmill.operators import search as T
 from graphmill.operators import segments as SG
 from graphmill.operators import store as K
@@ -576,6 +577,13 @@ def _changed(spark, d):
     return index
 
 
+query("retrieve_batch", "", f"""WITH {_INDEX},
+asked AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{{L}}\\p{{N}}]+'))) AS term FROM benchmark),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+s AS (SELECT query_id, id, round(sum(ln(1.0::DOUBLE + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / al))), 9) AS score FROM asked JOIN post USING (term) JOIN dfs USING (term) JOIN len USING (id), st GROUP BY 1, 2)
+SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5""")(
+    lambda spark, d: RT.batch_search(trade.index(spark, d), trade.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 5).withColumn("score", F.round("score", 6))
+)
 query("search_term_frequencies", "", f"WITH {_INDEX} SELECT term, count(*) AS df, sum(tf)::BIGINT AS n FROM post GROUP BY term HAVING count(*) >= 20")(
     lambda spark, d: trade.index(spark, d).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n")).filter("df >= 20")
 )
