@@ -29,7 +29,7 @@ def test_top_k_is_no_global_sort(spark, sf):
     assert "TakeOrderedAndProject" in plan(spark, sf, "hotspots")
 
 
-@pytest.mark.parametrize("name", sorted(n for n in core.SQL if not n.startswith("html_")))
-def test_no_python_but_where_pages_are_parsed(spark, sf, name):
+@pytest.mark.parametrize("name", sorted(n for n in core.SQL if not n.startswith(("html_", "extract_"))))
+def test_no_python_but_where_sources_are_parsed(spark, sf, name):
     text = plan(spark, sf, name)
     assert not re.search("EvalPython|MapIn(Arrow|Pandas)|PythonUDF|CartesianProduct", text)
