@@ -23,6 +23,7 @@ import hashlib
 import re
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -287,50 +288,56 @@ class Scan:
         return out
 
 
-def _coefficients(scan: Scan, data: bytes, units: int) -> np.ndarray:
-    """Quantised luma coefficients (blocks in the order of storage x 64) of so many interleaved units."""
+#: Interleaved units that are decoded at once.
+STRIP = 4096
+
+
+def _coefficients(scan: Scan, data: bytes, units: int) -> Iterator[np.ndarray]:
+    """Quantised luma coefficients (blocks in the order of storage x 64) of so many interleaved units, by strips."""
     plan = []
     for c, (name, h, v, _) in enumerate(scan.parts):
         t = scan.tables[name]
         plan += [(c, scan.lookup(t >> 4), scan.lookup(0x10 | t & 15))] * (h * v)
     own = scan.parts[0][1] * scan.parts[0][2]
-    out, last = np.zeros((units * own, 64), np.int64), [0] * len(scan.parts)
+    last = [0] * len(scan.parts)
     held, n, at, size = 0, 0, 0, len(data)
-    block = 0
-    for _ in range(units):
-        for c, dc, ac in plan:
-            k, table = 0, dc
-            while k < 64:
-                while n < 32:
-                    held = (held << 32 | int.from_bytes(data[at : at + 4].ljust(4, b"\xff"), "big")) & 0xFFFFFFFFFFFFFFFF
-                    at, n = at + 4, n + 32
-                entry = table[held >> (n - 16) & 0xFFFF]
-                if not entry:
-                    raise Broken("no such code")
-                n -= entry >> 8
-                symbol = entry & 0xFF
-                bits = symbol & 15
-                value = held >> (n - bits) & ((1 << bits) - 1)
-                n -= bits
-                if bits and not value >> (bits - 1):
-                    value -= (1 << bits) - 1
-                if not k:
-                    last[c] += value
-                    value, table = last[c], ac
-                elif not bits:
-                    if symbol != 0xF0:
-                        break
-                    k += 16
-                    continue
-                else:
-                    k += symbol >> 4
-                if not c:
-                    out[block, k] = value
-                k += 1
-            block += not c
-        if at - n // 8 > size:
-            raise Broken("a frame is cut off")
-    return out
+    for first in range(0, units, STRIP):
+        here = min(STRIP, units - first)
+        out, block = np.zeros((here * own, 64), np.int16), 0
+        for _ in range(here):
+            for c, dc, ac in plan:
+                k, table = 0, dc
+                while k < 64:
+                    while n < 32:
+                        held = (held << 32 | int.from_bytes(data[at : at + 4].ljust(4, b"\xff"), "big")) & 0xFFFFFFFFFFFFFFFF
+                        at, n = at + 4, n + 32
+                    entry = table[held >> (n - 16) & 0xFFFF]
+                    if not entry:
+                        raise Broken("no such code")
+                    n -= entry >> 8
+                    symbol = entry & 0xFF
+                    bits = symbol & 15
+                    value = held >> (n - bits) & ((1 << bits) - 1)
+                    n -= bits
+                    if bits and not value >> (bits - 1):
+                        value -= (1 << bits) - 1
+                    if not k:
+                        last[c] += value
+                        value, table = last[c], ac
+                    elif not bits:
+                        if symbol != 0xF0:
+                            break
+                        k += 16
+                        continue
+                    else:
+                        k += symbol >> 4
+                    if not c:
+                        out[block, k] = value
+                    k += 1
+                block += not c
+            if at - n // 8 > size:
+                raise Broken("a frame is cut off")
+        yield out
 
 
 _COS = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(0.125) if u == 0 else 0.5) for u in range(8)] for x in range(8)])
@@ -371,32 +378,52 @@ def decode_frames(frames: list[bytes]) -> np.ndarray:
             diff = scan.fixed[np.frombuffer(raw, ">u2")].reshape(len(frames), scan.across * scan.down)
             dc = np.cumsum(diff, axis=1, dtype=np.int16).astype(np.int32) * int(scan.quantisers[scan.parts[0][3]][0])
             return np.clip((dc + 4 >> 3) + 128, 0, 255).astype(np.uint8)
-        return np.stack([pixels(f).mean(axis=(1, 2)).round().astype(np.uint8) for f in frames])
+        return np.stack([np.concatenate([p.mean(axis=(1, 2)).round().astype(np.uint8) for p in _strips(f)]) for f in frames])
     except Broken:
         raise
-    except (KeyError, IndexError, ValueError, struct.error, AttributeError, OverflowError) as e:
+    except (KeyError, IndexError, ValueError, struct.error, AttributeError, OverflowError, MemoryError) as e:
         raise Broken(f"a frame is broken: {e}") from e
 
 
 def pixels(frame: bytes) -> np.ndarray:
     """Luma of a baseline frame as blocks x 8 x 8 pixels, row by row, decoded in full."""
+    return np.concatenate(list(_strips(frame)))
+
+
+def _strips(frame: bytes) -> Iterator[np.ndarray]:
+    """Luma of a baseline frame by strips of whole rows of units, each blocks x 8 x 8 pixels.
+
+    A picture larger than its bytes can hold is refused before anything is decoded: a block takes two bits or more.
+    """
     n = _head(frame)
     scan = _scan_of(frame[:n])
-    total = scan.units[0] * scan.units[1]
+    across, total = scan.units[0], scan.units[0] * scan.units[1]
     data, each = frame[n:-2] if frame.endswith(TAIL) else frame[n:], scan.restart or total
+    if not total or total * sum(h * v for _, h, v, _ in scan.parts) > 4 * len(data):
+        raise Broken("a frame is cut off")
     runs = re.split(rb"\xff[\xd0-\xd7]", data) if scan.restart else [data]
     if len(runs) < -(-total // each):
         raise Broken("a frame is cut off")
-    runs = [p.replace(b"\xff\x00", b"\xff") for p in runs[: -(-total // each)]]
-    coefficients = np.concatenate([_coefficients(scan, p, min(each, total - i * each)) for i, p in enumerate(runs)])
-    name, h, v, q = scan.parts[0]
-    # From units of h x v blocks to rows of blocks; what lies beyond the picture goes.
-    grid = coefficients.reshape(scan.units[1], scan.units[0], v, h, 64).transpose(0, 2, 1, 3, 4).reshape(scan.units[1] * v, scan.units[0] * h, 64)
-    coefficients = grid[: scan.down, : scan.across].reshape(-1, 64)
-    plain = np.zeros((len(coefficients), 64))
-    plain[:, ZIGZAG] = coefficients * scan.quantisers[q]
-    spatial = np.einsum("xu,buv,yv->bxy", _COS, plain.reshape(-1, 8, 8), _COS)
-    return np.clip(np.rint(spatial) + 128, 0, 255)
+    _, h, v, q = scan.parts[0]
+    whole = max(1, STRIP // across) * across * h * v
+    held, size, left, todo = [], 0, scan.down, total * h * v
+    for i, run in enumerate(runs[: -(-total // each)]):
+        units = min(each, total - i * each)
+        for part in _coefficients(scan, run.replace(b"\xff\x00", b"\xff"), units):
+            held.append(part)
+            size, todo = size + len(part), todo - len(part)
+            while size >= whole or size and not todo:
+                joined = np.concatenate(held)
+                taken, rest = joined[:whole], joined[whole:]
+                held, size = [rest], len(rest)
+                # From units of h x v blocks to rows of blocks; what lies beyond the picture goes.
+                rows = len(taken) // (across * h * v)
+                grid = taken.reshape(rows, across, v, h, 64).transpose(0, 2, 1, 3, 4).reshape(rows * v, across * h, 64)[: min(left, rows * v), : scan.across]
+                left -= len(grid)
+                plain = np.zeros((grid.shape[0] * grid.shape[1], 64))
+                plain[:, ZIGZAG] = grid.reshape(-1, 64).astype(np.int64) * scan.quantisers[q]
+                spatial = np.einsum("xu,buv,yv->bxy", _COS, plain.reshape(-1, 8, 8), _COS)
+                yield np.clip(np.rint(spatial) + 128, 0, 255)
 
 
 def shots(samples: np.ndarray) -> list[tuple[int, int]]:

@@ -181,6 +181,27 @@ def test_colours_of_any_sampling_without_tables(h, v):
     assert M.decode_frames([colour_frame(luma, 5, h, v)] * 2).tolist() == [luma, luma]
 
 
+def test_pictures_of_many_strips(monkeypatch):
+    luma = np.random.default_rng(4).integers(0, 256, 7 * 9).tolist()
+    for strip in (1, 5, 64):
+        monkeypatch.setattr(M, "STRIP", strip)
+        for h, v in [(1, 1), (2, 2), (2, 1)]:
+            assert M.decode_frames([colour_frame(luma, 7, h, v)]).tolist() == [luma]
+
+
+def test_a_false_size_is_refused_before_it_is_decoded(spark):
+    frame = colour_frame([9] * 15, 5, 2, 2)
+    at = frame.index(b"\xff\xc0") + 5
+    false = frame[:at] + b"\xff\xff\xff\xff" + frame[at + 4 :]
+    with pytest.raises(M.Broken):
+        M.decode_frames([false])
+    whole = M.store(bytes(range(192)) * 3)
+    size = whole.index(b"\xff\xc0") + 5
+    media = whole[:size] + b"\xff\xff\xff\xff" + whole[size + 4 :]
+    rows = {r.k: r for r in M.read_media(spark.createDataFrame([(0, bytearray(media)), (1, bytearray(whole))], "k long, media binary")).collect()}
+    assert rows[0].error and rows[1].error is None and rows[1].n_frames == 3
+
+
 def test_media_columns(spark, odd, nothing, clashing):
     out = M.media_round_trip(odd.select("doc_id", "text")).collect()
     assert len(out) == odd.count() and set(out[0].asDict()) == {"doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"}
