@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphmill.functions import scalars as S
-from graphmill.operators.paths import reached, reversed_edges
+from graphmill.operators.paths import levels, numbered, reached, reversed_edges, spread
 from graphmill.plans.cut import cut, steps_of
 from graphmill.schema import CALL_FAMILY
 
@@ -111,19 +111,15 @@ def closure(edges: DataFrame, depth: int = CLOSURE_DEFAULT, kinds: tuple[str, ..
     starts (id): only pairs that begin there, for a part of the closure to be made anew.
     """
     most = max(1, min(depth, CLOSURE_MOST)) if depth > 0 else CLOSURE_DEFAULT
-    steps = steps_of(edges.filter(F.col("kind").isin(list(kinds))).select(F.col("from_id").alias("__from"), F.col("to_id").alias("__to"), F.col("kind").alias("via")))
-    first = steps if starts is None else steps.join(starts.select(F.col("id").alias("__from")).distinct(), "__from", "left_semi")
-    level = cut(first.filter("__from <> __to").groupBy(F.col("__from").alias("from_id"), F.col("__to").alias("to_id")).agg(F.min("via").alias("via_kind")))
-    seen = level.select("from_id", "to_id")
-    found = level.withColumn("depth", F.lit(1))
-    for d in range(2, most + 1):
-        step = level.join(steps, F.col("to_id") == F.col("__from")).groupBy("from_id", F.col("__to").alias("to_id")).agg(F.min("via").alias("via_kind")).filter("from_id <> to_id")
-        level = cut(step.join(seen, ["from_id", "to_id"], "left_anti"))
-        if level.isEmpty():
-            break
-        seen = seen.union(level.select("from_id", "to_id"))
-        found = found.unionByName(level.withColumn("depth", F.lit(d)))
-    return found.select("from_id", "to_id", "depth", "via_kind")
+    called = edges.filter(F.col("kind").isin(list(kinds)) & F.col("to_id").isNotNull())
+    steps = steps_of(called.select(F.col("from_id").alias("__from"), F.col("to_id").alias("__to"), F.col("kind").alias("via")))
+    known = numbered(steps.select(F.col("__from").alias("start")) if starts is None else starts.select(F.col("id").alias("start")))
+    found = levels(steps, known, 1, most, kinds)
+    if found is None:
+        return edges.sparkSession.createDataFrame([], "from_id string, to_id string, depth int, via_kind string")
+    bits = [f"new{i}" for i in range(len(set(kinds)))]
+    via = F.coalesce(*[F.when(F.col(b).bitwiseAND(F.col("bit")) != 0, k) for b, k in zip(bits, sorted(set(kinds)), strict=True)])
+    return spread(found, known, *bits).select(F.col("start").alias("from_id"), F.col("node").alias("to_id"), "depth", via.alias("via_kind"))
 
 
 def closure_lookup(table: DataFrame, start: str, direction: str = "out", depth: int = CLOSURE_DEFAULT, limit: int | None = TRACE_LIMIT) -> DataFrame:

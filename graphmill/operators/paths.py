@@ -1,43 +1,92 @@
-"""Walks over edges by joins of a frontier, one level after the other.
+"""Walks over edges by joins of a frontier, one level after the other, from many starts at once.
 
-Each level is distinct by (start, node), so cycles cost no more than the nodes they hold.  Edges that are stored are
-read by every level, filtered by its frontier; others are cut once.  The frontier is cut at every level, so
-lineage never grows.  Where it has many rows of one node, or a node has very many edges, adaptive execution splits the join.
+Starts are numbered in the order of their ids, 64 to a chunk, and a row holds, for one node and one chunk, the set of starts
+that reach it as the bits of one number.  A level is a join of such rows with the edges and a bit_or by node and
+chunk, so starts that reach the same nodes, as those of one file do, are walked and shuffled as one row.  Bits that
+an earlier level has are taken away in the same aggregation; only results are spread into one row per start.
+
+Edges that are stored are read by every level, filtered by its frontier; others are cut once.  The frontier is cut at
+every level, so lineage never grows.  Where it has many rows of one node, or a node has very many edges, adaptive
+execution splits the join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphmill.plans.cut import cut, steps_of
 
+#: Starts of a chunk: the bits of a long.
+CHUNK = 64
+
+
+def numbered(starts: DataFrame) -> DataFrame:
+    """(start, chunk, bit) of distinct starts (start) that are not null, neighbours by id in one chunk; a written table."""
+    ranked = starts.select("start").filter(F.col("start").isNotNull()).distinct().orderBy("start").withColumn("__n", F.monotonically_increasing_id())
+    return cut(ranked.select("start", F.expr(f"__n div {CHUNK}").alias("chunk"), F.expr(f"shiftleft(1L, int(__n % {CHUNK}))").alias("bit")))
+
+
+def _less(bits: Column, taken: list[Column]) -> Column:
+    return reduce(lambda b, t: b.bitwiseAND(F.bitwise_not(t)), taken, bits)
+
+
+def _any(bits: list[Column]) -> Column:
+    return reduce(Column.bitwiseOR, bits)
+
+
+def levels(steps: DataFrame, starts: DataFrame, least: int, most: int, kinds: tuple[str, ...] = ()) -> DataFrame | None:
+    """(node, chunk, depth, new0..): bits of the starts whose shortest walk of least..most edges to node has depth edges; None if there are none.
+
+    steps: (__from, __to, and via if kinds are given); starts as numbered() gives them.  With kinds there is one column
+    of bits for each, in their sorted order: a start counts for the first kind that the last edge of such a walk has.
+    """
+    parts = sorted(set(kinds)) or [None]
+    names = [f"new{i}" for i in range(len(parts))]
+    of_kind = [F.col("bits") if k is None else F.when(F.col("via") == k, F.col("bits")).otherwise(F.lit(0).cast("long")) for k in parts]
+    own = starts.select(F.col("start").alias("node"), "chunk", F.col("bit").alias("bits"))
+    nought = F.lit(0).cast("long")
+    front, done, found = own, own.withColumnRenamed("bits", "done"), None
+    for depth in range(1, most + 1):
+        met = front.join(steps, F.col("node") == F.col("__from")).select(F.col("__to").alias("node"), "chunk", *[c.alias(n) for c, n in zip(of_kind, names, strict=True)], nought.alias("done"))
+        before = done.select("node", "chunk", *[nought.alias(n) for n in names], "done")
+        level = met.unionByName(before).groupBy("node", "chunk").agg(*[F.bit_or(n).alias(n) for n in (*names, "done")])
+        walked = _any([F.col(n) for n in names])
+        level = level.select("node", "chunk", walked.alias("bits"), *[_less(F.col(n), [F.col(m) for m in (*names[:i], "done")]).alias(n) for i, n in enumerate(names)])
+        fresh = _any([F.col(n) for n in names])
+        level = cut(level.filter(fresh != 0 if least == 1 else F.col("bits") != 0))
+        if level.isEmpty():
+            break
+        front = level.select("node", "chunk", (fresh if least == 1 else F.col("bits")).alias("bits"))
+        if depth >= least:
+            got = level.filter(fresh != 0).select("node", "chunk", F.lit(depth).alias("depth"), *names)
+            found = got if found is None else found.unionByName(got)
+            done = done.unionByName(got.select("node", "chunk", _any([F.col(n) for n in names]).alias("done")))
+    return found
+
+
+def spread(found: DataFrame, starts: DataFrame, *bits: str) -> DataFrame:
+    """One row for each start whose bit is in any of the columns of bits, with the columns of both."""
+    s = starts.withColumnRenamed("chunk", "__chunk")
+    held = _any([F.col(b) for b in bits]).bitwiseAND(F.col("bit")) != 0
+    return found.join(s, (F.col("chunk") == F.col("__chunk")) & held).drop("__chunk")
+
 
 def reached(edges: DataFrame, starts: DataFrame, least: int, most: int) -> DataFrame:
     """(start, node, depth): nodes some walk of least..most edges reaches from a start, by the shortest such walk.
 
     edges: (from_id, to_id); starts: (start).  A start is never its own result.  With least = 1 nodes that have been
     reached are not walked from again; else every level is walked in full, as a longer walk may be the first
-    that is long enough.
+    that is long enough.  Null starts and ends reach nothing, repeated rows change nothing.
     """
-    steps = steps_of(edges.select(F.col("from_id").alias("__from"), F.col("to_id").alias("__to")))
-    front = starts.select("start", F.col("start").alias("node")).distinct()
-    found, seen = None, front if least == 1 else None
-    for depth in range(1, most + 1):
-        front = front.join(steps, F.col("node") == F.col("__from")).select("start", F.col("__to").alias("node")).distinct()
-        if seen is not None:
-            front = front.join(seen, ["start", "node"], "left_anti")
-        front = cut(front)
-        if front.isEmpty():
-            break
-        if depth >= least:
-            level = front.withColumn("depth", F.lit(depth))
-            found = level if found is None else found.union(level)
-        if seen is not None:
-            seen = seen.union(front)
+    steps = steps_of(edges.select(F.col("from_id").alias("__from"), F.col("to_id").alias("__to")).filter(F.col("__to").isNotNull()))
+    known = numbered(starts)
+    found = levels(steps, known, least, most)
     if found is None:
         return starts.sparkSession.createDataFrame([], "start string, node string, depth int")
-    return found.filter("start <> node").groupBy("start", "node").agg(F.min("depth").alias("depth"))
+    return spread(found, known, "new0").select("start", "node", "depth")
 
 
 def reached_by_any(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
