@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from graphmill.functions import scalars as S
 from graphmill.operators.graph import CLOSURE_DEFAULT, CLOSURE_MOST, TRACE_DEFAULT, closure, direction_of, trace, trace_depth
 from graphmill.operators.layers import Layers
-from graphmill.plans.cut import cut
+from graphmill.plans.cut import cut, small_side
 from graphmill.schema import CALL_FAMILY
 
 
@@ -22,7 +22,8 @@ from graphmill.schema import CALL_FAMILY
 class Closures(Layers):
     """The closure of the edges of calls below path, up to a depth."""
 
-    tables = {"pairs": ("from_id", ("from_id", "to_id"))}
+    #: Not sorted, so that walks are spread once, straight into files, where the rows of a chunk of starts lie together.
+    tables = {"pairs": ("from_id", ())}
     counted = "pairs"
 
     def __init__(self, spark: SparkSession, path: str, depth: int = CLOSURE_DEFAULT) -> None:
@@ -36,7 +37,7 @@ class Closures(Layers):
         """(id) of the nodes whose rows may change with changed edges (from_id, to_id, kind)."""
         heads = cut(changed.filter(F.col("kind").isin(list(CALL_FAMILY))).select(F.col("from_id").alias("id")).distinct())
         before = self.living("pairs").filter(F.col("depth") < self.depth)
-        return cut(before.join(heads.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select(F.col("from_id").alias("id")).union(heads).distinct())
+        return cut(before.join(small_side(heads.withColumnRenamed("id", "to_id"), "to_id"), "to_id", "left_semi").select(F.col("from_id").alias("id")).union(heads).distinct())
 
     def apply(self, edges: DataFrame, changed: DataFrame) -> int:
         """Follow a change: edges as they are now, and those that came or went; the new version."""

@@ -19,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphmill.plans.cut import freed, small_side
+
 #: Layers of a level that are merged; and the level of a whole table, which changes do not reach.
 FANIN, WHOLE = 4, 99
 MANIFEST = "kind string, folder string, low long, high long, level int, n long, total long, dead long, dead_total long"
@@ -46,7 +48,8 @@ class Layers:
 
     def _write(self, df: DataFrame, folder: str, *order: str) -> None:
         sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-        sorted_.write.parquet(f"{self.path}/{folder}")
+        with freed(self.spark):
+            sorted_.write.parquet(f"{self.path}/{folder}")
 
     def _read(self, folder: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{folder}")
@@ -84,8 +87,8 @@ class Layers:
         parts = [self._read(f"{r['folder']}/{name}").withColumn("high", F.lit(r["high"])) for r in of or rows if r["kind"] == "segment"]
         table, dead = reduce(DataFrame.unionByName, parts), self._tombstones(rows)
         if dead is not None:
-            # Spark broadcasts tombstones while they are few, and shuffles by key when they are not.
-            dead = dead.withColumnRenamed("id", "dead_id")
+            # Tombstones are broadcast while they are few; beyond that both sides are shuffled by key.
+            dead = small_side(dead.withColumnRenamed("id", "dead_id"), "dead_id")
             table = table.join(dead, (F.col(self.tables[name][0]) == F.col("dead_id")) & (F.col("until") > F.col("high")), "left_anti")
         return table
 
@@ -113,7 +116,7 @@ class Layers:
         self._write(reduce(DataFrame.unionByName, keys).distinct(), folder)
         # What dies now, by layer: the rows that were alive and whose key is among them.
         key = self.tables[self.counted][0]
-        died = self._living(rows, self.counted).withColumn("w", self.weight()).join(self._read(folder).withColumnRenamed("id", key), key, "left_semi")
+        died = self._living(rows, self.counted).withColumn("w", self.weight()).join(small_side(self._read(folder).withColumnRenamed("id", key), key), key, "left_semi")
         for r in died.groupBy("high").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("total")).collect():  # one row for each layer
             own = next(x for x in rows if x["kind"] == "segment" and x["high"] == r["high"])
             own["dead"] += r["n"]
