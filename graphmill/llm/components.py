@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphmill.llm.common import counted_join, delete, materialize
 
 #: From so many links on, the rows of a node that a large share of them has are dealt out.
 DEAL = 200_000
+#: Up to so many links, about a MB, a round is one task: without shuffles, the driver keeps no plans and tasks of them.
+ONE_TASK = 50_000
 
 
 def _of_node(rows: DataFrame, least: DataFrame, deal: bool) -> DataFrame:
@@ -31,6 +33,16 @@ def _small_star(edges: DataFrame, deal: bool = False) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
+def _stars_in_one_task(edges: DataFrame) -> DataFrame:
+    """_small_star(_large_star()) of a few links."""
+    by_node = Window.partitionBy("u")
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(1)
+    large = both.withColumn("m", F.least(F.min("v").over(by_node), "u")).filter("v > u and v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+    least = large.withColumn("m", F.min("v").over(by_node))
+    moved = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+    return least.select(F.explode(moved).alias("link")).select("link.*").filter("u <> v").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): for every node with a link, the least node that it reaches.  edges: (u, v) longs.
 
@@ -45,6 +57,6 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
         mark = tuple(row)
         deal = row[0] >= DEAL
-        after = materialize(_small_star(_large_star(now, deal), deal), "cc")
+        after = materialize(_stars_in_one_task(now) if row[0] <= ONE_TASK else _small_star(_large_star(now, deal), deal), "cc")
         delete(now)
         now = after

@@ -10,8 +10,8 @@ Wanted shares are given by name, or are the actual ones to a power.  Sweeps go o
 TOLERANCE or none comes nearer, SWEEPS at least and MOST at the most.
 
 Only DataFrame functions are used.  Documents meet in one aggregation with map-side sums, whatever the share
-of a source; raking works on the cells, in one partition while they are few and by margin when they are not:
-no other step needs them together.
+of a source; raking works on the cells: as arrays in one row while they are few, in one partition when they are more,
+and by margin beyond that.  No other step needs them together.
 
 Null source or language counts as `unknown`, null text as empty; a null doc_id is replaced by the text in
 the draw.  Rows of one id in one cell, and equal rows, are kept or dropped together.  A cell without words weighs one
@@ -20,8 +20,9 @@ token.  A very long text is split into words in its row.  An empty table gives a
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,8 +35,9 @@ TEMPERATURE = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 SWEEPS, STEP, MOST, TOLERANCE = 24, 8, 96, 1e-5
 #: Wanted fraction of all tokens, and the part of the scarcest margin's tokens that may be asked for.
 FRACTION, FILL = 0.5, 0.95
-#: Cells that are raked in one partition.
-ONE_TASK = 100_000
+#: Cells that are raked in one partition, and those that are raked in one row: there all sweeps are one expression, while
+#: otherwise each is three windows in the driver's plan.
+ONE_TASK, ONE_ROW = 100_000, 2_000
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -76,7 +78,8 @@ def _wanted(cells: DataFrame, d: str, given: Mapping[str, float] | None, tempera
 
 def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, temperature: Mapping[str, float] = TEMPERATURE, fraction: float = FRACTION, sweeps: int = SWEEPS, most: int = MOST) -> DataFrame:
     """cells (source, lang, topic, tokens) with the wanted shares, weight, which sums to 1, and p, the probability of each of its documents."""
-    few = cells.limit(ONE_TASK + 1).count() <= ONE_TASK
+    there = cells.limit(ONE_TASK + 1).count()
+    few = there <= ONE_TASK
     now, scarce, together = cells, [], lambda x: x.coalesce(1) if few else x
     for d in DIMENSIONS:
         wanted = materialize(_wanted(cells, d, (targets or {}).get(d), temperature[d]), "wanted")
@@ -87,6 +90,13 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     budget = F.least(F.lit(fraction) * F.col("__all"), F.lit(FILL) * F.col("__most"))
     now = now.crossJoin(F.broadcast(bound)).crossJoin(F.broadcast(total)).withColumn("budget", budget)
     now = materialize(together(now.withColumn("expected", F.col("tokens") * F.col("budget") / F.col("__all")).drop("__most", "__all")), "rake")
+    now = _in_one_row(now, sweeps, most) if there <= min(ONE_TASK, ONE_ROW) else _by_windows(now, together, sweeps, most)
+    sums = now.agg(F.sum("expected").alias("__sum"))
+    return now.crossJoin(F.broadcast(sums)).select(*DIMENSIONS, "tokens", *[f"want_{d}" for d in DIMENSIONS], (F.col("expected") / F.col("__sum")).alias("weight"), (F.col("expected") / F.col("tokens")).alias("p"))
+
+
+def _by_windows(now: DataFrame, together: Callable[[DataFrame], DataFrame], sweeps: int, most: int) -> DataFrame:
+    """Swept until done; a sweep is a window for each dimension."""
     done, worst = 0, math.inf
     while True:
         now = together(now)
@@ -100,8 +110,69 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
             before, worst = worst, _worst(now)
             if done >= most or worst <= TOLERANCE or worst > 0.99 * before:
                 break
-    sums = now.agg(F.sum("expected").alias("__sum"))
-    return now.crossJoin(F.broadcast(sums)).select(*DIMENSIONS, "tokens", *[f"want_{d}" for d in DIMENSIONS], (F.col("expected") / F.col("__sum")).alias("weight"), (F.col("expected") / F.col("tokens")).alias("p"))
+    return now
+
+
+def _held(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once however often it is named."""
+    return F.get(F.transform(F.array(value), lambda x: then(x)), F.lit(0))
+
+
+def _sums(e: Column, d: str) -> Column:
+    """Sums of e by the values of a dimension."""
+    return F.transform(f"of_{d}", lambda cells: F.aggregate(cells, F.lit(0.0), lambda total, i: total + F.get(e, i)))
+
+
+def _scaled(e: Column, d: str) -> Column:
+    def of_cell(x: Column, i: Column, sums: Column) -> Column:
+        cell, own = F.get("cells", i), F.get(sums, F.get(f"at_{d}", i))
+        scaled = F.when(own > 0, x * cell[f"want_{d}"] * cell["budget"] / own).otherwise(F.lit(0.0))
+        return F.least(cell["tokens"].cast("double"), scaled)
+
+    return _held(_sums(e, d), lambda sums: F.transform(e, lambda x, i: of_cell(x, i, sums)))
+
+
+def _sweep(e: Column) -> Column:
+    for d in DIMENSIONS:
+        e = _held(e, functools.partial(_scaled, d=d))
+    return e
+
+
+def _missed(e: Column) -> Column:
+    """_worst() of the cells in one row."""
+
+    def of_margin(d: str) -> Column:
+        first = lambda k: F.get("cells", F.get(F.get(f"of_{d}", k), F.lit(0)))
+        return F.array_max(F.transform(_sums(e, d), lambda own, k: F.abs(own / first(k)["budget"] - first(k)[f"want_{d}"])))
+
+    return F.greatest(*[of_margin(d) for d in DIMENSIONS])
+
+
+def _in_one_row(now: DataFrame, sweeps: int, most: int) -> DataFrame:
+    """What _by_windows() returns: the cells are arrays in a row, and all sweeps one expression that ends by the same rules."""
+
+    def places(d: str) -> list[Column]:
+        """The place of each cell's value among all values, and the cells of each value."""
+        values = F.array_distinct(F.transform("cells", lambda c: c[d]))
+        at = _held(values, lambda known: F.transform("cells", lambda c: (F.array_position(known, c[d]) - 1).cast("int")))
+        every = F.sequence(F.lit(0), F.size("cells") - 1)
+        return [at.alias(f"at_{d}"), F.transform(values, lambda v: F.filter(every, lambda i: F.get("cells", i)[d] == v)).alias(f"of_{d}")]
+
+    def judged(e: Column, over: Callable[[Column], Column]) -> Column:
+        return _held(_missed(e), lambda worst: F.struct(e.alias("e"), worst.alias("worst"), over(worst).alias("over")))
+
+    def further(s: Column) -> Column:
+        return _held(_sweep(s["e"]), lambda e: judged(e, lambda worst: (worst <= TOLERANCE) | (worst > 0.99 * s["worst"])))
+
+    own, first = now.columns, max(1, sweeps)
+    row = now.agg(F.sort_array(F.collect_list(F.struct(*own))).alias("cells")).filter(F.size("cells") > 0)
+    row = materialize(row.select("cells", *[c for d in DIMENSIONS for c in places(d)]), "rake")
+    swept = F.aggregate(F.sequence(F.lit(1), F.lit(first)), F.transform("cells", lambda c: c["expected"]), lambda e, _: _sweep(e))
+    swept = _held(swept, lambda e: judged(e, lambda worst: worst <= TOLERANCE))
+    if first < most:
+        swept = F.aggregate(F.sequence(F.lit(first + 1), F.lit(most)), swept, lambda s, _: F.when(s["over"], s).otherwise(further(s)))
+    done = materialize(row.select("cells", swept["e"].alias("e")), "rake")
+    return done.select(F.explode(F.arrays_zip("cells", "e")).alias("x")).select(*[F.col("x.e" if c == "expected" else f"x.cells.{c}").alias(c) for c in own])
 
 
 def _worst(now: DataFrame) -> float:

@@ -128,6 +128,18 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_rounds_over_few_links_need_no_shuffle(spark, monkeypatch):
+    from graphmill.llm import components as C
+
+    links = spark.createDataFrame([(i, i // 2) for i in range(1, 300)] + [(1_000 + i, 1_000) for i in range(1, 50)], "u long, v long")
+    plans = []
+    monkeypatch.setattr(C, "materialize", lambda df, name, f=C.materialize: (plans.append(df._jdf.queryExecution().executedPlan().toString()), f(df, name))[1])
+    few = {tuple(r) for r in C.components(links).collect()}
+    assert len(plans) > 2 and all("Exchange" not in p for p in plans[1:])
+    monkeypatch.setattr(C, "ONE_TASK", 0)
+    assert few == {tuple(r) for r in C.components(links).collect()} == {(i, 0) for i in range(1, 300)} | {(1_000 + i, 1_000) for i in range(1, 50)}
+
+
 def brute_spans(docs):
     seen, out = {}, {}
     for d, text in sorted(docs):

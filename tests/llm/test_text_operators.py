@@ -366,6 +366,21 @@ def test_raking_meets_its_margins(spark, odd, nothing, clashing, monkeypatch, li
         assert twice[0] == twice[1]
 
 
+def test_few_cells_are_raked_in_one_row_with_equal_results(spark, monkeypatch):
+    """The driver holds two small jobs in place of three windows a sweep; sweeps end by the same rules."""
+    cells = spark.createDataFrame(CELLS, "source string, lang string, topic string, tokens long")
+    written = []
+    monkeypatch.setattr(M, "materialize", lambda df, name, f=M.materialize: (written.append(df._jdf.queryExecution().analyzed().toString()), f(df, name))[1])
+    for bounds in ({}, {"sweeps": 8}, {"most": M.SWEEPS}, {"sweeps": 1, "most": 1}, {"sweeps": 3, "targets": {"source": {"c": 0.6}}, "fraction": 0.9}, {"targets": {"source": {"a": 1.0}}}):
+        written.clear()
+        got = M.rake(cells, **bounds).collect()
+        assert len(written) <= 6 and not any("Window" in p for p in written)
+        with monkeypatch.context() as m:
+            m.setattr(M, "ONE_ROW", 0)
+            want = {r[:3]: r for r in M.rake(cells, **bounds).collect()}
+        assert len(got) == len(want) == len(CELLS) and all(r[3:] == pytest.approx(want[r[:3]][3:], rel=1e-9, abs=1e-15) for r in got), bounds
+
+
 def test_targets_are_met_and_never_overdrawn(spark):
     cells = spark.createDataFrame(CELLS, "source string, lang string, topic string, tokens long")
     out = M.rake(cells, {"source": {"a": 0.2, "b": 0.5, "c": 0.3}, "lang": {"fr": 0.3}}, fraction=0.1).cache()
