@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphmill.functions import scalars as S
+from graphmill.plans.cut import cut
 
 NOT_CODE = ("Setting", "Section", "Document", "Block", "Rationale")
 # Packages of a standard library, whose methods are never those of the project.
@@ -128,6 +129,8 @@ def resolve_calls(symbols: DataFrame, pending: DataFrame, struct_fields: DataFra
     tails = tails.filter(F.size("q") > 2).select("project_id", "qualified_name", "id", F.explode(F.transform(at, lambda i: F.array_join(F.slice("q", i, F.size("q")), "."))).alias("to_name"))
     tails = tails.groupBy("project_id", "to_name").agg(F.countDistinct("qualified_name").alias("__n"), F.min("id").alias("t1a")).filter("__n = 1").drop("__n")
     p = p.join(tails, ["project_id", "to_name"], "left")
+    # The pending names are written between rules, as the driver holds a plan and its changes while it runs: one plan of all rules took its memory.
+    p = cut(p)
     # 2: a name of the same folder.
     local = code.select("project_id", folder(F.col("file_path")).alias("dir"), F.col("name").alias("to_name"), "id")
     p = p.join(first_by(local, ["project_id", "dir", "to_name"], "t2"), ["project_id", "dir", "to_name"], "left")
@@ -150,6 +153,7 @@ def resolve_calls(symbols: DataFrame, pending: DataFrame, struct_fields: DataFra
     p = p.join(held, ["project_id", "dir", "head"], "left")
     single = (clean == "") & (F.size(F.split("to_name", r"\.")) == 2)
     p = p.withColumn("__m", F.when(single, F.concat(F.regexp_replace("__v", r"^[*&]", ""), F.lit("."), "tail"))).join(by_qn("t4v", "__m"), ["project_id", "__m"], "left").drop("__m", "__v")
+    p = cut(p)
     # 5: a class by its name, then its method.
     classes = only_by(code.filter("kind in ('Class', 'Interface')").select("project_id", F.col("name").alias("__c"), "id"), ["project_id", "__c"], "class_id")
     named = code.select("project_id", F.col("id").alias("class_id"), F.col("qualified_name").alias("class_qn"))
@@ -169,7 +173,7 @@ def resolve_calls(symbols: DataFrame, pending: DataFrame, struct_fields: DataFra
         "t1", *[F.when(python, r) for r in root_hits], F.when(python & F.col("dotted"), F.col("t1a")), F.when(go & bare, F.col("t2")), F.when(go & ~F.col("head").isin(list(STDLIB)), F.coalesce("t3", "t4", "t4v")),
         F.when(js, F.coalesce("t5", F.when(bare, F.coalesce("t6", "t6d")))), F.when(go & F.col("dotted") & telling, F.col("t7")),
     )
-    p = p.withColumn("to_id", to)
+    p = cut(p.withColumn("to_id", to))
     drops = p.agg(
         F.count_if(F.col("from_id").isNull()).alias("from_missing"), F.count_if(F.col("from_id").isNotNull() & F.col("to_id").isNull()).alias("to_missing"),
         F.count_if(F.col("from_id") == F.col("to_id")).alias("self_edges"),
